@@ -24,6 +24,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tokenize_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0), 2048)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of every text, its edited text and the next document."""
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of each document."""
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
+o AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+            / CAST(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM w),
+f AS (SELECT level FROM o WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, least((SELECT level FROM f) * w, CAST(cap AS DOUBLE)) AS target FROM o),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(size, goal % source_size - pos)) END AS taken
+FROM p
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries and checksums of all documents, read back from the token files."""
     from .common import shared_dir
@@ -34,5 +71,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_token_files)}
-ORACLES: dict[str, str] = {}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every text."""
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op8_licenses)}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
