@@ -68,6 +68,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def append(docs: DataFrame, make, new: list[tuple[str, str]], max_bytes: int = 1 << 20) -> DataFrame:
+    """docs with the further columns new (name, type), made per batch as Arrow arrays by make(texts).
+
+    docs has a column text (null: given as "") and any others, which pass
+    through unchanged; those that clash with a new name are replaced.
+    """
+    import pyarrow as pa
+
+    names, added = docs.columns, [n for n, _ in new]
+    at = names.index("text")
+    schema = ", ".join([f"`_{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)] + [f"`_new_{n}` {t}" for n, t in new])
+
+    def run(it):
+        for batch in batches(it, max_bytes, f"_{at}"):
+            out = make([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *[f"_new_{n}" for n in added]])
+
+    out = docs.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(run, schema)
+    return out.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names) if n not in added], *[F.col(f"_new_{n}").alias(n) for n in added])
+
+
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 

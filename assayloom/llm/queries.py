@@ -78,5 +78,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op8_licenses)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from a network trained on labelled rows outside the held-out fifth."""
+    from .quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op8_licenses, op10_quality)}
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
