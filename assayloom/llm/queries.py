@@ -71,6 +71,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, out)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the patterns' counts and all spans."""
+    from .pii import find, fit
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find(docs, fit(docs)).drop("text")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every text."""
     from .licenses import license_scan
@@ -86,5 +94,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op8_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
