@@ -61,6 +61,13 @@ FROM p
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles are 80 % alike."""
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries and checksums of all documents, read back from the token files."""
     from .common import shared_dir
@@ -94,5 +101,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
