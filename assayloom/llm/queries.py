@@ -31,6 +31,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text that repeat passages of 13 words from documents with smaller ids."""
+    from .substrings import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all sources takes of each document."""
     from .mixing import mix
@@ -101,5 +108,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
