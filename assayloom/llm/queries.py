@@ -100,6 +100,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label with cosine 0.98 or more."""
+    from .vector_dup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents from a network trained on labelled rows outside the held-out fifth."""
     from .quality import fit, score
@@ -108,5 +115,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality)}
 ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
