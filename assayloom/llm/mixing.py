@@ -68,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, b
     that agree in doc_id and size may swap shares.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(keep or [])).withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *own).withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     d = materialize(d)
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     targets = materialize(targets.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long")).withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
@@ -104,4 +105,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, b
     )
     words = part.join(slot, ["s", "r"]).select("_row", F.greatest(F.lit(0), F.least("b", F.col("r") * block + F.col("take")) - F.greatest("a", F.col("r") * block)).alias("n"))
     taken = words.groupBy("_row").agg(F.sum("n").alias("taken"))
-    return d.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(keep or []))
+    return d.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep or [])])
