@@ -306,8 +306,10 @@ def fit(docs: DataFrame, sample: int = 600, max_chars: int = 20_000, **how) -> T
     Texts over max_chars are not used for training, which bounds the driver's
     memory. Without such texts the untrained network's tags are all unsure.
     """
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars))
-    texts = sorted(r[0] for r in rows.select("text", F.md5("text").alias("k")).orderBy("k").limit(sample).select("text").collect())
+    rows = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars)).withColumn("k", F.md5("text"))
+    # the hashes first: at most sample of them a task, and no texts, are ordered
+    picked = rows.select("k").distinct().orderBy("k").limit(sample)
+    texts = sorted(r[0] for r in rows.join(F.broadcast(picked), "k").groupBy("k").agg(F.first("text")).select("first(text)").collect())
     return train(texts, [base_spans(t) for t in texts], **how)
 
 
