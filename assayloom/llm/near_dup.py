@@ -1,16 +1,17 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A text's shingles give a signature of SYMBOLS b-bit minima, split into chunks of
-three. Two signatures that differ in at most 2 * chunks - 1 symbols have a chunk
-with at most one error (pigeonhole), so indexing each chunk under its three
-pairs of symbols (the allowed error enumerated) finds every such pair: with 8
-chunks up to 15 of 24 symbols may differ, while a similarity of 0.8 makes 4.8
-differ on average. Links are confirmed on full shingle sets.
+A text's shingles give a signature of SYMBOLS b-bit minima, split into CHUNKS
+chunks of SPAN symbols. Two signatures that differ in at most FAR = 2 * CHUNKS - 1
+symbols have a chunk with at most one error (pigeonhole), so indexing each chunk
+under its SPAN subsets without one symbol (the allowed error enumerated) finds
+every pair within FAR. At a similarity of 0.8, 9.6 of 48 symbols differ on
+average and more than 23 in 2.5 pairs of a million. Pairs within FAR are then
+confirmed on full shingle sets.
 
 Texts with equal sets are one class. Candidates of a bucket are first compared
-with its leader, so a group of s near copies costs s comparisons; only buckets
-that still hold several components are compared in blocks of bounded size, and
-only across components. Whatever shares a bucket is thus linked or compared.
+with its leader, so a group of s near copies costs s comparisons; buckets that
+still hold several components are compared by signatures in blocks of bounded
+size, and only pairs across components and within FAR are confirmed on sets.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, batches, components, grams, materialize, mix64
 
-CHUNKS, BITS = 8, 24
-SYMBOLS = 3 * CHUNKS
+CHUNKS, SPAN, BITS = 12, 4, 24
+SYMBOLS, FAR = SPAN * CHUNKS, 2 * CHUNKS - 1
 _SEEDS = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -123,40 +124,26 @@ def _with_leaders(pairs: DataFrame, sets: DataFrame, percent: int, salt: int = 1
     return members.unionByName(heads).groupBy("leader", "s").applyInPandas(run, "src long, dst long")
 
 
-def _in_blocks(buckets: DataFrame, sets: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """Links across components within buckets (key, rep, comp), in pairs of blocks of about block rows."""
+def _near_in_blocks(buckets: DataFrame, block: int = 512) -> DataFrame:
+    """Pairs (rep, leader), leader the smaller, within FAR and across components, of buckets (key, rep, comp, sig), compared block by block."""
     sizes = buckets.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     b = buckets.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", "comp")
+    units = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "comp", "sig")
 
-    def run(pdf):
-        comp, rep = pdf["comp"].to_numpy(), pdf["rep"].to_numpy()
-        if len(pdf) < 2 or (comp == comp[0]).all():
-            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        size = np.array(list(map(len, sets)))
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        m = np.zeros((len(sets), ids.max() + 1), np.float32)
-        m[np.repeat(np.arange(len(sets)), size), ids] = 1
-        both = np.rint(m @ m.T).astype(np.int64)
-        ok = _similar(both, size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
-        a, b = np.nonzero(np.triu(ok, 1))
-        top = {c: c for c in comp.tolist()}
-
-        def find(c):
-            while top[c] != c:
-                top[c] = c = top[top[c]]
-            return c
-
-        keep = []
-        for x, y in zip(a, b):
-            p, q = find(comp[x].item()), find(comp[y].item())
-            if p != q:
-                top[p] = q
-                keep.append((rep[x], rep[y]))
-        return pd.DataFrame(keep, columns=["src", "dst"], dtype="int64")
-
-    return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
+    def run(key, pdf):
+        rep, comp, b = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["b"].to_numpy()
+        sig = np.stack(pdf["sig"].to_numpy())
+        rows, cols = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
+        near = np.zeros((len(rows), len(cols)), np.uint8)
+        for k in range(SYMBOLS):
+            near += sig[rows, k][:, None] != sig[cols, k][None, :]
+        p, q = np.nonzero((near <= FAR) & (comp[rows][:, None] != comp[cols][None, :]))
+        p, q = rep[rows[p]], rep[cols[q]]
+        if key[1] == key[2]:
+            p, q = p[p > q], q[p > q]
+        return pd.DataFrame({"rep": np.maximum(p, q), "leader": np.minimum(p, q)})
+
+    return units.groupBy("key", "i", "j").applyInPandas(run, "rep long, leader long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -170,22 +157,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """
     all_rows = materialize(sketch(docs, n))
     classes = materialize(all_rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")))
-    pairs_of = [(c, i, j) for c in range(CHUNKS) for i, j in ((0, 1), (0, 2), (1, 2))]
-    keys = F.array(*[F.xxhash64(F.lit(3 * c + i), F.lit(3 * c + j), F.col("sig")[3 * c + i], F.col("sig")[3 * c + j]) for c, i, j in pairs_of])
+    sub = [(c, [SPAN * c + i for i in range(SPAN) if i != out]) for c in range(CHUNKS) for out in range(SPAN)]
+    keys = F.array(*[F.xxhash64(F.lit(at[0] * SYMBOLS * SYMBOLS + at[1] * SYMBOLS + at[2]), *[F.col("sig")[i] for i in at]) for _, at in sub])
     index = classes.select("rep", F.explode(keys).alias("key"))
     heads = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader <> _last").drop("_last")
     members = materialize(index.join(heads, "key").distinct())
-    sets = materialize(_sets(docs, members.select("rep").distinct(), n))
-
-    links = materialize(_with_leaders(members.select("rep", "leader").where("rep <> leader").distinct(), sets, percent))
+    sigs = classes.select("rep", "sig")
+    apart = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x != y), lambda x: x))
+    first = members.select("rep", "leader").where("rep <> leader").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("leader"), F.col("sig").alias("other")), "leader")
+    first = materialize(first.where(apart <= FAR).select("rep", "leader"))
+    ends = lambda p: p.select("rep").union(p.select("leader")).distinct()
+    sets = materialize(_sets(docs, ends(first), n))
+    links = materialize(_with_leaders(first, sets, percent))
     comp = components(links)
     named = members.join(comp, members.rep == comp.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     # buckets with several components, one of those with the same members
-    open_ = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("a <> b")
+    open_ = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("a <> b and n > 2")
     open_ = open_.groupBy("same", "n").agg(F.min("key").alias("key")).select("key")
-    rest = materialize(_in_blocks(named.join(open_, "key"), sets, percent))
-    if not rest.isEmpty():
-        links = links.union(rest)
+    more = materialize(_near_in_blocks(named.join(open_, "key").join(sigs, "rep")).join(first, ["rep", "leader"], "left_anti"))
+    if not more.isEmpty():
+        wanted = ends(more).join(ends(first), "rep", "left_anti")
+        sets = sets.union(materialize(_sets(docs, wanted, n)))
+        links = links.union(materialize(_with_leaders(more, sets, percent)))
         comp = components(links)
     final = classes.select("digest", "rep").join(comp, classes.rep == comp.id, "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
     out = all_rows.join(final, "digest", "left")
