@@ -35,32 +35,33 @@ def parse_bounds(raw: Column, literal_repairs: dict[str, str] | None = None) ->
     for a, b in repairs.items():
         t = F.when(t == a, F.lit(b)).otherwise(t)
     t = _strip(F.replace(F.replace(_strip(t, "~"), F.lit("–"), F.lit("-")), F.lit("+"), F.lit("±")), "E6", "E")
-    t = _strip(t, "±0.0")
+    # a lambda's argument is evaluated once, which keeps the generated code small
+    return F.transform(F.array(_strip(t, "±0.0")), _read_bounds)[0]
+
+
+def _read_bounds(t: Column) -> Column:
     bounds = lambda low, high: F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
+    both = lambda low, high: F.transform(F.array(bounds(low, high)), lambda b: F.when(b["low"].isNotNull() & b["high"].isNotNull(), b))[0]
 
-    body = _strip(t, ">=", "=<", "=", " ")
-    left, right = F.element_at(F.split(body, "-"), 1), F.try_element_at(F.split(body, "-"), F.lit(2))
+    body = F.split(_strip(t, ">=", "=<", "=", " "), "-")
+    left, right = F.element_at(body, 1), F.try_element_at(body, F.lit(2))
     low = F.when(left.startswith("<"), F.lit(0.0)).otherwise(_number(_strip(left, ">")))
     high = F.when(right.startswith(">"), F.lit(INF)).otherwise(_number(_strip(right, "<")))
-    over = _number(F.regexp_replace(_strip(t, ">=", "≥", ">", " ", "="), "±.*$", ""))
-    under = _number(F.regexp_replace(_strip(t, "<=", "<", " ", "="), "±.*$", ""))
-    mid = _number(_strip(F.substring_index(t, "±", 1), " "))
-    err = _number(F.replace(_strip(F.substring_index(t, "±", -1), " "), F.lit(","), F.lit(".")))
-    upto = _number(_strip(F.regexp_replace(t, "(?i)up to", ""), " "))
-    plain = _number(F.replace(_strip(t, " "), F.lit(","), F.lit(".")))
-    none = F.lit(None)
+    bare = _strip(F.regexp_replace(t, "±.*$", ""), ">", "<", "≥", "=", " ")
+    err = F.replace(_strip(F.substring_index(t, "±", -1), " "), F.lit(","), F.lit("."))
+    spread = lambda m, e: both(F.greatest(F.lit(0.0), m - e), m + e)
+    number = lambda text: F.transform(F.array(text), _number)[0]
     read = (
-        F.when(t.contains("-"), F.when(low.isNull() | high.isNull(), bounds(none, none)).otherwise(bounds(low, high)))
-        .when(t.rlike(">|≥"), F.when(over.isNull(), bounds(none, none)).otherwise(bounds(over, F.lit(INF))))
-        .when(t.contains("<"), F.when(under.isNull(), bounds(none, none)).otherwise(bounds(F.lit(0.0), under)))
-        .when(t.contains("NA"), bounds(none, none))
-        .when(t.contains("±"), F.when(mid.isNull() | err.isNull(), bounds(none, none)).otherwise(bounds(F.greatest(F.lit(0.0), mid - err), mid + err)))
-        .when(t.rlike("(?i)up to"), F.when(upto.isNull(), bounds(none, none)).otherwise(bounds(F.lit(0.0), upto)))
-        .otherwise(F.when(plain.isNull(), bounds(none, none)).otherwise(bounds(plain, plain)))
+        F.when(t.contains("-"), both(low, high))
+        .when(t.rlike(">|≥"), both(number(bare), F.lit(INF)))
+        .when(t.contains("<"), both(F.lit(0.0), number(bare)))
+        .when(t.contains("NA"), F.lit(None))
+        .when(t.contains("±"), spread(number(bare), number(err)))
+        .when(t.rlike("(?i)up to"), both(F.lit(0.0), number(_strip(F.regexp_replace(t, "(?i)up to", ""), " "))))
+        .otherwise(F.transform(F.array(number(F.replace(_strip(t, " "), F.lit(","), F.lit(".")))), lambda x: both(x, x))[0])
     )
-    known = read["low"].isNotNull()
-    reason = F.when(known, F.lit("ok")).when(raw.isNull() | (F.trim(raw) == "") | t.contains("NA"), F.lit("missing")).otherwise(F.lit("unreadable"))
-    return F.struct(read["low"].alias("low"), read["high"].alias("high"), reason.alias("reason"))
+    missing = t.isNull() | (F.trim(t) == "") | t.contains("NA")
+    return F.transform(F.array(read), lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), F.when(b.isNotNull(), F.lit("ok")).when(missing, F.lit("missing")).otherwise(F.lit("unreadable")).alias("reason")))[0]
 
 
 def censoring(low: Column, high: Column) -> Column:

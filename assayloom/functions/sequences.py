@@ -73,9 +73,8 @@ def structure_tokens(structure: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """Overlapping windows of k letters that hold only A, C, G and T."""
-    s = F.upper(seq)
-    every = F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(every, lambda w: w.rlike(f"^[ACGT]{{{k}}}$"))
+    # a look-ahead finds overlapping windows in one pass over the text
+    return F.regexp_extract_all(F.upper(seq), F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
 
 
 def genus(organism: Column) -> Column:

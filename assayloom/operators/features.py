@@ -27,7 +27,10 @@ def encode(df: DataFrame, vocab: DataFrame, column: str, unknown: int = 0) -> Da
 
 def kmer_counts(df: DataFrame, key: str, seq: str, ks: tuple[int, ...]) -> DataFrame:
     """(key, k, kmer, n, value): overlapping windows over all rows of a key, each k scaled to length 1; absent k-mers have no row."""
-    w = df.select(key, F.explode(F.concat(*[F.transform(kmers(F.col(seq), k), lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("kmer"))) for k in ks])).alias("w")).select(key, "w.k", "w.kmer")
+    def tagged(k: int):
+        return F.transform(kmers(F.col(seq), k), lambda x: F.struct(F.lit(k).alias("k"), x.alias("kmer")))
+
+    w = df.select(key, F.explode(F.concat(*map(tagged, ks))).alias("w")).select(key, "w.k", "w.kmer")
     c = w.groupBy(key, "k", "kmer").agg(F.count("*").alias("n"))
     size = F.sqrt(F.sum(F.col("n").cast("double") * F.col("n")).over(Window.partitionBy(key, "k")))
     return c.withColumn("value", F.col("n") / size)
