@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INF = float("inf")
 _NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
@@ -69,12 +70,12 @@ def censoring(low: Column, high: Column) -> Column:
     return F.when(low.isNull() | high.isNull(), F.lit("missing")).when((high == INF) | (low == 0), F.lit("censored")).when(low == high, F.lit("exact")).otherwise(F.lit("ranged"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _significant3(v: pd.Series) -> pd.Series:
     return v.map(lambda x: float("%.3g" % x), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _significant5(v: pd.Series) -> pd.Series:
     return v.map(lambda x: float("%.5g" % x), na_action="ignore")
 

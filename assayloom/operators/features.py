@@ -8,6 +8,7 @@ from itertools import product
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import kmers, reverse_complement
 
@@ -122,12 +123,13 @@ def structure_weight(text: str | None) -> float | None:
     return sum(ATOMIC_WEIGHTS[a["symbol"]] + a["h"] * ATOMIC_WEIGHTS["H"] for a in got[0]) if got else None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def molecular_weight(smiles: pd.Series) -> pd.Series:
     return pd.Series([structure_weight(s) for s in smiles], dtype="float64")
 
 
-_DESCRIPTORS = "weight double, heavy_atoms int, rings int, hetero_atoms int, charge int, aromatic_atoms int, double_bonds int, donors int, acceptors int"
+_COUNTS = ("heavy_atoms", "rings", "hetero_atoms", "charge", "aromatic_atoms", "double_bonds", "donors", "acceptors")
+_DESCRIPTORS = T.StructType([T.StructField("weight", T.DoubleType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTS]])
 
 
 @F.pandas_udf(_DESCRIPTORS)
@@ -142,8 +144,7 @@ def _describe(smiles: pd.Series) -> pd.DataFrame:
         parts = (s.count(".") if s else 0) + 1
         hetero = [a for a in atoms if a["symbol"] not in ("C", "H")]
         rows.append([structure_weight(s), len(atoms), len(bonds) - len(atoms) + parts, len(hetero), sum(a["charge"] for a in atoms), sum(a["aromatic"] for a in atoms), sum(o == 2 for *_, o in bonds), sum(a["symbol"] in "NO" and a["h"] > 0 for a in atoms), sum(a["symbol"] in "NO" for a in atoms)])
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in _DESCRIPTORS.split(", ")])
-    return out.astype({c: "Int32" for c in out.columns if c != "weight"}).astype({"weight": "float64"})
+    return pd.DataFrame(rows, columns=_DESCRIPTORS.fieldNames()).astype({"weight": "float64"} | {c: "Int32" for c in _COUNTS})
 
 
 def descriptors(df: DataFrame, smiles: str) -> DataFrame:
@@ -151,7 +152,10 @@ def descriptors(df: DataFrame, smiles: str) -> DataFrame:
     return df.withColumn("descriptors", _describe(F.col(smiles)))
 
 
-@F.pandas_udf("struct<nodes: array<array<double>>, edges: array<array<int>>, orders: array<double>>")
+_GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("edges", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("orders", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_GRAPH)
 def structure_graph(smiles: pd.Series) -> pd.DataFrame:
     """Nodes (one-hot element, aromatic, hydrogens, charge), directed edges both ways and their orders."""
     names, rows = sorted(ATOMIC_WEIGHTS), []

@@ -45,10 +45,10 @@ def document(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 def fasta(spark: SparkSession, path: str, keep_empty: bool = True) -> DataFrame:
     """(file, record, header, sequence, ordinal): sequences upper-cased without white space; record is the header's first word."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     parts = whole.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("ordinal", "body")).where("ordinal > 0")
     head = F.regexp_replace(F.substring_index("body", "\n", 1), "\r$", "")
-    seq = F.upper(F.regexp_replace(F.when(F.instr("body", "\n") > 0, F.expr("substr(body, instr(body, '\n') + 1)")).otherwise(""), r"\s", ""))
+    seq = F.upper(F.regexp_replace(F.when(F.instr("body", "\n") > 0, F.substr("body", F.instr("body", "\n") + 1)).otherwise(""), r"\s", ""))
     out = parts.select("file", F.substring_index(F.trim(head), " ", 1).alias("record"), F.trim(head).alias("header"), seq.alias("sequence"), "ordinal")
     return out if keep_empty else out.where("sequence <> ''")
 
@@ -63,7 +63,7 @@ def gff(spark: SparkSession, path: str, kind: str = "rRNA") -> DataFrame:
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
     """(token, index): the line number of each line of one file, which is read whole."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("index", "token")).select("token", "index")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("index", "token")).select("token", "index")
 
 
 def archive_members(spark: SparkSession, path: str, suffix: str) -> DataFrame:
