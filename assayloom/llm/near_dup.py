@@ -124,26 +124,89 @@ def _with_leaders(pairs: DataFrame, sets: DataFrame, percent: int, salt: int = 1
     return members.unionByName(heads).groupBy("leader", "s").applyInPandas(run, "src long, dst long")
 
 
+def _owner(same: np.ndarray) -> np.ndarray:
+    """For pairs' symbol agreements (pairs, SYMBOLS): the first index variant under which both stand."""
+    per = same.reshape(len(same), CHUNKS, SPAN)
+    chunk = (per.sum(axis=2) >= SPAN - 1).argmax(axis=1)
+    own = per[np.arange(len(same)), chunk]
+    return chunk * SPAN + np.where(own.all(axis=1), 0, own.argmin(axis=1))
+
+
 def _near_in_blocks(buckets: DataFrame, block: int = 512) -> DataFrame:
-    """Pairs (rep, leader), leader the smaller, within FAR and across components, of buckets (key, rep, comp, sig), compared block by block."""
+    """(key, i, j, rep, comp) of rows with a partner within FAR and in another component, by pairs of blocks (i, j) of a bucket.
+
+    buckets: (key, variant, rep, comp, sig). A pair that shares several buckets
+    is looked at in the first of them only.
+    """
     sizes = buckets.groupBy("key").count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     b = buckets.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "comp", "sig")
+    units = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "variant", "rep", "comp", "sig")
 
     def run(key, pdf):
         rep, comp, b = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["b"].to_numpy()
         sig = np.stack(pdf["sig"].to_numpy())
         rows, cols = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
-        near = np.zeros((len(rows), len(cols)), np.uint8)
+        far = np.zeros((len(rows), len(cols)), np.uint8)
         for k in range(SYMBOLS):
-            near += sig[rows, k][:, None] != sig[cols, k][None, :]
-        p, q = np.nonzero((near <= FAR) & (comp[rows][:, None] != comp[cols][None, :]))
-        p, q = rep[rows[p]], rep[cols[q]]
-        if key[1] == key[2]:
-            p, q = p[p > q], q[p > q]
-        return pd.DataFrame({"rep": np.maximum(p, q), "leader": np.minimum(p, q)})
+            far += sig[rows, k][:, None] != sig[cols, k][None, :]
+        p, q = np.nonzero((far <= FAR) & (comp[rows][:, None] != comp[cols][None, :]))
+        p, q, own = rows[p], cols[q], np.zeros(len(pdf), bool)
+        for a in range(0, len(p), 1 << 15):
+            x, y = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
+            ok = _owner(sig[x] == sig[y]) == pdf["variant"].iloc[0]
+            own[x[ok]] = own[y[ok]] = True
+        return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "rep": rep[own], "comp": comp[own]})
+
+    return units.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, rep long, comp long")
+
+
+def common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices of bounded width."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, ids, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[ids]
+    ids, of = number[ids[keep]], of[keep]
+    order = np.argsort(ids, kind="stable")
+    ids, of = ids[order], of[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    both = np.zeros_like(out, dtype=np.float32)
+    for a in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(ids, [a, a + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[of[lo:hi], ids[lo:hi] - a] = 1
+        both += m @ m.T
+    off = ~np.eye(len(sets), dtype=bool)
+    out[off] = np.rint(both[off])
+    return out
+
+
+def _links_in_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) that join the components of each unit (key, i, j), as a forest."""
+
+    def run(pdf):
+        comp, rep = pdf["comp"].to_numpy(), pdf["rep"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        size = np.array(list(map(len, sets)))
+        ok = _similar(common(sets), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
+        top = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = c = top[top[c]]
+            return c
+
+        keep = []
+        for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(ok, 1)))):
+            p, q = find(comp[x].item()), find(comp[y].item())
+            if p != q:
+                top[p] = q
+                keep.append((rep[x], rep[y]))
+        return pd.DataFrame(keep, columns=["src", "dst"], dtype="int64")
 
-    return units.groupBy("key", "i", "j").applyInPandas(run, "rep long, leader long").distinct()
+    return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -159,9 +222,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = materialize(all_rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")))
     sub = [(c, [SPAN * c + i for i in range(SPAN) if i != out]) for c in range(CHUNKS) for out in range(SPAN)]
     keys = F.array(*[F.xxhash64(F.lit(at[0] * SYMBOLS * SYMBOLS + at[1] * SYMBOLS + at[2]), *[F.col("sig")[i] for i in at]) for _, at in sub])
-    index = classes.select("rep", F.explode(keys).alias("key"))
+    index = classes.select("rep", F.posexplode(keys).alias("variant", "key"))
     heads = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader <> _last").drop("_last")
-    members = materialize(index.join(heads, "key").distinct())
+    members = materialize(index.join(heads, "key"))
     sigs = classes.select("rep", "sig")
     apart = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x != y), lambda x: x))
     first = members.select("rep", "leader").where("rep <> leader").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("leader"), F.col("sig").alias("other")), "leader")
@@ -170,15 +233,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = materialize(_sets(docs, ends(first), n))
     links = materialize(_with_leaders(first, sets, percent))
     comp = components(links)
-    named = members.join(comp, members.rep == comp.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    # buckets with several components, one of those with the same members
-    open_ = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.count("*").alias("n")).where("a <> b and n > 2")
-    open_ = open_.groupBy("same", "n").agg(F.min("key").alias("key")).select("key")
-    more = materialize(_near_in_blocks(named.join(open_, "key").join(sigs, "rep")).join(first, ["rep", "leader"], "left_anti"))
-    if not more.isEmpty():
-        wanted = ends(more).join(ends(first), "rep", "left_anti")
+    named = members.join(comp, members.rep == comp.id, "left").select("key", "variant", "rep", F.coalesce("component", "rep").alias("comp"))
+    # a bucket of two is its leader and one more, which have been compared
+    open_ = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("key")
+    units = materialize(_near_in_blocks(named.join(open_, "key").join(sigs, "rep")))
+    if not units.isEmpty():
+        wanted = units.select("rep").distinct().join(ends(first), "rep", "left_anti")
         sets = sets.union(materialize(_sets(docs, wanted, n)))
-        links = links.union(materialize(_with_leaders(more, sets, percent)))
+        links = materialize(links.union(_links_in_units(units, sets, percent)))
         comp = components(links)
     final = classes.select("digest", "rep").join(comp, classes.rep == comp.id, "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
     out = all_rows.join(final, "digest", "left")

@@ -229,13 +229,33 @@ def test_near_copies_in_one_large_group(spark):
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == {d: find(d) for d in sets}
 
 
-def test_signature_blocks_find_all_pairs_within_the_distance(spark):
+def test_signature_blocks_find_all_rows_with_a_near_partner(spark):
+    """Every pair within the distance has one owner among the buckets that it shares, and is found there in blocks."""
     r = np.random.default_rng(3)
-    rows = [(i, 7, i, [int(x) for x in (base + (r.random(near_dup.SYMBOLS) < 0.4) * (i + 1))]) for i, base in ((i, np.arange(near_dup.SYMBOLS)) for i in range(40))]
-    df = spark.createDataFrame(rows, "rep long, key long, comp long, sig array<int>")
-    got = {(x["rep"], x["leader"]) for x in near_dup._near_in_blocks(df, block=8).collect()}
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and sum(x != y for x, y in zip(a[3], b[3])) <= near_dup.FAR}
-    assert got == want and want
+    sigs = [[int(x) for x in np.arange(near_dup.SYMBOLS) + (r.random(near_dup.SYMBOLS) < 0.3) * (i + 100)] for i in range(40)]
+    rows = []
+    for v in range(near_dup.SYMBOLS):
+        c, out = divmod(v, near_dup.SPAN)
+        at = [near_dup.SPAN * c + k for k in range(near_dup.SPAN) if k != out]
+        by = {}
+        for i, s in enumerate(sigs):
+            by.setdefault(tuple(s[k] for k in at), []).append(i)
+        rows += [(v * 1000 + n, v, i, i, sigs[i]) for n, group in enumerate(by.values()) if len(group) > 1 for i in group]
+    df = spark.createDataFrame(rows, "key long, variant int, rep long, comp long, sig array<int>")
+    near = {(i, j) for i in range(40) for j in range(i) if sum(x != y for x, y in zip(sigs[i], sigs[j])) <= near_dup.FAR}
+    got = near_dup._near_in_blocks(df, block=8).collect()
+    assert near and {x["rep"] for x in got} == {i for p in near for i in p}
+    units = {}
+    for x in got:
+        units.setdefault((x["key"], x["i"], x["j"]), set()).add(x["rep"])
+    assert all(any({i, j} <= u for u in units.values()) for i, j in near)
+
+
+def test_common_sizes():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 60, 30)).astype(np.uint64) for _ in range(25)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert near_dup.common(sets, width=7).tolist() == want
 
 
 def test_mixing(docs, empty):
