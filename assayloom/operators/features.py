@@ -51,7 +51,7 @@ def longest_gene(records: DataFrame, features: DataFrame, product_name: str = "1
     records (file, record, sequence); features (file, record, start, end, strand,
     product, ordinal), 1-based and inclusive.
     """
-    f = features.where(F.col("product").contains(product_name) & ~F.col("product").contains("partial")).join(records, ["file", "record"])
+    f = features.where(F.col("product").contains(product_name) & ~F.col("product").contains("partial")).join(records.select("file", "record", "sequence"), ["file", "record"])
     cut = F.substr("sequence", F.col("start"), F.col("end") - F.col("start") + 1)
     f = f.withColumn("gene", F.when(F.col("strand") == "-", reverse_complement(cut)).otherwise(cut)).withColumn("n", F.length("gene")).where(F.col("n").between(least, most))
     return f.groupBy("file").agg(F.max_by(F.struct("record", "start", F.col("gene").alias("sequence")), F.struct("n", -F.col("ordinal"))).alias("g")).select("file", "g.*")
