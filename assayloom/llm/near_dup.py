@@ -132,7 +132,7 @@ def _owner(same: np.ndarray) -> np.ndarray:
     return chunk * SPAN + np.where(own.all(axis=1), 0, own.argmin(axis=1))
 
 
-def _near_in_blocks(buckets: DataFrame, block: int = 512) -> DataFrame:
+def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
     """(key, i, j, rep, comp) of rows with a partner within FAR and in another component, by pairs of blocks (i, j) of a bucket.
 
     buckets: (key, variant, rep, comp, sig). A pair that shares several buckets
