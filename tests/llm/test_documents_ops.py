@@ -166,6 +166,13 @@ def test_winnowing_guarantee():
     assert set(a.tolist()) & set(b.tolist())
 
 
+def test_short_texts_share_a_hash_with_their_edited_text(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(n)) for n in range(22, 200)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and min(g["near_edited"] for g in got) > 0
+
+
 def test_substrings(docs, empty):
     got = substrings.substring_dedup(docs, chunk_bytes=900, part_bytes=500, keep_text=True).collect()
     rows = [(d, WORD.findall(t or "")) for d, t, *_ in corpus()]
