@@ -216,6 +216,16 @@ def dup_links_first_seen(spark, sf):
     return P.first_links(d, "doc_id", ["text", "start"])
 
 
+@query("""
+SELECT DISTINCT i, j FROM (
+  SELECT min(doc_id) OVER (PARTITION BY text) AS i, doc_id AS j FROM documents WHERE text IS NOT NULL UNION ALL
+  SELECT min(doc_id) OVER (PARTITION BY upper(text)) AS i, doc_id AS j FROM documents WHERE text IS NOT NULL) WHERE i <> j""")
+def dup_links_whole_text(spark, sf):
+    """Each later document with the first one of equal text or equal upper-cased text, over the texts' whole length."""
+    d = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text"), F.sha2(F.upper("text"), 256).alias("upper"))
+    return P.first_links(d, "doc_id", ["text", "upper"])
+
+
 @query("""
 SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1""")
 def first_rows_by_key(spark, sf):

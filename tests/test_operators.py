@@ -251,3 +251,16 @@ def test_queries_equal_their_sql(spark, name):
     assert names == sorted(rel.columns)
     plain = lambda rows, cols: sorted(str([float(r[cols.index(c)]) if isinstance(r[cols.index(c)], (int, float)) and not isinstance(r[cols.index(c)], bool) else str(r[cols.index(c)]) for c in names]) for r in rows)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(rel.fetchall(), rel.columns)
+
+
+def tables(spark, path, **rows):
+    """A folder of tables: name = (rows, schema)."""
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_dup_links_compare_whole_texts(spark, tmp_path):
+    start = "word " * 50
+    sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, start + "b"), (3, (start + "A").upper()), (4, start + "b"), (5, None), (6, None)], "doc_id long, text string"))
+    assert as_set(catalogue.QUERIES["dup_links_whole_text"](spark, sf)) == {(1, 3), (2, 4)}
