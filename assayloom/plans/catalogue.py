@@ -482,6 +482,14 @@ def qa_split_cover(spark, sf):
     return C.disjoint_cover(t(spark, sf, "documents").where("doc_id % 2 = 0"), t(spark, sf, "labels"), "doc_id", "quality")
 
 
+@query("""
+WITH p AS (SELECT doc_id, quality AS part FROM labels), i AS (SELECT DISTINCT doc_id FROM documents), g AS (SELECT doc_id, count(DISTINCT part) AS n FROM p GROUP BY 1)
+SELECT count(*) FILTER (WHERE n > 1) AS in_several, count(*) FILTER (WHERE n IS NULL) AS uncovered, count(*) FILTER (WHERE i.doc_id IS NULL) AS orphans FROM i FULL JOIN g USING (doc_id)""")
+def qa_split_cover_all(spark, sf):
+    """Whether the labels' parts are disjoint and cover all documents."""
+    return C.disjoint_cover(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id", "quality")
+
+
 @query("""
 WITH a AS (SELECT lang AS k, count(*) AS n FROM documents GROUP BY 1), b(k, n) AS (VALUES ('en', 1), ('xx', 5))
 SELECT k, coalesce(a.n, 0) AS found, coalesce(b.n, 0)::BIGINT AS expected, CASE WHEN b.n IS NULL THEN 'unexpected' WHEN a.n IS NULL THEN 'absent' WHEN a.n = b.n THEN 'match' ELSE 'mismatch' END AS status FROM a FULL JOIN b USING (k)""")

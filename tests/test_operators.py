@@ -264,3 +264,8 @@ def test_dup_links_compare_whole_texts(spark, tmp_path):
     start = "word " * 50
     sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, start + "b"), (3, (start + "A").upper()), (4, start + "b"), (5, None), (6, None)], "doc_id long, text string"))
     assert as_set(catalogue.QUERIES["dup_links_whole_text"](spark, sf)) == {(1, 3), (2, 4)}
+
+
+def test_split_cover_reads_all_documents(spark, tmp_path):
+    sf = tables(spark, tmp_path, documents=([(k,) for k in range(6)], "doc_id long"), labels=([(1, 0), (1, 1), (3, 0), (4, 1), (9, 0)], "doc_id long, quality int"))
+    assert as_set(catalogue.QUERIES["qa_split_cover_all"](spark, sf)) == {(1, 3, 1)}
