@@ -341,6 +341,28 @@ def components_contract(spark, sf):
     return G.components(nodes, e)
 
 
+@query("""
+WITH d AS (SELECT doc_id, length(text) AS n, upper(text) AS u, upper(text[:200]) AS s FROM documents),
+g AS (SELECT *, CASE WHEN u IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY u) END AS c, min(doc_id) OVER (PARTITION BY s) AS head FROM d),
+e AS (SELECT least(a.c, b.c) AS src, greatest(a.c, b.c) AS dst, max(least(a.n, b.n) / greatest(a.n, b.n, 1)) AS weight FROM g a JOIN g b ON a.head = b.doc_id WHERE a.c <> b.c AND a.s IS NOT NULL GROUP BY ALL),
+v AS (SELECT c, count(*) AS n_nodes FROM g GROUP BY 1)
+SELECT c AS component, n_nodes, dst AS other, round(weight, 6) AS weight FROM v LEFT JOIN e ON src = c""")
+def contracted_documents(spark, sf):
+    """All documents with copies contracted: each component, its size and its edges to later ones; null without one.
+
+    Edges lead to the first document of equal upper-cased start, weighted by the ratio of lengths.
+    """
+    d = t(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.sha2(F.upper("text"), 256).alias("upper"), F.upper(F.substring("text", 1, 200)).alias("start"))
+    links = P.first_links(d, "doc_id", ["upper"]).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    node_of = G.components(d.select(F.col("doc_id").alias("node")), links)
+    i, j = d.select(F.col("doc_id").alias("i"), F.col("n").alias("_a")), d.select(F.col("doc_id").alias("j"), F.col("n").alias("_b"))
+    near = P.first_links(d, "doc_id", ["start"]).join(i, "i").join(j, "j")
+    edges = near.select(F.col("i").alias("src"), F.col("j").alias("dst"), (F.least("_a", "_b") / F.greatest("_a", "_b", F.lit(1))).alias("weight"))
+    sizes = node_of.groupBy("component").agg(F.count("*").alias("n_nodes"))
+    e = G.contract(edges, node_of).select(F.col("src").alias("component"), F.col("dst").alias("other"), r("weight").alias("weight"))
+    return sizes.join(e, "component", "left").select("component", "n_nodes", "other", "weight")
+
+
 @query()
 def bucket_split(spark, sf):
     """Whole labels of vectors dealt to test and five folds, with the leakage count (0) beside each row."""

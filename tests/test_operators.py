@@ -269,3 +269,9 @@ def test_dup_links_compare_whole_texts(spark, tmp_path):
 def test_split_cover_reads_all_documents(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([(k,) for k in range(6)], "doc_id long"), labels=([(1, 0), (1, 1), (3, 0), (4, 1), (9, 0)], "doc_id long, quality int"))
     assert as_set(catalogue.QUERIES["qa_split_cover_all"](spark, sf)) == {(1, 3, 1)}
+
+
+def test_contracted_documents_keep_isolated_nodes(spark, tmp_path):
+    start = "word " * 50
+    sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, (start + "a").upper()), (3, start + "bbb"), (4, "alone"), (5, None), (6, start + "BBB"), (7, "")], "doc_id long, text string"))
+    assert as_set(catalogue.QUERIES["contracted_documents"](spark, sf)) == {(1, 2, 3, round(251 / 253, 6)), (3, 2, None, None), (4, 1, None, None), (5, 1, None, None), (7, 1, None, None)}
