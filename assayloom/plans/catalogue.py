@@ -307,6 +307,15 @@ def shingle_jaccard_pairs(spark, sf):
     return P.set_pairs(d, "item_id", "w", 0.2).select("i", "j", r("similarity").alias("similarity"))
 
 
+@query()
+def shingle_jaccard_documents(spark, sf):
+    """All pairs of documents by the Jaccard similarity of their shingles of three words, 0.8 or more; a shorter text is one shingle."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    n = F.greatest(F.size("w") - 2, F.lit(1))
+    d = t(spark, sf, "documents").select("doc_id", w.alias("w")).where("size(w) > 0").select("doc_id", F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice("w", k, 3), " ")).alias("s"))
+    return P.set_pairs(d, "doc_id", "s", 0.8).select("i", "j", r("similarity").alias("similarity"))
+
+
 @query("""
 SELECT i, j, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
   SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,

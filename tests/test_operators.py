@@ -275,3 +275,26 @@ def test_contracted_documents_keep_isolated_nodes(spark, tmp_path):
     start = "word " * 50
     sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, (start + "a").upper()), (3, start + "bbb"), (4, "alone"), (5, None), (6, start + "BBB"), (7, "")], "doc_id long, text string"))
     assert as_set(catalogue.QUERIES["contracted_documents"](spark, sf)) == {(1, 2, 3, round(251 / 253, 6)), (3, 2, None, None), (4, 1, None, None), (5, 1, None, None), (7, 1, None, None)}
+
+
+def test_shingle_pairs_of_documents(spark, tmp_path):
+    import random
+    import re
+
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(20):
+        w = [rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(40)]
+        texts += [" ".join(w), "  ".join(w).upper(), " ".join(w[:-2]), " ".join([*w[:20], "other", *w[21:]]), " ".join(w[:10])]
+    texts += ["one two", "One, two!", "été 1", "", None]
+    words = [re.findall(r"[^\W_]+", (x or "").lower()) for x in texts]
+    sets = [{" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for w in words]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    want = {(i, j, round(jac(a, b), 6)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and jac(a, b) >= 0.8}
+    sf = tables(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert as_set(catalogue.QUERIES["shingle_jaccard_documents"](spark, sf)) == want and len(want) > 60
+    # an item that all sets share, dealt to cells of three sets
+    d = spark.createDataFrame([(k, [0, k % 7 + 1]) for k in range(40)] + [(99, [0])], "k int, s array<int>")
+    rows = [(k, {0, k % 7 + 1}) for k in range(40)] + [(99, {0})]
+    want = sorted((i, j) for i, a in rows for j, b in rows if i < j and jac(a, b) >= 0.3)
+    assert sorted((x["i"], x["j"]) for x in similarity.set_pairs(d, "k", "s", 0.3, most=3).collect()) == want
