@@ -260,6 +260,14 @@ def reverse_complement(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.reverse_complement(s).alias("other"))
 
 
+@query(f"""SELECT doc_id, length(s) AS n, length(s) BETWEEN 1200 AND 1700 AS full_length, reverse(translate(s, 'ACGT', 'TGCA')) AS other FROM (SELECT doc_id, {_DNA} AS s FROM documents)""")
+def reverse_complement_whole(spark, sf):
+    """The other strand of each whole text's letters, and whether their number is that of a full gene."""
+    d = t(spark, sf, "documents").select("doc_id", _dna().alias("s"))
+    n = F.length("s").cast("bigint")
+    return d.select("doc_id", n.alias("n"), n.between(1200, 1700).alias("full_length"), S.reverse_complement(F.col("s")).alias("other"))
+
+
 @query("""
 WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 f AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE vec_id % 5 <> 0 GROUP BY i)
@@ -540,6 +548,13 @@ def tokenize_structures(spark, sf):
     return t(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", F.size("x").cast("bigint").alias("n"), F.array_join(F.slice("x", 1, 20), " ").alias("head"))
 
 
+@query(f"""SELECT page_id, len(x) AS n, coalesce(list_aggregate(x, 'string_agg', ' '), '') AS tokens FROM (SELECT page_id, regexp_extract_all(html, '{_STRUCTURE}', 1) AS x FROM pages)""")
+def tokenize_structures_whole(spark, sf):
+    """All structure tokens of each page, in order."""
+    x = S.structure_tokens(F.col("html"))
+    return t(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", F.size("x").cast("bigint").alias("n"), F.array_join("x", " ").alias("tokens"))
+
+
 @query("""SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10""")
 def topk_counts(spark, sf):
     """The ten users with most events."""

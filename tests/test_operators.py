@@ -298,3 +298,9 @@ def test_shingle_pairs_of_documents(spark, tmp_path):
     rows = [(k, {0, k % 7 + 1}) for k in range(40)] + [(99, {0})]
     want = sorted((i, j) for i, a in rows for j, b in rows if i < j and jac(a, b) >= 0.3)
     assert sorted((x["i"], x["j"]) for x in similarity.set_pairs(d, "k", "s", 0.3, most=3).collect()) == want
+
+
+def test_whole_texts_are_complemented_and_tokenized(spark, tmp_path):
+    sf = tables(spark, tmp_path, documents=([(1, "e" * 100 + "i" * 1200), (2, "")], "doc_id long, text string"), pages=([(1, "C" * 30 + "N"), (2, "")], "page_id long, html string"))
+    assert as_set(catalogue.QUERIES["reverse_complement_whole"](spark, sf)) == {(1, 1300, True, "G" * 1200 + "T" * 100), (2, 0, False, "")}
+    assert as_set(catalogue.QUERIES["tokenize_structures_whole"](spark, sf)) == {(1, 31, "C " * 30 + "N"), (2, 0, "")}
