@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -23,28 +22,61 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     path = "file://" + tempfile.mkdtemp(prefix="assayloom-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with files that survive a lost executor. Collecting
-    garbage afterwards lets Spark remove the shuffle files of the finished job.
+    This cuts the lineage with files that survive a lost executor. Spark removes
+    the shuffle files of the write as soon as it is done, as nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out._assayloom_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialize()'s tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._assayloom_path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. For callers that have written their results."""
+    _remove(spark, tables_dir(spark))
+
+
+def parts_for(spark: SparkSession, n_bytes: int, per_part: int) -> int:
+    """Number of partitions that hold about per_part bytes each, and at least the session's."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_part))
+
+
 def batches(it: Iterable, max_bytes: int = 4 << 20, text: str = "text") -> Iterator:
     """Slices of Arrow batches that hold about max_bytes of text each (one row at least)."""
     import pyarrow.compute as pc
@@ -166,7 +198,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("p")).select(F.col("p.a").alias("u"), F.col("p.b").alias("v")).where("u <> v").distinct()
-        e = materialize(small)
+        was, e = e, materialize(small)
+        discard(was)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

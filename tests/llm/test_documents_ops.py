@@ -132,11 +132,40 @@ def test_fingerprints(docs, empty):
     for g in got:
         a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (g["fingerprint"], g["edited_fingerprint"]))
         assert g["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert len(g["positions"]) * 8 == len(g["fingerprint"]) and len(g["edited_positions"]) * 8 == len(g["edited_fingerprint"])
+    text = {d: t or "" for d, t, *_ in corpus()}
+    for g in got:
+        if g["doc_id"] is not None:
+            t = text[g["doc_id"]]
+            assert "".join(f"{brute_hash(t[p : p + fingerprints.K]):08x}" for p in g["positions"]) == g["fingerprint"]
     assert fingerprints.edited_fingerprints(empty).count() == 0
     assert fingerprints.edited_fingerprints(docs.where("doc_id = 3").limit(1)).first()["near_next"] == 1.0
     assert fingerprints.fingerprints(docs).count() == len(rows)
 
 
+def brute_hash(gram: str, k=fingerprints.K) -> int:
+    mask, h = (1 << 64) - 1, 0
+    for c in (gram + "\0" * k)[:k]:
+        h = (h * fingerprints._BASE + ord(c) + 1) & mask
+    h ^= h >> 32
+    return ((h * 0xD6E8FEB86659FD93) & mask) >> 32
+
+
+def test_positions_lead_to_every_shared_passage():
+    r = random.Random(21)
+    for _ in range(60):
+        word = lambda n: "".join(r.choice("abc ") for _ in range(n))
+        shared = word(r.randint(15, 60))
+        a, b = word(r.randint(0, 80)) + shared + word(r.randint(0, 80)), word(r.randint(0, 80)) + shared + word(40)
+        got = fingerprints.passages(a, b)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in got)
+        assert all(not (i and j and a[i - 1] == b[j - 1]) and not (i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]) for i, j, n in got)
+        for i in range(len(a) - 14):
+            for j in range(len(b) - 14):
+                if a[i : i + 15] == b[j : j + 15]:
+                    assert any(x <= i and y - x == j - i and i + 15 <= x + n for x, y, n in got)
+
+
 def brute_winnow(t: str, k=fingerprints.K, w=fingerprints.W) -> str:
     """Windows one by one, with the module's rolling hash written out as a plain polynomial."""
     if not t:
