@@ -4,9 +4,13 @@ Method: a low-discrepancy source schedule. Slot i of the mix is the golden-ratio
 point frac((i + 1) * phi), mapped through the cumulative target shares to a
 source. A source's slots are ranked; its documents, shuffled by a hash and laid
 end to end, are cut into blocks of equal words, and the slot of rank r takes
-block r, starting over when the source is used up. The last slot of a source is
+block r, starting over when the source is used up. The last block of a source is
 cut so that it takes its target exactly; a source whose slots fall short by the
-schedule's discrepancy gets them after the end.
+schedule's discrepancy gets them after the end, in order of source and rank.
+
+The schedule is what the operator returns: every row has the slots of the mix
+where its words stand, and the mix in order of slots keeps each source's share
+of any stretch near its weight.
 
 Ranks and running sums are counted in two steps (inside pieces of bounded size,
 then over the pieces' totals), so a source with most rows is never one task.
@@ -14,12 +18,15 @@ then over the pieces' totals), so a source with most rows is never one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
 PHI = 0.6180339887498949
+GRID = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -58,14 +65,41 @@ def _running(df: DataFrame, keys: list[str], piece: str, order: list, value: str
     return df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, [*keys, piece]).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_before")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 512, seed: int = 0, piece_rows: int = 1 << 14, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, *keep) of each row of docs (doc_id, text, source).
+def schedule(spark: SparkSession, goals: DataFrame, total: int, block: int, piece_rows: int) -> DataFrame:
+    """(s, r, slot, take): the slot of each source's block of rank r, and how many words it takes.
+
+    goals: (s, goal) with sources numbered from 1, whose goals add up to total.
+    Points find their source by ranges: both are cut at every 1 / GRID, so each
+    point meets the few sources of its range instead of all of them.
+    """
+    slots = -(-total // block)
+    over = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    share = goals.where("goal > 0").withColumn("_c", F.sum("goal").over(over)).select("s", (F.col("_c") / F.lit(max(total, 1))).alias("hi"), ((F.col("_c") - F.col("goal")) / F.lit(max(total, 1))).alias("lo"))
+    ranges = share.withColumn("g", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.floor(F.col("hi") * GRID))))
+    point = (F.col("id") + 1) * F.lit(PHI)
+    points = spark.range(slots).withColumn("p", point - F.floor(point)).withColumn("g", F.floor(F.col("p") * GRID))
+    placed = points.join(ranges, "g").where("lo <= p and p < hi").select("id", "s").withColumn("piece", F.floor(F.col("id") / piece_rows)).withColumn("one", F.lit(1))
+    ranked = _running(placed, ["s"], "piece", ["id"], "one", "r")
+    need = goals.withColumn("need", F.ceil(F.col("goal") / block))
+    # the schedule's discrepancy is a few slots a source
+    late = need.join(placed.groupBy("s").count(), "s", "left").withColumn("have", F.coalesce("count", F.lit(0))).where("have < need")
+    late = late.withColumn("before", F.coalesce(F.sum(F.col("need") - F.col("have")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    late = late.select("s", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("r"), (F.lit(slots) + F.col("before") - F.col("have")).alias("_base")).select("s", "r", (F.col("_base") + F.col("r")).alias("slot"))
+    got = ranked.select("s", "r", F.col("id").alias("slot")).union(late).join(need, "s").where("r < need")
+    return got.select("s", "r", "slot", F.least(F.lit(block), F.col("goal") - F.col("r") * block).alias("take"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 512, seed: int = 0, piece_rows: int = 1 << 12, keep: list[str] | None = None, slots: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot, *keep) of each row of docs (doc_id, text, source).
 
     size: words of the text (null: 0); taken: words the mix takes of the row,
     repeats counted, at most limit * size. A row is taken taken // size times
-    whole and then its first taken % size words. Null doc_ids and repeated rows
-    are rows of their own. Empty table: no rows. Reruns agree; rows of one source
-    that agree in doc_id and size may swap shares.
+    whole and then its first taken % size words. first_slot: the place in the
+    mix where the row is taken first, null if nothing is; with slots, the
+    column slots has the place of each time. Null doc_ids, a null source and
+    repeated rows are as any others; texts of any length are cut at blocks.
+    Empty table: no rows. Reruns agree; rows of one source that agree in doc_id
+    and size may swap shares. keep: further columns, with names of their own.
     """
     spark = docs.sparkSession
     own = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])]
@@ -74,26 +108,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, b
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     targets = materialize(targets.withColumn("goal", F.floor(F.col("target") + 0.5).cast("long")).withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     total, rows = targets.agg(F.sum("goal")).first()[0] or 0, d.count()
+    piece_rows = max(piece_rows, math.isqrt(rows))  # as many pieces as rows a piece, where there are many
     names = targets.select("s", "source", "source_size", "target", "goal")
     d = d.join(names, d.source.eqNullSafe(names.source)).drop(names.source)
+    slot = materialize(schedule(spark, targets.select("s", "goal"), total, block, piece_rows))
 
-    # the schedule: slots to sources
-    slots = -(-total // block)
-    share = targets.withColumn("hi", F.sum("goal").over(Window.orderBy("s")) / F.lit(max(total, 1))).withColumn("lo", F.col("hi") - F.col("goal") / F.lit(max(total, 1)))
-    edges = share.agg(F.sort_array(F.collect_list(F.struct("hi", "s", "goal"))).alias("edges"))
-    point = (F.col("id") + 1) * F.lit(PHI)
-    placed = (
-        spark.range(slots).withColumn("p", point - F.floor(point)).crossJoin(F.broadcast(edges))
-        .select("id", F.filter("edges", lambda e: (e["hi"] > F.col("p")) & (e["goal"] > 0))[0]["s"].alias("s")).where("s is not null")
-        .withColumn("piece", F.floor(F.col("id") / piece_rows)).withColumn("one", F.lit(1))
-    )
-    ranked = _running(placed, ["s"], "piece", ["id"], "one", "r")
-    counts = placed.groupBy("s").count()
-    need = names.select("s", "goal").withColumn("need", F.ceil(F.col("goal") / block))
-    late = need.join(counts, "s", "left").withColumn("have", F.coalesce("count", F.lit(0))).where("have < need").select("s", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("r"))
-    slot = ranked.select("s", "r").union(late).join(need, "s").where("r < need").select("s", "r", F.least(F.lit(block), F.col("goal") - F.col("r") * block).alias("take"))
-
-    # the documents' places in their sources' streams
+    # the documents' places in their sources' streams: pieces are ranges of the key, whose hash spreads a source's rows evenly
     pieces = max(1, -(-rows // piece_rows))
     d = d.withColumn("piece", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * F.lit(pieces) / F.lit(1 << 32)))
     d = materialize(_running(d, ["s"], "piece", ["_key", "doc_id", "size"], "size", "at").withColumn("_row", F.monotonically_increasing_id()))
@@ -103,6 +123,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, b
         .withColumn("a", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("b", F.col("a") + F.col("size"))
         .withColumn("r", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")))
     )
-    words = part.join(slot, ["s", "r"]).select("_row", F.greatest(F.lit(0), F.least("b", F.col("r") * block + F.col("take")) - F.greatest("a", F.col("r") * block)).alias("n"))
-    taken = words.groupBy("_row").agg(F.sum("n").alias("taken"))
-    return d.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep or [])])
+    n = F.greatest(F.lit(0), F.least("b", F.col("r") * block + F.col("take")) - F.greatest("a", F.col("r") * block))
+    words = part.join(slot, ["s", "r"]).select("_row", "r", "slot", "pass", n.alias("n")).where("n > 0")
+    # a pass of a document starts in the slot of its first block
+    taken = words.groupBy("_row", "pass").agg(F.sum("n").alias("n"), F.min_by("slot", "r").alias("slot")).groupBy("_row").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.array_sort(F.collect_list("slot")).alias("slots"))
+    extra = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep or [])]
+    return d.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *(["slots"] if slots else []), *extra)

@@ -64,8 +64,14 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of each row of docs (doc_id, text); digest and sig null for empty sets."""
+def sketch(docs: DataFrame, n: int, keep: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, digest, sig) of each row of docs (doc_id, text).
+
+    digest and sig are null for empty sets, which null, empty and blank texts
+    have. Rows are taken one by one, so null and repeated doc_ids and other
+    columns make no difference; keep names a column of longs that is copied.
+    """
+    own = [keep] * bool(keep)
 
     def run(it):
         for batch in batches(it, 2 << 20):
@@ -76,11 +82,11 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                 for i, row in zip(full, signatures([sets[i] for i in full])):
                     sig[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(sig, pa.list_(pa.int32())), *[batch.column(c) for c in own]],
+                ["doc_id", "n_shingles", "digest", "sig", *own],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>" + f", `{keep}` long" * bool(keep))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -209,16 +215,18 @@ def _links_in_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, keep: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept[, keep]) of each row of docs (doc_id, text).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their
     sets of n-word shingles; component_id is the smallest doc_id reachable, kept
     says that it is the row's own. Null and empty texts are linked with nothing.
     Rows of one doc_id are one document for links. A row without doc_id has no
-    component and is kept. An empty table gives no rows.
+    component and is kept. An empty table gives no rows. Rows that agree in all
+    columns agree in the result; keep names a column of longs that is copied, by
+    which rows can be told apart.
     """
-    all_rows = materialize(sketch(docs, n))
+    all_rows = materialize(sketch(docs, n, keep))
     classes = materialize(all_rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")))
     sub = [(c, [SPAN * c + i for i in range(SPAN) if i != out]) for c in range(CHUNKS) for out in range(SPAN)]
     keys = F.array(*[F.xxhash64(F.lit(at[0] * SYMBOLS * SYMBOLS + at[1] * SYMBOLS + at[2]), *[F.col("sig")[i] for i in at]) for _, at in sub])
@@ -245,4 +253,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     final = classes.select("digest", "rep").join(comp, classes.rep == comp.id, "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
     out = all_rows.join(final, "digest", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"), *[keep] * bool(keep))

@@ -6,7 +6,8 @@ as items to a merge tree, where fan_in groups at a time pack them best-fit
 again. At most one bin of a group is half empty or more, so a merge can only
 place fan_in such bins; it needs no more than the fan_in emptiest bins of each
 child to find room for them. Hence fan_in + 1 bins a group go on, whatever the
-size of the table, and every other bin is final.
+size of the table, and every other bin is final; carry_all sends every underfull
+bin up instead, for comparison and for tables whose root fits one task.
 """
 
 from __future__ import annotations
@@ -26,30 +27,35 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenize_pieces(docs: DataFrame, path: str, kind: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, path: str, kind: str, capacity: int, end_id: int, keep_ids: bool = False, keep: str | None = None) -> DataFrame:
     """Pieces of at most capacity ids of each document (doc_id, text), its end id included.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated
-    doc_ids are documents of their own. Only documents over capacity are cut, and
-    the remainder is their first piece. keep_ids adds the ids (little-endian
-    32-bit) of each piece.
+    doc_ids and repeated rows are documents of their own; an empty table has no
+    pieces. Only documents over capacity are cut, and the remainder is their
+    first piece. keep_ids adds the ids (little-endian 32-bit) of each piece; keep
+    names a column of longs that is copied. Other columns take no part.
     """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, *[keep] * bool(keep)]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * keep_ids, *[pa.int64()] * bool(keep)]
 
     def run(it):
         enc = encoder(path, kind)
         for batch in batches(it):
             ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            own = batch.column(keep).to_pylist() if keep else [None] * batch.num_rows
             rows = []
-            for d, x in zip(batch.column("doc_id").to_pylist(), ids):
+            for d, x, o in zip(batch.column("doc_id").to_pylist(), ids, own):
                 x = np.append(x, np.uint32(end_id)).astype("<u4")
                 first = len(x) % capacity or capacity
                 cuts = [0, *range(first, len(x) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     raw = x[a:b].tobytes()
-                    rows.append((d, k, a, b - a, zlib.crc32(raw), *([raw] if keep_ids else [])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+                    rows.append((d, k, a, b - a, zlib.crc32(raw), *[raw] * keep_ids, *[o] * bool(keep)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[keep] * bool(keep))
+    return got.mapInArrow(run, PIECES + ", ids binary" * keep_ids + f", `{keep}` long" * bool(keep))
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -74,28 +80,31 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fill
 
 
-def _emptiest(fill: list[int], capacity: int, n: int, nearly_full: float) -> set[int]:
+def _emptiest(fill: list[int], capacity: int, n: int | None, nearly_full: float) -> set[int]:
     under = sorted((f, i) for i, f in enumerate(fill) if f < nearly_full * capacity)
     return {i for _, i in under[:n]}
 
 
-def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: int = 8, nearly_full: float = 0.98) -> DataFrame:
-    """pieces (doc_id, piece, length <= capacity, ...) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: int = 8, nearly_full: float = 0.98, carry_all: bool = False) -> DataFrame:
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset; a length is 1 to capacity.
 
     Offsets in a sequence run gapless from 0. group_items: items a packing task
-    takes on average. Other columns are kept. Equal input gives equal packing
-    but for items that agree in every column.
+    takes on average. Other columns are kept. Rows are dealt by numbers that are
+    written with them, so null doc_ids, ties and repeated rows spread like any
+    others, and a retried task packs the same items again. An empty table has no
+    sequences.
     """
-    pieces = materialize(pieces)
+    names = [c for c in pieces.columns]
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
     total = pieces.count()
     groups = max(1, math.ceil(total / group_items))
-    names = [c for c in pieces.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, carried_fill long"
+    most = None if carry_all else fan_in + 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row") + ", sequence_id long, offset long, carried_fill long"
 
     def first(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "_row"], ascending=[False, True])
         bins, offsets, fill = best_fit(pdf["length"].tolist(), capacity)
-        on = _emptiest(fill, capacity, fan_in + 1, nearly_full) if groups > 1 else set()
+        on = _emptiest(fill, capacity, most, nearly_full) if groups > 1 else set()
         base = int(key[0]) << 32
         return pdf[names].assign(
             sequence_id=[base + b for b in bins],
@@ -103,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: i
             carried_fill=pd.array([fill[b] if o == 0 and b in on else None for b, o in zip(bins, offsets)], dtype="Int64"),
         )
 
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     placed = materialize(dealt.groupBy("_g").applyInPandas(first, schema))
     if groups == 1:
         return placed.drop("carried_fill")
@@ -116,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: i
     def merge(key, pdf):
         pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
         bins, offsets, fill = best_fit(pdf["fill"].tolist(), capacity)
-        on = _emptiest(fill, capacity, fan_in + 1, nearly_full)
+        on = _emptiest(fill, capacity, most, nearly_full)
         out: dict[int, list] = {}
         for b, o, name, members in zip(bins, offsets, pdf["bin"], pdf["members"]):
             row = out.setdefault(b, [int(key[0]), int(name), fill[b], [], b in on])

@@ -58,13 +58,22 @@ o AS (
   FROM w),
 f AS (SELECT level FROM o WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least((SELECT level FROM f) * w, CAST(cap AS DOUBLE)) AS target FROM o),
+g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM t),
+e AS (SELECT *, CAST(sum(goal) OVER (ORDER BY s) AS BIGINT) AS c, CAST(sum(goal) OVER () AS BIGINT) AS total FROM g),
+z AS (SELECT s, goal, CAST(c AS DOUBLE) / total AS hi, CAST(c - goal AS DOUBLE) / total AS lo FROM e WHERE goal > 0),
+i AS (SELECT id, (id + 1) * 0.6180339887498949::DOUBLE - floor((id + 1) * 0.6180339887498949::DOUBLE) AS p FROM range((SELECT CAST((sum(goal) + 511) // 512 AS BIGINT) FROM g)) r(id)),
+a AS (SELECT s, id AS slot, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS r FROM i JOIN z ON lo <= p AND p < hi),
+n AS (SELECT g.s, (goal + 511) // 512 AS need, (SELECT count(*) FROM a WHERE a.s = g.s) AS have FROM g),
+l AS (SELECT s, have, need, coalesce(sum(need - have) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE have < need),
+b AS (SELECT s, r, slot FROM a UNION ALL SELECT s, r, (SELECT count(*) FROM i) + before - have + r FROM l, unnest(range(have, need)) u(r)),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS goal,
+  SELECT d.doc_id, d.size, g.s, g.source_size, g.target, g.goal,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(size, goal % source_size - pos)) END AS taken
-FROM p
+       CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(size, goal % source_size - pos)) END AS taken,
+       CASE WHEN size > 0 AND goal > pos THEN CAST(slot AS BIGINT) END AS first_slot
+FROM p LEFT JOIN b ON b.s = p.s AND b.r = p.pos // 512
 """
 
 

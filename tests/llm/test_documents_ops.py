@@ -84,6 +84,14 @@ def test_packing(docs, empty):
     assert packing.pack(packing.tokenize_pieces(empty, path, "byte", 64, 0), 64).count() == 0
 
 
+def test_sending_up_few_bins_needs_no_more_sequences_than_sending_all(spark):
+    r = random.Random(31)
+    for lengths in ([r.randint(1, 100) for _ in range(900)], [r.choice([34, 55, 60, 70]) for _ in range(700)], [r.randint(52, 80) for _ in range(500)], [5] * 333):
+        df = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+        few, all_ = (packing.pack(df, 100, group_items=40, fan_in=3, carry_all=x).select("sequence_id").distinct().count() for x in (False, True))
+        assert few <= all_ and few >= -(-sum(lengths) // 100)
+
+
 def test_best_fit_is_tight():
     bins, offsets, fill = packing.best_fit([60, 50, 40, 30, 10, 10], 100)
     assert sorted(fill) == [100, 100] and len(set(zip(bins, offsets))) == 6
@@ -320,6 +328,48 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_follows_the_schedule(spark):
+    """Slots against golden-ratio points mapped one by one, and the order's shares of every stretch."""
+    r = random.Random(14)
+    rows = [(i, " ".join(["w"] * r.randint(0, 50)), r.choice(["a", "b", "b", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    block = 16
+    got = mixing.mix(df, block=block, piece_rows=16, slots=True).collect()
+    size = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    names = ["a", "b", "c", None]
+    goal = {s: int(np.floor(next(g["target"] for g in got if source[g["doc_id"]] == s) + 0.5)) for s in names}
+    total = sum(goal.values())
+    edge = np.cumsum([goal[s] for s in names]) / total
+    slots = {s: [] for s in names}
+    for i in range(-(-total // block)):
+        p = (i + 1) * mixing.PHI
+        slots[names[int(np.searchsorted(edge, p - np.floor(p), side="right"))]].append(i)
+    late = -(-total // block)
+    for s in names:
+        need = -(-goal[s] // block)
+        slots[s] = slots[s][:need]
+        while len(slots[s]) < need:
+            slots[s].append(late)
+            late += 1
+    taken_by_slot = {}
+    for s in names:
+        own = sorted((hashlib.md5(f"0:{i}".encode()).hexdigest(), i) for i in size if source[i] == s)
+        at, all_ = 0, sum(size[i] for _, i in own)
+        for _, i in own:
+            starts = [a for a in range(at, goal[s], all_)] if size[i] else []
+            g = next(x for x in got if x["doc_id"] == i)
+            assert (g["slots"] or []) == sorted(slots[s][a // block] for a in starts)
+            assert g["first_slot"] == (min(g["slots"]) if starts else None)
+            at += size[i]
+        for r_, slot in enumerate(slots[s]):
+            taken_by_slot[slot] = (s, min(block, goal[s] - r_ * block))
+    for a in range(0, total // block - 40, 20):  # low discrepancy: each stretch has near its share
+        for s in names:
+            here = sum(taken_by_slot.get(x, (0, 0))[0] == s for x in range(a, a + 40))
+            assert abs(here - 40 * goal[s] / total) <= 4
+
+
 def test_mixing_plan_is_native(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
