@@ -10,7 +10,7 @@ rejects them; an empty table passes every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import materialize
@@ -29,55 +29,81 @@ def _apart(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
-def _back(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs from a frame that _apart named; n_chars follows the text."""
+def _back(df: DataFrame, docs: DataFrame, chars: bool = True) -> DataFrame:
+    """The columns of docs from a frame that _apart named; n_chars follows the text if chars."""
     cols = []
     for i, c in enumerate(docs.columns):
         own = F.col(c if c in ("doc_id", "text", "source") else f"_c{i}")
-        if c == "n_chars":
+        if chars and c == "n_chars":
             own = F.when(F.col("text").isNull(), own).otherwise(F.length("text")).cast(docs.schema[c].dataType)
         cols.append(own.alias(c))
     return df.select(*cols)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """_apart's table with a number a row, written, so that each reader sees the same numbers."""
+    return materialize(_apart(docs).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects (score under 0.3)."""
+    """Drops documents that the classifier rejects (score under 0.3).
+
+    Null and empty texts are scored like any others; rows that agree in their
+    text share its fate. Without labels all scores are alike and nothing goes.
+    """
     net = fit_quality(docs.select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return _back(score(_apart(docs), net).where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
-    drop = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(drop.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8).
+
+    Rows are dropped one by one: of two rows with one doc_id and different texts
+    only a duplicate goes. Rows that agree in doc_id and text stay together, as
+    do all rows without doc_id, text or words.
+    """
+    d = _numbered(docs)
+    drop = near_duplicates(d.select("doc_id", "text", "_row"), keep="_row").where("not kept").select("_row")
+    return _back(d.join(drop.hint("shuffle_hash"), "_row", "left_anti"), docs, chars=False)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in angle brackets."""
+    """Replaces personal data by its kind in angle brackets; n_chars follows.
+
+    Every row stays; null texts stay null and empty ones empty.
+    """
     return _back(redact(_apart(docs), fit_tagger(docs.select("text"))), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and cuts documents so that each source gives its target of words.
+    """Repeats and cuts documents so that each source gives its target of words, in the schedule's order.
 
     A document of which n times its words are taken comes n times, and one more
-    time with its first words for the rest; one of which none are taken goes.
+    time with its first words for the rest; one of which none are taken goes, as
+    do those without words. Each time stands at its own slot: files hold runs of
+    the order, and their names ascend with it. Columns of any type pass through.
     """
-    d = _apart(docs).withColumn("_same", F.xxhash64(*[F.col(c) for c in _apart(docs).columns]))
-    shares = mix(d, keep=["_same"]).select("_same", "size", "taken").withColumn("_n", F.row_number().over(Window.partitionBy("_same").orderBy("taken")))
-    shares = materialize(shares.where("taken > 0"))
-    # rows that agree in every column share a key and are told apart by number
-    numbered = d.withColumn("_n", F.row_number().over(Window.partitionBy("_same").orderBy("doc_id")))
-    got = numbered.join(shares, ["_same", "_n"]).withColumn("_i", F.explode(F.expr("sequence(0, cast((taken - 1) div size as int))")))
+    d = _numbered(docs)
+    shares = mix(d.select("doc_id", "text", "source", "_row"), keep=["_row"], slots=True).where("taken > 0").select("_row", "size", "taken", F.posexplode("slots").alias("_i", "_slot"))
+    got = d.join(shares, "_row")
     # words with the white space before them, so that what is kept is a prefix of the text
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.expr("cast(taken % size as int)")), "")
     whole = (F.col("_i") + 1) * F.col("size") <= F.col("taken")
-    return _back(got.withColumn("text", F.when(whole, F.col("text")).otherwise(cut)), docs)
+    got = got.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    return _back(got.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 2048."""
-    return pack(tokenize_pieces(docs, _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0), 2048)
+    """(copy_id, doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): the documents' tokens in sequences of 2048.
+
+    copy_id tells the rows of docs apart, which may share a doc_id; it ascends
+    with the mix's order. A sequence is its pieces' ids (little-endian 32-bit)
+    by offset. Null and empty texts are the end id alone.
+    """
+    pieces = materialize(tokenize_pieces(docs.withColumn("copy_id", F.monotonically_increasing_id()), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0, keep_ids=True, keep="copy_id"))
+    # lengths are packed, and the ids join their places once
+    places = pack(pieces.select("doc_id", "piece", "length", "copy_id"), 2048).select("copy_id", "piece", "sequence_id", "offset")
+    return pieces.join(places, ["copy_id", "piece"]).select("copy_id", "doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
@@ -87,7 +113,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents, each written and read again. drop_tables() removes what they wrote once the result is."""
     docs = _table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
