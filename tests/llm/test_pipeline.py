@@ -86,6 +86,48 @@ def test_stages(spark, tables):
     for spans in bins.values():
         assert np.cumsum([0, *(n for _, n in sorted(spans))])[:-1].tolist() == [o for o, _ in sorted(spans)] and sum(n for _, n in spans) <= 2048
     assert len({(r["doc_id"]) for r in packed}) == len({r["doc_id"] for r in after["mixing"]})
+    # every row of the mix can be read from the sequences, and a sequence is its pieces' ids
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries._vocabulary("byte_bpe_50k.json"))
+    copies = {}
+    for r in sorted(packed, key=lambda x: (x["copy_id"], x["piece"])):
+        assert len(r["ids"]) == 4 * r["length"]
+        copies.setdefault(r["copy_id"], (r["doc_id"], []))[1].extend(np.frombuffer(r["ids"], "<u4").tolist())
+    mixed = [r for r in after["mixing"]]
+    want = sorted(str((r["doc_id"], [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0])) for r in mixed)
+    assert sorted(str(v) for v in copies.values()) == want
+    sequence = {}
+    for r in sorted(packed, key=lambda x: (x["sequence_id"], x["offset"])):
+        sequence.setdefault(r["sequence_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert all(len(x) <= 2048 for x in sequence.values()) and sum(map(len, sequence.values())) == sum(len(v) for _, v in copies.values())
+
+
+def test_repeated_ids_and_awkward_columns(spark, tmp_path):
+    """Two rows of one doc_id with unlike texts, a map column, names that clash with operators' columns, an all-null source."""
+    pytest.importorskip("public_tokenizers")
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    a, b = prose(40), prose(40)
+    rows = [(3, a, None, {"k": 1}, 7, True), (5, a, None, None, None, None), (5, b, None, {"x": 2}, 1, False), (None, a, None, {}, 1, True), (9, b + " more", None, {}, 2, True), (9, b + " more", None, {}, 2, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken map<string,int>, _row int, kept boolean")
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(str((x["doc_id"], x["text"])) for x in left.collect()) == sorted(str(x) for x in [(3, a), (None, a), (5, b)])
+    mixed = corpus_pipeline.mixing(spark, docs, "").collect()
+    assert sorted(x["text"] for x in mixed) == sorted(x[1] for x in rows) and {str(x["taken"]) for x in mixed} == {str(x[3]) for x in rows}
+    packed = corpus_pipeline.packing(spark, docs, "").collect()
+    assert len({x["copy_id"] for x in packed}) == len(rows)
+
+
+def test_the_mix_is_in_the_schedules_order(spark):
+    """No stretch of the written order is far from the sources' shares."""
+    rows = [(i, " ".join(f"w{i}" for _ in range(40)), "ab"[i % 2]) for i in range(2000)]
+    got = [x["source"] for x in corpus_pipeline.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()]
+    share = got.count("b") / len(got)
+    assert 0.6 < share < 0.72
+    for k in range(0, len(got) - 400, 200):
+        assert abs(got[k : k + 400].count("b") / 400 - share) < 0.1
 
 
 def test_run_and_empty_table(spark, tables, tmp_path):
