@@ -1,17 +1,15 @@
 """Tokenizer ids of whole texts, by a cache of the ids of space-separated chunks.
 
-A pre-token's ids do not depend on its neighbours, so each distinct chunk is
-encoded once per worker and texts are joined from the cache. A new chunk's
-pre-tokens are merged by tiktoken's core over ranks that are read from the
-tokenizers file; every worker compares its first pre-tokens with the tokenizers
-library and stops on a difference. Texts with characters for which the
-library's normaliser or Unicode tables matter, or with the string of a special
-token, go through the library itself.
+A pre-token's ids do not depend on its neighbours, so the tokenizers library
+encodes each distinct chunk once per worker, thousands in a call, and texts are
+joined from the cache. Texts with characters for which the library's normaliser
+or Unicode tables matter, or with the string of a special token, go through the
+library whole.
 """
 
 from __future__ import annotations
 
-import json
+import itertools
 import os
 import re
 
@@ -27,47 +25,6 @@ PATTERNS = {
     "byte": re.compile(rf"{_APOS}| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"{_APOS}|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
 }
-_END = b"\xff"  # ends a word; no byte of UTF-8 text
-
-
-def _byte_of() -> dict[str, int]:
-    """Byte of each character in which byte-level vocabularies are written."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class _Merger:
-    """Ids of one pre-token's bytes, with the ranks of a tokenizers BPE file."""
-
-    def __init__(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        suffix, byte_of = model.get("end_of_word_suffix") or "", _byte_of()
-        self.end = _END if suffix else b""
-
-        def raw(token: str) -> bytes:
-            ends = bool(suffix) and token.endswith(suffix)
-            return bytes(byte_of[c] for c in (token[: -len(suffix)] if ends else token)) + _END * ends
-
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        order = [bytes([b]) for b in range(256)]
-        if suffix:
-            order += [bytes([b]) + _END for b in range(256)]
-        order += [raw(a) + raw(b) for a, b in pairs]
-        ranks = {b: i for i, b in enumerate(order)}
-        if len(ranks) != len(order):
-            raise ValueError("two merges of the file make the same token")
-        merged = {raw(t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t.removesuffix(suffix) or t)}
-        self.dtype = np.dtype("<u2" if max(model["vocab"].values()) < 1 << 16 else "<u4")
-        self.ids = [np.array(merged[b], self.dtype).tobytes() if b in merged else None for b in order]
-        self.core = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def __call__(self, piece: str) -> bytes:
-        ids = self.ids
-        return b"".join([ids[i] for i in self.core(piece.encode() + self.end)])
 
 
 class Encoder:
@@ -77,31 +34,20 @@ class Encoder:
     The cache is emptied when it holds cache_size chunks, which bounds memory.
     """
 
-    CHECKED = 3000
-
-    def __init__(self, path: str, kind: str, plain_special: bool = False, cache_size: int = 1_200_000):
+    def __init__(self, path: str, kind: str, plain_special: bool = False, cache_size: int = 1_200_000, call_size: int = 20_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = plain_special
         self.pattern, self.lower = PATTERNS[kind], kind == "word"
-        self.merge = _Merger(path)
-        self.cache = _Cache(self)
-        self.cache_size, self.compared = cache_size, 0
-        self.dtype = self.merge.dtype
+        self.cache: dict[str, bytes] = {}
+        self.cache_size, self.call_size = cache_size, call_size
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _plain(self, text: str) -> bool:
         return "<|" not in text and not _UNUSUAL.search(text)
 
-    def _pieces(self, pieces: list[str]) -> bytes:
-        if self.compared < self.CHECKED:
-            self.compared += len(pieces)
-            for p in pieces:
-                if self.tok.encode(p, add_special_tokens=False).ids != np.frombuffer(self.merge(p), self.dtype).tolist():
-                    raise RuntimeError(f"ids of {p!r} differ from the tokenizers library's")
-        return b"".join(map(self.merge, pieces))
-
     def _chunks(self, text: str) -> list[str]:
         """Parts with independent ids: any white space for words, " x" and "\\nx" for bytes."""
         if self.lower:
@@ -110,30 +56,34 @@ class Encoder:
             return self.pattern.findall(text)
         return (text.replace("\n", " \n") if "\n" in text else text).replace(" ", " \x00").replace("\x00\n", "\n").split(" ")
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks: the library encodes many in one call, each as a sequence of its own."""
+        for i in range(0, len(chunks), self.call_size):
+            part = chunks[i : i + self.call_size]
+            got = self.tok.encode([c.replace("\x00", " ") for c in part], is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(got.ids, self.dtype), np.array(got.word_ids, np.int64)
+            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            for c, a, b in zip(part, cuts, cuts[1:]):
+                self.cache[c] = raw[a * w : b * w]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out, get = [], self.cache.__getitem__
-        for t in texts:
-            if not self._plain(t):
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            if len(self.cache) > self.cache_size:
-                self.cache.clear()
-            ids = b"".join(map(get, self._chunks(t)))
-            out.append(np.frombuffer(ids, dtype=self.dtype).astype(np.uint32))
+        out: list = [None] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if self._plain(t):
+                plain.append((k, self._chunks(t)))
+            else:
+                out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+        if len(self.cache) > self.cache_size:
+            self.cache.clear()
+        self._learn(list(set(itertools.chain.from_iterable(c for _, c in plain)).difference(self.cache)))
+        get = self.cache.__getitem__
+        for k, chunks in plain:
+            out[k] = np.frombuffer(b"".join(map(get, chunks)), dtype=self.dtype).astype(np.uint32)
         return out
 
 
-class _Cache(dict):
-    """Ids of chunks; a new chunk's are made by the encoder."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encoder._pieces(self.encoder.pattern.findall(chunk.replace("\x00", " ")))
-        return ids
-
-
 _encoders: dict[tuple, Encoder] = {}
 
 

@@ -117,14 +117,39 @@ def test_token_files(spark, docs, empty, tmp_path):
 
 def test_elias_fano_selects():
     r = np.random.default_rng(0)
-    for values in ([], [0], [5], [0, 0, 0], np.sort(r.integers(0, 10**9, 3000)), np.sort(r.integers(0, 40, 500))):
+    for values in ([0], [5], [0, 0, 0], [3, 1 << 63], np.sort(r.integers(0, 10**9, 3000)), np.sort(r.integers(0, 40, 500)), np.sort(r.integers(0, 1 << 62, 5)), np.concatenate([np.zeros(2000, int), [10**6]])):
         values = np.array(values, np.uint64)
-        ef = token_files.EliasFano(token_files.ef_encode(values))
-        assert ef.all().tolist() == values.tolist()
-        assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
-    raw = token_files.encode_segment([None, -3, 4], [np.array([1]), np.array([2, 3]), np.array([4])], 2)
+        raw = token_files.ef_encode(values)
+        ef = token_files.EliasFano(b"xy" + raw + b"z", 2)
+        assert ef.end == 2 + len(raw) and ef.select(np.arange(len(values))).tolist() == values.tolist()
+        pick = r.integers(0, len(values), 20)
+        assert ef.select(pick).tolist() == values[pick].tolist()
+    # near-minimal: 2 + log2(u / n) bits a value and the directory's sixteenth
+    values = np.cumsum(r.integers(1, 2000, 100_000)).astype(np.uint64)
+    assert len(token_files.ef_encode(values)) * 8 / len(values) <= 2 + np.log2(float(values[-1]) / len(values)) + 0.5
+    assert token_files.EliasFano(token_files.ef_encode(np.zeros(0))).n == 0
+    raw = token_files.encode_segment([None, -3, 4, (1 << 63) - 1], [np.array([1]), np.array([2, 3]), np.array([4]), np.array([], np.int64)], 2)
     s = token_files.Segment(raw)
-    assert s.doc_ids == [None, -3, 4] and s.document(1).tolist() == [2, 3]
+    assert s.doc_ids(0, 4) == [None, -3, 4, (1 << 63) - 1] and s.doc_ids(2, 3) == [4] and s.document(1).tolist() == [2, 3] and s.document(3).tolist() == []
+    low = token_files.Segment(token_files.encode_segment([-(1 << 63), (1 << 63) - 1], [np.array([1])] * 2, 4))
+    assert low.doc_ids(0, 2) == [-(1 << 63), (1 << 63) - 1]
+    with pytest.raises(ValueError):
+        token_files.encode_segment([1], [np.array([70_000])], 2)
+
+
+def test_reading_goes_through_select(spark, docs, tmp_path, monkeypatch):
+    """A directory that is one off gives other offsets, so they do come from it."""
+    path = vocabulary("word_bpe_49k.json")
+    encode = token_files.encode_segment
+    with monkeypatch.context() as m:
+        m.setattr(token_files, "_BLOCK", 1)
+        assert encode([1, 2], [np.array([1])] * 2, 2) != b""
+        small = token_files.Segment(encode([1, 2, 3], [np.array([1] * 9)] * 3, 2))
+        small.bounds.directory = small.bounds.directory + np.uint32(1)
+        assert small.spans(0, 3)[1].tolist() != [9, 18, 27]
+    token_files.write_token_files(docs, f"file://{tmp_path}/t", path, "word", 2, segment_bytes=600)
+    whole, single = (token_files.read_token_files(spark, f"file://{tmp_path}/t", at_once=n).orderBy("start", "n_tokens").collect() for n in (4096, 1))
+    assert whole == single
 
 
 def test_fingerprints(docs, empty):
