@@ -141,7 +141,8 @@ def with_next(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
 def edited_fingerprints(docs: DataFrame, part_bytes: int = 128 << 20) -> DataFrame:
     """The op2 query's rows: each text's fingerprint beside that of its edited text and of the next document.
 
-    positions and edited_positions are those of the hashes, in their order.
+    Fingerprints are hashes of 8 hex digits in text order; positions and
+    edited_positions are where they stand, written likewise.
     Nulls are empty texts; a null doc_id comes after all others; equal doc_ids
     are in descending order of their texts; a table of one row is its own next;
     an empty table gives no rows. part_bytes: text that a task holds on average.
@@ -149,7 +150,7 @@ def edited_fingerprints(docs: DataFrame, part_bytes: int = 128 << 20) -> DataFra
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt, buckets = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts_for(spark, n_bytes, part_bytes))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions string, edited_positions string"
 
     def run(it):
         last = None  # a row whose next one has not come: (bucket, doc_id, text, hashes, positions)
@@ -167,14 +168,13 @@ def edited_fingerprints(docs: DataFrame, part_bytes: int = 128 << 20) -> DataFra
             if rows:
                 hexed = lambda x: x.astype(">u4").tobytes().hex()
                 other = winnow(edits)
-                lists = lambda x: pa.array(x, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edits]),
                         pa.array([hexed(r[2]) for r in rows]), pa.array([hexed(x) for x, _ in other]),
                         pa.array([likeness(r[2], x) for r, (x, _) in zip(rows, other)]), pa.array([likeness(r[2], r[3]) for r in rows]),
-                        lists([r[4] for r in rows]), lists([p for _, p in other]),
+                        pa.array([hexed(r[4]) for r in rows]), pa.array([hexed(p) for _, p in other]),
                     ],
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"],
                 )

@@ -1,11 +1,16 @@
 """Personal data: exact patterns, and a character-level BiLSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans (those of the patterns in a
-bounded sample of texts). Every span of the four kinds holds a digit or an "@",
-so windows are laid, overlapping, over all stretches around those characters;
-stretches without either cannot hold a span. Each window is decoded with the
-CRF, and a character takes the tag of the window in which it stands farthest
-from an edge. Spans found that way are added where no pattern's span lies.
+The patterns' spans are the base. The network finds what they cannot spell out:
+addresses written with "at" and "dot", numbers with other separators or without
+"+", addresses of other forms, and keys and passwords (kind secret). It is
+trained in numpy from labelled spans: passages of the corpus into which written
+forms of every kind are put at known places, beside numbers of other sorts that
+are labelled as outside, and with the patterns' own matches.
+
+Every character of every text is read: overlapping windows cover the whole text,
+each is decoded with the CRF, and a character takes the tag of the window in
+which it stands farther from an edge, so that spans join across windows. Spans
+found that way are added where no pattern's span lies.
 """
 
 from __future__ import annotations
@@ -21,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import append
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+NAMES = (*KINDS, "secret")  # the network's kinds
+TAGS = 1 + 2 * len(NAMES)  # outside, then begin and inside of each kind
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -71,131 +77,160 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-WINDOW, STRIDE, AROUND = 96, 48, 32
+WINDOW, OVERLAP = 384, 64
+STRIDE = WINDOW - OVERLAP
 
 
-def windows(text: str) -> list[int]:
-    """Starts of overlapping windows over every stretch within AROUND characters of a digit or "@"."""
-    out, end = [], 0
-    at = [m.start() for m in _MARK.finditer(text)]
-    i = 0
-    while i < len(at):
-        a = max(0, at[i] - AROUND, end)
-        j = i
-        while j + 1 < len(at) and at[j + 1] - at[j] <= 2 * AROUND:
-            j += 1
-        z = min(len(text), at[j] + AROUND + 1)
-        start = max(0, at[i] - AROUND)
-        out += range(start, max(start + 1, z - WINDOW + STRIDE), STRIDE)
-        end, i = max(a, z), j + 1
-    return out
-
-
-def _classes(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(c < 128, c, 128 + (c > 0x24F)).astype(np.int64)
+def windows(n: int) -> list[int]:
+    """Starts of windows that cover n characters, neighbours sharing OVERLAP."""
+    return list(range(0, max(1, n - OVERLAP), STRIDE)) if n else []
 
 
 CLASSES = 131  # ASCII, Latin, others, padding
 _PAD = 130
 
 
-def _pack(texts: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes (T, B) of windows (text, start) and their lengths."""
-    x = np.full((WINDOW, len(texts)), _PAD, np.int64)
-    n = np.zeros(len(texts), np.int64)
-    for k, (t, a) in enumerate(texts):
-        c = _classes(t[a : a + WINDOW])
-        x[: len(c), k] = c
-        n[k] = len(c)
-    return x, n
+def _classes(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(c < 128, c, 128 + (c > 0x24F)).astype(np.uint8)
 
 
-def _sigmoid(x):
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _pack(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (T, B) of windows and their lengths."""
+    n = np.array([len(c) for c in parts], np.int64)
+    x = np.full((int(n.max()), len(parts)), _PAD, np.int64)
+    for k, c in enumerate(parts):
+        x[: len(c), k] = c
+    return x, n
 
 
 class Tagger:
     """Embedding, one LSTM each way, a linear layer and CRF transitions."""
 
-    def __init__(self, dim: int = 12, hidden: int = 20, seed: int = 11):
+    def __init__(self, dim: int = 8, hidden: int = 16, seed: int = 11):
         r = np.random.default_rng(seed)
         n = lambda *s: (r.normal(0, 1, s) / np.sqrt(s[0])).astype(np.float32)
         self.h = hidden
         self.p = {"emb": n(CLASSES, dim) * 3, "out": n(2 * hidden, TAGS), "off": np.zeros(TAGS, np.float32), "move": np.zeros((TAGS, TAGS), np.float32)}
         for d in "fb":
+            # gates are input, forget, output, candidate
             self.p |= {f"{d}x": n(dim, 4 * hidden), f"{d}h": n(hidden, 4 * hidden), f"{d}o": np.repeat([0, 1, 0, 0], hidden).astype(np.float32)}
 
-    def _lstm(self, d: str, e: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states (T, B, H) in the order of e; gates are input, forget, output, candidate."""
+    def _lstm(self, d: str, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
+        """Hidden states (T, B, H) in the order of e, and what the gradient needs; states are 0 outside live (T, B)."""
         h = self.h
         pre = e @ self.p[f"{d}x"] + self.p[f"{d}o"]
-        hs, cs = np.zeros((e.shape[1], h), np.float32), np.zeros((e.shape[1], h), np.float32)
-        out, tape = np.empty((len(e), e.shape[1], h), np.float32), []
+        hs, cs = np.zeros((e.shape[1], h), e.dtype), np.zeros((e.shape[1], h), e.dtype)
+        out, tape = np.empty((len(e), e.shape[1], h), e.dtype), []
         for t in range(len(e)):
             z = pre[t] + hs @ self.p[f"{d}h"]
-            s, g = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
+            s, g = 0.5 * (1 + np.tanh(0.5 * z[:, : 3 * h])), np.tanh(z[:, 3 * h :])
             i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-            c = f * cs + i * g
+            c = (f * cs + i * g) * live[t][:, None]
             tc = np.tanh(c)
             tape.append((hs, cs, i, f, o, g, tc))
             hs, cs = o * tc, c
             out[t] = hs
         return out, tape
 
-    def emissions(self, x: np.ndarray, keep: bool = False):
-        e = self.p["emb"][x]
-        f, tf = self._lstm("f", e)
-        b, tb = self._lstm("b", e[::-1])
-        h = np.concatenate([f, b[::-1]], axis=2)
-        em = h @ self.p["out"] + self.p["off"]
-        return (em, (e, h, tf, tb)) if keep else em
-
-    def _marginals(self, em: np.ndarray, n: np.ndarray):
-        """Tag probabilities (T, B, K), expected transitions (K, K), and log Z per window."""
+    def emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Tag scores (T, K, B) of packed windows, the longest first.
+
+        The same network without the tape. Columns are windows, so that every step
+        works on whole rows; [state, letter, 1] meets one matrix of all gates.
+        """
+        T, B = x.shape
+        h, dim = self.h, self.p["emb"].shape[1]
+        if (np.diff(n) > 0).any():
+            raise ValueError("windows must come in order of length")
+        live = (n[None] > np.arange(T)[:, None]).sum(axis=1).tolist()
+        half = np.repeat([0.5, 0.5, 0.5, 1], h).astype(np.float32)
+        letters = np.take(np.ascontiguousarray(self.p["emb"].T), x.ravel(), axis=1).reshape(dim, T, B)
+        em = np.empty((T, TAGS, B), np.float32)
+        em[:] = self.p["off"][:, None]
+        for d, order, out in (("f", range(T), self.p["out"][:h]), ("b", range(T - 1, -1, -1), self.p["out"][h:])):
+            w = np.ascontiguousarray((np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"], self.p[f"{d}o"][None]]) * half).T, np.float32)
+            out = np.ascontiguousarray(out.T, np.float32)
+            v, c, z, g = np.zeros((h + dim + 1, B), np.float32), np.zeros((h, B), np.float32), np.empty((4 * h, B), np.float32), np.empty((h, B), np.float32)
+            v[-1] = 1
+            gates, hs = z[: 3 * h], v[:h]
+            # products over so many columns stay under the size from which BLAS starts threads
+            step = 250_000 // w.size
+            for t in order:
+                # the windows that have a character here; those of others keep a state of 0
+                m = live[t]
+                zt, ct, gt, ht, st = z[:, :m], c[:, :m], g[:, :m], hs[:, :m], gates[:, :m]
+                v[h:-1, :m] = letters[:, t, :m]
+                for i in range(0, m, step):
+                    np.matmul(w, v[:, i : min(i + step, m)], out=z[:, i : min(i + step, m)])
+                np.tanh(zt, out=zt)
+                st *= 0.5
+                st += 0.5
+                np.multiply(zt[:h], zt[3 * h :], out=gt)
+                ct *= zt[h : 2 * h]
+                ct += gt
+                np.tanh(ct, out=gt)
+                np.multiply(zt[2 * h : 3 * h], gt, out=ht)
+                em[t, :, :m] += out @ ht
+        return em
+
+    def marginals(self, em: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tag probabilities (T, B, K), expected transitions (K, K), and log Z per window, by scaled sums."""
         T, B, K = em.shape
-        m = self.p["move"].astype(np.float64)
-        a = np.empty((T, B, K))
-        b = np.zeros((T, B, K))
-        lse = lambda v, ax: (mx := v.max(axis=ax, keepdims=True)).squeeze(ax) + np.log(np.exp(v - mx).sum(axis=ax))
-        a[0] = em[0]
         live = np.arange(T)[:, None] < n[None]
-        for t in range(1, T):
-            a[t] = np.where(live[t][:, None], lse(a[t - 1][:, :, None] + m, 1) + em[t], a[t - 1])
+        top = em.max(axis=2)
+        e, move = np.exp((em - top[:, :, None]).astype(np.float64)), np.exp(self.p["move"].astype(np.float64))
+        a, b, c = np.empty((T, B, K)), np.ones((T, B, K)), np.ones((T, B))
+        for t in range(T):
+            v = (a[t - 1] @ move if t else 1.0) * e[t]
+            c[t] = np.where(live[t], v.sum(axis=1), 1)
+            a[t] = np.where(live[t][:, None], v / c[t][:, None], a[t - 1] if t else v)
         for t in range(T - 2, -1, -1):
-            b[t] = np.where(live[t + 1][:, None], lse(m + (em[t + 1] + b[t + 1])[:, None, :], 2), 0)
-        z = lse(a[-1], 1)
-        p = np.exp(a + b - z[:, None]) * live[:, :, None]
+            b[t] = np.where(live[t + 1][:, None], (e[t + 1] * b[t + 1] / c[t + 1][:, None]) @ move.T, 1)
         moves = np.zeros((K, K))
         for t in range(1, T):
-            moves += (np.exp(a[t - 1][:, :, None] + m + (em[t] + b[t])[:, None, :] - z[:, None, None]) * live[t][:, None, None]).sum(axis=0)
-        return p, moves, z
+            moves += move * (a[t - 1].T @ (e[t] * b[t] / c[t][:, None] * live[t][:, None]))
+        return a * b * live[:, :, None], moves, np.log(c).sum(axis=0) + (top * live).sum(axis=0)
 
     def decode(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Viterbi tags (T, B)."""
-        T, B, K = em.shape
-        s, back = em[0].astype(np.float64), np.zeros((T, B, K), np.int64)
+        """Viterbi tags (T, B) of scores (T, K, B): best scores forwards, and their tags again on the way back."""
+        T, K, B = em.shape
+        move = self.p["move"].astype(np.float64)
+        best = np.empty((T, K, B))
+        best[0] = em[0]
         for t in range(1, T):
-            c = s[:, :, None] + self.p["move"]
-            back[t] = c.argmax(axis=1)
-            live = (t < n)[:, None]
-            back[t] = np.where(live, back[t], np.arange(K))
-            s = np.where(live, c.max(axis=1) + em[t], s)
-        tags = np.empty((T, B), np.int64)
-        tags[-1] = s.argmax(axis=1)
-        for t in range(T - 1, 0, -1):
-            tags[t - 1] = back[t][np.arange(B), tags[t]]
+            np.add((best[t - 1][:, None, :] + move[:, :, None]).max(axis=0), em[t], out=best[t])
+        tags, last = np.zeros((T, B), np.int64), np.zeros(B, np.int64)
+        for t in range(T - 1, -1, -1):
+            last = np.where(t == n - 1, best[t].argmax(axis=0), (best[t] + move[:, last]).argmax(axis=0))
+            tags[t] = np.where(t < n, last, 0)
         return tags
 
-    def _lstm_back(self, d: str, dout: np.ndarray, e: np.ndarray, tape: list, g: dict) -> np.ndarray:
-        h = self.h
+    def plain(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Windows (B,) of scores (T, K, B) whose best path is outside throughout, so that it need not be searched.
+
+        A stretch inside enters from outside, goes on and leaves. Each of its tags
+        is taken to come by the best transition into it and to be the best there,
+        which no path exceeds; if even so none beats outside, outside is best.
+        """
+        m = (self.p["move"] - self.p["move"][0, 0]).astype(np.float32)
+        enter, on, leave = m[0, 1:, None], m[1:, 1:].max(axis=0)[:, None], float(m[1:, 0].max())
+        run, best = np.full(em.shape[2], -np.inf, np.float32), np.full(em.shape[2], -np.inf, np.float32)
+        for t in range(len(em)):
+            lead = em[t, 1:] - em[t, 0]
+            run = np.maximum(run + (lead + on).max(axis=0), (lead + enter if t else lead).max(axis=0))
+            np.maximum(best, np.where(t < n - 1, run + leave, np.where(t == n - 1, run, -np.inf)), out=best)
+        return best < -1e-3
+
+    def _lstm_back(self, d: str, dout: np.ndarray, e: np.ndarray, live: np.ndarray, tape: list, g: dict) -> np.ndarray:
+        # products of one step each are small, so that BLAS keeps to one thread
         wx, wh = self.p[f"{d}x"], self.p[f"{d}h"]
         de = np.empty_like(e)
         dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
         for t in range(len(e) - 1, -1, -1):
             hs, cs, i, f, o, c, tc = tape[t]
             dh = dh + dout[t]
-            dc = dc + dh * o * (1 - tc * tc)
+            dc = (dc + dh * o * (1 - tc * tc)) * live[t][:, None]
             dz = np.concatenate([dc * c * i * (1 - i), dc * cs * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - c * c)], axis=1)
             g[f"{d}x"] += e[t].T @ dz
             g[f"{d}h"] += hs.T @ dz
@@ -205,53 +240,176 @@ class Tagger:
         return de
 
     def gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
-        em, (e, h, tf, tb) = self.emissions(x, keep=True)
-        p, moves, z = self._marginals(em, n)
-        T, B, K = em.shape
+        e = self.p["emb"][x]
+        T, B = x.shape
         live = np.arange(T)[:, None] < n[None]
+        f, tf = self._lstm("f", e, live)
+        b, tb = self._lstm("b", e[::-1], live[::-1])
+        h = np.concatenate([f, b[::-1]], axis=2)
+        em = h @ self.p["out"] + self.p["off"]
+        p, moves, z = self.marginals(em, n)
+        K = TAGS
         hot = (np.eye(K)[y]) * live[:, :, None]
         real = np.zeros((K, K))
         pair = live[1:]
         np.add.at(real, (y[:-1][pair], y[1:][pair]), 1)
         loss = (z.sum() - (em * hot).sum() - (real * self.p["move"]).sum()) / B
-        dem = ((p - hot) / B).astype(np.float32)
+        dem = ((p - hot) / B).astype(e.dtype)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["move"] = ((moves - real) / B).astype(np.float32)
-        g["out"] = np.einsum("tbh,tbk->hk", h, dem)
+        g["move"] = ((moves - real) / B).astype(e.dtype)
+        g["out"] = np.matmul(h.transpose(0, 2, 1), dem).sum(axis=0)
         g["off"] = dem.sum(axis=(0, 1))
         dh = dem @ self.p["out"].T
-        de = self._lstm_back("f", dh[:, :, : self.h], e, tf, g)
-        de = de + self._lstm_back("b", dh[::-1, :, self.h :], e[::-1], tb, g)[::-1]
-        np.add.at(g["emb"], x, de)
+        de = self._lstm_back("f", dh[:, :, : self.h], e, live, tf, g)
+        de = de + self._lstm_back("b", dh[::-1, :, self.h :], e[::-1], live[::-1], tb, g)[::-1]
+        order = np.argsort(x, axis=None, kind="stable")
+        kinds, first = np.unique(x.ravel()[order], return_index=True)
+        g["emb"][kinds] = np.add.reduceat(de.reshape(T * B, -1)[order], first, axis=0)
         return g, float(loss)
 
 
-def _tags(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    y = np.zeros(len(text), np.int64)
-    for a, b, k in reversed(spans):
+def _luhn_number(r, n: int) -> str:
+    body = "".join(map(str, r.integers(0, 10, n - 1)))
+    return next(body + str(d) for d in range(10) if _luhn(body + str(d)))
+
+
+#: What else counts as labelled in passages used for training: (pattern, kind); group 1 is the span. Cards must pass Luhn.
+_LABELLED = (
+    (re.compile(r"(?<![0-9])([0-9]{4}(?:[\x20./_-]{0,3}[0-9]{4}){3})(?![0-9])"), 2),
+    (re.compile(r"(?<![0-9])(\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4})(?![0-9])"), 3),
+    (re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key)\"?\s?[=:]\s?[\"']?((?=[^\s\"']*[0-9])[^\s\"',;]{8,})"), 4),
+)
+
+
+def labelled_spans(text: str) -> list[tuple[int, int, int]]:
+    """The patterns' matches, and those of _LABELLED that overlap none before them."""
+    out = base_spans(text)
+    for pattern, kind in _LABELLED:
+        for m in pattern.finditer(text):
+            if (kind != 2 or _luhn("".join(c for c in m[1] if c.isdigit()))) and not any(m.start(1) < b and a < m.end(1) for a, b, _ in out):
+                out.append((m.start(1), m.end(1), kind))
+    return sorted(out)
+
+
+class Writer:
+    """Labelled written forms: value() gives (text before, span, text after, kind), other() something that is no personal data."""
+
+    ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    KEYS = ["token", "api_key", "apikey", "api-key", "secret", "password", "passwd", "pwd", "access_token", "client_secret", "auth_token", "private_key", "SECRET_KEY", "API_KEY", "Password", "Token", "db_password"]
+
+    def __init__(self, r: np.random.Generator):
+        self.r = r
+
+    def pick(self, x):
+        return x[int(self.r.integers(len(x)))]
+
+    def chars(self, alphabet: str, low: int, high: int) -> str:
+        return "".join(self.pick(alphabet) for _ in range(int(self.r.integers(low, high + 1))))
+
+    def digits(self, n: int) -> str:
+        return "".join(map(str, self.r.integers(0, 10, n)))
+
+    def word(self) -> str:
+        return self.chars("abcdefghijklmnopqrstuvwxyz", 2, 9)
+
+    def email(self):
+        local = self.pick([self.word(), f"{self.word()}.{self.word()}", f"{self.word()}{self.digits(2)}", f"{self.word()}_{self.word()}"])
+        host, top = self.word(), self.pick(["com", "org", "net", "de", "fr", "io", "co.uk", "example", "test"])
+        at, dot = self.pick([("@", "."), (" at ", " dot "), (" (at) ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" AT ", " DOT "), (" @ ", " . ")])
+        return "", f"{local}{at}{host}{dot}{top.replace('.', dot)}", "", 0
+
+    def ip(self):
+        parts = [str(int(x)) for x in self.r.integers(0, 256, 4)]
+        form = int(self.r.integers(6))
+        if form == 0:
+            return "", ":".join(f"{int(x):x}" for x in self.r.integers(0, 65536, 8)), "", 1
+        if form == 1:
+            return "", "".join(f"{int(x):x}:" for x in self.r.integers(0, 65536, int(self.r.integers(2, 5)))) + f":{int(self.r.integers(1, 65536)):x}", "", 1
+        return "", self.pick([".", ".", "[.]", " . ", "(.)", "[dot]"]).join(parts), self.pick(["", "", ":8080", "/24"]), 1
+
+    def card(self):
+        n = _luhn_number(self.r, 16)
+        sep = self.pick(["", " ", "-", ".", "  ", "_", "/", " - "])
+        return self.pick(["", "", "card ", "card: ", "no. "]), sep.join(n[i : i + 4] for i in range(0, 16, 4)), "", 2
+
+    def phone(self):
+        a, b, c = self.digits(3), self.digits(3), self.digits(4)
+        form = self.pick([f"+1 ({a}) {b}-{c}", f"+49 {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {a} {b}{c}", f"0{a[:2]}/{b}{c}", f"1-{a}-{b}-{c}", f"0{a[1:]} {b} {c}"])
+        return self.pick(["", "", "tel ", "phone: ", "call "]), form, "", 3
+
+    def secret(self):
+        value = self.pick([self.chars("0123456789abcdef", 32, 64), self.chars(self.ALNUM, 16, 48), self.chars(self.ALNUM + "_-", 20, 40), self.chars(self.ALNUM + "!#$%&*", 8, 16)])
+        form = int(self.r.integers(6))
+        if form == 0:
+            return "", "AKIA" + self.chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), "", 4
+        if form == 1:
+            return self.pick(["Bearer ", "Authorization: Bearer ", "Authorization: Basic "]), value, "", 4
+        if form == 2:
+            return "", self.pick(["sk-", "sk_live_", "ghp_", "xoxb-", "glpat-"]) + self.chars(self.ALNUM, 20, 40), "", 4
+        mark = self.pick(['"', '"', "'", ""])
+        return self.pick(self.KEYS) + self.pick([" = ", "=", ": ", ":", " : "]) + mark, value, mark, 4
+
+    def value(self):
+        return self.pick([self.email, self.ip, self.card, self.phone, self.secret, self.secret])()
+
+    def other(self) -> str:
+        d = self.digits
+        return self.pick([
+            f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"${d(2)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", f"v{d(1)}.{d(1)}", f"{d(4)}", f"{d(6)}", f"no. {d(5)}", f"#{self.chars('0123456789abcdef', 6, 6)}",
+            f"@{self.word()}", f"page {d(3)}-{d(3)}", f"{d(1)} at {d(2)}", f"a dot and {self.word()} at noon", f"{d(3)}%", f"{d(1)}/{d(2)}", f"token {self.word()}", f"the password {self.word()} was", f"secret: {self.word()} {self.word()}", f'key = "{self.word()}"', f"{self.word().upper()} {self.word().upper()}",
+            f"id {d(7)}", f"{self.word()}-{self.word()}-{d(2)}", f"{d(8)}", f"http://{self.word()}.com/{self.word()}", f"{d(1)}e-{d(2)}", f"[{d(2)}]", f"({d(4)})", f"{self.word()}{d(3)}", f"{self.word()}. " * int(self.r.integers(2, 20)), f"{self.pick([self.chars('abcdefghijklmnopqrstuvwxyz', 2, 4), 'at', 'to', 'At', 'dot'])} " * int(self.r.integers(5, 60)), f"{self.word()}@{self.word()}", "!" * int(self.r.integers(2, 9)),
+        ])
+
+    def passage(self, text: str, most: int = 4) -> tuple[str, list[tuple[int, int, int]]]:
+        """text with up to most values and as many other things put in at word ends, and the labelled spans of it: the values and labelled_spans() outside them."""
+        gaps = [i for i, c in enumerate(text) if c in " \n"] or [len(text)]
+        at = sorted({self.pick(gaps) for _ in range(int(self.r.integers(1, 2 * most + 1)))})
+        out, spans, done, n = [], [], 0, 0
+        for i in at:
+            out.append(text[done:i] + " ")
+            n += i - done + 1
+            if self.r.random() < 0.5:
+                before, value, after, kind = self.value()
+                spans.append((n + len(before), n + len(before) + len(value), kind))
+                put = before + value + after
+            else:
+                put = self.other()
+            put += self.pick(["", "", "", ".", ",", ";", ")"])
+            out.append(put)
+            n, done = n + len(put), i
+        whole = "".join(out) + text[done:]
+        spans += [s for s in labelled_spans(whole) if not any(s[0] < b and a < s[1] for a, b, _ in spans)]
+        spans.sort()
+        free = [s for k, s in enumerate(spans) if not k or s[0] >= spans[k - 1][1]]
+        return whole, free
+
+
+def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    y = np.zeros(n, np.int64)
+    for a, b, k in spans:
         y[a:b] = 2 + 2 * k
         y[a] = 1 + 2 * k
     return y
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 220, batch: int = 48, rate: float = 0.02, seed: int = 11) -> Tagger:
-    """Adam on the CRF's likelihood over windows of the labelled texts; the same input gives the same network."""
+def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 900, batch: int = 64, rate: float = 0.02, seed: int = 11, span: int = 160) -> Tagger:
+    """Adam on the CRF's likelihood over stretches of span characters of the labelled texts; the same input gives the same network."""
     net, r = Tagger(seed=seed), np.random.default_rng(seed)
-    pool = [(k, a) for k, t in enumerate(texts) for a in windows(t)]
+    code, tags = [_classes(t) for t in texts], [_tags(len(t), s) for t, s in zip(texts, spans)]
+    pool = [(k, a) for k, t in enumerate(texts) for a in range(0, max(1, len(t) - span // 2), span // 2) if t]
     if not pool:
         return net
-    tags = [_tags(t, s) for t, s in zip(texts, spans)]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for t in range(1, steps + 1):
         pick = [pool[i] for i in r.integers(0, len(pool), batch)]
-        x, n = _pack([(texts[k], a) for k, a in pick])
+        x, n = _pack([code[k][a : a + span] for k, a in pick])
         y = np.zeros_like(x)
         for j, (k, a) in enumerate(pick):
-            y[: n[j], j] = tags[k][a : a + WINDOW]
+            y[: n[j], j] = tags[k][a : a + span]
         g, _ = net.gradient(x, n, y)
         norm = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
-        lr = rate * (1 - 0.9 * t / steps)
+        lr = rate * (1 - 0.95 * t / steps)
         for k in net.p:
             q = g[k] * min(1.0, 5.0 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * q
@@ -260,32 +418,40 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int
     return net
 
 
-def model_spans(net: Tagger, texts: list[str], sure: float = 0.9, shortest: int = 6) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network's global tags whose tags are all at least sure; windows of all texts run together."""
-    todo = [(k, a) for k, t in enumerate(texts) for a in windows(t)]
-    best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for i in range(0, len(todo), 512):
-        part = todo[i : i + 512]
-        x, n = _pack([(texts[k], a) for k, a in part])
-        em = net.emissions(x)
-        tags, (p, _, _) = net.decode(em, n), net._marginals(em, n)
-        for j, (k, a) in enumerate(part):
-            if k not in best:
-                best[k] = (np.zeros(len(texts[k]), np.int64), np.zeros(len(texts[k])), np.full(len(texts[k]), -1))
-            y, q, far = best[k]
-            own = np.arange(n[j])
-            depth = np.minimum(own if a else own + WINDOW, n[j] - 1 - own if a + n[j] < len(y) else own * 0 + 2 * WINDOW)
-            win = depth > far[a : a + n[j]]
-            at = a + own[win]
-            y[at], far[at] = tags[: n[j], j][win], depth[win]
-            q[at] = p[own[win], j, tags[: n[j], j][win]]
+def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[tuple[int, int, int]]]:
+    """Spans of the network's global tags, whose tags are on average at least sure. Windows of all texts run together, those of like length in one pass."""
+    code = [_classes(t) for t in texts]
+    todo = sorted(((k, a) for k, c in enumerate(code) for a in windows(len(c))), key=lambda w: (-min(WINDOW, len(code[w[0]]) - w[1]), w))
+    found: dict[int, list] = {}
+    for i in range(0, len(todo), 480):
+        part = todo[i : i + 480]
+        x, n = _pack([code[k][a : a + WINDOW] for k, a in part])
+        em = net.emissions(x, n)
+        rows = np.flatnonzero(~net.plain(em, n))
+        if not len(rows):
+            continue
+        em, n = em[:, :, rows], n[rows]
+        tags = net.decode(em, n)
+        some = np.flatnonzero(((tags > 0) & (np.arange(len(tags))[:, None] < n)).any(axis=0))
+        if not len(some):
+            continue
+        p = net.marginals(np.ascontiguousarray(em[:, :, some].transpose(0, 2, 1)), n[some])[0]
+        for j, q in zip(some.tolist(), np.moveaxis(p, 1, 0)):
+            k, a = part[rows[j]]
+            found.setdefault(k, []).append((a, tags[: n[j], j], q[np.arange(n[j]), tags[: n[j], j]]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, (y, q, _) in best.items():
-        for b in np.flatnonzero((y > 0) & (y % 2 == 1)).tolist():
+    for k, got in found.items():
+        y, q = np.zeros(len(code[k]), np.int64), np.ones(len(code[k]))
+        for a, tags, p in got:
+            # from the middle of the stretch shared with the window before to that shared with the next
+            lo = OVERLAP // 2 if a else 0
+            hi = len(tags) if a + len(tags) == len(y) else len(tags) - OVERLAP // 2
+            y[a + lo : a + hi], q[a + lo : a + hi] = tags[lo:hi], p[lo:hi]
+        for b in np.flatnonzero(y % 2 == 1).tolist():
             e = b + 1
             while e < len(y) and y[e] == y[b] + 1:
                 e += 1
-            if e - b >= shortest and q[b:e].min() >= sure and _MARK.search(texts[k], b, e):
+            if q[b:e].mean() >= sure:
                 out[k].append((b, e, int(y[b] - 1) // 2))
     return out
 
@@ -300,27 +466,46 @@ def all_spans(net: Tagger, texts: list[str]) -> tuple[list, list]:
     return base, every
 
 
-def fit(docs: DataFrame, sample: int = 600, max_chars: int = 20_000, **how) -> Tagger:
-    """Train from the patterns' spans in at most sample texts that hold a digit or "@", picked by a hash of the text.
+def sample_passages(docs: DataFrame, sample: int, passage: int) -> list[str]:
+    """At most 2 * sample passages of the texts: sample of any, and sample of those with a digit or "@", from near their first one.
+
+    Texts are picked by a hash, and any text may be, however long; a hash also
+    says where in the text its passage of at most passage characters starts.
+    """
+    d = docs.select("text").where("text <> ''").withColumn("k", F.md5("text"))
+    out = []
+    for rows, start in (
+        (d, F.pmod(F.xxhash64("k"), F.greatest(F.length("text") - passage, F.lit(1)).cast("long"))),
+        (d.where(F.col("text").rlike("[0-9@]")), F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - F.pmod(F.xxhash64("k"), F.lit(passage // 2)), F.lit(0))),
+    ):
+        # the hashes first: at most sample of them a task, and no texts, are ordered
+        picked = rows.select("k").distinct().orderBy("k").limit(sample)
+        cut = rows.join(F.broadcast(picked), "k").select("k", F.substring("text", (start + 1).cast("int"), F.lit(passage)).alias("t"))
+        out += sorted(r[0] for r in cut.groupBy("k").agg(F.first("t")).select("first(t)").collect())
+    return out
+
+
+def fit(docs: DataFrame, sample: int = 300, passage: int = 1500, copies: int = 3, seed: int = 5, **how) -> Tagger:
+    """Train on labelled spans: sample_passages() of docs (text), each written copies times with labelled values of every kind put in.
 
-    Texts over max_chars are not used for training, which bounds the driver's
-    memory. Without such texts the untrained network's tags are all unsure.
+    sample and passage bound what the driver holds. A table without texts trains
+    on the written forms alone; null texts take no part, and other columns none.
     """
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars)).withColumn("k", F.md5("text"))
-    # the hashes first: at most sample of them a task, and no texts, are ordered
-    picked = rows.select("k").distinct().orderBy("k").limit(sample)
-    texts = sorted(r[0] for r in rows.join(F.broadcast(picked), "k").groupBy("k").agg(F.first("text")).select("first(text)").collect())
-    return train(texts, [base_spans(t) for t in texts], **how)
+    write = Writer(np.random.default_rng(seed))
+    got = [write.passage(t) for t in sample_passages(docs, sample, passage) or ["a b c"] * sample for _ in range(copies)]
+    return train([t for t, _ in got], [s for _, s in got], **how)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for a, b, k in spans)
 
 
 def find(docs: DataFrame, net: Tagger) -> DataFrame:
     """docs (text, ...) with n_email, n_ip, n_card, n_phone (patterns' spans), base_sha256 and spans.
 
-    Null texts are empty: no spans, and the hash of the empty string.
+    Null texts are empty: no spans, and the hash of the empty string. Rows are
+    taken one by one, whatever their number, ties or other columns, which stay;
+    columns with the new names are replaced. An empty table gives no rows.
     """
 
     def make(texts):
@@ -334,7 +519,8 @@ def find(docs: DataFrame, net: Tagger) -> DataFrame:
 def redact(docs: DataFrame, net: Tagger) -> DataFrame:
     """docs (text, ...) with each found span replaced by its kind in angle brackets; overlapping spans as one.
 
-    Null texts stay null, texts without spans stay as they are.
+    Null texts stay null, texts without spans stay as they are, and so do all
+    other columns; rows that agree are treated alike.
     """
 
     def make(texts):
@@ -343,7 +529,7 @@ def redact(docs: DataFrame, net: Tagger) -> DataFrame:
             parts, done = [], 0
             for a, b, k in spans:
                 if a >= done:
-                    parts += [t[done:a], f"<{KINDS[k]}>"]
+                    parts += [t[done:a], f"<{NAMES[k]}>"]
                 done = max(done, b)
             out.append("".join(parts) + t[done:])
         return [pa.array(out)]
