@@ -1,12 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Templates and blocks are token sets. Tokens are ordered by their frequency over
-all documents, rarest first. A block that contains at least threshold of a
-template's tokens has one of its |T| - alpha + 1 rarest (prefix filter) and at
-least alpha words (length filter); a candidate is given up as soon as the
-tokens left cannot bring it to alpha (positional filter). For a template of L
-words blocks have 2 L words and start every L words, so every copy of the
-template lies within one block.
+Templates are whole license texts, standard headers and one-line notices.
+Templates and blocks are token sets. Tokens are in the order of their frequency
+over all documents, rarest first; an intersection only holds tokens of a
+template, so their places in that order are all that the join needs, and only
+they are counted. For a template of L words blocks have 2 L words and start
+every L words, so every copy of the template lies within one block. A block that
+holds at least alpha = threshold * |T| of a template's tokens
+
+* has one of the template's |T| - alpha + 1 rarest (prefix filter),
+* has at least alpha words (length filter, of the block),
+* and once its tokens up to a rank are known, can still reach alpha with those
+  after it (positional filter); a candidate is given up as soon as it cannot.
 """
 
 from __future__ import annotations
@@ -20,20 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches
+from .license_texts import templates as license_templates
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-# Phrases with their labels, and statements of public licenses.
+# Phrases with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,21 +58,32 @@ class Matcher:
     def __init__(self, counts: dict[bytes, int], phrases: dict[str, str], templates: dict[str, list[str]], threshold: float):
         self.phrases = [([w.encode() for w in p.split()], label) for p, label in phrases.items()]
         self.templates = []
+        seen = set()
         for label, texts in templates.items():
             for t in texts:
-                tokens = sorted(set(t.encode().split()), key=lambda x: (counts.get(x, 0), x))
+                w = words(t)
+                tokens = sorted(set(w), key=lambda x: (counts.get(x, 0), x))
+                if not tokens or (label, len(w), tuple(tokens)) in seen:
+                    continue
+                seen.add((label, len(w), tuple(tokens)))
                 alpha = math.ceil(threshold * len(tokens) - 1e-9)
-                self.templates.append((label, len(t.split()), tokens, alpha))
+                self.templates.append((label, len(w), tokens, alpha))
         self.tokens = {x for _, _, tokens, _ in self.templates for x in tokens}
-        self.hooks = {p[0] for p, _ in self.phrases} | {x for _, _, tokens, a in self.templates for x in tokens[: len(tokens) - a + 1]}
+        # templates by the tokens of their prefixes
+        self.index: dict[bytes, list[int]] = {}
+        for k, (_, _, tokens, a) in enumerate(self.templates):
+            for x in tokens[: len(tokens) - a + 1]:
+                self.index.setdefault(x, []).append(k)
+        self.hooks = {p[0] for p, _ in self.phrases} | self.index.keys()
 
     def __call__(self, w: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """(base places, least start, greatest start, base labels, all labels, score)."""
-        if self.hooks.isdisjoint(w):
+        here = self.hooks.intersection(w)
+        if not here:
             return 0, None, None, set(), set(), 0.0
         at: dict[bytes, list[int]] = {}
         for i, x in enumerate(w):
-            if x in self.tokens or x in self.hooks:
+            if x in self.tokens or x in here:
                 at.setdefault(x, []).append(i)
         starts, base = [], set()
         for phrase, label in self.phrases:
@@ -84,19 +92,19 @@ class Matcher:
                 starts += found
                 base.add(label)
         labels, score = set(base), 1.0 if starts else 0.0
-        for label, length, tokens, alpha in self.templates:
-            n_blocks = max(1, -(-(len(w) - length) // length)) if len(w) > length else 1
-            if len(w) < alpha:
-                continue
+        for k in sorted({k for x in here for k in self.index.get(x, ())}):
+            label, length, tokens, alpha = self.templates[k]
+            last = max(1, -(-(len(w) - length) // length)) - 1  # the last block's number
             block_of: dict[bytes, set[int]] = {}
 
             def blocks(x):
                 if x not in block_of:
-                    block_of[x] = {b for i in at.get(x, ()) for b in (i // length, i // length - 1) if 0 <= b < n_blocks}
+                    block_of[x] = {b for i in at.get(x, ()) for b in (i // length, i // length - 1) if 0 <= b <= last}
                 return block_of[x]
 
-            candidates = set().union(*(blocks(x) for x in tokens[: len(tokens) - alpha + 1]))
-            for b in candidates:
+            for b in set().union(*(blocks(x) for x in tokens[: len(tokens) - alpha + 1])):
+                if min(2 * length, len(w) - b * length) < alpha:
+                    continue
                 hits = 0
                 for rank, x in enumerate(tokens):
                     hits += b in blocks(x)
@@ -113,9 +121,12 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
 
     Null and empty texts have no words, labels "" and score 0. score is 1 where
     a phrase stands, else the greatest containment that meets the threshold.
+    Repeated rows, null and repeated doc_ids are rows of their own; tokens of
+    equal frequency are in byte order; an empty table gives no rows; other
+    columns take no part. Texts of any length are scanned whole.
     """
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
-    tokens = {x for texts in templates.values() for t in texts for x in t.encode().split()}
+    phrases, templates = PHRASES if phrases is None else phrases, license_templates() if templates is None else templates
+    tokens = {x for texts in templates.values() for t in texts for x in words(t)}
     matcher = Matcher(token_counts(docs, tokens), phrases, templates, threshold)
 
     def run(it):

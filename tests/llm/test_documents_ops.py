@@ -410,9 +410,10 @@ def test_licenses(docs, empty):
         g = got[str((d, len(w)))]
         assert (g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) == (len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})))
         labels, score = {x for _, x in at}, 1.0 if at else 0.0
-        for label, texts in licenses.TEMPLATES.items():
+        for label, texts in licenses.license_templates().items():
             for p in texts:
-                size, tokens = len(p.split()), set(p.split())
+                v = word.findall(p.translate(low))
+                size, tokens = len(v), set(v)
                 for b in range(max(1, -(-(len(w) - size) // size))):
                     share = len(tokens & set(w[b * size : (b + 2) * size])) / len(tokens)
                     if share >= 0.9:
@@ -420,6 +421,16 @@ def test_licenses(docs, empty):
                         score = max(score, share)
         assert g["labels"] == ",".join(sorted(labels)) and g["score"] == pytest.approx(score)
     assert any("mit" in g["labels"].split(",") for g in got.values())
+    matcher = licenses.Matcher({}, licenses.PHRASES, licenses.license_templates(), 0.9)
+    filler = ["lorem", "ipsum", "dolor"] * 60
+    for label, texts in licenses.license_templates().items():
+        for p in texts:  # each template is found inside other words, with a few of its own missing
+            v = licenses.words(p)
+            assert label in matcher([x.encode() for x in filler] + v + [x.encode() for x in filler])[4]
+            drop = set(list(dict.fromkeys(v))[: int(len(set(v)) * 0.1)])
+            assert label in matcher([x.encode() for x in filler] + [x for x in v if x not in drop])[4]
+            half = sorted(set(v))[: int(len(set(v)) * 0.5)]
+            assert label not in matcher(half + [b"zz"] * 9)[4]
     assert licenses.license_scan(empty).count() == 0
 
 
