@@ -32,9 +32,12 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     gram = np.zeros(len(b), np.uint64)
     for j in range(8):
         gram[: len(b) - 8] |= b[j : len(b) - 8 + j].astype(np.uint64) << np.uint64(8 * j)
+    # bytes before each gram in its own text, 0 for one that goes over the text's end
+    own = np.arange(len(b)) - np.repeat(at, n + len(pad))
+    own = np.where(own <= np.repeat(n, n + len(pad)) - 8, np.clip(own, 0, 255), 0).astype(np.uint8)
     rep = np.zeros(len(b), bool)
     for lag in _LAGS:
-        rep[lag:] |= gram[lag:] == gram[:-lag]
+        rep[lag:] |= (gram[lag:] == gram[:-lag]) & (own[lag:] >= lag)
     return b, rep, at, np.maximum(1, n - K + 1)
 
 
@@ -130,20 +133,24 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, max_chars: int = 60_000, **how) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, **how) -> Net:
     """Train on at most sample labelled rows of each class, picked by a hash of doc_id; held-out rows never.
 
-    Labelled texts over max_chars are not used for training, which bounds the
-    driver's memory; scoring takes whole texts. One class or none gives an
-    untrained network that scores all texts alike, as their share of label 1.
+    sample is the bound on what the driver holds; texts of any length are used
+    whole. Labels other than 0 and 1 and null doc_ids take no part, nor does a
+    doc_id with both labels; a doc_id that stands several times in docs gives all
+    its texts. Null texts are empty ones. One class or none gives an untrained
+    network that scores all texts alike, as their share of label 1. Other columns
+    take no part.
     """
-    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_q")).where("quality = _q").drop("_q")
     pick = None
     for q in (0, 1):
         part = rows.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
         pick = part if pick is None else pick.union(part)
     # at most 2 * sample narrow rows
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").where(F.length("text") <= max_chars)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
     got = got.toPandas().sort_values(["doc_id", "text"], kind="stable")
     texts, y = got["text"].tolist(), got["quality"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
@@ -155,7 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, max_chars: int =
 
 
 def score(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
-    """docs (doc_id, text, ...) with held_out, score and predicted; null texts are scored as empty ones."""
+    """docs (doc_id, text, ...) with held_out, score and predicted.
+
+    Null texts are scored as empty ones, texts of any length whole. Rows are
+    scored one by one: equal texts have equal scores, repeated rows stay; a null
+    doc_id is not held out. Columns with the new names are replaced, all others
+    stay. An empty table gives no rows.
+    """
     params = net.p
 
     def make(texts):

@@ -559,3 +559,37 @@ def test_quality(spark, docs, empty):
     texts = [x[1] for x in rows[:40]]
     alone = np.concatenate([net.forward([t]) for t in texts])
     assert np.allclose(alone, net.forward(texts), atol=1e-5)
+
+
+def test_forward_pass_equals_a_plain_one():
+    """Filters applied position by position and chunk by chunk, against the batched pass; texts over several chunks included."""
+    r = random.Random(12)
+    net = quality.Net(3)
+    net.p["out"] = np.random.default_rng(0).normal(size=net.p["out"].shape).astype(np.float32)
+    texts = ["", "a", "héllo wörld", "abcdefgh" * 5, "x y " * 700, "".join(r.choice("abc é日\n") for _ in range(2500)), "to be or not to be, to be or not to be"]
+    got = net.forward(texts)
+    for t, g in zip(texts, got):
+        raw = t.encode()
+        b = raw + b"\0" * quality.K
+        emb = net.p["emb"]
+        plane = [float(any(i + 8 <= len(raw) and i >= lag and raw[i : i + 8] == raw[i - lag : i - lag + 8] for lag in quality._LAGS)) for i in range(len(b))]
+        n, tops = max(1, len(raw) - quality.K + 1), []
+        for a in range(0, n, quality.CHUNK):
+            acts = []
+            for i in range(a, min(n, a + quality.CHUNK)):
+                x = np.concatenate([np.append(emb[b[i + j]], plane[i + j]) for j in range(quality.K)])
+                acts.append(x @ net.p["conv"])
+            tops.append(np.maximum(np.max(acts, axis=0) + net.p["bias"], 0))
+        f = np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)])
+        assert g == pytest.approx(1 / (1 + np.exp(-(f @ net.p["out"] + net.p["off"][0]))), abs=1e-4), t[:20]
+
+
+def test_quality_labels_that_disagree_take_no_part(spark):
+    texts = {i: "good words here " * 5 if i % 2 else "BAD!! " * 9 for i in range(60)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    mixed = y.union(spark.createDataFrame([(i, i % 2) for i in range(60)] + [(500, 0), (500, 1), (None, 1), (7, None), (8, 3)], "doc_id long, quality int")).repartition(3)
+    more = d.union(spark.createDataFrame([(500, "x" * 70_000)], "doc_id long, text string"))
+    a, b = quality.fit(d, y, steps=8), quality.fit(more, mixed, steps=8)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)

@@ -48,7 +48,13 @@ def test_near_vectors_of_an_empty_table(spark):
     assert vector_dup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_pair_within_the_budget_shares_a_cell_in_its_first_block():
+def test_huge_and_tiny_doubles_and_repeated_ids(spark):
+    rows = [(1, [1e200, 2e200], "a"), (2, [1.0001e200, 2e200], "a"), (3, [1e-200, 2e-200], "a"), (4, [1e300, -1e300], "a"), (5, [5e-324, 1e-323], "a"), (6, [1.0, 2.0], "b"), (7, [1.0, 2.0], "b"), (7, [-2.0, 1.0], "b"), (8, [-2.0, 1.0], "b")]
+    got = sorted(map(tuple, vector_dup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()))
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 3, 1, False), (6, 1, 6, True), (7, 1, 6, False), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def test_pair_within_the_budget_shares_its_midpoints_cell():
     r = np.random.default_rng(1)
     a = vector_dup.units(r.normal(size=(300, 64)))
     b = vector_dup.units(a + 0.02 * r.normal(size=a.shape))
@@ -58,13 +64,16 @@ def test_pair_within_the_budget_shares_a_cell_in_its_first_block():
     found = np.zeros(300, bool)
     for k in range(len(edges) - 1):
         near = ((x - y)[:, edges[k] : edges[k + 1]] ** 2).sum(axis=1) <= rad**2
-        lead = slice(edges[k], edges[k] + vector_dup.AXES)
-        cells = [vector_dup.cells(v[:, lead], rad, vector_dup._side(rad)) for v in (x, y)]
-        of = [{i: set() for i in range(300)} for _ in cells]
-        for m, (who, code) in zip(of, cells):
-            for w, c in zip(who.tolist(), code.tolist()):
-                m[w].add(c)
-        assert all(of[0][i] & of[1][i] for i in np.flatnonzero(near & ok))
+        for n in (2, 4, 6):
+            lead = slice(edges[k], edges[k] + n)
+            of = []
+            for v in (x, y):
+                m = {i: set() for i in range(300)}
+                for w, c in zip(*(z.tolist() for z in vector_dup.cells(v[:, lead], np.zeros(300, np.int64), rad))):
+                    m[w].add(c)
+                of.append(m)
+            mid = vector_dup.middle(x[:, lead], y[:, lead], rad).tolist()
+            assert all(mid[i] in of[0][i] & of[1][i] for i in np.flatnonzero(near & ok))
         found |= near
     assert ok.sum() > 100 and found[ok].all()
 
