@@ -250,9 +250,40 @@ def test_substrings(docs, empty):
     assert sorted(map(str, ((g["doc_id"], g["n_words"], g["n_removed"], g["kept"]) for g in got))) == sorted(map(str, want))
     assert all(g["kept_sha256"] == hashlib.sha256(g["kept"].encode()).hexdigest() for g in got)
     assert sum(w[2] for w in want) > 100
+    # each repeat is maximal: it is in a smaller document, and with the word before or after it is not in that one at that place
+    words, again = dict(rows), 0
+    for g in got:
+        w = words[g["doc_id"]] if g["doc_id"] is not None else None
+        for x in g["repeats"]:
+            assert x["words"] >= 13
+            if w is not None and g["n_words"] == len(w):
+                s = w[x["start"] : x["start"] + x["words"]]
+                places = [(d, i) for d, v in rows if d is not None and d < g["doc_id"] for i in range(len(v) - len(s) + 1) if v[i : i + len(s)] == s]
+                again += bool(places)
+                assert places
+                d, i = min(places)
+                v = words[d]
+                assert not (x["start"] and i and w[x["start"] - 1] == v[i - 1]) and (x["start"] + len(s) == len(w) or i + len(s) == len(v) or w[x["start"] + len(s)] != v[i + len(s)])
+    assert again > 3
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def test_repeats_are_checked_on_their_words(docs, monkeypatch):
+    """A request whose words are others than those at its place is reported, which stops the run."""
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))) for i in range(6)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert substrings.substring_dedup(df).where("n_removed > 0").count() == 0
+    chunks = substrings.materialize(substrings.freeze(df.coalesce(1), 1 << 20)).cache()
+    number = chunks.first()["chunk"]
+    request = lambda place, words, text: (number, place, words, substrings._digest([w.encode() for w in text.split()]))
+    texts = " ".join(t or "" for _, t in sorted(((i, t) for i, t in rows), key=lambda x: [y["doc_id"] for y in df.coalesce(1).collect()].index(x[0])))
+    all_words = texts.split()
+    good, bad = request(5, 13, " ".join(all_words[5:18])), request(6, 13, "other words " * 6 + "x")
+    asked = df.sparkSession.createDataFrame([good, good, bad], "far long, place long, words long, digest binary")
+    assert [tuple(x) for x in substrings._check(asked, chunks).collect()] == [(number, 6, 13)]
+
+
 def test_near_duplicates(docs, empty):
     for n in (4, 5):
         got = near_dup.near_duplicates(docs, n=n).collect()
@@ -496,7 +527,7 @@ def test_windows_join_spans_and_do_not_depend_on_neighbours():
         assert cover.min() >= 1
     net, r = pii.Tagger(seed=2), np.random.default_rng(0)
     net.p["off"][0] = 0.2
-    texts = ["".join(r.choice(list("ab 1@.é日"), n)) for n in (1, 30, 383, 384, 385, 3000)] + [""]
+    texts = ["".join(r.choice(list("ab 1@.é日"), n)) for n in (1, 30, 511, 512, 513, 3000)] + [""]
     together = pii.model_spans(net, texts, 0.0)
     assert any(together) and [pii.model_spans(net, [t], 0.0)[0] for t in texts] == together
 
