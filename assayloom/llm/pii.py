@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-WINDOW, OVERLAP = 384, 64
+WINDOW, OVERLAP = 512, 64
 STRIDE = WINDOW - OVERLAP
 
 
@@ -107,7 +107,7 @@ def _pack(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Tagger:
     """Embedding, one LSTM each way, a linear layer and CRF transitions."""
 
-    def __init__(self, dim: int = 8, hidden: int = 16, seed: int = 11):
+    def __init__(self, dim: int = 8, hidden: int = 12, seed: int = 11):
         r = np.random.default_rng(seed)
         n = lambda *s: (r.normal(0, 1, s) / np.sqrt(s[0])).astype(np.float32)
         self.h = hidden
@@ -357,7 +357,7 @@ class Writer:
         return self.pick([
             f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"${d(2)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", f"v{d(1)}.{d(1)}", f"{d(4)}", f"{d(6)}", f"no. {d(5)}", f"#{self.chars('0123456789abcdef', 6, 6)}",
             f"@{self.word()}", f"page {d(3)}-{d(3)}", f"{d(1)} at {d(2)}", f"a dot and {self.word()} at noon", f"{d(3)}%", f"{d(1)}/{d(2)}", f"token {self.word()}", f"the password {self.word()} was", f"secret: {self.word()} {self.word()}", f'key = "{self.word()}"', f"{self.word().upper()} {self.word().upper()}",
-            f"id {d(7)}", f"{self.word()}-{self.word()}-{d(2)}", f"{d(8)}", f"http://{self.word()}.com/{self.word()}", f"{d(1)}e-{d(2)}", f"[{d(2)}]", f"({d(4)})", f"{self.word()}{d(3)}", f"{self.word()}. " * int(self.r.integers(2, 20)), f"{self.pick([self.chars('abcdefghijklmnopqrstuvwxyz', 2, 4), 'at', 'to', 'At', 'dot'])} " * int(self.r.integers(5, 60)), f"{self.word()}@{self.word()}", "!" * int(self.r.integers(2, 9)),
+            f"id {d(7)}", f"{self.word()}-{self.word()}-{d(2)}", f"{d(8)}", f"http://{self.word()}.com/{self.word()}", f"{d(1)}e-{d(2)}", f"[{d(2)}]", f"({d(4)})", f"{self.word()}{d(3)}", f"{self.word()}. " * int(self.r.integers(2, 20)), f"{self.pick([self.word(), self.word().title(), 'at', 'to', 'At', 'dot'])} " * int(self.r.integers(3, 60)), f"{self.word()} " * int(self.r.integers(3, 30)), f"{self.word()}{self.pick(['. ', ', ', '! '])}" * int(self.r.integers(3, 30)), f"{self.word()}@{self.word()}", "!" * int(self.r.integers(2, 9)),
         ])
 
     def passage(self, text: str, most: int = 4) -> tuple[str, list[tuple[int, int, int]]]:
@@ -419,7 +419,7 @@ def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int
 
 
 def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network's global tags, whose tags are on average at least sure. Windows of all texts run together, those of like length in one pass."""
+    """Spans of the network's global tags that are on average at least sure and nowhere less than half. Windows of all texts run together, those of like length in one pass."""
     code = [_classes(t) for t in texts]
     todo = sorted(((k, a) for k, c in enumerate(code) for a in windows(len(c))), key=lambda w: (-min(WINDOW, len(code[w[0]]) - w[1]), w))
     found: dict[int, list] = {}
@@ -451,7 +451,7 @@ def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[t
             e = b + 1
             while e < len(y) and y[e] == y[b] + 1:
                 e += 1
-            if q[b:e].mean() >= sure:
+            if q[b:e].mean() >= sure and q[b:e].min() >= min(sure, 0.5):
                 out[k].append((b, e, int(y[b] - 1) // 2))
     return out
 
