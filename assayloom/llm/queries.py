@@ -35,7 +35,22 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each text that repeat passages of 13 words from documents with smaller ids."""
     from .substrings import substring_dedup
 
-    return substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup(_table(spark, sf_dir, "documents")).drop("repeats")
+
+
+_A_TO_Z = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS k FROM documents),
+s AS (SELECT k, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(coalesce(doc_id, 9223372036854775807)) AS first FROM s GROUP BY g),
+r AS (SELECT DISTINCT k, i + o AS i FROM s JOIN m USING (g), range(13) t(o) WHERE first < coalesce(doc_id, 9223372036854775807)),
+e AS (SELECT k, list(i) AS gone FROM r GROUP BY k),
+f AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN e USING (k))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE w[i] END), lambda x: x IS NOT NULL), ' ')) AS kept_sha256
+FROM f
+"""
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +99,19 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+OP5_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_A_TO_Z}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c ON x = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries and checksums of all documents, read back from the token files."""
     from .common import shared_dir
@@ -116,6 +144,18 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v
+      WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON x = vec_id LEFT JOIN k ON a = vec_id
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents from a network trained on labelled rows outside the held-out fifth."""
     from .quality import fit, score
@@ -125,4 +165,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality)}
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL}
