@@ -9,7 +9,6 @@ library whole.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 
@@ -60,7 +59,7 @@ class Encoder:
         """Ids of new chunks: the library encodes many in one call, each as a sequence of its own."""
         for i in range(0, len(chunks), self.call_size):
             part = chunks[i : i + self.call_size]
-            got = self.tok.encode([c.replace("\x00", " ") for c in part], is_pretokenized=True, add_special_tokens=False)
+            got = self.tok.encode(part if self.lower else [c.replace("\x00", " ") for c in part], is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(got.ids, self.dtype), np.array(got.word_ids, np.int64)
             cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
             raw, w = ids.tobytes(), self.dtype.itemsize
@@ -77,7 +76,7 @@ class Encoder:
                 out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.cache) > self.cache_size:
             self.cache.clear()
-        self._learn(list(set(itertools.chain.from_iterable(c for _, c in plain)).difference(self.cache)))
+        self._learn(list(set().union(*[c for _, c in plain]).difference(self.cache)))
         get = self.cache.__getitem__
         for k, chunks in plain:
             out[k] = np.frombuffer(b"".join(map(get, chunks)), dtype=self.dtype).astype(np.uint32)
