@@ -23,13 +23,14 @@ def _strip(text: Column, *parts: str) -> Column:
     return text
 
 
-def parse_bounds(raw: Column, literal_repairs: dict[str, str] | None = None) -> Column:
+def parse_bounds(raw: Column, literal_repairs: dict[str, str] | None = None, compat: bool = False) -> Column:
     """struct<low, high, reason> of a measurement as people type it.
 
     Accepts "8", "4-8", "8±2", ">64", ">=64", "<0.5", "<=0.5", "up to 16", "NA"
     and "". A missing bound pair is (null, null); reason says why a text could not
     be read. Rules apply in a fixed order: repairs, range, lower bound, upper
-    bound, spread, "up to", plain number.
+    bound, spread, "up to", plain number. compat first deletes "±0.0" wherever it
+    stands, as older tables did, by which "5±0.05" becomes 55.
     """
     repairs = {"4.5.5": "4.5-5", "16=128": "16-128"} if literal_repairs is None else literal_repairs
     t = raw
@@ -37,7 +38,7 @@ def parse_bounds(raw: Column, literal_repairs: dict[str, str] | None = None) ->
         t = F.when(t == a, F.lit(b)).otherwise(t)
     t = _strip(F.replace(F.replace(_strip(t, "~"), F.lit("–"), F.lit("-")), F.lit("+"), F.lit("±")), "E6", "E")
     # a lambda's argument is evaluated once, which keeps the generated code small
-    return F.transform(F.array(_strip(t, "±0.0")), _read_bounds)[0]
+    return F.transform(F.array(_strip(t, "±0.0") if compat else t), _read_bounds)[0]
 
 
 def _read_bounds(t: Column) -> Column:
@@ -56,12 +57,12 @@ def _read_bounds(t: Column) -> Column:
         F.when(t.contains("-"), both(low, high))
         .when(t.rlike(">|≥"), both(number(bare), F.lit(INF)))
         .when(t.contains("<"), both(F.lit(0.0), number(bare)))
-        .when(t.contains("NA"), F.lit(None))
+        .when(t == "NA", F.lit(None))
         .when(t.contains("±"), spread(number(bare), number(err)))
         .when(t.rlike("(?i)up to"), both(F.lit(0.0), number(_strip(F.regexp_replace(t, "(?i)up to", ""), " "))))
         .otherwise(F.transform(F.array(number(F.replace(_strip(t, " "), F.lit(","), F.lit(".")))), lambda x: both(x, x))[0])
     )
-    missing = t.isNull() | (F.trim(t) == "") | t.contains("NA")
+    missing = t.isNull() | (F.trim(t) == "") | (t == "NA")
     return F.transform(F.array(read), lambda b: F.struct(b["low"].alias("low"), b["high"].alias("high"), F.when(b.isNotNull(), F.lit("ok")).when(missing, F.lit("missing")).otherwise(F.lit("unreadable")).alias("reason")))[0]
 
 
@@ -148,3 +149,33 @@ def fold_number(text: Column) -> Column:
 def flag(text: Column) -> Column:
     """"True"/"False" in any case as a boolean, null for anything else."""
     return F.lower(F.trim(text)).try_cast("boolean")
+
+
+def plain_number(text: Column) -> Column:
+    """Whether a text is digits with an optional fraction, white space around it allowed."""
+    return F.coalesce(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?\s*$"), F.lit(False))
+
+
+def coerced(text: Column) -> Column:
+    """A number written with or without exponent as a double, null for anything else."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(value.cast("long"), 0)
+
+
+def recast(df, bools: list[str] = (), ints: list[str] = (), doubles: list[str] = ()):
+    """df with text columns as booleans, integers (also "3.0") and doubles, as tables that a tracker logged come back."""
+    cols = {c: flag(F.col(c)) for c in bools} | {c: coerced(F.col(c)).cast("long") for c in ints} | {c: coerced(F.col(c)) for c in doubles}
+    return df.withColumns(cols)
+
+
+def next_version(text: str, default: str = "0.1.0") -> str:
+    """The version after the newest one in a changelog's headings ("## [1.2.3]"), its last part raised by one."""
+    import re
+
+    found = [tuple(map(int, m)) for m in re.findall(r"(?m)^#+\s*\[?v?([0-9]+)\.([0-9]+)\.([0-9]+)\]?", text)]
+    return "{}.{}.{}".format(*max(found)[:2], max(found)[2] + 1) if found else default

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The residues of natural peptides, and a structure's tokens.
 CANONICAL = "ACDEFGHIKLMNPQRSTVWY"
-STRUCTURE_TOKEN = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9])"
+STRUCTURE_TOKEN = r"(\([^\(\)]{0,4}\)|\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/\/?|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])"
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -42,11 +42,18 @@ def outside_alphabet(seq: Column) -> Column:
     return ~seq.rlike(f"^[{CANONICAL}]*$")
 
 
+# What residues outside the natural ones are called.
+RESIDUE_KINDS = {"O": "ornithine", "o": "ornithine", "B": "dab", "b": "dab", "X": "other_unresolved(has_smiles)"}
+LOWERCASE_KIND, OTHER_KIND, NATURAL_KIND = "D-canonical-residue", "other_char:", "canonical"
+
+
 def residue_kinds(seq: Column) -> Column:
-    """Sorted, distinct reasons why a sequence isn't natural, joined by +; empty if it is."""
-    kind = lambda c: F.when(c.rlike("[A-Z]") & F.instr(F.lit(CANONICAL), c).eqNullSafe(0) & (c != "X"), F.lit("unusual_letter")).when(c == "X", F.lit("placeholder")).when(c.rlike(r"\p{Ll}"), F.lit("lowercase")).when(~c.rlike("[A-Za-z]"), F.lit("symbol"))
-    chars = F.filter(F.split(seq, ""), lambda c: c != "")
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(chars, lambda c: F.when(~F.lit(CANONICAL).contains(c), kind(c))), lambda k: k.isNotNull()))), "+")
+    """Sorted, distinct kinds of the residues that are not natural, joined by +; canonical if there are none."""
+    named = F.create_map(*[F.lit(x) for kv in RESIDUE_KINDS.items() for x in kv])
+    kind = lambda c: F.coalesce(F.try_element_at(named, c), F.when(c.rlike(r"^\p{Ll}$"), F.lit(LOWERCASE_KIND)).otherwise(F.concat(F.lit(OTHER_KIND), c)))
+    chars = F.filter(F.split(seq, ""), lambda c: (c != "") & ~F.lit(CANONICAL).contains(c))
+    out = F.array_join(F.array_sort(F.array_distinct(F.transform(chars, kind))), "+")
+    return F.when(out == "", NATURAL_KIND).otherwise(out)
 
 
 def substitute(seq: Column, changes: Column) -> Column:
@@ -98,24 +105,26 @@ def sequence_id(seq: Column) -> Column:
 DISULFIDE_CYCLES = ["CST"]
 BACKBONE_CYCLES = ["NCB", "DKP"]
 LACTAM_CYCLES = ["LAC"]
-UNSUPPORTED_CYCLES = ["LAN", "LTN", "MeLAN", "SCT"]
+UNSUPPORTED_CYCLES = ["LAN", "LTN", "MeLAN", "SCT"]  # no structure can be generated for these
 COMMON_CODES = {"ORN": "O", "D-ORN": "o", "DAB": "B", "D-DAB": "b"}
 
 
+#: What a bond becomes by cycle type and chain; * stands for any chain.
+BOND_TABLE = {
+    **{(c, "*"): "SS" for c in DISULFIDE_CYCLES},
+    **{(c, "*"): "HT" for c in BACKBONE_CYCLES},
+    **{(c, "SSB"): "SCSC" for c in LACTAM_CYCLES},
+    **{(c, "SMB"): "SCNT_OR_SCCT" for c in LACTAM_CYCLES},
+}
+
+
 def bond_class(cycle: Column, chain: Column) -> Column:
     """struct<constraint, convertible, reason> of one intrachain bond, from its cycle type and the chains that take part."""
-    text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    made = lambda c, ok, why: F.struct(F.lit(c).cast("string").alias("constraint"), F.lit(ok).alias("convertible"), text(why).alias("reason"))
-    lactam = cycle.isin(LACTAM_CYCLES)
-    return (
-        F.when(cycle.isin(DISULFIDE_CYCLES), made("SS", True, ""))
-        .when(cycle.isin(BACKBONE_CYCLES), made("HT", True, ""))
-        .when(lactam & (chain == "SSB"), made("SCSC", True, ""))
-        .when(lactam & (chain == "SMB"), made("SCNT_OR_SCCT", True, ""))
-        .when(lactam, made(None, False, F.concat(F.lit("lactam with chain "), F.coalesce(chain, F.lit("none")))))
-        .when(cycle.isin(UNSUPPORTED_CYCLES), made(None, False, F.concat(F.lit("no generator for cycle type "), cycle)))
-        .otherwise(made(None, False, F.concat(F.lit("unknown cycle type "), F.coalesce(cycle, F.lit("none")))))
-    )
+    known = F.create_map(*[x for (c, h), v in BOND_TABLE.items() for x in (F.lit(f"{c}|{h}"), F.lit(v))])
+    name = lambda c: F.coalesce(c, F.lit("none"))
+    found = F.coalesce(F.try_element_at(known, F.concat_ws("|", name(cycle), F.lit("*"))), F.try_element_at(known, F.concat_ws("|", name(cycle), name(chain))))
+    why = F.when(cycle.isin(LACTAM_CYCLES), F.concat(F.lit("lactam with chain "), name(chain))).when(cycle.isin(UNSUPPORTED_CYCLES), F.concat(F.lit("no generator for cycle type "), cycle)).otherwise(F.concat(F.lit("unknown cycle type "), name(cycle)))
+    return F.struct(found.alias("constraint"), found.isNotNull().alias("convertible"), F.when(found.isNull(), why).otherwise("").alias("reason"))
 
 
 def common_sequence(seq: Column, unusual: Column) -> Column:
@@ -136,3 +145,36 @@ def baseline_check(complexity: Column, n_terminus: Column, c_terminus: Column, c
         (has_placeholder(common) & (n_structures == 0), "unresolved_residue_no_native_smiles"),
         (F.exists(bond_types, lambda b: ~F.coalesce(b.isin("DSB", "AMD"), F.lit(False))), "nonstandard_bond_type"),
     )
+
+
+# Featurizers by the names that run ids use, and how tables show them.
+PEPTIDE_NAMES = {"rdkit": "RDKit", "peptideclm": "PeptideCLM", "molgraph": "MolGraph"}
+ORGANISM_NAMES = {"vocab": "vocab", "kmer": "k-mer", "dnabert": "DNABERT-S"}
+
+
+def pretty_label(run: Column) -> Column:
+    """"rdkit_vocab_cv" as "RDKit × vocab"; a name that does not follow that form stays."""
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    parts = F.split(F.regexp_replace(run, "_cv$", ""), "_")
+    a, b = F.try_element_at(table(PEPTIDE_NAMES), F.element_at(parts, 1)), F.try_element_at(table(ORGANISM_NAMES), F.try_element_at(parts, F.lit(2)))
+    return F.when((F.size(parts) == 2) & a.isNotNull() & b.isNotNull(), F.concat(a, F.lit(" × "), b)).otherwise(run)
+
+
+def run_parts(run: Column) -> Column:
+    """struct<peptide, organism> of "<peptide>_<organism>_cv", null for any other form."""
+    parts = F.split(run, "_")
+    fits = (F.size(parts) == 3) & F.try_element_at(parts, F.lit(3)).eqNullSafe("cv")
+    return F.when(fits, F.struct(F.element_at(parts, 1).alias("peptide"), F.try_element_at(parts, F.lit(2)).alias("organism")))
+
+
+def padded(seq: Column) -> Column:
+    """Whether white space stands around a sequence."""
+    return seq != F.regexp_replace(seq, r"^\s+|\s+$", "")
+
+
+def whitespace_state(source: Column, final: Column) -> Column:
+    """How a sequence that is padded at its source came through: one of five states."""
+    return (
+        F.when(source.isNull() | final.isNull(), "missing_from_one_or_both_sources").when(padded(final), "final_dataset_unexpectedly_dirty")
+        .when(padded(source), "as_expected").when(~padded(source), "source_copy_unexpectedly_cleaned").otherwise("unexpected_state")
+    )

@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
-def robust_mean(df: DataFrame, keys: list[str], low: str = "low", high: str = "high", fence: float = 1.5, least: int = 4) -> DataFrame:
-    """(keys, mean, n_points, n_used, n_rows) of bound pairs.
+def robust_mean(df: DataFrame, keys: list[str], low: str = "low", high: str = "high", fence: float = 1.5, least: int = 4, digits: int | None = None, first: list[str] = ()) -> DataFrame:
+    """(keys, mean, n_points, n_used, n_rows, kind, first) of bound pairs.
 
     Each lower bound that isn't 0 and each upper one that isn't infinite is a
     point, so an exact value weighs two. With at least `least` points those
     outside the quartiles by more than fence times their distance are left out.
-    Groups without points are dropped. One shuffle: a group's points are folded
-    to its distinct values with counts, and the fence is applied to those.
+    Groups without points are dropped. digits: significant digits of the mean, 3
+    or 5; kind: averaged for several rows, else exact or censored; first: columns
+    whose smallest value is kept. The input is read once: rows are folded to the
+    distinct values of a group with their counts, and quartiles join those.
     """
+    from ..functions.measurements import censoring, measurement_kind, significant
+
     points = lambda c, bad: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) != bad), F.col(c).cast("double"))
-    p = df.withColumn("_p", F.filter(F.array(points(low, 0.0), points(high, INF)), lambda x: x.isNotNull()))
-    p = p.select(*keys, F.explode_outer("_p").alias("_x"), (F.size("_p") > 0).alias("_has"), F.lit(1).alias("_one"))
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    counts = p.where("_has").groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    g = counts.groupBy(*keys).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75)), F.col("_c")).alias("_q"), F.sum("_c").alias("n_points"), F.collect_list(F.struct("_x", "_c")).alias("_v"))
+    values = F.filter(F.array(points(low, 0.0), points(high, INF)), lambda x: x.isNotNull())
+    # a row's first point stands for the row
+    each = F.posexplode_outer(values)
+    p = df.select(*keys, *first, (censoring(F.col(low), F.col(high)) == "exact").alias("_e"), each.alias("_i", "_x"))
+    whole = F.coalesce(F.col("_i"), F.lit(0)) == 0
+    c = p.groupBy(*keys, "_x").agg(F.count("_x").alias("_c"), F.count_if(whole).alias("_r"), F.count_if(whole & F.col("_e")).alias("_e"), *[F.min(x).alias(x) for x in first])
+    g = c.groupBy(*keys).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75)), F.greatest(F.col("_c"), F.lit(1))).alias("_q"), F.sum("_c").alias("n_points"), F.sum("_r").alias("n_rows"), F.sum("_e").alias("_exact"), *[F.min(x).alias(x) for x in first])
+    same = None
+    for k in keys:
+        e = F.col(f"c.{k}").eqNullSafe(F.col(f"g.{k}"))
+        same = e if same is None else same & e
+    j = c.where("_x is not null").select(*keys, "_x", "_c").alias("c").join(g.alias("g"), same).select(*[F.col(f"g.{k}").alias(k) for k in keys], "_x", "_c", "_q", "n_points", "n_rows", "_exact", *[F.col(f"g.{x}").alias(x) for x in first])
     lo, hi = F.col("_q")[0], F.col("_q")[1]
-    keep = F.filter("_v", lambda v: (F.col("n_points") < least) | ((v["_x"] >= lo - fence * (hi - lo)) & (v["_x"] <= hi + fence * (hi - lo))))
-    g = g.withColumn("_v", F.array_sort(keep))
-    n = F.aggregate("_v", F.lit(0).cast("long"), lambda s, v: s + v["_c"])
-    total = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v["_x"] * v["_c"])
-    return g.select(*keys, (total / n).alias("mean"), "n_points", n.alias("n_used")).join(rows, keys)
+    used = j.where((F.col("n_points") < least) | F.col("_x").between(lo - fence * (hi - lo), hi + fence * (hi - lo)))
+    out = used.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("n_points").alias("n_points"), F.sum("_c").alias("n_used"), F.max("n_rows").alias("n_rows"), F.max("_exact").alias("_exact"), *[F.min(x).alias(x) for x in first])
+    kind = F.when(F.col("n_rows") >= 2, "averaged").when(F.col("_exact") > 0, "exact").otherwise("censored")
+    mean = significant(F.col("mean"), digits) if digits else F.col("mean")
+    return out.select(*keys, mean.alias("mean"), "n_points", "n_used", "n_rows", kind.alias("kind"), *first)
 
 
 def funnel(df: DataFrame, reason: Column) -> DataFrame:
@@ -95,3 +106,33 @@ def size_summary(df: DataFrame, cluster: str, large: float = 0.5) -> DataFrame:
 def every_nth(df: DataFrame, at: str, n: int) -> DataFrame:
     """Rows at every n-th place and at the last one."""
     return df.withColumn("_last", F.max(at).over(Window.partitionBy())).where((F.col(at) % n == 0) | (F.col(at) == F.col("_last"))).drop("_last")
+
+
+def group_share(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
+    """(keys, n, share) of rows that meet a condition; without keys one row, whose share is 0 for an empty table."""
+    hit = F.coalesce(condition, F.lit(False)).cast("int")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("share"))
+
+
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, values: list) -> DataFrame:
+    """Means with one column a value; null where there is none."""
+    return df.groupBy(row).pivot(column, values).agg(F.avg(value))
+
+
+def row_best(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, column, value): where the mean value is greatest in each row, the smallest column on ties."""
+    m = df.groupBy(row, column).agg(F.avg(value).alias(value))
+    return m.groupBy(row).agg(F.min_by(F.struct(F.col(column), F.col(value)), F.struct(-F.col(value), F.col(column))).alias("_b")).select(row, "_b.*")
+
+
+def running_best(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """df with best_so_far and improved: whether a row is better than all before it in its group."""
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    b = F.max(value).over(before)
+    return df.withColumn("best_so_far", F.greatest(b, F.col(value))).withColumn("improved", b.isNull() | (F.col(value) > b))
+
+
+def dense_codes(df: DataFrame, column: str) -> DataFrame:
+    """(column, code): numbers from 0 in order of value; null is -1. One row a value is ordered."""
+    d = df.select(column).distinct()
+    return d.select(column, F.when(F.col(column).isNull(), -1).otherwise(F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1).alias("code"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sequences import kmers, reverse_complement
+from ..functions.sequences import reverse_complement
 
 
 def vocabulary(df: DataFrame, column: str, unknown: int = 0) -> DataFrame:
@@ -27,14 +29,41 @@ def encode(df: DataFrame, vocab: DataFrame, column: str, unknown: int = 0) -> Da
 
 
 def kmer_counts(df: DataFrame, key: str, seq: str, ks: tuple[int, ...]) -> DataFrame:
-    """(key, k, kmer, n, value): overlapping windows over all rows of a key, each k scaled to length 1; absent k-mers have no row."""
-    def tagged(k: int):
-        return F.transform(kmers(F.col(seq), k), lambda x: F.struct(F.lit(k).alias("k"), x.alias("kmer")))
+    """(key, k, kmer, n, value): overlapping windows over all rows of a key, each k scaled to length 1; absent k-mers have no row.
 
-    w = df.select(key, F.explode(F.concat(*map(tagged, ks))).alias("w")).select(key, "w.k", "w.kmer")
-    c = w.groupBy(key, "k", "kmer").agg(F.count("*").alias("n"))
-    size = F.sqrt(F.sum(F.col("n").cast("double") * F.col("n")).over(Window.partitionBy(key, "k")))
-    return c.withColumn("value", F.col("n") / size)
+    Windows are counted inside Arrow batches by their base-4 numbers, so a row of
+    any length gives at most 4 ** k counts a k; windows with other letters than
+    A, C, G and T count nowhere.
+    """
+    code = np.full(256, 4, np.int64)
+    for i, c in enumerate(b"ACGT"):
+        code[c] = code[c + 32] = i
+
+    def run(it):
+        for batch in it:
+            sums: dict = {}
+            for name, text in zip(batch.column("key").to_pylist(), batch.column("seq").to_pylist()):
+                if not text:
+                    continue
+                x = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+                bad = np.concatenate([[0], np.cumsum(x == 4)])
+                for k in ks:
+                    m = len(x) - k + 1
+                    if m <= 0:
+                        continue
+                    number = np.zeros(m, np.int64)
+                    for j in range(k):
+                        number = number * 4 + x[j : j + m]
+                    found = np.bincount(number[bad[k:] == bad[:-k]], minlength=4**k)
+                    sums[name, k] = sums[name, k] + found if (name, k) in sums else found
+            rows = [(name, k, i, int(n)) for (name, k), found in sums.items() for i, n in zip(np.flatnonzero(found).tolist(), found[found > 0])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((batch.schema.field("key").type, pa.int32(), pa.int64(), pa.int64()))], ["key", "k", "number", "n"])
+
+    kind = df.schema[key].dataType.simpleString()
+    c = df.select(F.col(key).alias("key"), F.col(seq).alias("seq")).mapInArrow(run, f"key {kind}, k int, number long, n long").groupBy("key", "k", "number").agg(F.sum("n").alias("n"))
+    letters = F.array_join(F.transform(F.sequence(F.col("k") - 1, F.lit(0), F.lit(-1)), lambda j: F.substr(F.lit("ACGT"), (F.shiftright(F.col("number"), 0) / F.pow(F.lit(4.0), j)).cast("long") % 4 + 1, F.lit(1))), "")
+    size = F.sqrt(F.sum(F.col("n").cast("double") * F.col("n")).over(Window.partitionBy("key", "k")))
+    return c.select(F.col("key").alias(key), "k", letters.alias("kmer"), "n", (F.col("n") / size).alias("value"))
 
 
 def kmer_vectors(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
@@ -45,16 +74,22 @@ def kmer_vectors(df: DataFrame, key: str, seq: str, ks: tuple[int, ...] = (1, 2,
     return df.select(key).distinct().join(have, key, "left").select(key, F.coalesce(F.when(F.col("m").isNotNull(), slots), F.array_repeat(F.lit(0.0), len(names))).alias("features"))
 
 
-def longest_gene(records: DataFrame, features: DataFrame, product_name: str = "16S", least: int = 1200, most: int = 1700) -> DataFrame:
-    """(record, start, sequence): per file the longest feature of that product with full length, the first on ties; minus strands reversed.
+def longest_gene(records: DataFrame, features: DataFrame, product_name: str = "16S", least: int = 1200, most: int = 1700, strict: bool = True) -> DataFrame:
+    """(file, record, start, sequence): per file the longest feature of that product with full length, the first on ties; minus strands reversed.
 
     records (file, record, sequence); features (file, record, start, end, strand,
-    product, ordinal), 1-based and inclusive.
+    product, ordinal), 1-based and inclusive. A file of records without such a
+    feature raises when it is read, unless strict is off, when it has no row.
     """
-    f = features.where(F.col("product").contains(product_name) & ~F.col("product").contains("partial")).join(records.select("file", "record", "sequence"), ["file", "record"])
+    n = F.col("end") - F.col("start") + 1
+    f = features.where(F.col("product").contains(product_name) & n.between(least, most)).join(records.select("file", "record", "sequence"), ["file", "record"])
     cut = F.substr("sequence", F.col("start"), F.col("end") - F.col("start") + 1)
-    f = f.withColumn("gene", F.when(F.col("strand") == "-", reverse_complement(cut)).otherwise(cut)).withColumn("n", F.length("gene")).where(F.col("n").between(least, most))
-    return f.groupBy("file").agg(F.max_by(F.struct("record", "start", F.col("gene").alias("sequence")), F.struct("n", -F.col("ordinal"))).alias("g")).select("file", "g.*")
+    f = f.withColumn("gene", F.when(F.col("strand") == "-", reverse_complement(cut)).otherwise(cut)).withColumn("n", F.length("gene"))
+    best = f.groupBy("file").agg(F.max_by(F.struct("record", "start", F.col("gene").alias("sequence")), F.struct("n", -F.col("ordinal"))).alias("g"))
+    if strict:
+        j = records.select("file").distinct().join(best, "file", "left")
+        best = j.withColumn("g", F.when(F.col("g").isNull(), F.raise_error(F.concat(F.lit("no full-length gene in "), F.col("file"))).cast(best.schema["g"].dataType)).otherwise(F.col("g")))
+    return best.select("file", "g.*")
 
 
 # Standard atomic weights.

@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, which cuts the lineage of an iteration."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        path = "file://" + tempfile.mkdtemp(prefix="assayloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import discard, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable. Labels spread to neighbours and then to labels' labels, so rounds grow with the logarithm of a path's length."""
-    both = _stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct())
-    label = _stored(nodes.select(F.col(node).alias("n"), F.col(node).alias("c")))
+    both = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct())
+    label = stored(nodes.select(F.col(node).alias("n"), F.col(node).alias("c")))
     for _ in range(max_rounds):
         near = both.join(label, both.b == label.n).groupBy("a").agg(F.min("c").alias("m"))
         low = label.join(near, label.n == near.a, "left").select("n", F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = low.select(F.col("n").alias("_n"), F.col("c").alias("_c"))
-        new = _stored(low.join(jump, low.c == jump._n, "left").select("n", F.coalesce("_c", "c").alias("c")))
+        new = stored(low.join(jump, low.c == jump._n, "left").select("n", F.coalesce("_c", "c").alias("c")))
         changed = new.join(label.withColumnRenamed("c", "was"), "n").where("c <> was").limit(1).count()
+        discard(label)
         label = new
         if not changed:
+            discard(both)
             return label.select(F.col("n").alias(node), F.col("c").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -53,19 +40,29 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
     that move together would swap labels for ever. Deterministic, and isolated nodes are their own community. It keeps hard
     links whole only if they were contracted before.
     """
-    both = _stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")))
-    label = _stored(nodes.select(F.col("node").alias("n"), F.col("node").alias("c")))
+    both = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")))
+    label = stored(nodes.select(F.col("node").alias("n"), F.col("node").alias("c")))
     for k in range(rounds):
         votes = both.join(label, both.b == label.n).groupBy("a", "c").agg(F.sum("weight").alias("w"))
         own = label.select(F.col("n").alias("a"), "c", F.lit(1e-9).alias("w"))
         best = votes.unionByName(own).groupBy("a", "c").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("c", F.struct(-F.round("w", 9), F.col("c"))).alias("c"))
         moves = F.pmod(F.xxhash64(F.lit(k), "n"), F.lit(2)) == 0
-        label = _stored(label.join(best.select("a", F.col("c").alias("_c")), label.n == best.a, "left").select("n", F.when(moves, F.coalesce("_c", "c")).otherwise(F.col("c")).alias("c")))
+        label = stored(label.join(best.select("a", F.col("c").alias("_c")), label.n == best.a, "left").select("n", F.when(moves, F.coalesce("_c", "c")).otherwise(F.col("c")).alias("c")))
     return label.select(F.col("n").alias("node"), F.col("c").alias("community"))
 
 
+#: Nodes and edges that the driver holds for leader clusters.
+MOST_EDGES = 20_000_000
+
+
 def leader_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, leader): greedy clusters, the node with most neighbours left first (smallest on ties). One pass on the driver over the edge list, for contracted graphs."""
+    """(node, leader): greedy clusters, the node with most neighbours left first (smallest on ties).
+
+    One pass on the driver over the edge list, for contracted graphs of up to
+    MOST_EDGES nodes and edges; larger ones raise.
+    """
+    if nodes.count() + edges.count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} nodes and edges; contract the graph first")
     near: dict = {r["node"]: set() for r in nodes.select("node").toLocalIterator()}
     for r in edges.select("src", "dst").toLocalIterator():
         near[r["src"]].add(r["dst"])
@@ -114,3 +111,48 @@ def with_singletons(nodes: DataFrame, table: DataFrame) -> DataFrame:
     top = table.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("_top"))
     fresh = j.where("community is null").withColumn("_r", F.row_number().over(Window.orderBy("node"))).crossJoin(top).select("node", (F.col("_top") + F.col("_r")).alias("community"))
     return j.where("community is not null").unionByName(fresh)
+
+
+def edge_union(*edges: DataFrame) -> DataFrame:
+    """(src, dst) of all edge tables, each pair once and with the smaller node first; weights are dropped."""
+    out = None
+    for e in edges:
+        one = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst")
+        out = one if out is None else out.union(one)
+    return out.distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, degree) of a union graph; nodes without edges are kept with 0."""
+    e = edge_union(edges)
+    d = e.select(F.col("src").alias("node")).union(e.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
+    return nodes.select("node").join(d, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def average_linkage(pairs: DataFrame, nodes: DataFrame, n_clusters: int, most: int = 5000) -> DataFrame:
+    """(node, cluster): average linkage on 1 - share of pairs (i, j, share), absent pairs at distance 1, until n_clusters are left.
+
+    Runs on the driver over a matrix of at most most nodes squared; more raise.
+    Clusters are numbered by their smallest node.
+    """
+    import numpy as np
+
+    names = sorted(r[0] for r in nodes.select("node").limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} nodes; contract the graph first")
+    at = {x: k for k, x in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    for r in pairs.toLocalIterator():
+        d[at[r["i"]], at[r["j"]]] = d[at[r["j"]], at[r["i"]]] = 1 - r["share"]
+    np.fill_diagonal(d, np.inf)
+    size, of = np.ones(len(names)), np.arange(len(names))
+    for _ in range(max(0, len(names) - n_clusters)):
+        a, b = sorted(divmod(int(d.argmin()), len(names)))
+        merged = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
+        d[a], d[:, a], d[b], d[:, b] = merged, merged, np.inf, np.inf
+        d[a, a] = np.inf
+        size[a] += size[b]
+        of[of == b] = a
+    number = {c: k for k, c in enumerate(dict.fromkeys(of.tolist()))}
+    rows = [(x, number[int(c)]) for x, c in zip(names, of)]
+    return nodes.sparkSession.createDataFrame(rows, nodes.select(F.col("node"), F.lit(0).alias("cluster")).schema)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Clusters that one driver arranges; each is an entry of some bytes.
+MOST_CLUSTERS = 2_000_000
+
+
 class SplitError(ValueError):
     """Clusters cannot be split as asked."""
 
@@ -21,12 +25,15 @@ class BucketPlan:
 
 
 def assign_buckets(size: dict, special: dict, active: dict, targets: dict[str, float], weight_special: float = 8.0, weight_active: float = 0.0, tries: int = 40_000, seed: int = 42) -> BucketPlan:
-    """Clusters to buckets: largest first to the bucket farthest below its target, then seeded swaps that lower the objective.
+    """Clusters to buckets: largest first to the bucket that lacks most rows, then seeded swaps that lower the objective.
 
     Objective: squared relative size errors, plus weighted squared deviations of
     each bucket's special and active rates from the overall ones. Runs on the
-    driver over one entry a cluster; same input and seed give the same result.
+    driver over one entry a cluster, up to MOST_CLUSTERS of them; same input and
+    seed give the same result.
     """
+    if len(size) > MOST_CLUSTERS:
+        raise SplitError(f"{len(size)} clusters are more than {MOST_CLUSTERS}; merge small ones first")
     if not size:
         raise SplitError("no clusters")
     if set(size) != set(special) or set(size) != set(active):
@@ -43,7 +50,7 @@ def assign_buckets(size: dict, special: dict, active: dict, targets: dict[str, f
     held = np.zeros((len(names), 3))
     at = np.empty(len(keys), int)
     for k, row in enumerate(x):
-        b = int(np.argmax((goal - held[:, 0]) / goal))
+        b = int(np.argmin(held[:, 0] - goal))
         at[k] = b
         held[b] += row
 
@@ -73,7 +80,8 @@ def cluster_rollup(df: DataFrame, cluster: str, special: str, active: str) -> Da
 
 def stratified_split(df: DataFrame, cluster: str, special: str, active: str, test: float = 0.2, folds: int = 5, **how) -> DataFrame:
     """df with split (train or test) and fold_id (null for test); clusters stay whole. One small row a cluster goes to the driver."""
-    rows = cluster_rollup(df, cluster, special, active).collect()
+    rollup = cluster_rollup(df, cluster, special, active)
+    rows = rollup.limit(MOST_CLUSTERS + 1).collect()
     targets = {"test": test} | {f"fold_{i}": (1 - test) / folds for i in range(folds)}
     plan = assign_buckets({r[0]: r["size"] for r in rows}, {r[0]: r["special"] for r in rows}, {r[0]: r["active"] for r in rows}, targets, **how)
     table = df.sparkSession.createDataFrame([(c, b) for c, b in plan.bucket_of.items()], f"_c {dict(df.dtypes)[cluster]}, bucket string")

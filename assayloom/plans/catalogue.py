@@ -206,21 +206,11 @@ def dedup_conflict(spark, sf):
     return A.distinct_or_conflict(t(spark, sf, "orders"), "o_custkey", ["o_orderpriority"], {"n_rows": F.count("*"), "n_final": F.count_if(F.col("o_orderstatus") == "F")})
 
 
-@query("""
-SELECT DISTINCT i, j FROM (
-  SELECT min(doc_id) OVER (PARTITION BY text) AS i, doc_id AS j FROM documents UNION ALL
-  SELECT min(doc_id) OVER (PARTITION BY upper(text[:200])) AS i, doc_id AS j FROM documents) WHERE i <> j""")
-def dup_links_first_seen(spark, sf):
-    """Each later document with the first one of equal text or equal upper-cased start."""
-    d = t(spark, sf, "documents").select("doc_id", "text", F.upper(F.substring("text", 1, 200)).alias("start"))
-    return P.first_links(d, "doc_id", ["text", "start"])
-
-
 @query("""
 SELECT DISTINCT i, j FROM (
   SELECT min(doc_id) OVER (PARTITION BY text) AS i, doc_id AS j FROM documents WHERE text IS NOT NULL UNION ALL
   SELECT min(doc_id) OVER (PARTITION BY upper(text)) AS i, doc_id AS j FROM documents WHERE text IS NOT NULL) WHERE i <> j""")
-def dup_links_whole_text(spark, sf):
+def dup_links_first_seen(spark, sf):
     """Each later document with the first one of equal text or equal upper-cased text, over the texts' whole length."""
     d = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("text"), F.sha2(F.upper("text"), 256).alias("upper"))
     return P.first_links(d, "doc_id", ["text", "upper"])
@@ -253,15 +243,8 @@ def kmer_composition(spark, sf):
     return X.kmer_counts(t(spark, sf, "documents").select("source", s.alias("s")), "source", "s", (1, 2, 3)).select("source", "k", "kmer", "n", r("value").alias("value"))
 
 
-@query(f"""SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS other FROM (SELECT doc_id, {_DNA}[5:64] AS s FROM documents)""")
-def reverse_complement(spark, sf):
-    """The other strand of a stretch of each text's letters."""
-    s = F.substring(_dna(), 5, 60)
-    return t(spark, sf, "documents").select("doc_id", S.reverse_complement(s).alias("other"))
-
-
 @query(f"""SELECT doc_id, length(s) AS n, length(s) BETWEEN 1200 AND 1700 AS full_length, reverse(translate(s, 'ACGT', 'TGCA')) AS other FROM (SELECT doc_id, {_DNA} AS s FROM documents)""")
-def reverse_complement_whole(spark, sf):
+def reverse_complement(spark, sf):
     """The other strand of each whole text's letters, and whether their number is that of a full gene."""
     d = t(spark, sf, "documents").select("doc_id", _dna().alias("s"))
     n = F.length("s").cast("bigint")
@@ -346,20 +329,19 @@ def max_sim_share(spark, sf):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_nationkey % 5 + 1000000 AS b FROM customer WHERE c_custkey % 3 = 0 UNION SELECT DISTINCT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 7 = 1),
-v AS (SELECT a AS n FROM e UNION SELECT b FROM e), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-c(n, l) AS (SELECT n, n FROM v UNION SELECT u.b, least(c.l, u.b) FROM c JOIN u ON u.a = c.n WHERE c.l < u.b)
+WITH RECURSIVE e AS (SELECT DISTINCT least(a.doc_id, b.doc_id) AS a, greatest(a.doc_id, b.doc_id) AS b FROM documents a JOIN documents b ON upper(a.text) = upper(b.text) AND a.doc_id <> b.doc_id),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(n, l) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, least(c.l, u.b) FROM c JOIN u ON u.a = c.n WHERE c.l < u.b)
 SELECT n AS node, min(l) AS component FROM c GROUP BY n""")
 def components_contract(spark, sf):
-    """Connected components of a customer graph."""
-    c = t(spark, sf, "customer")
-    e = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("src"), (F.col("c_nationkey") % 5 + 1000000).cast("bigint").alias("dst")).union(c.where("c_custkey % 7 = 1").select("c_custkey", F.col("c_custkey") + 1)).distinct()
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    return G.components(nodes, e)
+    """Connected components of all documents under links to the first one of equal upper-cased text; documents without links are their own."""
+    d = t(spark, sf, "documents").select("doc_id", F.sha2(F.upper("text"), 256).alias("upper"))
+    links = P.first_links(d, "doc_id", ["upper"]).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    return G.components(d.select(F.col("doc_id").alias("node")), links)
 
 
 @query("""
-WITH d AS (SELECT doc_id, length(text) AS n, upper(text) AS u, upper(text[:200]) AS s FROM documents),
+WITH d AS (SELECT doc_id, length(text) AS n, upper(text) AS u, source || '|' || lang AS s FROM documents),
 g AS (SELECT *, CASE WHEN u IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY u) END AS c, min(doc_id) OVER (PARTITION BY s) AS head FROM d),
 e AS (SELECT least(a.c, b.c) AS src, greatest(a.c, b.c) AS dst, max(least(a.n, b.n) / greatest(a.n, b.n, 1)) AS weight FROM g a JOIN g b ON a.head = b.doc_id WHERE a.c <> b.c AND a.s IS NOT NULL GROUP BY ALL),
 v AS (SELECT c, count(*) AS n_nodes FROM g GROUP BY 1)
@@ -367,9 +349,9 @@ SELECT c AS component, n_nodes, dst AS other, round(weight, 6) AS weight FROM v
 def contracted_documents(spark, sf):
     """All documents with copies contracted: each component, its size and its edges to later ones; null without one.
 
-    Edges lead to the first document of equal upper-cased start, weighted by the ratio of lengths.
+    Edges lead to the first document of equal source and language, weighted by the ratio of lengths.
     """
-    d = t(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.sha2(F.upper("text"), 256).alias("upper"), F.upper(F.substring("text", 1, 200)).alias("start"))
+    d = t(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), F.sha2(F.upper("text"), 256).alias("upper"), F.concat_ws("|", "source", "lang").alias("start"))
     links = P.first_links(d, "doc_id", ["upper"]).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     node_of = G.components(d.select(F.col("doc_id").alias("node")), links)
     i, j = d.select(F.col("doc_id").alias("i"), F.col("n").alias("_a")), d.select(F.col("doc_id").alias("j"), F.col("n").alias("_b"))
@@ -513,18 +495,10 @@ def qa_keys(spark, sf):
     return C.key_summary(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity"])
 
 
-@query("""
-WITH p AS (SELECT doc_id, quality AS part FROM labels), i AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0), g AS (SELECT doc_id, count(DISTINCT part) AS n FROM p GROUP BY 1)
-SELECT count(*) FILTER (WHERE n > 1) AS in_several, count(*) FILTER (WHERE n IS NULL) AS uncovered, count(*) FILTER (WHERE i.doc_id IS NULL) AS orphans FROM i FULL JOIN g USING (doc_id)""")
-def qa_split_cover(spark, sf):
-    """Whether parts are disjoint and cover the items."""
-    return C.disjoint_cover(t(spark, sf, "documents").where("doc_id % 2 = 0"), t(spark, sf, "labels"), "doc_id", "quality")
-
-
 @query("""
 WITH p AS (SELECT doc_id, quality AS part FROM labels), i AS (SELECT DISTINCT doc_id FROM documents), g AS (SELECT doc_id, count(DISTINCT part) AS n FROM p GROUP BY 1)
 SELECT count(*) FILTER (WHERE n > 1) AS in_several, count(*) FILTER (WHERE n IS NULL) AS uncovered, count(*) FILTER (WHERE i.doc_id IS NULL) AS orphans FROM i FULL JOIN g USING (doc_id)""")
-def qa_split_cover_all(spark, sf):
+def qa_split_cover(spark, sf):
     """Whether the labels' parts are disjoint and cover all documents."""
     return C.disjoint_cover(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id", "quality")
 
@@ -538,18 +512,11 @@ def qa_expected_counts(spark, sf):
     return C.expected_counts(found, spark.createDataFrame([("en", 1), ("xx", 5)], "k string, n long"), "k").na.fill(0, ["found", "expected"])
 
 
-_STRUCTURE = r"(\[[^\]]+\]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9])"
-
-
-@query(f"""SELECT page_id, len(x) AS n, list_aggregate(x[:20], 'string_agg', ' ') AS head FROM (SELECT page_id, regexp_extract_all(html, '{_STRUCTURE}', 1) AS x FROM pages)""")
-def tokenize_structures(spark, sf):
-    """Structure tokens found in pages."""
-    x = S.structure_tokens(F.col("html"))
-    return t(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", F.size("x").cast("bigint").alias("n"), F.array_join(F.slice("x", 1, 20), " ").alias("head"))
+_STRUCTURE = r"(\([^\(\)]{0,4}\)|\[[^\]]+]|Br?|Cl?|[NOSPFIbcnops().=#+\\:~@?*$-]|//?|>>?|%[0-9]{2}|[0-9])"
 
 
 @query(f"""SELECT page_id, len(x) AS n, coalesce(list_aggregate(x, 'string_agg', ' '), '') AS tokens FROM (SELECT page_id, regexp_extract_all(html, '{_STRUCTURE}', 1) AS x FROM pages)""")
-def tokenize_structures_whole(spark, sf):
+def tokenize_structures(spark, sf):
     """All structure tokens of each page, in order."""
     x = S.structure_tokens(F.col("html"))
     return t(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", F.size("x").cast("bigint").alias("n"), F.array_join("x", " ").alias("tokens"))
@@ -614,3 +581,6 @@ def balance_audit(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("bucket"), (F.col("o_orderkey") % 4 == 0).alias("special"))
     a = B.audit(o, "bucket", "special", o.select("bucket").distinct().withColumn("target", F.lit(0.4)), 0.1)
     return a.select("bucket", "n", *[r(c).alias(c) for c in ("share", "share_off", "rate", "rate_off")], "balanced")
+
+
+from . import curation, modelling  # noqa: E402, F401  these register more queries

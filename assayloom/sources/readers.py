@@ -130,9 +130,104 @@ def write_csv(df: DataFrame, path: str, columns: list[str], compress: bool = Fal
     df.select(*columns).write.mode("overwrite").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
 
-def artifact(df: DataFrame, method: str) -> str:
-    """A small table's rows as one JSON document with its method, keys sorted."""
-    return json.dumps({"method": method, "rows": [r.asDict(recursive=True) for r in df.collect()]}, sort_keys=True)
+def artifact(df: DataFrame, method: str, most: int = 100_000) -> str:
+    """A small table's rows as one JSON document with its method, keys sorted; more than most rows raise."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no artifact; write them as a table")
+    return json.dumps({"method": method, "rows": [r.asDict(recursive=True) for r in rows]}, sort_keys=True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with that text, by Spark's own file system."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str, missing: str = "(not written yet)") -> str:
+    """A small file's text, or a placeholder if it does not exist."""
+    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else missing
+
+
+def provenance(df: DataFrame, run: str) -> str:
+    """Rows of each run and the list of runs as JSON, for the record beside a result."""
+    rows = df.groupBy(run).count().orderBy(run).collect()
+    return json.dumps({"rows_per_run": {r[0]: r["count"] for r in rows}, "runs": [r[0] for r in rows]}, sort_keys=True)
+
+
+def latex_table(rows: list[dict], columns: list[str] | None = None, digits: int = 3) -> str:
+    """A small table as LaTeX tabular lines; numbers with a fixed number of digits."""
+    columns = columns or (list(rows[0]) if rows else [])
+    mark = {"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$"}
+    cell = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else "".join(mark.get(c, c) for c in str(v))
+    line = lambda cells: " & ".join(cells) + r" \\"
+    head = [r"\begin{tabular}{" + "l" + "r" * (len(columns) - 1) + "}", r"\toprule", line(map(cell, columns)), r"\midrule"]
+    return "\n".join([*head, *(line(cell(r.get(c)) for c in columns) for r in rows), r"\bottomrule", r"\end{tabular}"]) + "\n"
+
+
+def first_accession(reports: DataFrame, key: str = "taxon") -> DataFrame:
+    """(key, accession): the first report of each key by its place, null accessions passed over; from (key, place, accession)."""
+    return reports.groupBy(key).agg(F.min_by("accession", F.when(F.col("accession").isNotNull(), F.col("place"))).alias("accession"))
+
+
+def archive_fasta(spark: SparkSession, path: str, suffix: str = ".fna") -> DataFrame:
+    """(file, text): the members of each zip archive with that suffix, one after the other in order of their names."""
+    m = archive_members(spark, path, suffix)
+    return m.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("member", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def archive_first(spark: SparkSession, path: str, suffix: str = ".gff") -> DataFrame:
+    """(file, text): the first member of each zip archive with that suffix, by name."""
+    return archive_members(spark, path, suffix).groupBy("file").agg(F.min_by("text", "member").alias("text"))
+
+
+def crawl(ids: DataFrame, get, out: str, tries: int = 3, pause: float = 0.5, key: str = "id") -> DataFrame:
+    """Fetches the ids that the JSON-lines folder out does not have yet, appends them, and returns one row (fetched, not_found, failed, skipped).
+
+    Ids that failed are not written, so that the next run tries them again.
+    """
+    spark = ids.sparkSession
+    have = fetched_ids(spark, out, key) if exists(spark, out) else spark.createDataFrame([], f"{key} long")
+    todo = ids.select(key).distinct().join(have, key, "left_anti")
+    got = fetch(todo.withColumnRenamed(key, "id"), get, tries, pause).withColumnRenamed("id", key)
+    # one read of the source: what it said is written before it is counted
+    from .scratch import stored
+
+    got = stored(got, "crawl")
+    got.where("status <> 'error'").write.mode("append").json(out)
+    tally = got.agg(F.count_if(F.col("status") == "ok").alias("fetched"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.count_if(F.col("status") == "error").alias("failed"))
+    skipped = ids.select(key).distinct().join(have, key, "left_semi").agg(F.count("*").alias("skipped"))
+    return tally.crossJoin(skipped)
+
+
+def fetch_missing(wanted: DataFrame, have: DataFrame, get, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """(id, status, payload) of the wanted ids that have lacks; any that fails raises with the tally."""
+    from .scratch import stored
+
+    got = stored(fetch(wanted.select("id").join(have.select("id"), "id", "left_anti"), get, tries, pause), "crawl")
+    tally = {r["status"]: r["count"] for r in got.groupBy("status").count().collect()}
+    if tally.get("error"):
+        raise RuntimeError(f"some files could not be fetched: {dict(sorted(tally.items()))}")
+    return got
+
+
+def save_model(model, path: str, facts: dict) -> None:
+    """A fitted pyspark.ml model with the facts that are needed to use it."""
+    from pyspark.sql import SparkSession as Session
+
+    model.write().overwrite().save(f"{path}/model")
+    write_text(Session.getActiveSession(), f"{path}/facts.json", json.dumps(facts, sort_keys=True))
+
+
+def load_model(kind, path: str) -> tuple:
+    """save_model()'s model of that class, and its facts."""
+    from pyspark.sql import SparkSession as Session
+
+    return kind.load(f"{path}/model"), json.loads(read_text(Session.getActiveSession(), f"{path}/facts.json"))
 
 
 def with_ordinal(df: DataFrame, order: list) -> DataFrame:

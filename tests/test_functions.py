@@ -30,6 +30,33 @@ def test_parse_bounds(spark, text, low, high):
     assert got["reason"] == ("ok" if low is not None else "missing" if text in (None, "", "NA") else "unreadable")
 
 
+def test_spread_of_zero(spark):
+    """Only the compatible form deletes a spread of 0.0 from within longer ones."""
+    rows = [("5±0.05",), ("8±0.0",), ("NANA",)]
+    plain, compat = (values(spark, rows, "t string", M.parse_bounds(F.col("t"), compat=c)) for c in (False, True))
+    assert [tuple(x)[:2] for x in plain] == [(4.95, 5.05), (8.0, 8.0), (None, None)] and plain[2]["reason"] == "unreadable"
+    assert [tuple(x)[:2] for x in compat] == [(55.0, 55.0), (8.0, 8.0), (None, None)]
+
+
+def test_numbers_as_text(spark):
+    rows = [(" 12 ",), ("1.5",), ("1e3",), ("-2",), ("x",), ("",), (None,)]
+    assert values(spark, rows, "t string", M.plain_number(F.col("t")), M.coerced(F.col("t"))) == [(True, 12.0), (True, 1.5), (False, 1000.0), (False, -2.0), (False, None), (False, None), (False, None)]
+    assert values(spark, [(1234567,)], "n long", M.thousands(F.col("n"))) == ["1,234,567"]
+    assert M.next_version("# Log\n## [1.2.9]\n## 1.2.10 - today\n") == "1.2.11" and M.next_version("") == "0.1.0"
+
+
+def test_structure_tokens(spark):
+    got = values(spark, [("C>>N",), ("C(=O)[nH]//Br%12",)], "s string", S.structure_tokens(F.col("s")))
+    assert got == [["C", ">>", "N"], ["C", "(=O)", "[nH]", "//", "Br", "%12"]]
+
+
+def test_run_names_and_padding(spark):
+    rows = [("rdkit_vocab_cv",), ("rdkit_other_cv",), ("a_b",), ("x",)]
+    assert values(spark, rows, "r string", S.pretty_label(F.col("r")), S.run_parts(F.col("r"))) == [("RDKit × vocab", ("rdkit", "vocab")), ("rdkit_other_cv", ("rdkit", "other")), ("a_b", None), ("x", None)]
+    rows = [(" A", "A"), ("A", "A"), ("A", "A "), (None, "A")]
+    assert values(spark, rows, "a string, b string", S.whitespace_state(F.col("a"), F.col("b"))) == ["as_expected", "source_copy_unexpectedly_cleaned", "final_dataset_unexpectedly_dirty", "missing_from_one_or_both_sources"]
+
+
 def test_censoring_order(spark):
     rows = [(None, 1.0), (0.0, 0.0), (0.0, 4.0), (3.0, INF), (4.0, 4.0), (4.0, 8.0)]
     assert values(spark, rows, "a double, b double", M.censoring(F.col("a"), F.col("b"))) == ["missing", "censored", "censored", "censored", "exact", "ranged"]
@@ -77,7 +104,7 @@ def test_sequences(spark):
     rows = [("ACGTN",), ("acgtn",), ("",), (None,)]
     assert values(spark, rows, "s string", S.reverse_complement(F.col("s"))) == ["NACGT", "nacgt", "", None]
     assert values(spark, [("AAAA",), ("ACNGT",), ("A",), ("",), ("acg",)], "s string", S.kmers(F.col("s"), 2)) == [["AA", "AA", "AA"], ["AC", "GT"], [], [], ["AC", "CG"]]
-    assert values(spark, [("ACD",), ("AcX",), ("AB1",)], "s string", S.residue_kinds(F.col("s")), S.outside_alphabet(F.col("s"))) == [("", False), ("lowercase+placeholder", True), ("symbol+unusual_letter", True)]
+    assert values(spark, [("ACD",), ("AcX",), ("AB1",)], "s string", S.residue_kinds(F.col("s")), S.outside_alphabet(F.col("s"))) == [("canonical", False), ("D-canonical-residue+other_unresolved(has_smiles)", True), ("dab+other_char:1", True)]
     assert values(spark, [(" D-orn ",), ("Dab",)], "s string", S.residue_code(F.col("s"))) == [("ORN", True), ("DAB", False)]
     assert values(spark, [("AXX", [(2, "ORN"), (3, "FOO")])], "s string, u array<struct<pos:int,name:string>>", S.common_sequence(F.col("s"), F.col("u"))) == ["AOX"]
     assert values(spark, [("CCO", "ACT", "AMD"), ("CCO", None, None)], "s string, n string, c string", S.with_termini(*map(F.col, "snc"))) == ["CC(=O)CCN", "CCO"]

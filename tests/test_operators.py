@@ -263,18 +263,20 @@ def tables(spark, path, **rows):
 def test_dup_links_compare_whole_texts(spark, tmp_path):
     start = "word " * 50
     sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, start + "b"), (3, (start + "A").upper()), (4, start + "b"), (5, None), (6, None)], "doc_id long, text string"))
-    assert as_set(catalogue.QUERIES["dup_links_whole_text"](spark, sf)) == {(1, 3), (2, 4)}
+    assert as_set(catalogue.QUERIES["dup_links_first_seen"](spark, sf)) == {(1, 3), (2, 4)}
 
 
 def test_split_cover_reads_all_documents(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([(k,) for k in range(6)], "doc_id long"), labels=([(1, 0), (1, 1), (3, 0), (4, 1), (9, 0)], "doc_id long, quality int"))
-    assert as_set(catalogue.QUERIES["qa_split_cover_all"](spark, sf)) == {(1, 3, 1)}
+    assert as_set(catalogue.QUERIES["qa_split_cover"](spark, sf)) == {(1, 3, 1)}
 
 
 def test_contracted_documents_keep_isolated_nodes(spark, tmp_path):
     start = "word " * 50
-    sf = tables(spark, tmp_path, documents=([(1, start + "a"), (2, (start + "a").upper()), (3, start + "bbb"), (4, "alone"), (5, None), (6, start + "BBB"), (7, "")], "doc_id long, text string"))
+    rows = [(1, start + "a", "s", "en"), (2, (start + "a").upper(), "s", "en"), (3, start + "bbb", "s", "en"), (4, "alone", "t", "en"), (5, None, "u", "de"), (6, start + "BBB", "s", "en"), (7, "", "v", "fr")]
+    sf = tables(spark, tmp_path, documents=(rows, "doc_id long, text string, source string, lang string"))
     assert as_set(catalogue.QUERIES["contracted_documents"](spark, sf)) == {(1, 2, 3, round(251 / 253, 6)), (3, 2, None, None), (4, 1, None, None), (5, 1, None, None), (7, 1, None, None)}
+    assert as_set(catalogue.QUERIES["components_contract"](spark, sf)) == {(1, 1), (2, 1), (3, 3), (6, 3), (4, 4), (5, 5), (7, 7)}
 
 
 def test_shingle_pairs_of_documents(spark, tmp_path):
@@ -302,5 +304,5 @@ def test_shingle_pairs_of_documents(spark, tmp_path):
 
 def test_whole_texts_are_complemented_and_tokenized(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([(1, "e" * 100 + "i" * 1200), (2, "")], "doc_id long, text string"), pages=([(1, "C" * 30 + "N"), (2, "")], "page_id long, html string"))
-    assert as_set(catalogue.QUERIES["reverse_complement_whole"](spark, sf)) == {(1, 1300, True, "G" * 1200 + "T" * 100), (2, 0, False, "")}
-    assert as_set(catalogue.QUERIES["tokenize_structures_whole"](spark, sf)) == {(1, 31, "C " * 30 + "N"), (2, 0, "")}
+    assert as_set(catalogue.QUERIES["reverse_complement"](spark, sf)) == {(1, 1300, True, "G" * 1200 + "T" * 100), (2, 0, False, "")}
+    assert as_set(catalogue.QUERIES["tokenize_structures"](spark, sf)) == {(1, 31, "C " * 30 + "N"), (2, 0, "")}
