@@ -27,7 +27,7 @@ from .common import append
 
 KINDS = ("email", "ip", "card", "phone")
 NAMES = (*KINDS, "secret")  # the network's kinds
-TAGS = 1 + 2 * len(NAMES)  # outside, then begin and inside of each kind
+TAGS = 1 + len(NAMES)  # outside, then inside of each kind; spans of one kind never touch
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -356,7 +356,7 @@ class Writer:
         d = self.digits
         return self.pick([
             f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"${d(2)}.{d(2)}", f"{d(1)}.{d(2)}.{d(1)}", f"v{d(1)}.{d(1)}", f"{d(4)}", f"{d(6)}", f"no. {d(5)}", f"#{self.chars('0123456789abcdef', 6, 6)}",
-            f"@{self.word()}", f"page {d(3)}-{d(3)}", f"{d(1)} at {d(2)}", f"a dot and {self.word()} at noon", f"{d(3)}%", f"{d(1)}/{d(2)}", f"token {self.word()}", f"the password {self.word()} was", f"secret: {self.word()} {self.word()}", f'key = "{self.word()}"', f"{self.word().upper()} {self.word().upper()}",
+            f"@{self.word()}", f"page {d(3)}-{d(3)}", f"{d(1)} at {d(2)}", f"a dot and {self.word()} at noon", f"{d(3)}%", f"{d(1)}/{d(2)}", f"token {self.word()}", f"the password {self.word()} was", f"secret: {self.word()} {self.word()}", f'key = "{self.word()}"', f"{self.word().upper()} {self.word().upper()}", f"{self.word().upper()}{self.pick(['!!', '!', '###', '$$$', '&&&', '%%%'])} {self.word().upper()}!!",
             f"id {d(7)}", f"{self.word()}-{self.word()}-{d(2)}", f"{d(8)}", f"http://{self.word()}.com/{self.word()}", f"{d(1)}e-{d(2)}", f"[{d(2)}]", f"({d(4)})", f"{self.word()}{d(3)}", f"{self.word()}. " * int(self.r.integers(2, 20)), f"{self.pick([self.word(), self.word().title(), 'at', 'to', 'At', 'dot'])} " * int(self.r.integers(3, 60)), f"{self.word()} " * int(self.r.integers(3, 30)), f"{self.word()}{self.pick(['. ', ', ', '! '])}" * int(self.r.integers(3, 30)), f"{self.word()}@{self.word()}", "!" * int(self.r.integers(2, 9)),
         ])
 
@@ -387,12 +387,11 @@ class Writer:
 def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     y = np.zeros(n, np.int64)
     for a, b, k in spans:
-        y[a:b] = 2 + 2 * k
-        y[a] = 1 + 2 * k
+        y[a:b] = 1 + k
     return y
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 900, batch: int = 64, rate: float = 0.02, seed: int = 11, span: int = 160) -> Tagger:
+def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 1200, batch: int = 64, rate: float = 0.02, seed: int = 11, span: int = 160) -> Tagger:
     """Adam on the CRF's likelihood over stretches of span characters of the labelled texts; the same input gives the same network."""
     net, r = Tagger(seed=seed), np.random.default_rng(seed)
     code, tags = [_classes(t) for t in texts], [_tags(len(t), s) for t, s in zip(texts, spans)]
@@ -447,12 +446,10 @@ def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[t
             lo = OVERLAP // 2 if a else 0
             hi = len(tags) if a + len(tags) == len(y) else len(tags) - OVERLAP // 2
             y[a + lo : a + hi], q[a + lo : a + hi] = tags[lo:hi], p[lo:hi]
-        for b in np.flatnonzero(y % 2 == 1).tolist():
-            e = b + 1
-            while e < len(y) and y[e] == y[b] + 1:
-                e += 1
-            if q[b:e].mean() >= sure and q[b:e].min() >= min(sure, 0.5):
-                out[k].append((b, e, int(y[b] - 1) // 2))
+        edge = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
+        for b, e in zip(edge, edge[1:]):
+            if y[b] and q[b:e].mean() >= sure and q[b:e].min() >= min(sure, 0.5):
+                out[k].append((b, e, int(y[b]) - 1))
     return out
 
 
@@ -492,7 +489,10 @@ def fit(docs: DataFrame, sample: int = 300, passage: int = 1500, copies: int = 3
     on the written forms alone; null texts take no part, and other columns none.
     """
     write = Writer(np.random.default_rng(seed))
-    got = [write.passage(t) for t in sample_passages(docs, sample, passage) or ["a b c"] * sample for _ in range(copies)]
+    texts = sample_passages(docs, sample, passage) or ["a b c"] * sample
+    got = [write.passage(t) for t in texts for _ in range(copies)]
+    # texts of a word or two, too, as they have no context
+    got += [(t, labelled_spans(t)) for x in texts for t in (" ".join(x.split()[:2]), x[-12:], x.split()[-1].upper() + "!!" if x.split() else "")]
     return train([t for t, _ in got], [s for _, s in got], **how)
 
 
