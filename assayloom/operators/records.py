@@ -21,7 +21,7 @@ def _array(c: str) -> Column:
 
 def annotations(unusual: Column) -> Column:
     """array<struct<pos, name>> of complete annotations: both position and name known."""
-    pairs = F.transform(unusual, lambda u: F.struct(u["position"].alias("pos"), u["modificationType.name"].alias("name")))
+    pairs = F.transform(unusual, lambda u: F.struct(u["position"].alias("pos"), u["modificationType"]["name"].alias("name")))
     return F.coalesce(F.filter(pairs, lambda p: p["pos"].isNotNull() & p["name"].isNotNull()), F.array().cast("array<struct<pos:int,name:string>>"))
 
 
@@ -117,7 +117,8 @@ def refusal(sequence_reasons: Column, n_terminus: Column, c_terminus: Column, n_
 
 def entity_counts(flat: DataFrame, lists: dict[str, Column]) -> DataFrame:
     """(entity, value, n): how often each value stands in arrays of values, by entity name, in one pass."""
-    pairs = F.concat(*[F.transform(c, lambda v, name=name: F.struct(F.lit(name).alias("entity"), v.cast("string").alias("value"))) for name, c in lists.items()])
+    named = lambda name: lambda v: F.struct(F.lit(name).alias("entity"), v.cast("string").alias("value"))
+    pairs = F.concat(*[F.transform(c, named(name)) for name, c in lists.items()])
     return flat.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity", "value").agg(F.count("*").alias("n"))
 
 

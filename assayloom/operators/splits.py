@@ -129,3 +129,34 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFra
 def leave_one_out(df: DataFrame, fold: str, n: int) -> DataFrame:
     """Each row once a round of n, with eval_group val in its own fold's round, else fit; all rounds in one plan."""
     return df.withColumn("val_fold_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("eval_group", F.when(F.col(fold) == F.col("val_fold_id"), "val").otherwise("fit"))
+
+
+def homology_split(nodes: DataFrame, same: list, key: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """((node, component, split), links): whole components in hash order until the test share is reached, the crossing one in.
+
+    same: (table, columns) pairs; rows that agree in one of the columns are
+    linked to the first of them and stay on one side. Components are counted, not
+    rows, where the prefix is found.
+    """
+    from .graph import components
+    from .similarity import first_links
+
+    links = None
+    for table, columns in same:
+        one = first_links(table, key, columns).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+        links = one if links is None else links.unionByName(one)
+    node_of = components(nodes, links)
+    sizes = node_of.groupBy("component").agg(F.count("*").alias("n"))
+    chosen = greedy_prefix(sizes, [F.md5(F.concat_ws(":", F.lit(seed), F.col("component").cast("string"))), F.col("component")], "n", share)
+    split = node_of.join(chosen.select("component", "chosen"), "component").select("node", "component", F.when(F.col("chosen"), "test").otherwise("train").alias("split"))
+    return split, links
+
+
+def sensitivity(size: dict, special: dict, active: dict, targets: dict[str, float], weights: list[float], seeds: list[int], tries: int = 5000) -> list[dict]:
+    """The objective and accepted swaps of a bucket search for each weight of the special rate and each seed."""
+    out = []
+    for w in weights:
+        for s in seeds:
+            plan = assign_buckets(size, special, active, targets, weight_special=w, tries=tries, seed=s)
+            out.append({"weight": w, "seed": s, "objective": plan.objective, "swaps": plan.swaps})
+    return out
