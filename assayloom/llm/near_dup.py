@@ -139,7 +139,7 @@ def _owner(same: np.ndarray) -> np.ndarray:
 
 
 def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
-    """(key, i, j, rep, comp) of rows with a partner within FAR and in another component, by pairs of blocks (i, j) of a bucket.
+    """(key, i, j, b, rep, comp) of rows with a partner within FAR and in another component, by pairs of blocks (i, j) of a bucket; b is the row's own.
 
     buckets: (key, variant, rep, comp, sig). A bucket's largest component has
     blocks of its own (numbers under 0), which only meet those of the others:
@@ -170,55 +170,62 @@ def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
             x, y = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
             ok = _owner(sig[x] == sig[y]) == pdf["variant"].iloc[0]
             own[x[ok]] = own[y[ok]] = True
-        return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "rep": rep[own], "comp": comp[own]})
-
-    return units.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, rep long, comp long")
-
-
-def common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of 0/1 matrices of bounded width."""
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, ids, n = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = n > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[ids]
-    ids, of = number[ids[keep]], of[keep]
-    order = np.argsort(ids, kind="stable")
-    ids, of = ids[order], of[order]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
-    both = np.zeros_like(out, dtype=np.float32)
-    for a in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(ids, [a, a + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[of[lo:hi], ids[lo:hi] - a] = 1
-        both += m @ m.T
-    off = ~np.eye(len(sets), dtype=bool)
-    out[off] = np.rint(both[off])
-    return out
+        return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "b": b[own], "rep": rep[own], "comp": comp[own]})
+
+    return units.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, b int, rep long, comp long")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by products of 0/1 matrices of bounded width."""
+
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (x, of_x), (y, of_y) = flat(a), flat(b)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for v, of in ((x, of_x), (y, of_y)):
+        at = np.minimum(np.searchsorted(both, v), max(len(both) - 1, 0))
+        keep = both[at] == v if len(both) else np.zeros(len(v), bool)
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((at[keep][order], of[keep][order]))
+    for k in range(0, len(both), width):
+        m = []
+        for (at, of), n in zip(sides, (len(a), len(b))):
+            lo, hi = np.searchsorted(at, [k, k + width])
+            one = np.zeros((n, width), np.float32)
+            one[of[lo:hi], at[lo:hi] - k] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return np.rint(out).astype(np.int32)
 
 
 def _links_in_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) that join the components of each unit (key, i, j), as a forest."""
 
-    def run(pdf):
-        comp, rep = pdf["comp"].to_numpy(), pdf["rep"].to_numpy()
+    def run(key, pdf):
+        comp, rep, b = pdf["comp"].to_numpy(), pdf["rep"].to_numpy(), pdf["b"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        size = np.array(list(map(len, sets)))
-        ok = _similar(common(sets), size[:, None], size[None, :], percent) & (comp[:, None] != comp[None, :])
-        top = {c: c for c in comp.tolist()}
-
-        def find(c):
-            while top[c] != c:
-                top[c] = c = top[top[c]]
-            return c
-
+        size = np.array(list(map(len, sets)), np.int32)
+        rows, cols = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
         keep = []
-        for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(ok, 1)))):
-            p, q = find(comp[x].item()), find(comp[y].item())
-            if p != q:
-                top[p] = q
-                keep.append((rep[x], rep[y]))
+        if len(rows) and len(cols):
+            ok = _similar(common([sets[x] for x in rows], [sets[x] for x in cols]), size[rows][:, None], size[cols][None, :], percent)
+            ok &= comp[rows][:, None] != comp[cols][None, :]
+            top = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while top[c] != c:
+                    top[c] = c = top[top[c]]
+                return c
+
+            for x, y in zip(*(v.tolist() for v in np.nonzero(ok))):
+                x, y = rows[x], cols[y]
+                p, q = find(comp[x].item()), find(comp[y].item())
+                if p != q:
+                    top[p] = q
+                    keep.append((rep[x], rep[y]))
         return pd.DataFrame(keep, columns=["src", "dst"], dtype="int64")
 
     return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
