@@ -65,3 +65,44 @@ def _descriptors(names: tuple[str, ...] = ()) -> Featurizer:
     from ..operators import features
 
     return Featurizer("descriptors", "vector", lambda df, _: features.descriptors(df, "smiles"))
+
+
+@peptides.register("graph")
+def _graph() -> Featurizer:
+    from pyspark.sql import functions as F
+
+    from ..operators import features
+
+    return Featurizer("graph", "graph", lambda df, _: df.withColumn("graph", features.structure_graph(F.col("smiles"))))
+
+
+@peptides.register("table")
+def _peptide_table(key: str = "peptide_id") -> Featurizer:
+    """Vectors made elsewhere, by id; fit is given their table (key, features) as it is."""
+    from ..operators import joins
+
+    return Featurizer("table", "vector", lambda df, table: joins.lookup_columns(df, table, [key]), lambda table: table)
+
+
+@organisms.register("table")
+def _organism_table(dim: int = 0) -> Featurizer:
+    """Vectors by species, else by genus, else zeros, from a table (match_key, level, features)."""
+    from pyspark.sql import functions as F
+
+    from ..operators import joins
+    from .sequences import genus
+
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return Featurizer("table", "vector", lambda df, table: joins.by_level(df, table, F.trim("organism"), genus(F.col("organism")), ["features"], {"features": zeros}), lambda table: table)
+
+
+def to_artifact(featurizer: Featurizer, options: dict) -> dict:
+    """What is stored beside features so that they can be made again."""
+    return {"method": featurizer.name, "kind": featurizer.kind, "options": options}
+
+
+def rehydrate(artifact: dict, registry: Registry) -> Featurizer:
+    """The featurizer that an artifact names; one without method raises."""
+    if "method" not in artifact:
+        raise ValueError("the artifact names no method")
+    return registry.build(artifact["method"], **artifact.get("options", {}))

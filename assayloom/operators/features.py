@@ -112,7 +112,7 @@ def parse_structure(text: str) -> tuple[list[dict], list[tuple[int, int, float]]
             h = None if m["plain"] else (int(m["h"][1:] or 1) if m["h"] else 0)
             c = m["charge"] or ""
             charge = 0 if not c else (int(c) if c.strip("+-") else (1 if c[0] == "+" else -1) * len(c))
-            atoms.append({"symbol": s.capitalize(), "aromatic": s[0].islower(), "h": h, "charge": charge})
+            atoms.append({"symbol": s.capitalize(), "aromatic": s[0].islower(), "h": h, "charge": charge, "chiral": m["chiral"] or ""})
             if last is not None:
                 both = atoms[last]["aromatic"] and atoms[-1]["aromatic"]
                 bonds.append((last, len(atoms) - 1, order or (1.5 if both else 1.0)))
@@ -163,8 +163,43 @@ def molecular_weight(smiles: pd.Series) -> pd.Series:
     return pd.Series([structure_weight(s) for s in smiles], dtype="float64")
 
 
-_COUNTS = ("heavy_atoms", "rings", "hetero_atoms", "charge", "aromatic_atoms", "double_bonds", "donors", "acceptors")
-_DESCRIPTORS = T.StructType([T.StructField("weight", T.DoubleType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTS]])
+def ring_bonds(n: int, bonds: list[tuple[int, int, float]]) -> list[bool]:
+    """Whether each bond is in a ring: a bond is in none if nothing else joins its ends."""
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for k, (i, j, _) in enumerate(bonds):
+        near[i].append((j, k))
+        near[j].append((i, k))
+    out, seen, low, clock = [True] * len(bonds), [0] * n, [0] * n, 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        clock += 1
+        seen[root] = low[root] = clock
+        stack = [(root, -1, iter(near[root]))]
+        while stack:
+            v, by, rest = stack[-1]
+            for w, k in rest:
+                if k == by:
+                    continue
+                if seen[w]:
+                    low[v] = min(low[v], seen[w])
+                else:
+                    clock += 1
+                    seen[w] = low[w] = clock
+                    stack.append((w, k, iter(near[w])))
+                    break
+            else:
+                stack.pop()
+                if stack:
+                    u = stack[-1][0]
+                    low[u] = min(low[u], low[v])
+                    if low[v] > seen[u]:
+                        out[by] = False
+    return out
+
+
+_COUNTS = ("heavy_atoms", "rings", "hetero_atoms", "charge", "aromatic_atoms", "double_bonds", "donors", "acceptors", "rotatable_bonds", "aromatic_rings")
+_DESCRIPTORS = T.StructType([T.StructField("weight", T.DoubleType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTS], T.StructField("fraction_sp3", T.DoubleType())])
 
 
 @F.pandas_udf(_DESCRIPTORS)
@@ -173,32 +208,93 @@ def _describe(smiles: pd.Series) -> pd.DataFrame:
     for s in smiles:
         got = parse_structure(s) if s else None
         if not got:
-            rows.append([None] * 9)
+            rows.append([None] * (len(_COUNTS) + 2))
             continue
         atoms, bonds = got
-        parts = (s.count(".") if s else 0) + 1
+        ring = ring_bonds(len(atoms), bonds)
+        degree = [0] * len(atoms)
+        for i, j, _ in bonds:
+            degree[i] += 1
+            degree[j] += 1
+        parts = s.count(".") + 1
+        turns = sum(o == 1 and not r and degree[i] > 1 and degree[j] > 1 for (i, j, o), r in zip(bonds, ring))
+        aromatic = [(i, j) for (i, j, o), r in zip(bonds, ring) if o == 1.5 and r]
+        in_rings = {x for b in aromatic for x in b}
+        groups = {x: x for x in in_rings}
+
+        def find(x):
+            while groups[x] != x:
+                x = groups[x]
+            return x
+
+        for i, j in aromatic:
+            groups[find(i)] = find(j)
+        carbons = [k for k, a in enumerate(atoms) if a["symbol"] == "C"]
+        flat = {x for i, j, o in bonds if o != 1 for x in (i, j)}
         hetero = [a for a in atoms if a["symbol"] not in ("C", "H")]
-        rows.append([structure_weight(s), len(atoms), len(bonds) - len(atoms) + parts, len(hetero), sum(a["charge"] for a in atoms), sum(a["aromatic"] for a in atoms), sum(o == 2 for *_, o in bonds), sum(a["symbol"] in "NO" and a["h"] > 0 for a in atoms), sum(a["symbol"] in "NO" for a in atoms)])
-    return pd.DataFrame(rows, columns=_DESCRIPTORS.fieldNames()).astype({"weight": "float64"} | {c: "Int32" for c in _COUNTS})
+        rows.append([
+            structure_weight(s), len(atoms), len(bonds) - len(atoms) + parts, len(hetero), sum(a["charge"] for a in atoms), sum(a["aromatic"] for a in atoms), sum(o == 2 for *_, o in bonds),
+            sum(a["symbol"] in "NO" and a["h"] > 0 for a in atoms), sum(a["symbol"] in "NO" for a in atoms), turns, len(aromatic) - len(in_rings) + len({find(x) for x in in_rings}),
+            sum(k not in flat for k in carbons) / len(carbons) if carbons else 0.0,
+        ])
+    return pd.DataFrame(rows, columns=_DESCRIPTORS.fieldNames()).astype({"weight": "float64", "fraction_sp3": "float64"} | {c: "Int32" for c in _COUNTS})
 
 
 def descriptors(df: DataFrame, smiles: str) -> DataFrame:
-    """df with a struct of counting descriptors; its fields are null where the structure can't be read."""
+    """df with a struct of weight and counting descriptors; its fields are null where the structure can't be read."""
     return df.withColumn("descriptors", _describe(F.col(smiles)))
 
 
-_GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("edges", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("orders", T.ArrayType(T.DoubleType()))])
+_GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("edges", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("bonds", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+# What the slots of atom and bond vectors stand for; each list has one more slot for anything else.
+ELEMENTS = ["C", "N", "O", "S", "F", "Cl", "Br", "I", "P"]
+DEGREES = [0, 1, 2, 3, 4, 5]
+CHARGES = [-1, 0, 1]
+HYBRIDS = ["sp", "sp2", "sp3"]
+HYDROGENS = [0, 1, 2, 3]
+CHIRALITY = ["", "@@", "@"]
+BOND_ORDERS = [1.0, 2.0, 3.0, 1.5]
+BOND_STEREO = ["none", "Z", "E"]
+NODE_DIM = sum(len(x) + 1 for x in (ELEMENTS, DEGREES, CHARGES, HYBRIDS, HYDROGENS, CHIRALITY)) + 2
+EDGE_DIM = sum(len(x) + 1 for x in (BOND_ORDERS, BOND_STEREO)) + 2
+
+
+def _slots(value, choices: list) -> list[float]:
+    return [float(value == c) for c in choices] + [float(value not in choices)]
 
 
 @F.pandas_udf(_GRAPH)
 def structure_graph(smiles: pd.Series) -> pd.DataFrame:
-    """Nodes (one-hot element, aromatic, hydrogens, charge), directed edges both ways and their orders."""
-    names, rows = sorted(ATOMIC_WEIGHTS), []
+    """Atom vectors, directed bonds both ways and their vectors; empty for a structure that can't be read.
+
+    Atoms: element, degree, charge, hybrid, aromatic, hydrogens, in a ring, chirality.
+    Bonds: order, conjugated, in a ring, stereo (told as none: geometry is not read).
+    """
+    rows = []
     for s in smiles:
         got = parse_structure(s) if s else None
         atoms, bonds = got or ([], [])
-        rows.append([[[float(a["symbol"] == n) for n in names] + [float(a["aromatic"]), float(a["h"]), float(a["charge"])] for a in atoms], [[x, y] for i, j, _ in bonds for x, y in ((i, j), (j, i))], [o for *_, o in bonds for _ in (0, 1)]])
-    return pd.DataFrame(rows, columns=["nodes", "edges", "orders"])
+        ring = ring_bonds(len(atoms), bonds)
+        orders: list[list[float]] = [[] for _ in atoms]
+        cyclic = [False] * len(atoms)
+        for (i, j, o), r in zip(bonds, ring):
+            orders[i].append(o)
+            orders[j].append(o)
+            cyclic[i], cyclic[j] = cyclic[i] or r, cyclic[j] or r
+        nodes = []
+        for a, o, c in zip(atoms, orders, cyclic):
+            hybrid = "sp" if 3.0 in o or o.count(2.0) > 1 else "sp2" if 2.0 in o or 1.5 in o else "sp3"
+            nodes.append([*_slots(a["symbol"], ELEMENTS), *_slots(len(o), DEGREES), *_slots(a["charge"], CHARGES), *_slots(hybrid, HYBRIDS), float(a["aromatic"]), *_slots(a["h"], HYDROGENS), float(c), *_slots(a["chiral"], CHIRALITY)])
+        edges, vectors = [], []
+        for (i, j, o), r in zip(bonds, ring):
+            rest = lambda k: any(x != 1.0 for x in orders[k]) if o == 1.0 else True  # noqa: E731, B023
+            conjugated = o == 1.5 or (o == 1.0 and rest(i) and rest(j)) or (o == 2.0 and any(p == 1.0 and any(x != 1.0 for x in orders[q]) for k in (i, j) for p, q in [(b[2], b[0] if b[1] == k else b[1]) for b in bonds if k in b[:2] and {b[0], b[1]} != {i, j}]))
+            v = [*_slots(o, BOND_ORDERS), float(conjugated), float(r), *_slots("none", BOND_STEREO)]
+            edges += [[i, j], [j, i]]
+            vectors += [v, v]
+        rows.append([nodes, edges, vectors])
+    return pd.DataFrame(rows, columns=["nodes", "edges", "bonds"])
 
 
 def node_offsets(graphs: DataFrame, key: str, n: str) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checks import require, require_unique
-
 
 def lookup(probe: DataFrame, build: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """probe with the columns of build; a repeated build key and a probe without match raise."""
-    require_unique(build, keys, f"{name}: keys of the looked-up table")
-    joined = probe.join(build.withColumn("_found", F.lit(True)), keys, "left")
-    require(joined.select("_found"), F.col("_found"), f"{name}: every row has a match")
-    return joined.drop("_found")
+    """probe with the columns of build; a repeated build key and a probe without match raise when they are read.
+
+    One plan: the build side is folded to a row a key with its count, so neither
+    side is read a second time for the checks.
+    """
+    rest = [c for c in build.columns if c not in keys]
+    one = build.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(True).alias("_found"), *rest)).alias("_row"))
+    joined = probe.join(one, keys, "left")
+    bad = lambda text: F.raise_error(F.lit(f"{name}: {text}")).cast("boolean")
+    ok = F.when(F.col("_n").isNull(), bad("a row has no match")).when(F.col("_n") > 1, bad("a key stands more than once")).otherwise(True)
+    return joined.where(ok).select(*probe.columns, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def lookup_columns(probe: DataFrame, build: DataFrame, keys: list[str]) -> DataFrame:

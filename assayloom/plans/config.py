@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import logging
 import subprocess
+import typing
 from pathlib import Path
 
 
@@ -27,12 +29,25 @@ def load(path: str | Path) -> dict:
 
 
 def strict(kind, data: dict):
-    """A dataclass from a dictionary; unknown keys raise, nested dataclasses are filled likewise."""
+    """A dataclass from a dictionary; unknown keys and values of another type raise, nested dataclasses are filled likewise."""
     fields = {f.name: f for f in dataclasses.fields(kind)}
     if unknown := sorted(set(data) - set(fields)):
         raise ValueError(f"{kind.__name__} has no {', '.join(unknown)}")
-    hints = {n: f.default_factory for n, f in fields.items() if f.default_factory is not dataclasses.MISSING and dataclasses.is_dataclass(f.default_factory)}
-    return kind(**{k: strict(hints[k], v) if k in hints and isinstance(v, dict) else v for k, v in data.items()})
+    types = typing.get_type_hints(kind)
+    out = {}
+    for k, v in data.items():
+        if dataclasses.is_dataclass(types[k]):
+            if not isinstance(v, dict):
+                raise ValueError(f"{kind.__name__}.{k} is a group of settings")
+            out[k] = strict(types[k], v)
+            continue
+        plain = typing.get_origin(types[k]) or types[k]
+        if plain is float and isinstance(v, int) and not isinstance(v, bool):
+            v = float(v)
+        if isinstance(plain, type) and (not isinstance(v, plain) or (plain is int and isinstance(v, bool))):
+            raise ValueError(f"{kind.__name__}.{k} is {plain.__name__}, not {type(v).__name__}")
+        out[k] = v
+    return kind(**out)
 
 
 @dataclasses.dataclass
@@ -75,15 +90,87 @@ class Training:
         return self.select_by != "val_loss"
 
 
+# Descriptors that can be asked for.
+DESCRIPTORS = ["weight", "heavy_atoms", "rings", "hetero_atoms", "charge", "aromatic_atoms", "double_bonds", "donors", "acceptors", "rotatable_bonds", "aromatic_rings", "fraction_sp3"]
+
+
+@dataclasses.dataclass
+class Descriptors:
+    names: list = dataclasses.field(default_factory=lambda: list(DESCRIPTORS))
+
+    def __post_init__(self):
+        if unknown := [n for n in self.names if n not in DESCRIPTORS]:
+            raise ValueError(f"unknown descriptors {unknown}; known: {DESCRIPTORS}")
+
+
+@dataclasses.dataclass
+class Kmers:
+    ks: list = dataclasses.field(default_factory=lambda: [1, 2, 3, 4])
+
+
+@dataclasses.dataclass
+class Vocabulary:
+    unknown: int = 0
+
+
+@dataclasses.dataclass
+class Features:
+    """Methods by name, with the options of each; active() gives those of the one that is chosen."""
+
+    peptide: str = "descriptors"
+    organism: str = "vocabulary"
+    descriptors: Descriptors = dataclasses.field(default_factory=Descriptors)
+    vocabulary: Vocabulary = dataclasses.field(default_factory=Vocabulary)
+    kmer: Kmers = dataclasses.field(default_factory=Kmers)
+
+    def __post_init__(self):
+        from ..functions.registry import organisms, peptides
+
+        for name, known in ((self.peptide, peptides.names()), (self.organism, organisms.names())):
+            if name not in known:
+                raise ValueError(f"unknown method {name!r}; known: {', '.join(known)}")
+
+    def active(self, which: str) -> dict:
+        chosen = getattr(self, getattr(self, which), None)
+        return dataclasses.asdict(chosen) if dataclasses.is_dataclass(chosen) else {}
+
+
+@dataclasses.dataclass
+class Dataset:
+    labels: list = dataclasses.field(default_factory=lambda: ["active", "inactive"])
+    validation_share: float = 0.3
+
+
 @dataclasses.dataclass
 class Settings:
     robust_mean: RobustMean = dataclasses.field(default_factory=RobustMean)
     buckets: Buckets = dataclasses.field(default_factory=Buckets)
     edges: Edges = dataclasses.field(default_factory=Edges)
     training: Training = dataclasses.field(default_factory=Training)
+    features: Features = dataclasses.field(default_factory=Features)
+    dataset: Dataset = dataclasses.field(default_factory=Dataset)
     labels: list = dataclasses.field(default_factory=lambda: ["active", "inactive"])
 
 
 def revision(folder: str | Path) -> str:
     """The folder's git revision; raises if it can't be told."""
     return subprocess.run(["git", "-C", str(folder), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+
+
+def device(name: str = "auto") -> str:
+    """Where models run: Spark's learners use the CPU, so auto is cpu and any other device raises instead of falling back."""
+    if name not in ("auto", "cpu"):
+        raise ValueError(f"{name} is not available here; Spark's learners run on cpu")
+    return "cpu"
+
+
+def set_up_logging(level: int = logging.INFO) -> logging.Logger:
+    """The library's logger with one handler, however often this is called."""
+    log = logging.getLogger("assayloom")
+    if not log.handlers:
+        h = logging.StreamHandler()
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        log.addHandler(h)
+        log.propagate = False
+    log.setLevel(level)
+    return log

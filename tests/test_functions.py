@@ -109,7 +109,7 @@ def test_sequences(spark):
     assert values(spark, [("AXX", [(2, "ORN"), (3, "FOO")])], "s string, u array<struct<pos:int,name:string>>", S.common_sequence(F.col("s"), F.col("u"))) == ["AOX"]
     assert values(spark, [("CCO", "ACT", "AMD"), ("CCO", None, None)], "s string, n string, c string", S.with_termini(*map(F.col, "snc"))) == ["CC(=O)CCN", "CCO"]
     assert values(spark, [("Homo  sapiens x", " Homo s")], "a string, b string", S.binomial(F.col("a")), S.genus(F.col("b"))) == [("Homo ", "Homo")]
-    assert values(spark, [("C[C@H](N)Cl",)], "s string", S.structure_tokens(F.col("s"))) == [["C", "[C@H]", "(", "N", ")", "Cl"]]
+    assert values(spark, [("C[C@H](N)Cl",)], "s string", S.structure_tokens(F.col("s"))) == [["C", "[C@H]", "(N)", "Cl"]]
     assert values(spark, [("bad code: X (pos 2)",)], "s string", S.reason_group(F.col("s"))) == ["bad code"]
 
 
@@ -136,7 +136,7 @@ def test_vectors(spark):
 
 
 def test_registry():
-    assert registry.organisms.names() == ["kmer", "vocabulary"]
+    assert registry.organisms.names() == ["kmer", "table", "vocabulary"]
     with pytest.raises(ValueError, match="unknown"):
         registry.organisms.build("nothing")
     with pytest.raises(ValueError, match="already"):

@@ -5,11 +5,12 @@ import random
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from assayloom.functions import registry
-from assayloom.operators import aggregates, checks, features, graph, joins, metrics, similarity, splits
+from assayloom.operators import aggregates, checks, features, graph, joins, metrics, similarity, splits, taxa, tokenizers, training
 from assayloom.plans import catalogue, config
 from assayloom.sources import readers
 from assayloom.streaming import incremental
@@ -36,10 +37,10 @@ def test_lookups(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
     assert as_set(joins.lookup(a, b, ["k"], "t")) == {(1, "x", 10), (2, "y", 20)} == as_set(joins.lookup_columns(a, b, ["k"]))
-    with pytest.raises(checks.CheckError, match="match"):
-        joins.lookup(a, b.where("k = 1"), ["k"], "t")
-    with pytest.raises(checks.CheckError, match="more than once"):
-        joins.lookup(a, b.union(b), ["k"], "t")
+    with pytest.raises(Exception, match="t: a row has no match"):
+        joins.lookup(a, b.where("k = 1"), ["k"], "t").collect()
+    with pytest.raises(Exception, match="t: a key stands more than once"):
+        joins.lookup(a, b.union(b), ["k"], "t").collect()
     with pytest.raises(Exception, match="no match"):
         joins.lookup_columns(a, b.where("k = 1"), ["k"]).collect()
     table = spark.createDataFrame([("A b", "species", 32.0), ("A", "genus", 64.0), ("C", "genus", None)], "match_key string, level string, v double")
@@ -181,6 +182,161 @@ def test_features(spark):
     assert (got[0]["heavy_atoms"], got[0]["double_bonds"], got[0]["hetero_atoms"], got[0]["rings"]) == (4, 1, 2, 0) and got[1]["weight"] is None
     g = s.select(features.structure_graph("smiles").alias("g")).first()["g"]
     assert len(g["nodes"]) == 4 and [0, 1] in g["edges"] and [1, 0] in g["edges"]
+    assert {len(x) for x in g["nodes"]} == {features.NODE_DIM} == {36} and {len(x) for x in g["bonds"]} == {features.EDGE_DIM} == {11} and len(g["bonds"]) == len(g["edges"]) == 6
+    rows = [("c1ccccc1",), ("CCOCC",), ("C1CC1C#N",), ("c1ccc2ccccc2c1",), ("N[C@@H](C)C(=O)O",)]
+    d = [r["d"] for r in features.descriptors(spark.createDataFrame(rows, "smiles string").coalesce(1), "smiles").select(F.col("descriptors").alias("d")).collect()]
+    assert [(x["rings"], x["aromatic_rings"], x["rotatable_bonds"]) for x in d] == [(1, 1, 0), (0, 0, 2), (1, 0, 1), (2, 2, 0), (0, 0, 1)]
+    assert [round(x["fraction_sp3"], 3) for x in d] == [0.0, 1.0, 0.75, 0.0, 0.667]
+    ring = features.structure_graph.func(pd.Series(["C1CC1C#N", "N[C@@H](C)C(=O)O", "c1ccccc1"]))
+    at = {n: k for k, n in enumerate(["element", "degree", "charge", "hybrid", "aromatic", "hydrogens", "ring", "chiral"])}
+    edge = np.cumsum([0, 10, 7, 4, 4, 1, 5, 1])
+    part = lambda v, n: v[edge[at[n]] : edge[at[n]] + [10, 7, 4, 4, 1, 5, 1, 4][at[n]]]
+    assert [part(v, "ring") for v in ring["nodes"][0]] == [[1.0], [1.0], [1.0], [0.0], [0.0]] and part(ring["nodes"][0][3], "hybrid") == [1.0, 0.0, 0.0, 0.0]
+    assert part(ring["nodes"][1][1], "chiral") == [0.0, 1.0, 0.0, 0.0] and part(ring["nodes"][2][0], "aromatic") == [1.0] and all(b[3] == b[5] == b[6] == 1.0 for b in ring["bonds"][2])
+
+
+def test_genes_of_full_length_only(spark):
+    records = spark.createDataFrame([("f", "c", "ACGT" * 500), ("g", "c", "AC")], "file string, record string, sequence string")
+    rows = [("f", "c", 1, 1300, "+", "16S ribosomal RNA, partial", 1), ("f", "c", 1, 1250, "+", "16S ribosomal RNA", 2), ("f", "c", 1, 1900, "+", "16S", 3), ("f", "c", 1, 1500, "+", "5S", 4)]
+    f = spark.createDataFrame(rows, "file string, record string, start int, end int, strand string, product string, ordinal int")
+    assert [(x["file"], len(x["sequence"])) for x in features.longest_gene(records, f, strict=False).collect()] == [("f", 1300)]
+    with pytest.raises(Exception, match="no full-length gene in g"):
+        features.longest_gene(records, f).collect()
+
+
+def test_kmers_of_long_rows(spark):
+    r = random.Random(8)
+    text = "".join(r.choice("ACGTNacgt-é") for _ in range(30_000))
+    got = {(x["k"], x["kmer"]): x["n"] for x in features.kmer_counts(spark.createDataFrame([("a", text), ("a", None), ("a", "AC")], "o string, s string"), "o", "s", (1, 3)).collect()}
+    want = {}
+    for part in (text.upper(), "AC"):
+        for k in (1, 3):
+            for i in range(len(part) - k + 1):
+                w = part[i : i + k]
+                if set(w) <= set("ACGT"):
+                    want[k, w] = want.get((k, w), 0) + 1
+    assert got == want
+
+
+def test_tokenizer():
+    vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "C", "CC", "O", "CCO", "=", "N"])}
+    t = tokenizers.Tokenizer(vocab, [("C", "C"), ("CC", "O"), ("O", "N")])
+    assert t.tokens("CCCCO=NBr") == ["CC", "CCO", "=", "N", "Br"] and t.numbers("CCO=Br") == [2, 8, 9, 1, 3] and t.numbers("C", "O") == [2, 5, 3, 7, 3]
+    assert tokenizers.Tokenizer(vocab).tokens("CCO") == ["C", "C", "O"] and t.tokens(None) == [] and t.numbers("CCO=", limit=3) == [2, 8, 3]
+    assert t.text([2, 8, 9, 1, 3]) == "CCO=" and t.special_mask(2, 1) == [1, 0, 0, 1, 0, 1] and t.segments(2, 1) == [0, 0, 0, 0, 1, 1]
+    assert tokenizers.save_vocabulary(t).split() == list(vocab)
+    with pytest.raises(ValueError, match="unknown"):
+        tokenizers.Tokenizer({"C": 0})
+    with pytest.raises(ValueError, match="consecutive"):
+        tokenizers.save_vocabulary(tokenizers.Tokenizer({"[UNK]": 0, "C": 2}))
+
+
+def test_models_and_datasets(spark, tmp_path):
+    rows = [(i, f"o{i % 2}", "active" if i % 3 else "inactive", [float(i % 3), 1.0, float(i)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id int, organism string, y string, features array<double>")
+    data, facts = training.assemble(d.drop("features"), d.select("id", "features"), "id", "organism", "y", "active", F.col("id") < 40)
+    assert facts["peptide_dim"] == 3 and facts["organism_dim"] == 3 and facts["scaler"]["scale"][1] == 1.0
+    cv = training.cross_validate(data.withColumn("fold_id", (F.col("id") % 4).cast("int")), 2, maxIter=20)
+    right = cv.where("eval_group = 'val'").agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col("label_int")).cast("int"))).first()[0]
+    assert cv.count() == 120 and right > 0.95
+    with pytest.raises(ValueError, match="unknown model"):
+        training.build_model("none", 3)
+    with pytest.raises(checks.CheckError, match="fixed by the artifact"):
+        training.from_artifacts(d.select("id"), d.select("id", "features"), "id", "{}", scaler=1)
+    with pytest.raises(checks.CheckError, match="fit on"):
+        training.assemble(d, d, "id", "organism", "y", "active", F.col("id") < 0)
+    with pytest.raises(Exception, match="in no split"):
+        training.attach_split(d, d.where("id < 5"), d.where("id > 5"), "id").collect()
+    with pytest.raises(Exception, match="in train and test"):
+        training.attach_split(d, d, d.where("id > 5"), "id").collect()
+    with pytest.raises(Exception, match="no fold"):
+        training.attach_folds(d.select("id"), d.select("id", F.lit("train").alias("split"), F.lit(None).cast("int").alias("fold_id")), "id").collect()
+    with pytest.raises(Exception, match="repeated key"):
+        training.indexed_rows(d.union(d), "id", ["id"]).collect()
+    with pytest.raises(checks.CheckError, match="no features for 1, 2"):
+        training.feature_rows(spark.createDataFrame([(1, None), (2, None), (3, 1)], "id int, f int"), "id", "f")
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+
+    from pyspark.ml.functions import array_to_vector
+
+    fitted = LogisticRegression(featuresCol="x", labelCol="label_int", maxIter=3).fit(data.withColumn("x", array_to_vector("features")))
+    readers.save_model(fitted, f"file://{tmp_path}/m", {"dim": 3})
+    again, kept = readers.load_model(LogisticRegressionModel, f"file://{tmp_path}/m")
+    assert again.coefficients == fitted.coefficients and kept == {"dim": 3}
+    out, scores = training.kmeans_sweep(spark.createDataFrame([(i, [float(i % 3) * 10, 0.1 * (i % 5)]) for i in range(90)], "k int, v array<double>"), "v", [2, 3, 4])
+    assert max(scores, key=lambda x: x["silhouette"])["k"] == 3 and out.select("cluster").distinct().count() == 3
+
+
+def test_thresholds_fail_loud(spark):
+    good = [("a b", "species", "1", "2"), ("a", "genus", "", None)]
+    schema = "match_key string, level string, active_threshold_uM string, inactive_threshold_uM string"
+    assert as_set(taxa.load_thresholds(spark.createDataFrame(good, schema))) == {("a b", "species", 1.0, 2.0)}
+    for bad in (("a b", "species", "", ""), ("c", "genus", "1", ""), ("c", "family", "", ""), ("c", "genus", "x", "1"), ("c", "genus", "3", "1")):
+        with pytest.raises(checks.CheckError):
+            taxa.load_thresholds(spark.createDataFrame([*good, bad], schema))
+
+
+def test_files_and_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("d/b.fna", ">y\nGG\n")
+        z.writestr("d/a.fna", ">x\nAC\n")
+        z.writestr("d/b.gff", "second")
+        z.writestr("d/a.gff", "first")
+    assert readers.archive_fasta(spark, f"{tmp_path}/z.zip").first()["text"] == ">x\nAC\n>y\nGG\n" and readers.archive_first(spark, f"{tmp_path}/z.zip").first()["text"] == "first"
+    assert readers.read_text(spark, f"file://{tmp_path}/none.txt") == "(not written yet)"
+    readers.write_text(spark, f"file://{tmp_path}/t.txt", "é\nb")
+    assert readers.read_text(spark, f"file://{tmp_path}/t.txt") == "é\nb"
+    assert readers.latex_table([{"a": "x_1", "b": 0.12345}, {"a": "y", "b": None}]).count(r"\\") == 3
+    down = lambda i: (500, "down") if i == 2 else (200, "{}")
+    with pytest.raises(RuntimeError, match="error"):
+        readers.fetch_missing(spark.range(1, 4), spark.range(1, 2), down, tries=1, pause=0.0)
+    out = f"file://{tmp_path}/crawl"
+    assert tuple(readers.crawl(spark.range(1, 4), down, out, tries=1, pause=0.0).first()) == (2, 0, 1, 0)
+    assert tuple(readers.crawl(spark.range(1, 4), lambda i: (200, "{}"), out, tries=1, pause=0.0).first()) == (1, 0, 0, 2)
+    with pytest.raises(ValueError, match="artifact"):
+        readers.artifact(spark.range(20), "m", most=10)
+
+
+def test_settings_and_registry(tmp_path):
+    with pytest.raises(ValueError, match="is int"):
+        config.strict(config.Settings, {"buckets": {"folds": "5"}})
+    with pytest.raises(ValueError, match="unknown method"):
+        config.strict(config.Settings, {"features": {"peptide": "none"}})
+    with pytest.raises(ValueError, match="unknown descriptors"):
+        config.strict(config.Settings, {"features": {"descriptors": {"names": ["x"]}}})
+    s = config.strict(config.Settings, {"features": {"organism": "kmer", "kmer": {"ks": [1]}}, "robust_mean": {"fence": 2}})
+    assert s.features.active("organism") == {"ks": [1]} and s.robust_mean.fence == 2.0
+    assert config.device() == "cpu" and len({id(config.set_up_logging()) for _ in range(2)}) == 1 and len(config.set_up_logging().handlers) == 1
+    with pytest.raises(ValueError):
+        config.device("cuda")
+    f = registry.organisms.build("kmer", ks=(1,))
+    assert registry.rehydrate(registry.to_artifact(f, {"ks": (1,)}), registry.organisms).name == "kmer"
+    with pytest.raises(ValueError):
+        registry.rehydrate({}, registry.organisms)
+    plan = splits.sensitivity({0: 5, 1: 3, 2: 2}, {0: 1, 1: 0, 2: 2}, {0: 0, 1: 0, 2: 0}, {"a": 0.5, "b": 0.5}, [1.0, 8.0], [1, 2], tries=50)
+    assert len(plan) == 4 and training.tracked_config({"dim": 1, "x": 2}, {"dim": 3, "scaler": {}}) == {"dim": 3, "x": 2}
+
+
+def test_placement_fills_the_bucket_that_lacks_most():
+    plan = splits.assign_buckets({"a": 6, "b": 3, "c": 1}, {"a": 0, "b": 0, "c": 0}, {"a": 0, "b": 0, "c": 0}, {"big": 0.7, "small": 0.3}, tries=0)
+    assert plan.bucket_of == {"a": "big", "b": "small", "c": "big"}
+
+
+def test_tiles_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    r = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 2], r.normal(size=4).tolist()) for i in range(50)] + [(60, "a", None), (61, "a", [0.0] * 4), (62, "a", [1.0, 2.0]), (63, None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "k long, b string, v array<double>")
+    cos = {(i, j): float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) for i, a, x in rows[:50] for j, b, y in rows[:50] if i < j and a == b}
+    got = {(x["i"], x["j"]): x["similarity"] for x in similarity.cosine_pairs(df, "k", "v", "b", 0.5).collect()}
+    assert got == pytest.approx({p: s for p, s in cos.items() if s >= 0.5})
+    near = {}
+    for x in similarity.nearest(df, "k", "v", "b", 3).collect():
+        near.setdefault(x["i"], []).append((x["rank"], x["j"]))
+    every = {**cos, **{(j, i): s for (i, j), s in cos.items()}}
+    for i in range(50):
+        want = sorted((j for a, j in every if a == i), key=lambda j: (-every[i, j], j))[:3]
+        assert [j for _, j in sorted(near[i])] == want
 
 
 def test_readers(spark, tmp_path):
