@@ -33,8 +33,9 @@ def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for j in range(8):
         gram[: len(b) - 8] |= b[j : len(b) - 8 + j].astype(np.uint64) << np.uint64(8 * j)
     # bytes before each gram in its own text, 0 for one that goes over the text's end
-    own = np.arange(len(b)) - np.repeat(at, n + len(pad))
-    own = np.where(own <= np.repeat(n, n + len(pad)) - 8, np.clip(own, 0, 255), 0).astype(np.uint8)
+    own = np.arange(len(b), dtype=np.int32) - np.repeat(at.astype(np.int32), n + len(pad))
+    own[own > np.repeat((n - 8).astype(np.int32), n + len(pad))] = 0
+    own = np.minimum(own, 255).astype(np.uint8)
     rep = np.zeros(len(b), bool)
     for lag in _LAGS:
         rep[lag:] |= (gram[lag:] == gram[:-lag]) & (own[lag:] >= lag)

@@ -626,3 +626,46 @@ def test_quality_labels_that_disagree_take_no_part(spark):
     more = d.union(spark.createDataFrame([(500, "x" * 70_000)], "doc_id long, text string"))
     a, b = quality.fit(d, y, steps=8), quality.fit(more, mixed, steps=8)
     assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
+def test_very_long_texts(spark):
+    """A text of 30,000 words, its near copy and a short text through every operator over documents."""
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(30_000)]
+    near = [*words[:15_000], "CHANGED", *words[15_001:], "mail", "x.y@example.org"]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(near), "b"), (3, "short text of some words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    got = {x["doc_id"]: x for x in substrings.substring_dedup(df, chunk_bytes=1 << 16).collect()}
+    assert (got[1]["n_removed"], got[2]["n_words"], got[2]["n_removed"]) == (0, 30_002, 29_999)
+    assert [(x["start"], x["words"]) for x in got[2]["repeats"]] == [(0, 15_000), (15_001, 14_999)]
+    assert {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    prints = {x["doc_id"]: x for x in fingerprints.edited_fingerprints(df).collect()}
+    assert all(0.5 < prints[d]["near_edited"] < 1 for d in (1, 2)) and prints[2]["near_next"] > 0.99 and prints[1]["fingerprint"] == brute_winnow(rows[0][1])
+    mixed = {x["doc_id"]: x for x in mixing.mix(df, slots=True).collect()}
+    assert [mixed[d]["size"] for d in (1, 2, 3)] == [30_000, 30_002, 5] and all(x["taken"] <= 3 * x["size"] for x in mixed.values())
+    scan = {x["doc_id"]: x for x in licenses.license_scan(df).collect()}
+    assert scan[1]["n_words"] == 30_000 and scan[2]["labels"] == ""
+    found = {x["doc_id"]: x for x in pii.find(df.select("doc_id", "text"), pii.Tagger()).collect()}
+    assert [found[d]["n_email"] for d in (1, 2, 3)] == [0, 1, 0]
+    assert quality.score(df, quality.Net()).where("score between 0 and 1").count() == 3
+    from tokenizers import Tokenizer
+
+    byte, word = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    pieces = packing.pack(packing.tokenize_pieces(df, byte, "byte", 2048, 0, keep_ids=True), 2048).collect()
+    ids = [i for x in sorted((x for x in pieces if x["doc_id"] == 2), key=lambda x: x["piece"]) for i in np.frombuffer(x["ids"], "<u4").tolist()]
+    assert ids == [*Tokenizer.from_file(byte).encode(rows[1][1], add_special_tokens=False).ids, 0]
+    with_files = f"{spark.conf.get('spark.checkpoint.dir')}/long_token_files"
+    token_files.write_token_files(df, with_files, word, "word", 2)
+    counts = [x["n_tokens"] for x in token_files.read_token_files(spark, with_files).orderBy("doc_id").collect()]
+    assert counts == [len(Tokenizer.from_file(word).encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows]
+
+
+def test_extra_columns_with_clashing_names(docs):
+    """Columns that operators make for themselves may be there already."""
+    from pyspark.sql import functions as F
+
+    more = docs.withColumns({c: F.lit("x") for c in ("kept", "component_id", "n_shingles", "taken", "target", "slot", "n_words", "labels", "fingerprint", "bucket", "copy", "piece", "start", "part", "seq", "payload", "held_out", "n_email", "spans", "_row", "digest", "sig")})
+    n = docs.count()
+    assert near_dup.near_duplicates(more).count() == n and mixing.mix(more).count() == n and substrings.substring_dedup(more).count() == n
+    assert fingerprints.edited_fingerprints(more).count() == n and licenses.license_scan(more).count() == n and fingerprints.fingerprints(more).count() == n
+    assert pii.find(more, pii.Tagger()).columns.count("n_email") == 1 and dict(quality.score(more, quality.Net()).dtypes)["held_out"] == "boolean"
