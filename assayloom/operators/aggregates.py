@@ -105,7 +105,8 @@ def size_summary(df: DataFrame, cluster: str, large: float = 0.5) -> DataFrame:
 
 def every_nth(df: DataFrame, at: str, n: int) -> DataFrame:
     """Rows at every n-th place and at the last one."""
-    return df.withColumn("_last", F.max(at).over(Window.partitionBy())).where((F.col(at) % n == 0) | (F.col(at) == F.col("_last"))).drop("_last")
+    last = df.agg(F.max(at).alias("_last"))
+    return df.crossJoin(F.broadcast(last)).where((F.col(at) % n == 0) | (F.col(at) == F.col("_last"))).drop("_last")
 
 
 def group_share(df: DataFrame, keys: list[str], condition: Column) -> DataFrame:
@@ -133,6 +134,8 @@ def running_best(df: DataFrame, keys: list[str], at: str, value: str) -> DataFra
 
 
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): numbers from 0 in order of value; null is -1. One row a value is ordered."""
-    d = df.select(column).distinct()
-    return d.select(column, F.when(F.col(column).isNull(), -1).otherwise(F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())) - 1).alias("code"))
+    """(column, code): numbers from 0 in order of value; null is -1."""
+    from .order import numbered
+
+    d = numbered(df.select(column).distinct(), [F.col(column).asc_nulls_last()], "_r")
+    return d.select(column, F.when(F.col(column).isNull(), -1).otherwise(F.col("_r")).cast("int").alias("code"))

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sequences import reverse_complement
+from .order import numbered, running
 
 
 def vocabulary(df: DataFrame, column: str, unknown: int = 0) -> DataFrame:
     """(column, index): dense numbers in value order that skip the one kept for unknown values; blank values raise."""
     d = df.select(column).distinct()
     d = d.where(F.when(F.coalesce(F.trim(column) == "", F.lit(True)), F.raise_error(F.lit("blank value in a vocabulary")).cast("boolean")).otherwise(True))
-    r = F.row_number().over(Window.orderBy(column)) - 1
-    return d.select(column, F.when(r >= unknown, r + 1).otherwise(r).alias("index"))
+    r = F.col("_r").cast("int")
+    return numbered(d, [F.col(column)], "_r").select(column, F.when(r >= unknown, r + 1).otherwise(r).alias("index"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, column: str, unknown: int = 0) -> DataFrame:
@@ -298,5 +299,5 @@ def structure_graph(smiles: pd.Series) -> pd.DataFrame:
 
 
 def node_offsets(graphs: DataFrame, key: str, n: str) -> DataFrame:
-    """graphs with offset: nodes of all graphs before it, as in a batch laid end to end. For batches of bounded size."""
-    return graphs.withColumn("offset", F.coalesce(F.sum(n).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """graphs with offset: nodes of all graphs before it, as in a batch laid end to end."""
+    return running(graphs, [F.col(key)], F.col(n), "offset")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, stored
+from .order import numbered
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", max_rounds: int = 50) -> DataFrame:
@@ -109,7 +110,7 @@ def with_singletons(nodes: DataFrame, table: DataFrame) -> DataFrame:
     """(node, community): nodes that table lacks get numbers after the greatest one, in node order."""
     j = nodes.select("node").join(table.select("node", "community"), "node", "left")
     top = table.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("_top"))
-    fresh = j.where("community is null").withColumn("_r", F.row_number().over(Window.orderBy("node"))).crossJoin(top).select("node", (F.col("_top") + F.col("_r")).alias("community"))
+    fresh = numbered(j.where("community is null").select("node"), [F.col("node")], "_r").crossJoin(F.broadcast(top)).select("node", (F.col("_top") + F.col("_r") + 1).alias("community"))
     return j.where("community is not null").unionByName(fresh)
 
 

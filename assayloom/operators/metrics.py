@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of the score into which a group is cut.
+RANGES = 65536
+
+
 def binary_metrics(df: DataFrame, keys: list[str], score: str, truth: str, threshold: float = 0.5) -> DataFrame:
     """(keys, n, accuracy, precision, recall, f1, auroc, status) from scores and 0/1 labels.
 
     Undefined precision, recall and f1 are 0. auroc is the rank statistic with
     ties halved, null (status single_class) if a group has one class only. It is
-    computed from counts per distinct score, so no sort of whole groups is needed
-    beyond those.
+    computed from counts per distinct score: these are summed within ranges of the
+    score and over the ranges, so a group of any size is many tasks.
     """
     y = F.col(truth).cast("long")
     s = df.select(*keys, F.col(score).cast("double").alias("_s"), y.alias("_y")).groupBy(*keys, "_s").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
-    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("_n") - F.col("_p")
-    s = s.withColumn("_lo", F.coalesce(F.sum(neg).over(below), F.lit(0)))
+    # ranges in the order of the score: any growing function of it does
+    s = s.withColumn("_b", F.floor(F.lit(RANGES) / (1 + F.exp(-F.col("_s"))))).withColumn("_neg", F.col("_n") - F.col("_p"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    lower = s.groupBy(*keys, "_b").agg(F.sum("_neg").alias("_t")).withColumn("_under", F.coalesce(F.sum("_t").over(before(keys, "_b")), F.lit(0))).drop("_t")
+    same = F.col("s._b").eqNullSafe(F.col("l._b"))
+    for k in keys:
+        same &= F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}"))
+    s = s.withColumn("_in", F.coalesce(F.sum("_neg").over(before([*keys, "_b"], "_s")), F.lit(0))).alias("s").join(lower.alias("l"), same).select("s.*", (F.col("_in") + F.col("_under")).alias("_lo"))
     hit = F.col("_s") >= threshold
     g = s.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.sum("_p").alias("_pos"),

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 #: Clusters that one driver arranges; each is an entry of some bytes.
 MOST_CLUSTERS = 2_000_000
@@ -106,18 +108,18 @@ def audit(df: DataFrame, bucket: str, special: str, targets: DataFrame, toleranc
 
 def greedy_prefix(groups: DataFrame, order: list, size: str, share: float) -> DataFrame:
     """groups with chosen: whole groups in the given order until their sizes reach the share; the one that crosses it is in. groups: one row a group."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return groups.withColumn("chosen", before < F.sum(size).over(Window.partitionBy()) * F.lit(share))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    total = groups.agg(F.sum(size).alias("_all"))
+    return running(groups, order, F.col(size), "_before").crossJoin(F.broadcast(total)).withColumn("chosen", F.col("_before") < F.col("_all") * F.lit(share)).drop("_before", "_all")
 
 
 def cumulative_bins(groups: DataFrame, order: list, size: str, n: int) -> DataFrame:
     """groups with bin 0 to n - 1: equal widths of the running total between its least and greatest value."""
-    c = groups.withColumn("_c", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    every = Window.partitionBy()
-    low, high = F.min("_c").over(every), F.max("_c").over(every)
-    at = F.ceil(F.coalesce(F.try_divide((F.col("_c") - low) * n, high - low), F.lit(0.0))) - 1
-    return c.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(n - 1), at)).cast("int")).drop("_c")
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    c = running(groups, order, F.col(size), "_c", inclusive=True)
+    ends = c.agg(F.min("_c").alias("_low"), F.max("_c").alias("_high"))
+    at = F.ceil(F.coalesce(F.try_divide((F.col("_c") - F.col("_low")) * n, F.col("_high") - F.col("_low")), F.lit(0.0))) - 1
+    return c.crossJoin(F.broadcast(ends)).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(n - 1), at)).cast("int")).drop("_c", "_low", "_high")
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:

@@ -368,7 +368,7 @@ def unit_recheck(spark, sf):
 
 @query("""
 WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN ' 12 ' WHEN 1 THEN '1.5' WHEN 2 THEN '1e3' WHEN 3 THEN '-2' WHEN 4 THEN 'abc' ELSE '' END AS s FROM orders)
-SELECT id, id % 6 < 2 AS plain, CASE id % 6 WHEN 0 THEN 12.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1000.0 WHEN 3 THEN -2.0 END AS number, format('{:,}', id * 1001) AS shown FROM x""")
+SELECT id, id % 6 < 2 AS plain, CAST(CASE id % 6 WHEN 0 THEN 12.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1000.0 WHEN 3 THEN -2.0 END AS DOUBLE) AS number, format('{:,}', id * 1001) AS shown FROM x""")
 def text_numbers(spark, sf):
     """Texts as numbers where they are some, and numbers with commas."""
     k = F.col("o_orderkey") % 6

@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import metrics as E
 from ..operators import splits as B
 from ..operators import training as T
+from ..operators import tokenizers as K
 from .catalogue import query, r, t
 
 _FITTED = """x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -391,3 +392,27 @@ def tolerance_check(spark, sf):
     """How many values a rounding leaves within a thousandth."""
     v = F.col("l_quantity") / (F.col("l_linenumber") + 1)
     return t(spark, sf, "lineitem").agg(F.count("*").alias("n"), F.count_if(M.close(v, F.round(v, 2), 1e-3)).alias("near"))
+
+
+_TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "b", "o", "br", "n", ">", "/", "c"]
+
+
+@query("""
+WITH x AS (SELECT page_id, regexp_extract_all(html, '(\\([^()]{0,4}\\)|\\[[^\\]]+]|Br?|Cl?|[NOSPFIbcnops().=#+\\\\:~@?*$-]|//?|>>?|%[0-9]{2}|[0-9])') AS w FROM pages),
+j AS (SELECT page_id, replace(chr(31) || array_to_string(w, chr(31) || chr(31)) || chr(31), chr(31) || 'n' || chr(31) || chr(31) || 'o' || chr(31), chr(31) || 'no' || chr(31)) AS s FROM x),
+k AS (SELECT page_id, list_filter(string_split(s, chr(31)), lambda v: v <> '') AS w FROM j)
+SELECT page_id, len(w) AS n, len(list_filter(w, lambda v: v = 'no')) AS merged,
+  array_to_string(list_concat([2], list_transform(w, lambda v: coalesce(list_position(['b', 'o', 'br', 'n', '>', '/', 'c'], v) + 4, 1)), [3]), ' ') AS numbers FROM k""")
+def structure_numbers(spark, sf):
+    """Pages' structure tokens with one merged pair, as numbers of a vocabulary between start and end."""
+    d = K.tokenize(t(spark, sf, "pages").select("page_id", "html"), "html", K.Tokenizer({x: i for i, x in enumerate(_TOKENS)}, [("n", "o")]))
+    merged = F.size(F.filter("tokens", lambda x: x == "no")).cast("long")
+    return d.select("page_id", F.size("tokens").cast("long").alias("n"), merged.alias("merged"), F.array_join(F.transform("numbers", lambda x: x.cast("string")), " ").alias("numbers"))
+
+
+@query("""SELECT p_partkey AS id, 12 AS n_nodes, 24 AS n_edges, 36 AS node_dim, 11 AS edge_dim, 6 AS oxygens, 6 AS ring_atoms, 10 AS with_one_hydrogen FROM part""")
+def structure_graphs(spark, sf):
+    """The graph of one structure for every part: atoms and bonds both ways with their vectors."""
+    d = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.structure_graph(F.concat(F.lit("OCC1OC(O)C(O)C(O)C1O"), F.substr(F.col("p_name"), F.lit(1), F.lit(0)))).alias("g"))
+    slot = lambda k: F.size(F.filter("g.nodes", lambda v: v[k] == 1.0))
+    return d.select("id", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"), F.size(F.col("g.nodes")[0]).alias("node_dim"), F.size(F.col("g.bonds")[0]).alias("edge_dim"), slot(2).alias("oxygens"), slot(31).alias("ring_atoms"), slot(27).alias("with_one_hydrogen"))

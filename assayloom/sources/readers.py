@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,4 +232,6 @@ def load_model(kind, path: str) -> tuple:
 
 def with_ordinal(df: DataFrame, order: list) -> DataFrame:
     """df with ordinal 0.. in the given order, for inputs whose order has a meaning."""
-    return df.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    from ..operators.order import numbered
+
+    return numbered(df, order, "ordinal")

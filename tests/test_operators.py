@@ -322,6 +322,34 @@ def test_placement_fills_the_bucket_that_lacks_most():
     assert plan.bucket_of == {"a": "big", "b": "small", "c": "big"}
 
 
+def test_alignment_against_all_alignments():
+    """The best score's most equal and longest alignment, by trying every way to face or skip letters."""
+    import functools
+
+    r = random.Random(9)
+    score = {"AA": 4.0, "AC": -1.0, "CC": 5.5, "CD": 0.5, "DD": 3.0}
+    for _ in range(60):
+        a, b = ("".join(r.choice("ACDE") for _ in range(r.randint(1, 5))) for _ in range(2))
+
+        @functools.cache
+        def best(i, j, state):
+            if i == len(a) and j == len(b):
+                return (0.0, 0, 0)
+            ways = []
+            if i < len(a) and j < len(b):
+                s, e, n = best(i + 1, j + 1, 0)
+                ways.append((s + score.get(min(a[i], b[j]) + max(a[i], b[j]), 1.0 if a[i] == b[j] else 0.0), e + (a[i] == b[j]), n + 1))
+            for k, (p, q) in ((1, (i + 1, j)), (2, (i, j + 1))):
+                if p <= len(a) and q <= len(b):
+                    s, e, n = best(p, q, k)
+                    ways.append((s - (1.0 if state == k else 2.5), e, n + 1))
+            return max(ways)
+
+        _, equal, length = best(0, 0, 0)
+        assert similarity.align_identity(a, b, gap_open=2.5, gap_extend=1.0, scores=score) == pytest.approx(equal / length)
+    assert similarity.align_identities(["", "AC"], ["A", "AC"]).tolist() == [0.0, 1.0]
+
+
 def test_tiles_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TILE", 7)
     r = np.random.default_rng(1)
