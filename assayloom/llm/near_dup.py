@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batches, components, grams, materialize, mix64
+from .common import Words, batches, components, grams, materialize, mix64, parts_for
 
 CHUNKS, SPAN, BITS = 12, 4, 24
 SYMBOLS, FAR = SPAN * CHUNKS, 2 * CHUNKS - 1
@@ -148,7 +148,10 @@ def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
     """
     sizes = buckets.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "comp")).alias("top"))
     blocks = lambda n: F.ceil(n / block).cast("int")
-    sizes = sizes.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("big"), blocks(F.col("n") - F.col("top.count")).alias("small"))
+    rest = F.col("n") - F.col("top.count")
+    sizes = materialize(sizes.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("big"), blocks(rest).alias("small"), (rest * (F.col("top.count") + rest)).cast("double").alias("work")))
+    # tasks by comparisons, as their rows say little about the time that they take
+    tasks = parts_for(buckets.sparkSession, int(sizes.agg(F.sum("work")).first()[0] or 0), block * block * 16)
     b = buckets.join(sizes, "key").withColumn("large", F.col("comp") == F.col("top"))
     b = b.withColumn("b", F.when(F.col("large"), -1 - F.pmod(F.xxhash64("rep"), F.col("big"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("small"))).cast("int"))
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -172,7 +175,7 @@ def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
             own[x[ok]] = own[y[ok]] = True
         return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "b": b[own], "rep": rep[own], "comp": comp[own]})
 
-    return units.groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, b int, rep long, comp long")
+    return units.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, b int, rep long, comp long")
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray], width: int = 1024) -> np.ndarray:
