@@ -53,9 +53,14 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._assayloom_path = path
+    made.append(path)
     return out
 
 
+#: Paths of materialize()'s tables, in order, that have not been removed.
+made: list[str] = []
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -64,12 +69,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Removes materialize()'s tables that nothing reads any more."""
     for t in tables:
-        _remove(t.sparkSession, t._assayloom_path)
+        remove_paths(t.sparkSession, [t._assayloom_path])
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
+        if path in made:
+            made.remove(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Removes all intermediate tables of this application. For callers that have written their results."""
     _remove(spark, tables_dir(spark))
+    made.clear()
 
 
 def parts_for(spark: SparkSession, n_bytes: int, per_part: int) -> int:

@@ -153,6 +153,18 @@ def test_run_and_empty_table(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_run_leaves_the_last_stages_tables_only(spark, tables):
+    pytest.importorskip("public_tokenizers")
+    from assayloom.llm import common
+
+    packed = corpus_pipeline.run(spark, tables)
+    assert packed.count() > 100 and packed.select("sequence_id").distinct().count() > 1
+    left = set(common.made)
+    assert len(left & set(corpus_pipeline._earlier)) <= 6
+    common.drop_tables(spark)
+    assert not common.made
+
+
 def test_names():
     assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] == [str(i) for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
