@@ -10,10 +10,12 @@ rejects them; an empty table passes every stage.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import materialize
+from assayloom.llm.common import made, materialize, remove_paths
 from assayloom.llm.mixing import mix
 from assayloom.llm.near_dup import near_duplicates
 from assayloom.llm.packing import pack, tokenize_pieces
@@ -24,6 +26,27 @@ from assayloom.llm.quality import score
 from assayloom.llm.queries import _table, _vocabulary
 
 
+_earlier: list[str] = []  # tables of stages before, which their results were read from
+
+
+def _stage(f):
+    """Removes the tables that earlier stages left, but for those that docs still reads. A stage's result is to be written before the next stage is called."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _earlier:
+            read = docs.inputFiles()
+            gone = [p for p in _earlier if not any(f"/{p.rsplit('/', 1)[1]}/" in x for x in read)]
+            remove_paths(spark, gone)
+            _earlier[:] = [p for p in _earlier if p not in gone]
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _earlier.extend(made[before:])
+        return out
+
+    return run
+
+
 def _apart(docs: DataFrame) -> DataFrame:
     """docs with all columns but doc_id, text and source under names of their own."""
     return docs.toDF(*[c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(docs.columns)])
@@ -45,6 +68,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(_apart(docs).withColumn("_row", F.monotonically_increasing_id()))
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects (score under 0.3).
 
@@ -55,6 +79,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(score(_apart(docs), net).where("predicted = 1"), docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8).
 
@@ -67,6 +92,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(d.join(drop.hint("shuffle_hash"), "_row", "left_anti"), docs, chars=False)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in angle brackets; n_chars follows.
 
@@ -75,6 +101,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _back(redact(_apart(docs), fit_tagger(docs.select("text"))), docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and cuts documents so that each source gives its target of words, in the schedule's order.
 
@@ -93,6 +120,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _back(got.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row"), docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(copy_id, doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset): the documents' tokens in sequences of 2048.
 
@@ -119,4 +147,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            _earlier.append(docs._assayloom_path)
     return docs
