@@ -164,15 +164,18 @@ def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
         rep, comp, b = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["b"].to_numpy()
         sig = np.stack(pdf["sig"].to_numpy())
         rows, cols = np.flatnonzero(b == key[1]), np.flatnonzero(b == key[2])
-        far = np.zeros((len(rows), len(cols)), np.uint8)
-        for k in range(SYMBOLS):
-            far += sig[rows, k][:, None] != sig[cols, k][None, :]
-        p, q = np.nonzero((far <= FAR) & (comp[rows][:, None] != comp[cols][None, :]))
-        p, q, own = rows[p], cols[q], np.zeros(len(pdf), bool)
-        for a in range(0, len(p), 1 << 15):
-            x, y = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
-            ok = _owner(sig[x] == sig[y]) == pdf["variant"].iloc[0]
-            own[x[ok]] = own[y[ok]] = True
+        own = np.zeros(len(pdf), bool)
+        for at in range(0, len(rows), 128):  # some rows against all columns, which bounds what pairs take
+            some = rows[at : at + 128]
+            far = np.zeros((len(some), len(cols)), np.uint8)
+            for k in range(SYMBOLS):
+                far += sig[some, k][:, None] != sig[cols, k][None, :]
+            p, q = np.nonzero((far <= FAR) & (comp[some][:, None] != comp[cols][None, :]))
+            p, q = some[p], cols[q]
+            for a in range(0, len(p), 1 << 15):
+                x, y = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
+                ok = _owner(sig[x] == sig[y]) == pdf["variant"].iloc[0]
+                own[x[ok]] = own[y[ok]] = True
         return pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "b": b[own], "rep": rep[own], "comp": comp[own]})
 
     return units.repartition(tasks, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(run, "key long, i int, j int, b int, rep long, comp long")
@@ -223,12 +226,12 @@ def _links_in_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFram
                     top[c] = c = top[top[c]]
                 return c
 
-            for x, y in zip(*(v.tolist() for v in np.nonzero(ok))):
-                x, y = rows[x], cols[y]
-                p, q = find(comp[x].item()), find(comp[y].item())
-                if p != q:
-                    top[p] = q
-                    keep.append((rep[x], rep[y]))
+            for x, near in zip(rows, ok):
+                for y in cols[np.flatnonzero(near)]:
+                    p, q = find(comp[x].item()), find(comp[y].item())
+                    if p != q:
+                        top[p] = q
+                        keep.append((rep[x], rep[y]))
         return pd.DataFrame(keep, columns=["src", "dst"], dtype="int64")
 
     return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")

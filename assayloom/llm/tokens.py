@@ -44,7 +44,7 @@ class Encoder:
     The cache is emptied when it holds cache_size chunks, which bounds memory.
     """
 
-    def __init__(self, path: str, kind: str, plain_special: bool = False, cache_size: int = 1_000_000):
+    def __init__(self, path: str, kind: str, plain_special: bool = False, cache_size: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
