@@ -301,9 +301,10 @@ def shingle_jaccard_pairs(spark, sf):
 @query()
 def shingle_jaccard_documents(spark, sf):
     """All pairs of documents by the Jaccard similarity of their shingles of three words, 0.8 or more; a shorter text is one shingle."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    n = F.greatest(F.size("w") - 2, F.lit(1))
-    d = t(spark, sf, "documents").select("doc_id", w.alias("w")).where("size(w) > 0").select("doc_id", F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice("w", k, 3), " ")).alias("s"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 3), " "))
+    # a lambda's argument is evaluated once; a column would be split into words again for every shingle
+    d = t(spark, sf, "documents").select("doc_id", F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, shingles(w)))[0].alias("s")).where("s is not null")
     return P.set_pairs(d, "doc_id", "s", 0.8).select("i", "j", r("similarity").alias("similarity"))
 
 
