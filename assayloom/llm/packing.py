@@ -27,7 +27,7 @@ from .tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenize_pieces(docs: DataFrame, path: str, kind: str, capacity: int, end_id: int, keep_ids: bool = False, keep: str | None = None) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, path: str, kind: str, capacity: int, end_id: int, keep_ids: bool = False, keep: str | None = None, cache_size: int = 2_400_000) -> DataFrame:
     """Pieces of at most capacity ids of each document (doc_id, text), its end id included.
 
     A null or empty text is the end id alone; a null doc_id stays null; repeated
@@ -35,12 +35,13 @@ def tokenize_pieces(docs: DataFrame, path: str, kind: str, capacity: int, end_id
     pieces. Only documents over capacity are cut, and the remainder is their
     first piece. keep_ids adds the ids (little-endian 32-bit) of each piece; keep
     names a column of longs that is copied. Other columns take no part.
+    cache_size bounds the entries that a worker's encoder remembers.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, *[keep] * bool(keep)]
     types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * keep_ids, *[pa.int64()] * bool(keep)]
 
     def run(it):
-        enc = encoder(path, kind)
+        enc = encoder(path, kind, cache_size=cache_size)
         for batch in batches(it):
             ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             own = batch.column(keep).to_pylist() if keep else [None] * batch.num_rows
