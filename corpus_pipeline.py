@@ -128,7 +128,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the mix's order. A sequence is its pieces' ids (little-endian 32-bit)
     by offset. Null and empty texts are the end id alone.
     """
-    pieces = materialize(tokenize_pieces(docs.withColumn("copy_id", F.monotonically_increasing_id()), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0, keep_ids=True, keep="copy_id"))
+    pieces = materialize(tokenize_pieces(docs.withColumn("copy_id", F.monotonically_increasing_id()), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0, keep_ids=True, keep="copy_id", cache_size=700_000))
     # lengths are packed, and the ids join their places once
     places = pack(pieces.select("doc_id", "piece", "length", "copy_id"), 2048).select("copy_id", "piece", "sequence_id", "offset")
     return pieces.join(places, ["copy_id", "piece"]).select("copy_id", "doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
