@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,5 +165,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality)}
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each text that five documents or more share, dropped but in the last one."""
+    from .lines import line_dedup
+
+    kept = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), 40, 5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w, row_number() OVER () AS k FROM documents),
+l AS (SELECT k, doc_id, i, translate(trim(w[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= 5),
+g AS (SELECT k, list(i) AS gone FROM l JOIN f USING (key) WHERE doc_id IS DISTINCT FROM last GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (k)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality, op11_lines)}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL, "op11_lines": OP11_SQL}
