@@ -185,5 +185,56 @@ FROM d LEFT JOIN g USING (k)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality, op11_lines)}
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL, "op11_lines": OP11_SQL}
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of a Merkle tree by language, with its proof checked after some rows were tampered with."""
+    from .merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a short ASCII text, bit by bit."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)::BIGINT[]), lambda x, y: {bit})), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    part = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({v} AS VARCHAR))) AS VARCHAR) || ':' || CAST({v} AS VARCHAR) END"
+    return "sha256(" + " || ".join(part(c, n_chars if c == "n_chars" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+# trees 1, 2, ... are the languages' and tree 0 is that of their subroots
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS t, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 AND doc_id IS NOT NULL THEN {_leaf_sql("n_chars + 1")} ELSE leaf END AS used
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+v AS (
+  SELECT t, CAST(0 AS BIGINT) AS k, i, leaf AS h, count(*) OVER (PARTITION BY t) AS n FROM p
+  UNION ALL
+  SELECT t, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM v WHERE n > 1 GROUP BY t, k, i // 2, n),
+s AS (SELECT t, h AS subroot FROM v WHERE n = 1),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS k, t - 1 AS i, subroot AS h, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM w WHERE n > 1 GROUP BY k, i // 2, n),
+o AS (SELECT h AS root FROM w WHERE n = 1),
+u AS (
+  SELECT t, i, used, list({{'l': CASE WHEN a % 2 = 1 THEN b ELSE '' END, 'r': CASE WHEN a % 2 = 0 THEN coalesce(b, '') ELSE '' END}} ORDER BY z, k) FILTER (WHERE k IS NOT NULL) AS q
+  FROM (
+    SELECT p.t, p.i, p.used, 0 AS z, x.k, p.i >> x.k AS a, y.h AS b FROM p LEFT JOIN (SELECT DISTINCT t, k FROM v WHERE n > 1) x ON x.t = p.t LEFT JOIN v y ON y.t = p.t AND y.k = x.k AND y.i = xor(p.i >> x.k, 1)
+    UNION ALL
+    SELECT p.t, p.i, p.used, 1, x.k, (p.t - 1) >> x.k, y.h FROM p JOIN (SELECT DISTINCT k FROM w WHERE n > 1) x ON true LEFT JOIN w y ON y.k = x.k AND y.i = xor((p.t - 1) >> x.k, 1))
+  GROUP BY t, i, used),
+f AS (
+  SELECT t, i, used AS h, coalesce(q, []) AS q, 1 AS j FROM u
+  UNION ALL
+  SELECT t, i, sha256(q[j].l || h || q[j].r), q, j + 1 FROM f WHERE j <= len(q))
+SELECT p.doc_id, p.leaf, s.subroot, o.root, sha256(array_to_string(list_transform(f.q, lambda z: z.l || z.r), '')) AS proof_sha256, f.h AS folded_root, f.h = o.root AS verified
+FROM p JOIN f ON f.t = p.t AND f.i = p.i AND f.j = len(f.q) + 1 JOIN s ON s.t = p.t, o
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality, op11_lines, op13_manifest)}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL, "op11_lines": OP11_SQL, "op13_manifest": OP13_SQL}
