@@ -185,11 +185,11 @@ FROM d LEFT JOIN g USING (k)
 """
 
 
-def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a leaf of a Merkle tree by language, with its proof checked after some rows were tampered with."""
-    from .merkle import manifest
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair and the repaired text's hash."""
+    from .conversations import report
 
-    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
+    return report(_table(spark, sf_dir, "conversations"))
 
 
 def _crc32_sql(text: str) -> str:
@@ -198,6 +198,57 @@ def _crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda r, c: list_reduce(list_prepend(xor(r, c), range(8)::BIGINT[]), lambda x, y: {bit})), 4294967295)"
 
 
+# the rows are taken forwards, with the best (cost, audit) for each state of the roles' grammar
+OP12_SQL = rf"""
+WITH RECURSIVE c AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS how
+  FROM conversations),
+d AS (
+  SELECT k, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM c, range(2) x(copy) WHERE how <> 0 AND (copy = 0 OR how = 3)),
+b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS seen FROM b),
+r AS (
+  SELECT *, left(role, 1) AS a, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS f,
+         coalesce(lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS bad
+  FROM o),
+t AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate,
+         count(*) FILTER (WHERE f = 3) AS truncated, count(*) FILTER (WHERE bad) AS illegal, max(i) AS n
+  FROM r GROUP BY k),
+ins(q, p, s, roles) AS (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']),
+  (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+kept(q, a, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+v AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, []::VARCHAR[] AS said FROM t
+  UNION ALL
+  SELECT k, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY k, i, q ORDER BY cost, audit) AS best FROM (
+      SELECT v.k, r.i, e.q, v.cost + 3 * length(ins.s) + e.w + CASE WHEN e.l <> 'D' AND r.f = 3 THEN 3 ELSE 0 END AS cost, v.audit || ins.s || e.l AS audit,
+             list_concat(list_concat(v.said, ins.roles), e.say) AS said
+      FROM v JOIN r ON r.k = v.k AND r.i = v.i + 1 JOIN ins ON ins.q = v.q LEFT JOIN kept ON kept.q = ins.p AND kept.a = r.a,
+      LATERAL (SELECT 'D' AS l, 4 AS w, ins.p AS q, []::VARCHAR[] AS say
+               UNION ALL SELECT 'K', 0, kept.p, [r.role || ':' || r.text] WHERE kept.p IS NOT NULL AND r.f NOT IN (1, 2)
+               UNION ALL SELECT 'R', 3, CASE ins.p WHEN 2 THEN 3 ELSE 2 END, [CASE ins.p WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text] WHERE r.f NOT IN (1, 2)) e))
+  WHERE best = 1),
+z AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY cost, audit) AS best FROM (
+    SELECT v.k, v.cost + 3 * length(ins.s) AS cost, v.audit || ins.s AS audit, list_concat(v.said, ins.roles) AS said
+    FROM v JOIN t ON t.k = v.k AND t.n = v.i JOIN ins ON ins.q = v.q AND ins.p IN (0, 3)))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k FROM conversations) LEFT JOIN t USING (k) LEFT JOIN (SELECT * FROM z WHERE best = 1) USING (k)
+"""
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of a Merkle tree by language, with its proof checked after some rows were tampered with."""
+    from .merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
+
+
 def _leaf_sql(n_chars: str) -> str:
     part = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({v} AS VARCHAR))) AS VARCHAR) || ':' || CAST({v} AS VARCHAR) END"
     return "sha256(" + " || ".join(part(c, n_chars if c == "n_chars" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
@@ -236,5 +287,5 @@ FROM p JOIN f ON f.t = p.t AND f.i = p.i AND f.j = len(f.q) + 1 JOIN s ON s.t =
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality, op11_lines, op13_manifest)}
-ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL, "op11_lines": OP11_SQL, "op13_manifest": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op3_substrings, op4_mixing, op5_near_duplicates, op6_token_files, op7_personal_data, op8_licenses, op9_near_vectors, op10_quality, op11_lines, op12_conversations, op13_manifest)}
+ORACLES: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_mixing": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op9_near_vectors": OP9_SQL, "op11_lines": OP11_SQL, "op12_conversations": OP12_SQL, "op13_manifest": OP13_SQL}
