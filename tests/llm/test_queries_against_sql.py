@@ -23,7 +23,7 @@ def test_queries_equal_their_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables here")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rel = con.sql(queries.ORACLES[name])
     df = queries.QUERIES[name](spark, SF)
