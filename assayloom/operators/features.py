@@ -101,7 +101,11 @@ _ATOM = re.compile(r"\[(?P<iso>[0-9]*)(?P<sym>[A-Z][a-z]?|[bcnops]|se)(?P<chiral
 
 
 def parse_structure(text: str) -> tuple[list[dict], list[tuple[int, int, float]]] | None:
-    """Atoms (symbol, aromatic, hydrogens, charge) and bonds (i, j, order) of a SMILES text; None if it can't be read. Aromatic bonds count 1.5."""
+    """Atoms (symbol, aromatic, hydrogens, charge, chirality, neighbours) and bonds (i, j, order) of a SMILES text; None if it can't be read.
+
+    Aromatic bonds count 1.5. Neighbours (near) stand in the order of the text, in
+    which a ring's digit counts where it opens; lead: how many stand before the atom.
+    """
     atoms, bonds, stack, rings, last, order, at = [], [], [], {}, None, None, 0
     while at < len(text):
         m = _ATOM.match(text, at)
@@ -113,8 +117,10 @@ def parse_structure(text: str) -> tuple[list[dict], list[tuple[int, int, float]]
             h = None if m["plain"] else (int(m["h"][1:] or 1) if m["h"] else 0)
             c = m["charge"] or ""
             charge = 0 if not c else (int(c) if c.strip("+-") else (1 if c[0] == "+" else -1) * len(c))
-            atoms.append({"symbol": s.capitalize(), "aromatic": s[0].islower(), "h": h, "charge": charge, "chiral": m["chiral"] or ""})
+            atoms.append({"symbol": s.capitalize(), "aromatic": s[0].islower(), "h": h, "charge": charge, "chiral": m["chiral"] or "", "near": [], "lead": int(last is not None)})
             if last is not None:
+                atoms[last]["near"].append(len(atoms) - 1)
+                atoms[-1]["near"].append(last)
                 both = atoms[last]["aromatic"] and atoms[-1]["aromatic"]
                 bonds.append((last, len(atoms) - 1, order or (1.5 if both else 1.0)))
             last, order = len(atoms) - 1, None
@@ -124,10 +130,13 @@ def parse_structure(text: str) -> tuple[list[dict], list[tuple[int, int, float]]
             k = m["ring"].lstrip("%")
             if k in rings:
                 i, o = rings.pop(k)
+                atoms[i]["near"][atoms[i]["near"].index(("ring", k))] = last
+                atoms[last]["near"].append(i)
                 both = atoms[i]["aromatic"] and atoms[last]["aromatic"]
                 bonds.append((i, last, order or o or (1.5 if both else 1.0)))
             else:
                 rings[k] = (last, order)
+                atoms[last]["near"].append(("ring", k))
             order = None
         elif m["bond"]:
             order = {"=": 2.0, "#": 3.0, ":": 1.5}.get(m["bond"], 1.0 if m["bond"] == "-" else None)
@@ -147,12 +156,16 @@ def parse_structure(text: str) -> tuple[list[dict], list[tuple[int, int, float]]
         used[j] += o
     for a, u in zip(atoms, used):
         if a["h"] is None:
-            need = int(u + 0.5) if not a["aromatic"] else int(u)
-            fit = next((v for v in VALENCES.get(a["symbol"], [0]) if v >= need), need)
-            a["h"] = max(0, fit - need)
+            a["h"] = implied_hydrogens(a["symbol"], a["aromatic"], u)
     return atoms, bonds
 
 
+def implied_hydrogens(symbol: str, aromatic: bool, used: float) -> int:
+    """Hydrogens of an atom that is written without brackets, from the orders of its bonds."""
+    need = int(used + 0.5) if not aromatic else int(used)
+    return max(0, next((v for v in VALENCES.get(symbol, [0]) if v >= need), need) - need)
+
+
 def structure_weight(text: str | None) -> float | None:
     """Molecular weight of a SMILES text from atom counts, None if empty or unreadable."""
     got = parse_structure(text) if text else None

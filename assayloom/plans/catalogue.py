@@ -289,9 +289,11 @@ def similarity_pairs_cosine(spark, sf):
 
 
 @query(r"""
-WITH s AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM benchmark)
+WITH w AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS s FROM benchmark),
+s AS (SELECT s, min(item_id) AS item_id FROM w WHERE len(s) > 0 GROUP BY s)
 SELECT a.item_id AS i, b.item_id AS j, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
-FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.2""")
+FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.2
+UNION ALL SELECT s.item_id, w.item_id, 1.0 FROM s JOIN w ON s.s = w.s AND w.item_id <> s.item_id""")
 def shingle_jaccard_pairs(spark, sf):
     """Benchmark items by the Jaccard similarity of their words, with a prefix filter."""
     d = t(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
@@ -513,10 +515,7 @@ def qa_expected_counts(spark, sf):
     return C.expected_counts(found, spark.createDataFrame([("en", 1), ("xx", 5)], "k string, n long"), "k").na.fill(0, ["found", "expected"])
 
 
-_STRUCTURE = r"(\([^\(\)]{0,4}\)|\[[^\]]+]|Br?|Cl?|[NOSPFIbcnops().=#+\\:~@?*$-]|//?|>>?|%[0-9]{2}|[0-9])"
-
-
-@query(f"""SELECT page_id, len(x) AS n, coalesce(list_aggregate(x, 'string_agg', ' '), '') AS tokens FROM (SELECT page_id, regexp_extract_all(html, '{_STRUCTURE}', 1) AS x FROM pages)""")
+@query(f"""SELECT page_id, len(x) AS n, coalesce(list_aggregate(x, 'string_agg', ' '), '') AS tokens FROM (SELECT page_id, regexp_extract_all(html, '{S.STRUCTURE_TOKEN}', 1) AS x FROM pages)""")
 def tokenize_structures(spark, sf):
     """All structure tokens of each page, in order."""
     x = S.structure_tokens(F.col("html"))
@@ -584,4 +583,4 @@ def balance_audit(spark, sf):
     return a.select("bucket", "n", *[r(c).alias(c) for c in ("share", "share_off", "rate", "rate_off")], "balanced")
 
 
-from . import curation, modelling  # noqa: E402, F401  these register more queries
+from . import curation, modelling, peptides  # noqa: E402, F401  these register more queries

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measurements as M
 from ..functions import vectors as V
+from ..functions.sequences import STRUCTURE_TOKEN
 from ..operators import aggregates as A
 from ..operators import features as X
 from ..operators import graph as G
@@ -397,8 +398,8 @@ def tolerance_check(spark, sf):
 _TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "b", "o", "br", "n", ">", "/", "c"]
 
 
-@query("""
-WITH x AS (SELECT page_id, regexp_extract_all(html, '(\\([^()]{0,4}\\)|\\[[^\\]]+]|Br?|Cl?|[NOSPFIbcnops().=#+\\\\:~@?*$-]|//?|>>?|%[0-9]{2}|[0-9])') AS w FROM pages),
+@query(rf"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, '{STRUCTURE_TOKEN}') AS w FROM pages),
 j AS (SELECT page_id, replace(chr(31) || array_to_string(w, chr(31) || chr(31)) || chr(31), chr(31) || 'n' || chr(31) || chr(31) || 'o' || chr(31), chr(31) || 'no' || chr(31)) AS s FROM x),
 k AS (SELECT page_id, list_filter(string_split(s, chr(31)), lambda v: v <> '') AS w FROM j)
 SELECT page_id, len(w) AS n, len(list_filter(w, lambda v: v = 'no')) AS merged,

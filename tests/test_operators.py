@@ -1,5 +1,6 @@
 """Joins, aggregates, splits, graphs, metrics, sources and streams on literal fixtures."""
 
+import itertools
 import json
 import random
 import zipfile
@@ -89,6 +90,15 @@ def test_checks(spark):
     assert checks.overall(out[:2]) == "FLAGGED" and checks.markdown_table([]) == "(none)"
 
 
+def by_class(sets: dict, alike) -> set:
+    """Pairs as set joins give them: the first keys of different sets that are alike, and each copy with the first key of its set."""
+    first = {}
+    for k in sorted(sets):
+        first.setdefault(sets[k], k)
+    pairs = {(min(i, j), max(i, j)) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if alike(a, b)}
+    return pairs | {(first[s], k) for k, s in sets.items() if first[s] != k}
+
+
 def test_similarity(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=6).tolist(), i % 2) for i in range(20)]
@@ -99,7 +109,7 @@ def test_similarity(spark):
     sets = [(i, [int(x) for x in r.integers(0, 12, 6)]) for i in range(40)] + [(99, [])]
     jac = lambda a, b: len(a & b) / len(a | b)
     for t in (0.3, 0.5, 1.0):
-        want = {(i, j) for i, a in sets for j, b in sets if i < j and a and b and jac(set(a), set(b)) >= t}
+        want = by_class({i: frozenset(a) for i, a in sets if a}, lambda a, b: jac(a, b) >= t)
         assert {(x["i"], x["j"]) for x in similarity.set_pairs(spark.createDataFrame(sets, "k int, s array<int>"), "k", "s", t).collect()} == want
     links = spark.createDataFrame([(0, "AAAA", "s"), (1, "AAAA", None), (2, "AXAA", "q"), (3, None, "q"), (4, "KK", "s")], "k int, a string, b string")
     assert as_set(similarity.first_links(links, "k", ["a", "b"])) == {(0, 1), (0, 4), (2, 3)}
@@ -476,14 +486,17 @@ def test_shingle_pairs_of_documents(spark, tmp_path):
     words = [re.findall(r"[^\W_]+", (x or "").lower()) for x in texts]
     sets = [{" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for w in words]
     jac = lambda a, b: len(a & b) / len(a | b)
-    want = {(i, j, round(jac(a, b), 6)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and jac(a, b) >= 0.8}
+    want = {(i, j, round(jac(sets[i], sets[j]), 6)) for i, j in by_class({i: frozenset(a) for i, a in enumerate(sets) if a}, lambda a, b: jac(a, b) >= 0.8)}
     sf = tables(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert as_set(catalogue.QUERIES["shingle_jaccard_documents"](spark, sf)) == want and len(want) > 60
     # an item that all sets share, dealt to cells of three sets
     d = spark.createDataFrame([(k, [0, k % 7 + 1]) for k in range(40)] + [(99, [0])], "k int, s array<int>")
     rows = [(k, {0, k % 7 + 1}) for k in range(40)] + [(99, {0})]
-    want = sorted((i, j) for i, a in rows for j, b in rows if i < j and jac(a, b) >= 0.3)
+    want = sorted(by_class({i: frozenset(a) for i, a in rows}, lambda a, b: jac(a, b) >= 0.3))
     assert sorted((x["i"], x["j"]) for x in similarity.set_pairs(d, "k", "s", 0.3, most=3).collect()) == want
+    # copies of one set add a row each, not pairs
+    many = spark.createDataFrame([(k, ["a", "b", "c"]) for k in range(5000)] + [(9999, ["a", "b", "c", "d"])], "k long, s array<string>")
+    assert similarity.set_pairs(many, "k", "s", 0.7).count() == 5000
 
 
 def test_whole_texts_are_complemented_and_tokenized(spark, tmp_path):
