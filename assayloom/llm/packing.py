@@ -90,21 +90,23 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: i
     """pieces (doc_id, piece, length, ...) with sequence_id and offset; a length is 1 to capacity.
 
     Offsets in a sequence run gapless from 0. group_items: items a packing task
-    takes on average. Other columns are kept. Rows are dealt by numbers that are
+    takes on average. Other columns are kept, whatever their names, but for
+    sequence_id and offset, which are replaced. Rows are dealt by numbers that are
     written with them, so null doc_ids, ties and repeated rows spread like any
     others, and a retried task packs the same items again. An empty table has no
     sequences.
     """
-    names = [c for c in pieces.columns]
-    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    own = {c: f"_c{i}" for i, c in enumerate(pieces.columns)}
+    names, length = list(own.values()), own["length"]
+    pieces = materialize(pieces.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
     total = pieces.count()
     groups = max(1, math.ceil(total / group_items))
     most = None if carry_all else fan_in + 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row") + ", sequence_id long, offset long, carried_fill long"
 
     def first(key, pdf):
-        pdf = pdf.sort_values(["length", "_row"], ascending=[False, True])
-        bins, offsets, fill = best_fit(pdf["length"].tolist(), capacity)
+        pdf = pdf.sort_values([length, "_row"], ascending=[False, True])
+        bins, offsets, fill = best_fit(pdf[length].tolist(), capacity)
         on = _emptiest(fill, capacity, most, nearly_full) if groups > 1 else set()
         base = int(key[0]) << 32
         return pdf[names].assign(
@@ -115,8 +117,9 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: i
 
     dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     placed = materialize(dealt.groupBy("_g").applyInPandas(first, schema))
+    back = [F.col(v).alias(c) for c, v in own.items() if c not in ("sequence_id", "offset")]
     if groups == 1:
-        return placed.drop("carried_fill")
+        return placed.select(*back, "sequence_id", "offset")
 
     carried = placed.where("carried_fill is not null").select(
         F.shiftright("sequence_id", 32).alias("g"), F.col("sequence_id").alias("bin"), F.col("carried_fill").alias("fill"),
@@ -146,5 +149,5 @@ def pack(pieces: DataFrame, capacity: int, group_items: int = 1 << 15, fan_in: i
     moved = final.where("size(members) > 1").select(F.col("bin").alias("_to"), F.explode("members").alias("m")).select("_to", F.col("m.bin").alias("_bin"), F.col("m.shift").alias("_shift"))
     return (
         placed.join(moved, placed.sequence_id == moved._bin, "left")
-        .select(*names, F.coalesce("_to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"))
+        .select(*back, F.coalesce("_to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"))
     )

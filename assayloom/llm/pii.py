@@ -27,7 +27,7 @@ from .common import append
 
 KINDS = ("email", "ip", "card", "phone")
 NAMES = (*KINDS, "secret")  # the network's kinds
-TAGS = 1 + len(NAMES)  # outside, then inside of each kind; spans of one kind never touch
+TAGS = 1 + 2 * len(NAMES)  # outside, then begin and inside of each kind
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -116,22 +116,28 @@ class Tagger:
             # gates are input, forget, output, candidate
             self.p |= {f"{d}x": n(dim, 4 * hidden), f"{d}h": n(hidden, 4 * hidden), f"{d}o": np.repeat([0, 1, 0, 0], hidden).astype(np.float32)}
 
-    def _lstm(self, d: str, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states (T, B, H) in the order of e, and what the gradient needs; states are 0 outside live (T, B)."""
-        h = self.h
-        pre = e @ self.p[f"{d}x"] + self.p[f"{d}o"]
-        hs, cs = np.zeros((e.shape[1], h), e.dtype), np.zeros((e.shape[1], h), e.dtype)
-        out, tape = np.empty((len(e), e.shape[1], h), e.dtype), []
-        for t in range(len(e)):
-            z = pre[t] + hs @ self.p[f"{d}h"]
-            s, g = 0.5 * (1 + np.tanh(0.5 * z[:, : 3 * h])), np.tanh(z[:, 3 * h :])
-            i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-            c = (f * cs + i * g) * live[t][:, None]
-            tc = np.tanh(c)
-            tape.append((hs, cs, i, f, o, g, tc))
-            hs, cs = o * tc, c
-            out[t] = hs
-        return out, tape
+    def _pair(self, name: str) -> np.ndarray:
+        """A parameter of both directions, outputs before inputs."""
+        return np.stack([self.p[f"f{name}"].T, self.p[f"b{name}"].T])
+
+    def _lstm(self, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Hidden states (T, 2, H, B) of both directions, each in its own order, and what the gradient needs; states are 0 outside live (T, B)."""
+        h, e = self.h, e.transpose(0, 2, 1)
+        x, m = np.stack([e, e[::-1]], axis=1), np.stack([live, live[::-1]], axis=1)[:, :, None]
+        pre, wh = self._pair("x") @ x + self._pair("o")[:, :, None], self._pair("h")
+        T, _, _, B = pre.shape
+        gates, new, c, tc, out = (np.empty((T, 2, k * h, B), e.dtype) for k in (3, 1, 1, 1, 1))
+        hs, cs = np.zeros((2, h, B), e.dtype), np.zeros((2, h, B), e.dtype)
+        for t in range(T):
+            z = wh @ hs
+            z += pre[t]
+            s = np.tanh(0.5 * z[:, : 3 * h], out=gates[t])
+            s += 1
+            s *= 0.5
+            g = np.tanh(z[:, 3 * h :], out=new[t])
+            cs = np.multiply(s[:, h : 2 * h] * cs + s[:, :h] * g, m[t], out=c[t])
+            hs = np.multiply(s[:, 2 * h :], np.tanh(cs, out=tc[t]), out=out[t])
+        return out, (x, m, gates, new, c, tc, out)
 
     def emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Tag scores (T, K, B) of packed windows, the longest first.
@@ -187,9 +193,8 @@ class Tagger:
             a[t] = np.where(live[t][:, None], v / c[t][:, None], a[t - 1] if t else v)
         for t in range(T - 2, -1, -1):
             b[t] = np.where(live[t + 1][:, None], (e[t + 1] * b[t + 1] / c[t + 1][:, None]) @ move.T, 1)
-        moves = np.zeros((K, K))
-        for t in range(1, T):
-            moves += move * (a[t - 1].T @ (e[t] * b[t] / c[t][:, None] * live[t][:, None]))
+        ahead = e[1:] * b[1:] / c[1:, :, None] * live[1:, :, None]
+        moves = move * (a[:-1].reshape(-1, K).T @ ahead.reshape(-1, K))
         return a * b * live[:, :, None], moves, np.log(c).sum(axis=0) + (top * live).sum(axis=0)
 
     def decode(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -211,41 +216,62 @@ class Tagger:
 
         A stretch inside enters from outside, goes on and leaves. Each of its tags
         is taken to come by the best transition into it and to be the best there,
-        which no path exceeds; if even so none beats outside, outside is best.
+        which no path exceeds; if even so none beats outside, outside is best. The
+        transitions are first taken to be the best of all, which needs one look at
+        the scores, and by tag where that does not settle it.
         """
         m = (self.p["move"] - self.p["move"][0, 0]).astype(np.float32)
         enter, on, leave = m[0, 1:, None], m[1:, 1:].max(axis=0)[:, None], float(m[1:, 0].max())
-        run, best = np.full(em.shape[2], -np.inf, np.float32), np.full(em.shape[2], -np.inf, np.float32)
+
+        def settled(begin, go, first, n):
+            """begin, go, first(t): what a stretch gains by entering at t, by going on to it, and by entering at the text's start."""
+            run, best = np.full(len(n), -np.inf, np.float32), np.full(len(n), -np.inf, np.float32)
+            for t in range(int(n.max())):
+                run = np.maximum(run + go(t), begin(t) if t else first(t))
+                np.maximum(best, np.where(t < n - 1, run + leave, np.where(t == n - 1, run, -np.inf)), out=best)
+            return best < -1e-3
+
+        lead = np.empty((em.shape[0], em.shape[2]), np.float32)
         for t in range(len(em)):
-            lead = em[t, 1:] - em[t, 0]
-            run = np.maximum(run + (lead + on).max(axis=0), (lead + enter if t else lead).max(axis=0))
-            np.maximum(best, np.where(t < n - 1, run + leave, np.where(t == n - 1, run, -np.inf)), out=best)
-        return best < -1e-3
-
-    def _lstm_back(self, d: str, dout: np.ndarray, e: np.ndarray, live: np.ndarray, tape: list, g: dict) -> np.ndarray:
-        # products of one step each are small, so that BLAS keeps to one thread
-        wx, wh = self.p[f"{d}x"], self.p[f"{d}h"]
-        de = np.empty_like(e)
+            np.subtract(em[t, 1:].max(axis=0), em[t, 0], out=lead[t])
+        a, b = float(enter.max()), float(on.max())
+        out = settled(lambda t: lead[t] + a, lambda t: lead[t] + b, lambda t: lead[t], n)
+        rest = np.flatnonzero(~out)
+        if len(rest):
+            x = em[:, 1:, rest] - em[:, :1, rest]
+            out[rest] = settled(lambda t: (x[t] + enter).max(axis=0), lambda t: (x[t] + on).max(axis=0), lambda t: x[t].max(axis=0), n[rest])
+        return out
+
+    def _lstm_back(self, dout: np.ndarray, tape: tuple, g: dict) -> np.ndarray:
+        """Gradient of the letters (T, B, D) from that of the states (T, 2, H, B); what does not depend on the step after is done for all steps at once."""
+        h = self.h
+        x, m, gates, new, c, tc, out = tape
+        i, f, o = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+        before = lambda v: np.concatenate([np.zeros_like(v[:1]), v[:-1]])
+        inner = gates * (1 - gates)
+        slope = np.concatenate([new * inner[:, :, :h], before(c) * inner[:, :, h : 2 * h], tc * inner[:, :, 2 * h :], i * (1 - new * new)], axis=2)
+        through = o * (1 - tc * tc)
+        back = np.ascontiguousarray(self._pair("h").transpose(0, 2, 1))
+        dz = np.empty_like(slope)
         dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
-        for t in range(len(e) - 1, -1, -1):
-            hs, cs, i, f, o, c, tc = tape[t]
+        for t in range(len(dout) - 1, -1, -1):
             dh = dh + dout[t]
-            dc = (dc + dh * o * (1 - tc * tc)) * live[t][:, None]
-            dz = np.concatenate([dc * c * i * (1 - i), dc * cs * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - c * c)], axis=1)
-            g[f"{d}x"] += e[t].T @ dz
-            g[f"{d}h"] += hs.T @ dz
-            g[f"{d}o"] += dz.sum(axis=0)
-            de[t] = dz @ wx.T
-            dh, dc = dz @ wh.T, dc * f
-        return de
+            dc = (dc + dh * through[t]) * m[t]
+            np.multiply(slope[t], np.concatenate([dc, dc, dh, dc], axis=1), out=dz[t])
+            dh, dc = back @ dz[t], dc * f[t]
+        flat = lambda v: v.transpose(1, 2, 0, 3).reshape(2, v.shape[2], -1)
+        z = flat(dz)
+        for name, v in (("x", flat(x) @ z.transpose(0, 2, 1)), ("h", flat(before(out)) @ z.transpose(0, 2, 1)), ("o", z.sum(axis=2))):
+            g[f"f{name}"], g[f"b{name}"] = v[0], v[1]
+        de = self._pair("x").transpose(0, 2, 1) @ dz
+        return (de[:, 0] + de[::-1, 1]).transpose(0, 2, 1)
 
     def gradient(self, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
         e = self.p["emb"][x]
         T, B = x.shape
         live = np.arange(T)[:, None] < n[None]
-        f, tf = self._lstm("f", e, live)
-        b, tb = self._lstm("b", e[::-1], live[::-1])
-        h = np.concatenate([f, b[::-1]], axis=2)
+        both, tape = self._lstm(e, live)
+        h = np.concatenate([both[:, 0], both[::-1, 1]], axis=1).transpose(0, 2, 1)
         em = h @ self.p["out"] + self.p["off"]
         p, moves, z = self.marginals(em, n)
         K = TAGS
@@ -260,8 +286,8 @@ class Tagger:
         g["out"] = np.matmul(h.transpose(0, 2, 1), dem).sum(axis=0)
         g["off"] = dem.sum(axis=(0, 1))
         dh = dem @ self.p["out"].T
-        de = self._lstm_back("f", dh[:, :, : self.h], e, live, tf, g)
-        de = de + self._lstm_back("b", dh[::-1, :, self.h :], e[::-1], live[::-1], tb, g)[::-1]
+        dh = dh.transpose(0, 2, 1)
+        de = self._lstm_back(np.stack([dh[:, : self.h], dh[::-1, self.h :]], axis=1), tape, g)
         order = np.argsort(x, axis=None, kind="stable")
         kinds, first = np.unique(x.ravel()[order], return_index=True)
         g["emb"][kinds] = np.add.reduceat(de.reshape(T * B, -1)[order], first, axis=0)
@@ -369,9 +395,14 @@ class Writer:
             out.append(text[done:i] + " ")
             n += i - done + 1
             if self.r.random() < 0.5:
-                before, value, after, kind = self.value()
-                spans.append((n + len(before), n + len(before) + len(value), kind))
-                put = before + value + after
+                make = self.pick([self.email, self.ip, self.card, self.phone, self.secret, self.secret])
+                put = ""
+                # values of one kind may be neighbours
+                for k in range(self.pick([1, 1, 1, 1, 2, 3])):
+                    before, value, after, kind = make()
+                    put += (self.pick([" ", " ", ", ", "\n", "; ", " / "]) if k else "") + before
+                    spans.append((n + len(put), n + len(put) + len(value), kind))
+                    put += value + after
             else:
                 put = self.other()
             put += self.pick(["", "", "", ".", ",", ";", ")"])
@@ -387,11 +418,19 @@ class Writer:
 def _tags(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     y = np.zeros(n, np.int64)
     for a, b, k in spans:
-        y[a:b] = 1 + k
+        y[a], y[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
     return y
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 1200, batch: int = 64, rate: float = 0.02, seed: int = 11, span: int = 160) -> Tagger:
+def _stretches(y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of a text's tags: a span starts at each begin, and where a kind comes after outside or another kind."""
+    kind = (y + 1) // 2
+    cut = np.flatnonzero((np.diff(kind, prepend=0) != 0) | (y % 2 == 1))
+    ends = np.append(cut[1:], len(y))
+    return [(int(a), int(b), int(kind[a]) - 1) for a, b in zip(cut, ends) if kind[a]]
+
+
+def train(texts: list[str], spans: list[list[tuple[int, int, int]]], steps: int = 1000, batch: int = 128, rate: float = 0.02, seed: int = 11, span: int = 96) -> Tagger:
     """Adam on the CRF's likelihood over stretches of span characters of the labelled texts; the same input gives the same network."""
     net, r = Tagger(seed=seed), np.random.default_rng(seed)
     code, tags = [_classes(t) for t in texts], [_tags(len(t), s) for t, s in zip(texts, spans)]
@@ -446,10 +485,7 @@ def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[t
             lo = OVERLAP // 2 if a else 0
             hi = len(tags) if a + len(tags) == len(y) else len(tags) - OVERLAP // 2
             y[a + lo : a + hi], q[a + lo : a + hi] = tags[lo:hi], p[lo:hi]
-        edge = [0, *(np.flatnonzero(np.diff(y)) + 1).tolist(), len(y)]
-        for b, e in zip(edge, edge[1:]):
-            if y[b] and q[b:e].mean() >= sure and q[b:e].min() >= min(sure, 0.5):
-                out[k].append((b, e, int(y[b]) - 1))
+        out[k] = [(b, e, kind) for b, e, kind in _stretches(y) if q[b:e].mean() >= sure and q[b:e].min() >= min(sure, 0.5)]
     return out
 
 

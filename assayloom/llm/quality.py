@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append
+from .common import append, materialize
 
 CHUNK, K, DIM, FILTERS = 512, 6, 4, 16
 _PLANES = DIM + 1
@@ -134,13 +134,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, **how) -> Net:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, most_bytes: int = 64 << 20, **how) -> Net:
     """Train on at most sample labelled rows of each class, picked by a hash of doc_id; held-out rows never.
 
-    sample is the bound on what the driver holds; texts of any length are used
-    whole. Labels other than 0 and 1 and null doc_ids take no part, nor does a
-    doc_id with both labels; a doc_id that stands several times in docs gives all
-    its texts. Null texts are empty ones. One class or none gives an untrained
+    sample and most_bytes bound what the driver holds: the picked texts, the
+    shortest first, are taken whole as long as they are most_bytes together (a
+    text alone longer than that takes no part). Labels other than 0 and 1 and
+    null doc_ids take no part, nor does a doc_id with both labels; a doc_id that
+    stands several times in docs gives its least text only. Null texts are empty ones. One class or none gives an untrained
     network that scores all texts alike, as their share of label 1. Other columns
     take no part.
     """
@@ -152,7 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, **how) -> Net:
         pick = part if pick is None else pick.union(part)
     # at most 2 * sample narrow rows
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    got = got.toPandas().sort_values(["doc_id", "text"], kind="stable")
+    # one text an id, so that the window below has at most 2 * sample rows
+    got = materialize(got.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("_n", F.octet_length("text")))
+    held = F.sum("_n").over(Window.orderBy("_n", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    few = got.select("doc_id", held.alias("_held")).where(F.col("_held") <= most_bytes).select("doc_id")
+    got = got.join(F.broadcast(few), "doc_id", "left_semi").select("doc_id", "quality", "text").toPandas().sort_values("doc_id", kind="stable")
     texts, y = got["text"].tolist(), got["quality"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         net = Net()
