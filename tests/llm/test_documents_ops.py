@@ -669,3 +669,34 @@ def test_extra_columns_with_clashing_names(docs):
     assert near_dup.near_duplicates(more).count() == n and mixing.mix(more).count() == n and substrings.substring_dedup(more).count() == n
     assert fingerprints.edited_fingerprints(more).count() == n and licenses.license_scan(more).count() == n and fingerprints.fingerprints(more).count() == n
     assert pii.find(more, pii.Tagger()).columns.count("n_email") == 1 and dict(quality.score(more, quality.Net()).dtypes)["held_out"] == "boolean"
+
+
+def test_neighbouring_spans_of_one_kind_are_told_apart():
+    assert pii._stretches(np.array([0, 1, 2, 1, 2, 2, 0, 4, 3, 6, 6, 5, 0])) == [(1, 3, 0), (3, 6, 0), (7, 8, 1), (8, 9, 1), (9, 11, 2), (11, 12, 2)]
+    spans = [(0, 3, 2), (3, 5, 2), (6, 7, 2), (7, 9, 0)]
+    assert pii._stretches(pii._tags(10, spans)) == spans and pii._stretches(pii._tags(4, [])) == [] and pii._stretches(np.zeros(0, int)) == []
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, 0, 30 + i % 50) for i in range(300)], "doc_id long, piece int, length long")
+    more = df.withColumns({c: F.lit("x") for c in ("_row", "_g", "carried_fill", "sequence_id", "offset", "bin", "fill", "members", "_to", "_bin", "_shift", "_c0", "g")})
+    for group in (1 << 15, 40):
+        got, plain = packing.pack(more, 100, group_items=group), packing.pack(df, 100, group_items=group)
+        assert sorted(got.columns) == sorted(more.columns) and dict(got.dtypes)["offset"] == "bigint" and got.where("_row = 'x' and carried_fill = 'x' and bin = 'x' and _c0 = 'x'").count() == 300
+        cells = lambda d: sorted(map(tuple, d.select("doc_id", "length", "sequence_id", "offset").collect()))
+        assert [x[:2] for x in cells(got)] == [x[:2] for x in cells(plain)] and len({x[2] for x in cells(got)}) == len({x[2] for x in cells(plain)})
+
+
+def test_classifier_sample_is_bounded_in_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda texts, y, **how: taken.append((texts, y)))
+    d = spark.createDataFrame([(i, f"{i} " + "x" * (i * 10)) for i in range(60)] + [(3, "0"), (3, "zz")], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    quality.fit(d, y)
+    whole = taken[-1][0]
+    assert "0" in whole and "zz" not in whole and len(whole) == len(taken[-1][1]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    quality.fit(d, y, most_bytes=2000)
+    few = taken[-1][0]
+    assert 2 < len(few) < len(whole) and sum(map(len, few)) <= 2000 and set(few) == set(sorted(whole, key=len)[: len(few)])
