@@ -34,47 +34,46 @@ def contract(edges: DataFrame, node_of: DataFrame) -> DataFrame:
     return e.select(F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst"), "weight").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) by weighted label propagation with a fixed number of rounds; ties go to the smallest label.
-
-    Each round moves the half of the nodes that a hash picks, as two neighbours
-    that move together would swap labels for ever. Deterministic, and isolated nodes are their own community. It keeps hard
-    links whole only if they were contracted before.
-    """
-    both = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")))
-    label = stored(nodes.select(F.col("node").alias("n"), F.col("node").alias("c")))
-    for k in range(rounds):
-        votes = both.join(label, both.b == label.n).groupBy("a", "c").agg(F.sum("weight").alias("w"))
-        own = label.select(F.col("n").alias("a"), "c", F.lit(1e-9).alias("w"))
-        best = votes.unionByName(own).groupBy("a", "c").agg(F.sum("w").alias("w")).groupBy("a").agg(F.min_by("c", F.struct(-F.round("w", 9), F.col("c"))).alias("c"))
-        moves = F.pmod(F.xxhash64(F.lit(k), "n"), F.lit(2)) == 0
-        label = stored(label.join(best.select("a", F.col("c").alias("_c")), label.n == best.a, "left").select("n", F.when(moves, F.coalesce("_c", "c")).otherwise(F.col("c")).alias("c")))
-    return label.select(F.col("n").alias("node"), F.col("c").alias("community"))
+def communities(nodes: DataFrame, edges: DataFrame, **how) -> DataFrame:
+    """(node, community) by modularity, see communities.py. It keeps hard links whole only if they were contracted before."""
+    from .communities import find_communities
 
+    return find_communities(nodes, edges, **how)
 
-#: Nodes and edges that the driver holds for leader clusters.
-MOST_EDGES = 20_000_000
 
+def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(node, leader): greedy clusters, the node with most neighbours in the whole graph first (smallest on ties).
 
-def leader_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, leader): greedy clusters, the node with most neighbours left first (smallest on ties).
-
-    One pass on the driver over the edge list, for contracted graphs of up to
-    MOST_EDGES nodes and edges; larger ones raise.
+    In each round the nodes lead that no leader precedes among their neighbours
+    and none that may still lead; their later neighbours can't lead any more, and
+    follow the first of their leaders once no earlier one can come. So all leaders
+    of a round are taken at once, as one node after the other would be. A round
+    decides the first open node of each part at least; raises if max_rounds do
+    not decide all.
     """
-    if nodes.count() + edges.count() > MOST_EDGES:
-        raise ValueError(f"more than {MOST_EDGES} nodes and edges; contract the graph first")
-    near: dict = {r["node"]: set() for r in nodes.select("node").toLocalIterator()}
-    for r in edges.select("src", "dst").toLocalIterator():
-        near[r["src"]].add(r["dst"])
-        near[r["dst"]].add(r["src"])
-    left, out = set(near), []
-    for n in sorted(near, key=lambda x: (-len(near[x]), x)):
-        if n in left:
-            group = {n} | (near[n] & left)
-            out += [(m, n) for m in sorted(group)]
-            left -= group
-    return nodes.sparkSession.createDataFrame(out, nodes.select(F.col("node"), F.col("node").alias("leader")).schema)
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct()
+    rank = nodes.select(F.col("node").alias("n")).distinct().join(both.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("d")), "n", "left")
+    order = F.struct((-F.coalesce("d", F.lit(0))).alias("d"), F.col("n").alias("n"))
+    # l: the first leader among the neighbours before, as far as they are known
+    open_ = stored(rank.select("n", order.alias("p")).withColumn("l", F.when(F.lit(False), F.col("p"))), "graph")
+    # neighbours b before a that may still lead
+    near = stored(both.join(open_.select(F.col("n").alias("a"), F.col("p").alias("pa")), "a").join(open_.select(F.col("n").alias("b"), F.col("p").alias("pb")), "b").where("pb < pa").select("a", "b", "pb"), "graph")
+    done = None
+    for _ in range(max_rounds):
+        leads = stored(open_.where("l is null").select("n").join(near.select(F.col("a").alias("n")).distinct(), "n", "left_anti"), "graph")
+        led = near.join(leads.withColumnRenamed("n", "b"), "b").groupBy(F.col("a").alias("n")).agg(F.min("pb").alias("_l"))
+        rest = open_.join(leads, "n", "left_anti").join(led, "n", "left").select("n", "p", F.least("l", "_l").alias("l"))
+        rest = stored(rest, "graph")
+        near = stored(near.join(rest.where("l is null").select(F.col("n").alias("b")), "b", "left_semi"), "graph")
+        first = near.groupBy(F.col("a").alias("n")).agg(F.min("pb").alias("w"))
+        settled = F.col("l").isNotNull() & (F.col("w").isNull() | (F.col("l") < F.col("w")))
+        rest = stored(rest.join(first, "n", "left").withColumn("done", settled), "graph")
+        now = leads.select("n", F.col("n").alias("leader")).unionByName(rest.where("done").select("n", F.col("l.n").alias("leader")))
+        done = now if done is None else done.unionByName(now)
+        open_ = rest.where("not done").select("n", "p", "l")
+        if open_.isEmpty():
+            return done.select(F.col("n").alias("node"), "leader")
+    raise RuntimeError(f"leader clusters did not settle in {max_rounds} rounds")
 
 
 def crossing_edges(edges: DataFrame, bucket_of: DataFrame, bucket: str) -> DataFrame:

@@ -127,3 +127,37 @@ def structure_classes(spark, sf):
 def fingerprint_links(spark, sf):
     """Peptides whose circular fingerprints are 80 % alike."""
     return S.fingerprint_links(peptides(spark, sf), "id", "smiles", 0.8).select("i", "j", r("similarity").alias("similarity"))
+
+
+def _records(spark, sf):
+    """Assays of parts: the name's head as sequence, no structure, one record a line item."""
+    items = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_returnflag") == "R").alias("active"))
+    heads = name_heads(spark, sf)
+    sizes = t(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4 == 0).alias("special"))
+    return items.join(heads, "k").join(sizes, "k").select(F.col("k").alias("peptide_id"), F.col("s").alias("sequence"), F.lit(None).cast("string").alias("smiles"), "special", "active")
+
+
+@query(f"""
+WITH RECURSIVE {IDENTITY_SQL.replace(_HEADS, _HEADS + " WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")},
+hard AS (SELECT i AS a, j AS b FROM links WHERE similarity >= 0.9 UNION SELECT j, i FROM links WHERE similarity >= 0.9),
+g(x, y) AS (SELECT k, k FROM h UNION SELECT g.x, hard.b FROM g JOIN hard ON hard.a = g.y),
+groups AS (SELECT x AS k, min(y) AS component FROM g GROUP BY x)
+SELECT 'peptides' AS fact, count(*)::DOUBLE AS value FROM h UNION ALL SELECT 'records', count(*) FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT 'hard_groups', count(DISTINCT component) FROM groups
+UNION ALL SELECT 'hard_edges', count(*) / 2 FROM hard UNION ALL SELECT 'identity_edges', count(*) FROM links UNION ALL SELECT 'fingerprint_edges', 0 UNION ALL SELECT 'hard_crossing', 0 UNION ALL SELECT 'with_placeholder', count(*) FILTER (WHERE contains(s, 'X')) FROM h
+UNION ALL SELECT 'whole_groups', count(DISTINCT component) FROM groups UNION ALL SELECT 'buckets', 6""")
+def peptide_split(spark, sf):
+    """The whole split over parts by their names: what it counts, hard links that cross, and groups of hard links that are in one bucket."""
+    from ..operators import graph as G
+    from ..operators.peptide_split import SplitPlan, build_split
+
+    records = _records(spark, sf)
+    rows, facts = build_split(records, SplitPlan(tries=5000))
+    units = records.select("peptide_id", "sequence").distinct()
+    links, classes = I.identity_graph(units, "peptide_id", "sequence", 0.9)
+    hard = links.select(F.col("i").alias("src"), F.col("j").alias("dst")).unionByName(classes.where("key <> first").select(F.col("first").alias("src"), F.col("key").alias("dst")))
+    parts = G.components(units.select(F.col("peptide_id").alias("node")), hard)
+    bucket = rows.select(F.col("peptide_id").alias("node"), F.concat_ws("_", "split", F.col("fold_id").cast("string")).alias("bucket"))
+    whole = parts.join(bucket, "node").groupBy("component").agg(F.countDistinct("bucket").alias("n")).agg(F.count_if(F.col("n") == 1).cast("double").alias("value")).select(F.lit("whole_groups").alias("fact"), "value")
+    used = bucket.agg(F.countDistinct("bucket").cast("double").alias("value")).select(F.lit("buckets").alias("fact"), "value")
+    kept = facts.where(F.col("fact").isin("peptides", "records", "hard_groups", "hard_edges", "identity_edges", "fingerprint_edges", "hard_crossing", "with_placeholder"))
+    return kept.unionByName(whole).unionByName(used)
