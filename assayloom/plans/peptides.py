@@ -161,3 +161,66 @@ def peptide_split(spark, sf):
     used = bucket.agg(F.countDistinct("bucket").cast("double").alias("value")).select(F.lit("buckets").alias("fact"), "value")
     kept = facts.where(F.col("fact").isin("peptides", "records", "hard_groups", "hard_edges", "identity_edges", "fingerprint_edges", "hard_crossing", "with_placeholder"))
     return kept.unionByName(whole).unionByName(used)
+
+
+_WEIGHTS = {
+    "embed": [[0.5, -0.3], [-0.25, 0.2]], "embed_b": [0.1, 0.05],
+    "layers": [{"edge": [[0.2, -0.1], [0.4, 0.3]], "edge_b": [0.0, 0.1], "in": [[0.6, -0.2], [0.1, 0.5]], "in_b": [0.05, -0.05], "out": [[0.3, 0.7], [-0.4, 0.2]], "out_b": [0.0, 0.02], "scale": [1.0, 0.5], "shift": [0.0, 0.25], "eps": 0.1}],
+}
+
+
+@query("""
+WITH x AS (SELECT c_custkey AS id, c_nationkey AS graph, c_acctbal / 10000 AS a, c_custkey % 3 AS b FROM customer),
+h AS (SELECT id, graph, 0.5 * a - 0.25 * b + 0.1 AS p, -0.3 * a + 0.2 * b + 0.05 AS q FROM x),
+c AS (SELECT id AS u, lead(id) OVER (PARTITION BY graph ORDER BY id) AS w FROM x),
+e AS (SELECT u AS src, w AS dst, 1.0 AS k, u % 2 AS l FROM c WHERE w IS NOT NULL UNION ALL SELECT w, u, 1.0, u % 2 FROM c WHERE w IS NOT NULL),
+m AS (SELECT dst, sum(greatest(p + 0.2 * k + 0.4 * l, 0)) AS p, sum(greatest(q - 0.1 * k + 0.3 * l + 0.1, 0)) AS q FROM e JOIN h ON src = id GROUP BY dst),
+s AS (SELECT id, graph, h.p AS hp, h.q AS hq, 1.1 * h.p + coalesce(m.p, 0) AS p, 1.1 * h.q + coalesce(m.q, 0) AS q FROM h LEFT JOIN m ON dst = id),
+i AS (SELECT *, greatest(0.6 * p + 0.1 * q + 0.05, 0) AS f, greatest(-0.2 * p + 0.5 * q - 0.05, 0) AS g FROM s),
+o AS (SELECT id, graph, hp + 0.3 * f - 0.4 * g AS f, hq + 0.7 * f + 0.2 * g + 0.02 AS g FROM i),
+n AS (SELECT graph, (f - (f + g) / 2) / sqrt(((f - g) / 2) * ((f - g) / 2) + 1e-5) AS f, 0.5 * (g - (f + g) / 2) / sqrt(((f - g) / 2) * ((f - g) / 2) + 1e-5) + 0.25 AS g FROM o)
+SELECT graph, round(avg(f), 6) AS mean_f, round(avg(g), 6) AS mean_g, round(max(f), 6) AS max_f, round(max(g), 6) AS max_g, round(sum(f) / 100, 6) AS sum_f, round(sum(g) / 100, 6) AS sum_g FROM n GROUP BY graph""")
+def graph_encodings(spark, sf):
+    """One round of messages between customers that follow each other in their nation, and the nations' pooled states."""
+    from pyspark.sql import Window
+
+    from ..operators.networks import encode_graphs
+
+    c = t(spark, sf, "customer")
+    nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("graph"), F.array(F.col("c_acctbal") / 10000, (F.col("c_custkey") % 3).cast("double")).alias("x"))
+    chain = c.select(F.col("c_custkey").alias("u"), F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("w")).where("w is not null").withColumn("e", F.array(F.lit(1.0), (F.col("u") % 2).cast("double")))
+    edges = chain.select(F.col("u").alias("src"), F.col("w").alias("dst"), "e").unionByName(chain.select(F.col("w").alias("src"), F.col("u").alias("dst"), "e"))
+    names = ("mean_f", "mean_g", "max_f", "max_g", "sum_f", "sum_g")
+    return encode_graphs(nodes, edges, _WEIGHTS).select("graph", *[r(F.col("pooled")[k]).alias(n) for k, n in enumerate(names)])
+
+
+@query(f"""WITH {PEPTIDE_SQL}, s AS (SELECT id, (c + n + o + s) AS n_nodes, (c + n + o + s) - 1 + g AS bonds FROM m)
+SELECT id, n_nodes::BIGINT AS n_nodes, (2 * bonds)::BIGINT AS n_edges, coalesce(sum(n_nodes) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "first" FROM s""")
+def structure_batch(spark, sf):
+    """The peptides' structures as one batch of graphs: atoms, bonds both ways, and where each graph starts."""
+    from ..operators.networks import graph_batch
+
+    nodes, edges = graph_batch(peptides(spark, sf), "id", "smiles")
+    per = nodes.groupBy(F.col("graph").alias("id")).agg(F.count("*").alias("n_nodes"), F.min("id").alias("first"))
+    own = edges.join(nodes.select(F.col("id").alias("src"), "graph"), "src").join(nodes.select(F.col("id").alias("dst"), F.col("graph").alias("_g")), "dst").where("graph = _g")
+    return per.join(own.groupBy(F.col("graph").alias("id")).agg(F.count("*").alias("n_edges")), "id")
+
+
+@query("""
+WITH RECURSIVE x AS (SELECT c_acctbal / 5000 AS a, (c_custkey % 7) / 7 AS b, c_nationkey / 25 AS c, (c_mktsegment = 'BUILDING')::INT AS y, c_custkey % 5 = 0 AS v FROM customer),
+w AS (
+  SELECT 0 AS epoch, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r, 0.0::DOUBLE AS s
+  UNION ALL
+  SELECT epoch + 1, any_value(p) - 0.5 * avg(d * a), any_value(q) - 0.5 * avg(d * b), any_value(r) - 0.5 * avg(d * c), any_value(s) - 0.5 * avg(d)
+  FROM (SELECT *, (CASE WHEN y = 1 THEN 2 ELSE 1 END) * (1 / (1 + exp(-(p * a + q * b + r * c + s))) - y) AS d FROM w, x WHERE NOT v AND epoch < 5) GROUP BY epoch),
+l AS (SELECT epoch, v, y, p * a + q * b + r * c + s AS z FROM w, x)
+SELECT epoch, round(avg((CASE WHEN y = 1 THEN 2 ELSE 1 END) * (ln(1 + exp(z)) - z * y)) FILTER (WHERE NOT v), 6) AS fit_loss, round(avg((CASE WHEN y = 1 THEN 2 ELSE 1 END) * (ln(1 + exp(z)) - z * y)) FILTER (WHERE v), 6) AS val_loss,
+       round(avg(((z > 0) = (y = 1))::INT) FILTER (WHERE v), 6) AS val_accuracy FROM l GROUP BY epoch""")
+def training_history(spark, sf):
+    """Six epochs of a weighted linear model of customers, by gradient descent over all rows."""
+    from ..operators.networks import fit_epochs
+
+    k = F.col("c_custkey")
+    d = t(spark, sf, "customer").select(F.array(F.col("c_acctbal") / 5000, (k % 7) / 7, F.col("c_nationkey") / 25).alias("x"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"), (k % 5 == 0).alias("v"))
+    history, _ = fit_epochs(d, "x", "y", "v", epochs=6, rate=0.5, adam=False, patience=9, weight=2.0)
+    return history.select("epoch", *[r(c).alias(c) for c in ("fit_loss", "val_loss", "val_accuracy")])
