@@ -104,6 +104,25 @@ def _pack(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, n
 
 
+def _bend(x: np.ndarray, out: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """x (27 + x^2) / (27 + 9 x^2) for x within 3, 1 and -1 beyond: near tanh, without an exponential. x is clipped in place."""
+    np.maximum(x, -3, out=x)
+    np.minimum(x, 3, out=x)
+    square = np.multiply(x, x, out=room)
+    np.add(square, 27, out=out)
+    out *= x
+    square *= 9
+    square += 27
+    out /= square
+    return out
+
+
+def _slope(x: np.ndarray) -> np.ndarray:
+    """_bend's slope at clipped x."""
+    square = x * x
+    return ((9 - square) / (3 + square)) ** 2 / 9
+
+
 class Tagger:
     """Embedding, one LSTM each way, a linear layer and CRF transitions."""
 
@@ -126,18 +145,19 @@ class Tagger:
         x, m = np.stack([e, e[::-1]], axis=1), np.stack([live, live[::-1]], axis=1)[:, :, None]
         pre, wh = self._pair("x") @ x + self._pair("o")[:, :, None], self._pair("h")
         T, _, _, B = pre.shape
-        gates, new, c, tc, out = (np.empty((T, 2, k * h, B), e.dtype) for k in (3, 1, 1, 1, 1))
+        raw, gates, c, top, tc, out = (np.empty((T, 2, k * h, B), e.dtype) for k in (4, 4, 1, 1, 1, 1))
         hs, cs = np.zeros((2, h, B), e.dtype), np.zeros((2, h, B), e.dtype)
         for t in range(T):
-            z = wh @ hs
+            z = np.matmul(wh, hs, out=raw[t])
             z += pre[t]
-            s = np.tanh(0.5 * z[:, : 3 * h], out=gates[t])
-            s += 1
-            s *= 0.5
-            g = np.tanh(z[:, 3 * h :], out=new[t])
-            cs = np.multiply(s[:, h : 2 * h] * cs + s[:, :h] * g, m[t], out=c[t])
-            hs = np.multiply(s[:, 2 * h :], np.tanh(cs, out=tc[t]), out=out[t])
-        return out, (x, m, gates, new, c, tc, out)
+            z[:, : 3 * h] *= 0.5
+            s = _bend(z, gates[t])
+            s[:, : 3 * h] += 1
+            s[:, : 3 * h] *= 0.5
+            cs = np.multiply(s[:, h : 2 * h] * cs + s[:, :h] * s[:, 3 * h :], m[t], out=c[t])
+            np.copyto(top[t], cs)
+            hs = np.multiply(s[:, 2 * h : 3 * h], _bend(top[t], tc[t]), out=out[t])
+        return out, (x, m, raw, gates, c, top, tc, out)
 
     def emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Tag scores (T, K, B) of packed windows, the longest first.
@@ -157,26 +177,28 @@ class Tagger:
         for d, order, out in (("f", range(T), self.p["out"][:h]), ("b", range(T - 1, -1, -1), self.p["out"][h:])):
             w = np.ascontiguousarray((np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"], self.p[f"{d}o"][None]]) * half).T, np.float32)
             out = np.ascontiguousarray(out.T, np.float32)
-            v, c, z, g = np.zeros((h + dim + 1, B), np.float32), np.zeros((h, B), np.float32), np.empty((4 * h, B), np.float32), np.empty((h, B), np.float32)
+            v, c, g = np.zeros((h + dim + 1, B), np.float32), np.zeros((h, B), np.float32), np.empty((h, B), np.float32)
+            z, acts, room = (np.empty((4 * h, B), np.float32) for _ in range(3))
             v[-1] = 1
-            gates, hs = z[: 3 * h], v[:h]
+            hs = v[:h]
             # products over so many columns stay under the size from which BLAS starts threads
             step = 250_000 // w.size
             for t in order:
                 # the windows that have a character here; those of others keep a state of 0
                 m = live[t]
-                zt, ct, gt, ht, st = z[:, :m], c[:, :m], g[:, :m], hs[:, :m], gates[:, :m]
+                zt, ct, gt, ht, at, st = z[:, :m], c[:, :m], g[:, :m], hs[:, :m], acts[:, :m], acts[: 3 * h, :m]
                 v[h:-1, :m] = letters[:, t, :m]
                 for i in range(0, m, step):
                     np.matmul(w, v[:, i : min(i + step, m)], out=z[:, i : min(i + step, m)])
-                np.tanh(zt, out=zt)
+                _bend(zt, at, room[:, :m])
                 st *= 0.5
                 st += 0.5
-                np.multiply(zt[:h], zt[3 * h :], out=gt)
-                ct *= zt[h : 2 * h]
+                np.multiply(at[:h], at[3 * h :], out=gt)
+                ct *= at[h : 2 * h]
                 ct += gt
-                np.tanh(ct, out=gt)
-                np.multiply(zt[2 * h : 3 * h], gt, out=ht)
+                np.copyto(gt, ct)
+                _bend(gt, ht, room[:h, :m])
+                ht *= at[2 * h : 3 * h]
                 em[t, :, :m] += out @ ht
         return em
 
@@ -200,8 +222,8 @@ class Tagger:
     def decode(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Viterbi tags (T, B) of scores (T, K, B): best scores forwards, and their tags again on the way back."""
         T, K, B = em.shape
-        move = self.p["move"].astype(np.float64)
-        best = np.empty((T, K, B))
+        move = self.p["move"]
+        best = np.empty((T, K, B), em.dtype)
         best[0] = em[0]
         for t in range(1, T):
             np.add((best[t - 1][:, None, :] + move[:, :, None]).max(axis=0), em[t], out=best[t])
@@ -211,46 +233,16 @@ class Tagger:
             tags[t] = np.where(t < n, last, 0)
         return tags
 
-    def plain(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Windows (B,) of scores (T, K, B) whose best path is outside throughout, so that it need not be searched.
-
-        A stretch inside enters from outside, goes on and leaves. Each of its tags
-        is taken to come by the best transition into it and to be the best there,
-        which no path exceeds; if even so none beats outside, outside is best. The
-        transitions are first taken to be the best of all, which needs one look at
-        the scores, and by tag where that does not settle it.
-        """
-        m = (self.p["move"] - self.p["move"][0, 0]).astype(np.float32)
-        enter, on, leave = m[0, 1:, None], m[1:, 1:].max(axis=0)[:, None], float(m[1:, 0].max())
-
-        def settled(begin, go, first, n):
-            """begin, go, first(t): what a stretch gains by entering at t, by going on to it, and by entering at the text's start."""
-            run, best = np.full(len(n), -np.inf, np.float32), np.full(len(n), -np.inf, np.float32)
-            for t in range(int(n.max())):
-                run = np.maximum(run + go(t), begin(t) if t else first(t))
-                np.maximum(best, np.where(t < n - 1, run + leave, np.where(t == n - 1, run, -np.inf)), out=best)
-            return best < -1e-3
-
-        lead = np.empty((em.shape[0], em.shape[2]), np.float32)
-        for t in range(len(em)):
-            np.subtract(em[t, 1:].max(axis=0), em[t, 0], out=lead[t])
-        a, b = float(enter.max()), float(on.max())
-        out = settled(lambda t: lead[t] + a, lambda t: lead[t] + b, lambda t: lead[t], n)
-        rest = np.flatnonzero(~out)
-        if len(rest):
-            x = em[:, 1:, rest] - em[:, :1, rest]
-            out[rest] = settled(lambda t: (x[t] + enter).max(axis=0), lambda t: (x[t] + on).max(axis=0), lambda t: x[t].max(axis=0), n[rest])
-        return out
-
     def _lstm_back(self, dout: np.ndarray, tape: tuple, g: dict) -> np.ndarray:
         """Gradient of the letters (T, B, D) from that of the states (T, 2, H, B); what does not depend on the step after is done for all steps at once."""
         h = self.h
-        x, m, gates, new, c, tc, out = tape
-        i, f, o = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+        x, m, raw, gates, c, top, tc, out = tape
+        i, f, o, new = (gates[:, :, k * h : (k + 1) * h] for k in range(4))
         before = lambda v: np.concatenate([np.zeros_like(v[:1]), v[:-1]])
-        inner = gates * (1 - gates)
-        slope = np.concatenate([new * inner[:, :, :h], before(c) * inner[:, :, h : 2 * h], tc * inner[:, :, 2 * h :], i * (1 - new * new)], axis=2)
-        through = o * (1 - tc * tc)
+        slope = _slope(raw)
+        slope[:, :, : 3 * h] *= 0.25
+        slope *= np.concatenate([new, before(c), tc, i], axis=2)
+        through = o * _slope(top)
         back = np.ascontiguousarray(self._pair("h").transpose(0, 2, 1))
         dz = np.empty_like(slope)
         dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
@@ -465,17 +457,13 @@ def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[t
         part = todo[i : i + 480]
         x, n = _pack([code[k][a : a + WINDOW] for k, a in part])
         em = net.emissions(x, n)
-        rows = np.flatnonzero(~net.plain(em, n))
-        if not len(rows):
-            continue
-        em, n = em[:, :, rows], n[rows]
         tags = net.decode(em, n)
         some = np.flatnonzero(((tags > 0) & (np.arange(len(tags))[:, None] < n)).any(axis=0))
         if not len(some):
             continue
         p = net.marginals(np.ascontiguousarray(em[:, :, some].transpose(0, 2, 1)), n[some])[0]
         for j, q in zip(some.tolist(), np.moveaxis(p, 1, 0)):
-            k, a = part[rows[j]]
+            k, a = part[j]
             found.setdefault(k, []).append((a, tags[: n[j], j], q[np.arange(n[j]), tags[: n[j], j]]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, got in found.items():
