@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import scaler, scaler_arrays
 from .checks import CheckError, require
 from .features import encode, vocabulary
 from .joins import lookup_columns
+from .order import numbered
 from ..functions import vectors as V
 
 
@@ -198,13 +199,11 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 def length_batches(df: DataFrame, text: str, key: str, size: int) -> DataFrame:
     """df with batch: rows of like length together, about size rows each, so that padding is short.
 
-    Lengths are counted first; a length's rows are numbered within it, after the
-    rows of all shorter ones.
+    Rows are numbered in the order of (length, key) by ranges, so that rows of one
+    length, or without a text, are no single task.
     """
     d = df.withColumn("_n", F.coalesce(F.length(text), F.lit(0)))
-    before = d.groupBy("_n").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_n", "_before")
-    at = F.row_number().over(Window.partitionBy("_n").orderBy(key)) - 1 + F.col("_before")
-    return d.join(before, "_n").withColumn("batch", F.floor(at / size)).drop("_n", "_before")
+    return numbered(d, [F.col("_n"), F.col(key)], "_at").withColumn("batch", F.floor(F.col("_at") / size)).drop("_n", "_at")
 
 
 def kmeans_sweep(df: DataFrame, vector: str, ks: list[int], seed: int = 42, sample: float | None = None) -> tuple[DataFrame, list[dict]]:

@@ -16,6 +16,7 @@ from ..operators import metrics as E
 from ..operators import splits as B
 from ..operators import training as T
 from ..operators import tokenizers as K
+from ..operators.order import numbered
 from .catalogue import query, r, t
 
 _FITTED = """x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -190,8 +191,8 @@ def random_mask(spark, sf):
 def seeded_shuffle(spark, sf):
     """Suppliers in a seeded order, with their places in it."""
     d = T.shuffled(t(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 3)
-    # places of a small dimension table, to show the order in a set of rows
-    return d.select("s_suppkey", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(3), F.col("s_suppkey").cast("string"))), "s_suppkey")).cast("long").alias("place"))
+    order = [F.md5(F.concat_ws(":", F.lit(3), F.col("s_suppkey").cast("string"))), F.col("s_suppkey")]
+    return numbered(d, order, "n").select("s_suppkey", (F.col("n") + 1).alias("place"))
 
 
 @query("""
@@ -330,12 +331,16 @@ def bucket_split_rules(spark, sf):
 
 
 @query("""
-SELECT 'rows' AS rule, (SELECT count(*) FROM embeddings) * 3 AS n UNION ALL SELECT 'val_rows', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'probabilities_in_range', (SELECT count(*) FROM embeddings) * 3""")
+SELECT 'rows' AS rule, (SELECT count(*) FROM embeddings) * 3 AS n UNION ALL SELECT 'val_rows', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'probabilities_in_range', (SELECT count(*) FROM embeddings) * 3
+UNION ALL SELECT 'folds_that_tell_their_fit_rows_apart', 3 UNION ALL SELECT 'folds_with_a_model_of_their_own', 3""")
 def cross_validation(spark, sf):
     """Three folds of a weighted model: every row once a round, once as val, with a probability."""
     d, _ = assembled(spark, sf)
     cv = T.cross_validate(d.select("vec_id", "features", "label_int", (F.col("vec_id") % 3).cast("int").alias("fold_id")), 3, maxIter=5)
     g = cv.agg(F.count("*").alias("rows"), F.count_if(F.col("eval_group") == "val").alias("val_rows"), F.count_if(F.col("probability").between(0, 1)).alias("probabilities_in_range"))
+    mean = lambda y: F.avg(F.when((F.col("label_int") == y) & (F.col("eval_group") == "fit"), F.col("probability")))
+    per = cv.groupBy("val_fold_id").agg((mean(1) - mean(0)).alias("apart"), F.round(F.sum("probability"), 6).alias("sum"))
+    g = g.crossJoin(per.agg(F.count_if(F.col("apart") > 0.05).alias("folds_that_tell_their_fit_rows_apart"), F.countDistinct("sum").alias("folds_with_a_model_of_their_own")))
     return g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in g.columns])).alias("x")).select("x.*")
 
 
@@ -364,13 +369,18 @@ def homology_groups(spark, sf):
     return g.groupBy("source").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), r(F.max("n") / F.sum("n")).alias("share"))
 
 
-@query("""SELECT 'crossing_links' AS rule, 0::BIGINT AS n UNION ALL SELECT 'rows', count(*) FROM documents UNION ALL SELECT 'test_under_a_third', 1""")
+@query("""
+WITH u AS (SELECT upper(text) AS u, count(*) AS n FROM documents GROUP BY 1)
+SELECT 'crossing_links' AS rule, 0::BIGINT AS n UNION ALL SELECT 'rows', count(*) FROM documents UNION ALL SELECT 'test_under_a_third', 1 UNION ALL SELECT 'links', sum(n - 1)::BIGINT FROM u WHERE u IS NOT NULL
+UNION ALL SELECT 'groups', (sum(CASE WHEN u IS NULL THEN n ELSE 1 END))::BIGINT FROM u UNION ALL SELECT 'largest_group', max(n) FROM u WHERE u IS NOT NULL""")
 def homology_split(spark, sf):
-    """Documents split so that equal texts stay on one side: links that cross, rows, and whether the test part is near its share."""
+    """Documents split so that equal texts stay on one side: links, groups, links that cross, and whether the test part is near its share."""
     d = t(spark, sf, "documents").select("doc_id", F.sha2(F.upper("text"), 256).alias("upper"))
     s, links = B.homology_split(d.select(F.col("doc_id").alias("node")), [(d, ["upper"])], "doc_id", 0.2)
+    sizes = s.groupBy("component").agg(F.count("*").alias("k"))
     j = links.join(s.select(F.col("node").alias("src"), F.col("split").alias("_a")), "src").join(s.select(F.col("node").alias("dst"), F.col("split").alias("_b")), "dst")
     rules = {"crossing_links": j.agg(F.count_if(F.col("_a") != F.col("_b")).alias("n")), "rows": s.agg(F.count("*").alias("n")), "test_under_a_third": s.agg((F.avg((F.col("split") == "test").cast("int")).between(0.1, 0.33)).cast("long").alias("n"))}
+    rules |= {"links": links.agg(F.count("*").alias("n")), "groups": sizes.agg(F.count("*").alias("n")), "largest_group": sizes.agg(F.max("k").alias("n"))}
     out = None
     for name, x in rules.items():
         one = x.select(F.lit(name).alias("rule"), "n")
@@ -379,12 +389,14 @@ def homology_split(spark, sf):
 
 
 @query("""
-SELECT p_partkey AS id, (180.156 + 0 * p_partkey)::DOUBLE AS weight, 12 AS heavy_atoms FROM part""")
+WITH n AS (SELECT p_partkey AS id, 1 + p_size % 6 AS n FROM part) SELECT id, round(n * 162.141 + 18.015, 3)::DOUBLE AS weight, (11 * n + 1)::INTEGER AS heavy_atoms, n::INTEGER AS rings, (8 * n + 1 - 3 * n)::INTEGER AS hetero_atoms FROM n""")
 def glucose_weights(spark, sf):
-    """Molecular weight and heavy atoms of one structure, written for every part in one of two ways."""
-    s = F.when(F.col("p_partkey") % 2 == 0, "OCC1OC(O)C(O)C(O)C1O").otherwise("C(C1C(C(C(C(O1)O)O)O)O)O")
+    """Chains of one to six glucose units: weight, atoms and rings; single units in one of two spellings."""
+    n = 1 + F.col("p_size") % 6
+    chain = F.concat(F.repeat(F.lit("OC1C(O)C(O)C(C(CO)O1)"), n.cast("int")), F.lit("O"))
+    s = F.when((n == 1) & (F.col("p_partkey") % 2 == 0), "OCC1OC(O)C(O)C(O)C1O").otherwise(chain)
     d = X.descriptors(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), s.alias("smiles")), "smiles")
-    return d.select("id", F.round("descriptors.weight", 3).alias("weight"), F.col("descriptors.heavy_atoms").alias("heavy_atoms"))
+    return d.select("id", F.round("descriptors.weight", 3).alias("weight"), *[F.col(f"descriptors.{c}").alias(c) for c in ("heavy_atoms", "rings", "hetero_atoms")])
 
 
 @query("""
@@ -409,11 +421,3 @@ def structure_numbers(spark, sf):
     d = K.tokenize(t(spark, sf, "pages").select("page_id", "html"), "html", K.Tokenizer({x: i for i, x in enumerate(_TOKENS)}, [("n", "o")]))
     merged = F.size(F.filter("tokens", lambda x: x == "no")).cast("long")
     return d.select("page_id", F.size("tokens").cast("long").alias("n"), merged.alias("merged"), F.array_join(F.transform("numbers", lambda x: x.cast("string")), " ").alias("numbers"))
-
-
-@query("""SELECT p_partkey AS id, 12 AS n_nodes, 24 AS n_edges, 36 AS node_dim, 11 AS edge_dim, 6 AS oxygens, 6 AS ring_atoms, 10 AS with_one_hydrogen FROM part""")
-def structure_graphs(spark, sf):
-    """The graph of one structure for every part: atoms and bonds both ways with their vectors."""
-    d = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.structure_graph(F.concat(F.lit("OCC1OC(O)C(O)C(O)C1O"), F.substr(F.col("p_name"), F.lit(1), F.lit(0)))).alias("g"))
-    slot = lambda k: F.size(F.filter("g.nodes", lambda v: v[k] == 1.0))
-    return d.select("id", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"), F.size(F.col("g.nodes")[0]).alias("node_dim"), F.size(F.col("g.bonds")[0]).alias("edge_dim"), slot(2).alias("oxygens"), slot(31).alias("ring_atoms"), slot(27).alias("with_one_hydrogen"))

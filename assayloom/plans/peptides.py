@@ -224,3 +224,12 @@ def training_history(spark, sf):
     d = t(spark, sf, "customer").select(F.array(F.col("c_acctbal") / 5000, (k % 7) / 7, F.col("c_nationkey") / 25).alias("x"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"), (k % 5 == 0).alias("v"))
     history, _ = fit_epochs(d, "x", "y", "v", epochs=6, rate=0.5, adam=False, patience=9, weight=2.0)
     return history.select("epoch", *[r(c).alias(c) for c in ("fit_loss", "val_loss", "val_accuracy")])
+
+
+@query(f"""WITH {PEPTIDE_SQL} SELECT id, (c + n + o + s)::INTEGER AS n_nodes, (2 * (c + n + o + s - 1 + g))::INTEGER AS n_edges, 36 AS node_dim, 11 AS edge_dim, c::INTEGER AS carbons, n::INTEGER AS nitrogens, o::INTEGER AS oxygens, s::INTEGER AS sulfurs FROM m""")
+def structure_graphs(spark, sf):
+    """The peptides' graphs: atoms by element, bonds both ways, and the lengths of their vectors."""
+    d = peptides(spark, sf).select("id", X.structure_graph(F.col("smiles")).alias("g"))
+    slot = lambda k: F.size(F.filter("g.nodes", lambda v: v[k] == 1.0))
+    elements = [slot(X.ELEMENTS.index(x)).alias(name) for x, name in (("C", "carbons"), ("N", "nitrogens"), ("O", "oxygens"), ("S", "sulfurs"))]
+    return d.select("id", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"), F.size(F.col("g.nodes")[0]).alias("node_dim"), F.size(F.col("g.bonds")[0]).alias("edge_dim"), *elements)
