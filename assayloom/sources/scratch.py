@@ -9,15 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN = "spark.assayloom.dir"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; one of our own only on a local master that has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    # a session cannot be given spark.checkpoint.dir later on
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if path:
         return path
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     path = "file://" + tempfile.mkdtemp(prefix="assayloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set(_OWN, path)
     return path
 
 
@@ -44,3 +48,12 @@ def discard(*tables: DataFrame) -> None:
     """Removes stored() tables that nothing reads any more."""
     for t in tables:
         remove(t.sparkSession, t._assayloom_path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes all that this application has stored under paths of new_path(). For callers that have written their results."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind in files.listStatus(root) if files.exists(root) else []:
+        if kind.isDirectory():
+            remove(spark, f"{kind.getPath()}/{spark.sparkContext.applicationId}")

@@ -503,3 +503,23 @@ def test_whole_texts_are_complemented_and_tokenized(spark, tmp_path):
     sf = tables(spark, tmp_path, documents=([(1, "e" * 100 + "i" * 1200), (2, "")], "doc_id long, text string"), pages=([(1, "C" * 30 + "N"), (2, "")], "page_id long, html string"))
     assert as_set(catalogue.QUERIES["reverse_complement"](spark, sf)) == {(1, 1300, True, "G" * 1200 + "T" * 100), (2, 0, False, "")}
     assert as_set(catalogue.QUERIES["tokenize_structures"](spark, sf)) == {(1, 31, "C " * 30 + "N"), (2, 0, "")}
+
+
+def test_stored_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    from assayloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    scratch.drop_tables(spark)
+    table = scratch.stored(spark.range(5), "one")
+    scratch.stored(spark.range(3), "two")
+    (tmp_path / "shared/one/other").mkdir()
+    assert table.count() == 5
+    scratch.drop_tables(spark)
+    assert sorted(str(p.relative_to(tmp_path / "shared")) for p in (tmp_path / "shared").rglob("*") if p.is_dir()) == ["one", "one/other", "two"]
+
+
+def test_batches_by_length_of_equal_lengths(spark):
+    d = spark.createDataFrame([(k, None if k % 3 else "abc") for k in range(90)], "k long, s string")
+    got = {x["k"]: x["batch"] for x in training.length_batches(d, "s", "k", 32).collect()}
+    order = sorted(range(90), key=lambda k: (0 if k % 3 else 3, k))
+    assert got == {k: n // 32 for n, k in enumerate(order)}
