@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,22 +73,25 @@ def censoring(low: Column, high: Column) -> Column:
     return F.when(low.isNull() | high.isNull(), F.lit("missing")).when((high == INF) | (low == 0), F.lit("censored")).when(low == high, F.lit("exact")).otherwise(F.lit("ranged"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _significant3(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: float("%.3g" % x), na_action="ignore")
+@lru_cache
+def _significant(digits: int):
+    form = f"%.{digits}g"
 
+    @F.pandas_udf(T.DoubleType())
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: float(form % x), na_action="ignore")
 
-@F.pandas_udf(T.DoubleType())
-def _significant5(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: float("%.5g" % x), na_action="ignore")
+    return run
 
 
 def significant(value: Column, digits: int = 3) -> Column:
-    """Rounded to 3 or 5 significant digits on the exact binary value, ties to even.
+    """Rounded to 1 to 17 significant digits on the exact binary value, ties to even.
 
     Java's %g rounds the shortest decimal half up, so this one runs in Arrow batches.
     """
-    return {3: _significant3, 5: _significant5}[digits](value)
+    if not 1 <= digits <= 17:
+        raise ValueError("significant digits are 1 to 17")
+    return _significant(digits)(value)
 
 
 def to_micromolar(value: Column, weight: Column) -> Column:

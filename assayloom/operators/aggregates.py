@@ -87,9 +87,22 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
-def mean_std(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Mean and sample deviation of each value, the latter 0 for a single row."""
-    return df.groupBy(*keys).agg(*[f.alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg(v)), ("std", F.coalesce(F.stddev_samp(v), F.lit(0.0))))])
+def crosstab_totals(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
+    """crosstab() with total and share_x, each value's percentage of its row, and a row for all rows together, told by all_rows.
+
+    A row value that is null is a row like any other; rows whose column value is
+    not in values count nowhere.
+    """
+    own = df.where(F.col(column).isin(*values))
+    n = {v: F.count_if(F.col(column) == v) for v in values}
+    g = own.rollup(row).agg(F.grouping(row).cast("int").alias("all_rows"), F.count("*").alias("total"), *[c.alias(str(v)) for v, c in n.items()])
+    return g.select(row, "all_rows", *[str(v) for v in values], "total", *[(100 * F.col(f"`{v}`") / F.col("total")).alias(f"share_{v}") for v in values])
+
+
+def mean_std(df: DataFrame, keys: list[str], values: list[str], single: float | None = 0.0) -> DataFrame:
+    """Mean and sample deviation of each value; a single row has no deviation, which is told as single (null if None)."""
+    std = lambda v: F.stddev_samp(v) if single is None else F.coalesce(F.stddev_samp(v), F.lit(single))
+    return df.groupBy(*keys).agg(*[f.alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg(v)), ("std", std(v)))])
 
 
 def top_counts(df: DataFrame, key: str, k: int) -> DataFrame:

@@ -43,12 +43,18 @@ def binary_metrics(df: DataFrame, keys: list[str], score: str, truth: str, thres
     )
 
 
-def slice_recall(df: DataFrame, keys: list[str], score: str, truth: str, slice_: str, threshold: float = 0.5) -> DataFrame:
-    """(keys, recall_in, recall_out, delta, n_in, n_out) of positives inside and outside a boolean slice; null recall where a side has none."""
+def slice_recall(df: DataFrame, keys: list[str], score: str, truth: str, slice_: str, threshold: float = 0.5, strict: bool = False) -> DataFrame:
+    """(keys, recall_in, recall_out, delta, n_in, n_out) of positives inside and outside a boolean slice.
+
+    Where a side has none its recall is null, or raises when it is read if strict.
+    """
     pos = df.where(F.col(truth) == 1)
     side = lambda c: F.avg(F.when(c, (F.col(score) >= threshold).cast("int")))
     inside = F.col(slice_)
     g = pos.groupBy(*keys).agg(side(inside).alias("recall_in"), side(~inside).alias("recall_out"), F.count_if(inside).alias("n_in"), F.count_if(~inside).alias("n_out"))
+    if strict:
+        none = F.raise_error(F.lit("no positives on one side of the slice")).cast("double")
+        g = g.withColumns({f"recall_{s}": F.when(F.col(f"n_{s}") == 0, none).otherwise(F.col(f"recall_{s}")) for s in ("in", "out")})
     return g.select(*keys, "recall_in", "recall_out", (F.col("recall_in") - F.col("recall_out")).alias("delta"), "n_in", "n_out")
 
 

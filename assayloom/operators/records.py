@@ -131,3 +131,8 @@ def final_rows(df: DataFrame, baseline: DataFrame, key: str = "peptide_id") -> D
 def activity_index(records: DataFrame, ids: DataFrame, species: DataFrame) -> DataFrame:
     """activities() of the wanted ids (id), with the domain, taxon and binomial of their species (species, domain, taxon, binomial)."""
     return activities(records.join(ids.select("id").distinct(), "id", "left_semi")).join(species, "species", "left")
+
+
+def wanted_activities(rows: DataFrame, ids: DataFrame, pairs: DataFrame, key: str, name: str) -> DataFrame:
+    """rows whose key is in ids (key) and whose key and name are together in pairs (key, name); repeated ids and pairs add no rows."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi").join(pairs.select(key, name).distinct(), [key, name], "left_semi").select(*rows.columns)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..operators import features as X
 from ..operators import identity as I
+from ..operators import records as R
 from ..operators import similarity as P
 from ..operators import structures as S
 from .catalogue import query, r, t
@@ -233,3 +235,27 @@ def structure_graphs(spark, sf):
     slot = lambda k: F.size(F.filter("g.nodes", lambda v: v[k] == 1.0))
     elements = [slot(X.ELEMENTS.index(x)).alias(name) for x, name in (("C", "carbons"), ("N", "nitrogens"), ("O", "oxygens"), ("S", "sulfurs"))]
     return d.select("id", F.size("g.nodes").alias("n_nodes"), F.size("g.edges").alias("n_edges"), F.size(F.col("g.nodes")[0]).alias("node_dim"), F.size(F.col("g.bonds")[0]).alias("edge_dim"), *elements)
+
+
+@query("""
+WITH g AS (SELECT o_orderstatus AS s, count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS l FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ROLLUP (o_orderstatus))
+SELECT s AS o_orderstatus, (s IS NULL)::INTEGER AS all_rows, u AS "1-URGENT", l AS "5-LOW", total, round(100 * u / total, 6) AS "share_1-URGENT", round(100 * l / total, 6) AS "share_5-LOW" FROM g""")
+def crosstab_totals(spark, sf):
+    """Urgent and low orders by status, with totals and shares."""
+    c = A.crosstab_totals(t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "5-LOW"])
+    return c.select(*[r(F.col(f"`{x}`")).alias(x) if x.startswith("share") else F.col(f"`{x}`") for x in c.columns])
+
+
+@query("""SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1""")
+def customer_deviations(spark, sf):
+    """Mean and sample deviation of each customer's orders, null for a single one."""
+    return A.mean_std(t(spark, sf, "orders"), ["o_custkey"], ["o_totalprice"], single=None).select("o_custkey", r("o_totalprice_mean").alias("mean"), r("o_totalprice_std", 4).alias("std"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND (l_orderkey, l_suppkey) IN (SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def wanted_pairs(spark, sf):
+    """Line items of finished orders whose order and supplier have a returned one."""
+    items = t(spark, sf, "lineitem")
+    ids = t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return R.wanted_activities(items.select("l_orderkey", "l_linenumber", "l_suppkey"), ids, items.where("l_returnflag = 'R'").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey")

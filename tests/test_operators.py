@@ -523,3 +523,16 @@ def test_batches_by_length_of_equal_lengths(spark):
     got = {x["k"]: x["batch"] for x in training.length_batches(d, "s", "k", 32).collect()}
     order = sorted(range(90), key=lambda k: (0 if k % 3 else 3, k))
     assert got == {k: n // 32 for n, k in enumerate(order)}
+
+
+def test_strict_slices_and_single_rows(spark):
+    d = spark.createDataFrame([("a", 0.9, 1, True), ("a", 0.2, 1, False), ("b", 0.7, 1, True)], "k string, s double, y int, f boolean")
+    got = {x["k"]: (x["recall_in"], x["recall_out"]) for x in metrics.slice_recall(d, ["k"], "s", "y", "f").collect()}
+    assert got == {"a": (1.0, 0.0), "b": (1.0, None)}
+    assert metrics.slice_recall(d.where("k = 'a'"), ["k"], "s", "y", "f", strict=True).first()["delta"] == 1.0
+    with pytest.raises(Exception, match="one side"):
+        metrics.slice_recall(d, ["k"], "s", "y", "f", strict=True).collect()
+    assert {x["k"]: x["s_std"] for x in aggregates.mean_std(d, ["k"], ["s"], single=None).collect()}["b"] is None
+    assert {x["k"]: x["s_std"] for x in aggregates.mean_std(d, ["k"], ["s"]).collect()}["b"] == 0.0
+    t = aggregates.crosstab_totals(d.union(spark.createDataFrame([(None, 0.1, 0, True), ("z", 0.1, 7, True)], d.schema)), "k", "y", [0, 1]).collect()
+    assert {(x["k"], x["all_rows"], x["0"], x["1"], x["total"], x["share_1"]) for x in t} == {("a", 0, 0, 2, 2, 100.0), ("b", 0, 0, 1, 1, 100.0), (None, 0, 1, 0, 1, 0.0), (None, 1, 1, 3, 4, 75.0)}
