@@ -13,6 +13,7 @@ from .features import encode, vocabulary
 from .joins import lookup_columns
 from .order import numbered
 from ..functions import vectors as V
+from ..sources.scratch import stored
 
 
 def with_labels(rows: DataFrame, included: list[str], column: str = "label") -> DataFrame:
@@ -150,8 +151,8 @@ def train_fold(data: DataFrame, fold: int, name: str = "logistic", vector: str =
 
 
 def cross_validate(data: DataFrame, folds: int, **how) -> DataFrame:
-    """train_fold() of every fold, one after the other; their rows under each other."""
-    out = None
+    """train_fold() of every fold, one after the other; their rows under each other. data is stored once for all of them."""
+    data, out = stored(data, "folds"), None
     for k in range(folds):
         one = train_fold(data, k, **how)
         out = one if out is None else out.unionByName(one)

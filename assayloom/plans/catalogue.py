@@ -300,7 +300,13 @@ def shingle_jaccard_pairs(spark, sf):
     return P.set_pairs(d, "item_id", "w", 0.2).select("i", "j", r("similarity").alias("similarity"))
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS k, len(s) AS n FROM g GROUP BY s),
+x AS (SELECT k, n, unnest(s) AS t FROM c),
+p AS (SELECT a.k AS i, b.k AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM x a JOIN x b ON a.t = b.t AND a.k < b.k GROUP BY a.k, b.k)
+SELECT i, j, round(o / (n + m - o), 6) AS similarity FROM p WHERE o / (n + m - o) >= 0.8 UNION ALL SELECT c.k, g.doc_id, 1.0 FROM c JOIN g ON c.s = g.s AND g.doc_id <> c.k""")
 def shingle_jaccard_documents(spark, sf):
     """All pairs of documents by the Jaccard similarity of their shingles of three words, 0.8 or more; a shorter text is one shingle."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -166,12 +166,21 @@ def thresholds(spark):
 
 
 @query("""
-SELECT * FROM (VALUES ('a', 'species', NULL), ('b', 'genus', 'partial_fill'), ('c', 'family', 'unknown_level'), ('d', 'genus', 'not_a_number'), ('e', 'species', 'reversed'), ('f', 'genus', 'duplicate'), ('f', 'genus', 'duplicate'), ('g', 'genus', NULL)) v(match_key, level, fault)""")
+WITH x AS (
+  SELECT p_partkey AS id, 'k' || CAST(p_partkey - (p_partkey % 30 = 11)::INT AS VARCHAR) AS k, CASE p_partkey // 2 % 5 WHEN 0 THEN 'family' WHEN 1 THEN 'genus' ELSE 'species' END AS level,
+         CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || CAST(p_size AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS a, CASE p_size % 4 WHEN 0 THEN '' ELSE CAST(p_size + p_partkey % 7 - 2 AS VARCHAR) END AS i
+  FROM part),
+f AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k, level) > 1 THEN 'duplicate' WHEN level = 'family' THEN 'unknown_level' WHEN (a = '') <> (i = '') THEN 'partial_fill' WHEN a LIKE 'x%' THEN 'not_a_number' WHEN TRY_CAST(a AS DOUBLE) > TRY_CAST(i AS DOUBLE) THEN 'reversed' END AS fault FROM x)
+SELECT id, fault FROM f""")
 def threshold_faults(spark, sf):
-    """What is wrong with the rows of a threshold table."""
-    rows = [("a", "species", "1", "2"), ("b", "genus", "1", ""), ("c", "family", "1", "2"), ("d", "genus", "1", "x2"), ("e", "species", "3", "2"), ("f", "genus", "1", "2"), (" f", "genus", "", ""), ("g", "genus", None, "  ")]
-    d = X.threshold_faults(spark.createDataFrame(rows, "match_key string, level string, active_threshold_uM string, inactive_threshold_uM string"))
-    return d.select(F.trim("match_key").alias("match_key"), "level", "fault")
+    """What is wrong with the rows of a threshold table that is made from parts: doubled keys, unknown levels, gaps, text and reversed breakpoints."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    level = F.floor(k / 2) % 5
+    rows = t(spark, sf, "part").select(
+        k.alias("id"), F.concat(F.lit("k"), (k - (k % 30 == 11).cast("int")).cast("string")).alias("match_key"), F.when(level == 0, "family").when(level == 1, "genus").otherwise("species").alias("level"),
+        F.when(n % 5 == 0, "").when(n % 5 == 1, F.concat(F.lit("x"), n.cast("string"))).otherwise(n.cast("string")).alias("active_threshold_uM"), F.when(n % 4 == 0, "").otherwise((n + k % 7 - 2).cast("string")).alias("inactive_threshold_uM"),
+    )
+    return X.threshold_faults(rows).select("id", "fault")
 
 
 _LABELS_SQL = f"""{_TABLE_SQL},
