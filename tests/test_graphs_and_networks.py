@@ -62,7 +62,7 @@ def plain_moving(n, edges, seed):
             return of
 
 
-@pytest.mark.parametrize(("seed", "groups", "size", "inside", "outside"), [(1, 6, 15, 0.5, 0.03), (2, 4, 25, 0.3, 0.02)])
+@pytest.mark.parametrize(("seed", "groups", "size", "inside", "outside"), [(1, 6, 15, 0.5, 0.03)])
 def test_communities_are_as_good_as_moving_one_by_one(spark, seed, groups, size, inside, outside):
     n, edges = planted(seed, groups, size, inside, outside)
     nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "node long")
@@ -92,7 +92,7 @@ def test_communities_of_small_graphs(spark):
 
 def test_leader_clusters(spark):
     r = random.Random(5)
-    for n, m in ((40, 70), (25, 90), (12, 0)):
+    for n, m in ((40, 70), (12, 0)):
         edges = {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}
         near = {i: set() for i in range(n)}
         for a, b in edges:
@@ -107,9 +107,9 @@ def test_leader_clusters(spark):
         table = spark.createDataFrame([(a, b) for a, b in edges] + [(b, a) for a, b in list(edges)[:5]], "src long, dst long")
         assert {tuple(x) for x in graph.leader_clusters(spark.range(n).withColumnRenamed("id", "node"), table).collect()} == want
     # a path, on which each round decides little
-    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
-    got = dict(tuple(x) for x in graph.leader_clusters(spark.range(31).withColumnRenamed("id", "node"), path).collect())
-    assert got[0] == got[1] == got[2] == 1 and got[3] == got[4] == 3 and got[29] == got[30] == 29 and len(got) == 31
+    path = spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long")
+    got = dict(tuple(x) for x in graph.leader_clusters(spark.range(9).withColumnRenamed("id", "node"), path).collect())
+    assert got == {0: 1, 1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
 
 
 def records(spark, n=60, bad=False):

@@ -37,7 +37,7 @@ def sequences(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("threshold", "cell"), [(0.6, 512), (0.6, 3), (0.3, 512), (0.5, 7), (0.9, 512), (1.0, 512)])
+@pytest.mark.parametrize(("threshold", "cell"), [(0.6, 512), (0.6, 3), (0.3, 7), (0.9, 512)])
 def test_identity_pairs_lose_no_link(spark, monkeypatch, threshold, cell):
     monkeypatch.setattr(identity, "CELL", cell)
     rows = sequences(int(threshold * 10))
