@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 tokens."""
     from .packing import pack, tokenize_pieces
 
-    return pack(tokenize_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0), 2048)
+    return pack(tokenize_pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), "byte", 2048, 0, cache_size=1_800_000), 2048)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +115,11 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries and checksums of all documents, read back from the token files."""
-    from .common import shared_dir
+    from .common import tables_dir
     from .token_files import read_token_files, write_token_files
 
-    out = f"{shared_dir(spark)}/token_files/{uuid.uuid4().hex}"
+    # among the intermediate tables, which drop_tables() removes
+    out = f"{tables_dir(spark)}/token_files_{uuid.uuid4().hex}"
     write_token_files(_table(spark, sf_dir, "documents"), out, _vocabulary("word_bpe_49k.json"), "word", 2)
     return read_token_files(spark, out)
 
