@@ -113,3 +113,22 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     assert common.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    assert tokens.known(path, "byte") and not tokens.known(path, "word")
+    d["pre_tokenizer"]["add_prefix_space"] = True
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(d, f)
+    assert not tokens.known(other, "byte")
+    from tokenizers import Tokenizer
+
+    texts = ["hello world", "no space", "", "two  spaces\n"]
+    want = [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.Encoder(other, "byte").encode(texts)] == want != [x.tolist() for x in tokens.Encoder(path, "byte").encode(texts)]
