@@ -127,8 +127,8 @@ def structure_classes(spark, sf):
 
 @query()
 def fingerprint_links(spark, sf):
-    """Peptides whose circular fingerprints are 80 % alike."""
-    return S.fingerprint_links(peptides(spark, sf), "id", "smiles", 0.8).select("i", "j", r("similarity").alias("similarity"))
+    """Peptides whose circular fingerprints are 90 % alike."""
+    return S.fingerprint_links(peptides(spark, sf), "id", "smiles", 0.9).select("i", "j", r("similarity").alias("similarity"))
 
 
 def _records(spark, sf):
