@@ -536,3 +536,23 @@ def test_strict_slices_and_single_rows(spark):
     assert {x["k"]: x["s_std"] for x in aggregates.mean_std(d, ["k"], ["s"]).collect()}["b"] == 0.0
     t = aggregates.crosstab_totals(d.union(spark.createDataFrame([(None, 0.1, 0, True), ("z", 0.1, 7, True)], d.schema)), "k", "y", [0, 1]).collect()
     assert {(x["k"], x["all_rows"], x["0"], x["1"], x["total"], x["share_1"]) for x in t} == {("a", 0, 0, 2, 2, 100.0), ("b", 0, 0, 1, 1, 100.0), (None, 0, 1, 0, 1, 0.0), (None, 1, 1, 3, 4, 75.0)}
+
+
+def test_set_pairs_broadcasts_no_side_that_grows(spark):
+    d = spark.range(60).selectExpr("id AS k", "transform(sequence(0, 9), x -> int(x + id % 7)) AS s")
+    got = similarity.set_pairs(d, "k", "s", 0.8)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    sets = [frozenset(range(i % 7, i % 7 + 10)) for i in range(7)]
+    want = {(i, j) for i in range(7) for j in range(i + 1, 7) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])} | {(i % 7, i) for i in range(7, 60)}
+    assert {(x["i"], x["j"]) for x in got.collect()} == want
+    # sketches count differing items, also above the size that has one
+    big = spark.createDataFrame([(k, [*range(600), *range(1000 + 40 * k, 1040 + 40 * k)]) for k in range(3)], "k int, s array<int>")
+    assert sorted((x["i"], x["j"]) for x in similarity.set_pairs(big, "k", "s", 0.88).collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_structure_codes_are_the_graphs_vectors(spark):
+    d = spark.createDataFrame([("C=CC#N",), ("N[C@@H](C)C(=O)O",), ("C(",), (None,)], "s string")
+    codes = features.structure_codes(F.col("s"))
+    vectors = lambda c, n: F.transform(c, lambda x: features.slots(x, n))
+    for x in d.select(features.structure_graph("s").alias("g"), codes["edges"].alias("e"), vectors(codes["nodes"], features.NODE_DIM).alias("n"), vectors(codes["bonds"], features.EDGE_DIM).alias("b")).collect():
+        assert (x["g"]["nodes"], x["g"]["edges"], x["g"]["bonds"]) == (x["n"], x["e"], x["b"])
