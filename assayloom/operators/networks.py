@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path, stored
 from .checks import CheckError
-from .features import structure_graph
+from .features import EDGE_DIM, NODE_DIM, slots, structure_codes
 from .order import running
 
 #: What the sum over a graph's nodes is divided by, so that it stays near 1 for graphs of common size.
@@ -20,15 +20,16 @@ SUM_SCALE = 100.0
 
 
 def graph_batch(df: DataFrame, key: str, smiles: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all structures laid end to end: (id, graph, x) and (src, dst, e), numbered over the whole batch in order of key.
+    """(nodes, edges) of all structures laid end to end: (id, graph, x) and (src, dst, e, graph), numbered over the whole batch in order of key.
 
     Structures that can't be read have no nodes. Keys must differ.
     """
-    g = stored(df.select(F.col(key).alias("graph"), structure_graph(F.col(smiles)).alias("g")), "batch")
+    # vectors are numbers until they are asked for
+    g = stored(df.select(F.col(key).alias("graph"), structure_codes(F.col(smiles)).alias("g")), "batch")
     g = stored(running(g.withColumn("n", F.size("g.nodes").cast("long")), [F.col("graph")], F.col("n"), "offset"), "batch")
-    nodes = g.select("graph", "offset", F.posexplode("g.nodes").alias("i", "x")).select((F.col("offset") + F.col("i")).alias("id"), "graph", "x")
+    nodes = g.select("graph", "offset", F.posexplode("g.nodes").alias("i", "x")).select((F.col("offset") + F.col("i")).alias("id"), "graph", slots(F.col("x"), NODE_DIM).alias("x"))
     ends = F.arrays_zip(F.col("g.edges").alias("ends"), F.col("g.bonds").alias("e"))
-    edges = g.select("offset", F.explode(ends).alias("b")).select((F.col("offset") + F.col("b.ends")[0]).alias("src"), (F.col("offset") + F.col("b.ends")[1]).alias("dst"), F.col("b.e").alias("e"))
+    edges = g.select("graph", "offset", F.explode(ends).alias("b")).select((F.col("offset") + F.col("b.ends")[0]).alias("src"), (F.col("offset") + F.col("b.ends")[1]).alias("dst"), slots(F.col("b.e"), EDGE_DIM).alias("e"), "graph")
     return nodes, edges
 
 
