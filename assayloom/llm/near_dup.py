@@ -108,9 +108,9 @@ def _similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 def _with_leaders(pairs: DataFrame, sets: DataFrame, percent: int, salt: int = 128) -> DataFrame:
     """Links (src, dst) among pairs (rep, leader): a leader's members are dealt over groups of about salt rows."""
     sizes = pairs.groupBy("leader").count().withColumn("salts", F.ceil(F.col("count") / salt).cast("int")).drop("count")
-    dealt = pairs.join(sizes, "leader").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("salts")))
-    members = dealt.join(sets, "rep").select("leader", "s", "rep", "set")
-    heads = sizes.select(F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).join(sets, "rep").select(F.col("rep").alias("leader"), F.col("s").cast("long").alias("s"), "rep", "set")
+    dealt = pairs.join(sizes.hint("merge"), "leader").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    members = dealt.join(sets.hint("merge"), "rep").select("leader", "s", "rep", "set")
+    heads = sizes.select(F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).join(sets.hint("merge"), "rep").select(F.col("rep").alias("leader"), F.col("s").cast("long").alias("s"), "rep", "set")
 
     def run(pdf):
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
@@ -152,7 +152,7 @@ def _near_in_blocks(buckets: DataFrame, block: int = 2048) -> DataFrame:
     sizes = materialize(sizes.select("key", F.col("top.comp").alias("top"), blocks(F.col("top.count")).alias("big"), blocks(rest).alias("small"), (rest * (F.col("top.count") + rest)).cast("double").alias("work")))
     # tasks by comparisons, as their rows say little about the time that they take
     tasks = parts_for(buckets.sparkSession, int(sizes.agg(F.sum("work")).first()[0] or 0), block * block * 16)
-    b = buckets.join(sizes, "key").withColumn("large", F.col("comp") == F.col("top"))
+    b = buckets.join(sizes.hint("merge"), "key").withColumn("large", F.col("comp") == F.col("top"))
     b = b.withColumn("b", F.when(F.col("large"), -1 - F.pmod(F.xxhash64("rep"), F.col("big"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("small"))).cast("int"))
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     count = lambda n: F.sequence(F.lit(0), n - 1)
@@ -234,7 +234,7 @@ def _links_in_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFram
                         keep.append((rep[x], rep[y]))
         return pd.DataFrame(keep, columns=["src", "dst"], dtype="int64")
 
-    return units.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
+    return units.join(sets.hint("merge"), "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, keep: str | None = None) -> DataFrame:
@@ -254,25 +254,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, keep: str |
     keys = F.array(*[F.xxhash64(F.lit(at[0] * SYMBOLS * SYMBOLS + at[1] * SYMBOLS + at[2]), *[F.col("sig")[i] for i in at]) for _, at in sub])
     index = classes.select("rep", F.posexplode(keys).alias("variant", "key"))
     heads = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader <> _last").drop("_last")
-    members = materialize(index.join(heads, "key"))
+    members = materialize(index.join(heads.hint("merge"), "key"))
     sigs = classes.select("rep", "sig")
     apart = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x != y), lambda x: x))
-    first = members.select("rep", "leader").where("rep <> leader").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("leader"), F.col("sig").alias("other")), "leader")
+    first = members.select("rep", "leader").where("rep <> leader").distinct().join(sigs.hint("merge"), "rep").join(sigs.select(F.col("rep").alias("leader"), F.col("sig").alias("other")).hint("merge"), "leader")
     first = materialize(first.where(apart <= FAR).select("rep", "leader"))
     ends = lambda p: p.select("rep").union(p.select("leader")).distinct()
     sets = materialize(_sets(docs, ends(first), n))
     links = materialize(_with_leaders(first, sets, percent))
     comp = components(links)
-    named = members.join(comp, members.rep == comp.id, "left").select("key", "variant", "rep", F.coalesce("component", "rep").alias("comp"))
+    named = members.join(comp.hint("merge"), members.rep == comp.id, "left").select("key", "variant", "rep", F.coalesce("component", "rep").alias("comp"))
     # a bucket of two is its leader and one more, which have been compared
     open_ = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2").select("key")
-    units = materialize(_near_in_blocks(named.join(open_, "key").join(sigs, "rep")))
+    units = materialize(_near_in_blocks(named.join(open_.hint("merge"), "key").join(sigs.hint("merge"), "rep")))
     if not units.isEmpty():
-        wanted = units.select("rep").distinct().join(ends(first), "rep", "left_anti")
+        wanted = units.select("rep").distinct().join(ends(first).hint("merge"), "rep", "left_anti")
         sets = sets.union(materialize(_sets(docs, wanted, n)))
         links = materialize(links.union(_links_in_units(units, sets, percent)))
         comp = components(links)
-    final = classes.select("digest", "rep").join(comp, classes.rep == comp.id, "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
-    out = all_rows.join(final, "digest", "left")
+    final = classes.select("digest", "rep").join(comp.hint("merge"), classes.rep == comp.id, "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
+    out = all_rows.join(final.hint("merge"), "digest", "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"), *[keep] * bool(keep))

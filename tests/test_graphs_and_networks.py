@@ -255,3 +255,17 @@ def test_principal_axes(spark):
     # nearly all variance is on two axes: most of the ten nearest rows stay among them
     near = lambda m: np.argsort(((m[:, None] - m[None]) ** 2).sum(2), axis=1)[:, 1:11]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near(x), near(want))]) > 0.7
+
+
+def test_joins_of_growing_sides_are_not_broadcast(spark):
+    from assayloom.llm.near_dup import near_duplicates
+    from assayloom.operators.identity import identity_links
+
+    docs = spark.range(12).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 40), x -> concat('w', x * (id % 3)))) AS text")
+    got = near_duplicates(docs)
+    classes = spark.createDataFrame([(1, "ACDEFG"), (2, "ACDEFH"), (3, "WWWWWW")], "k long, s string")
+    links = identity_links(classes, 0.6)
+    for d in (got, links):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+    assert {(x["doc_id"], x["component_id"]) for x in got.collect()} == {(k, k % 3) for k in range(12)}
+    assert {(x["i"], x["j"]) for x in links.collect()} == {(1, 2)}
