@@ -131,22 +131,36 @@ def build_model(name: str, dim: int, **options):
     return MODELS[name](dim, **options)
 
 
-def _inputs(df: DataFrame, vector: str, weight: float) -> DataFrame:
+def _inputs(df: DataFrame, vector: str, weight: float, organisms=None) -> DataFrame:
+    """df with x, the vector and behind it the organism's place among those of the fitted encoder, and weight."""
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn("x", array_to_vector(vector)).withColumn("weight", F.when(F.col("label_int") == 1, F.lit(weight)).otherwise(1.0))
+    weight = F.when(F.col("label_int") == 1, F.lit(weight)).otherwise(1.0)
+    d = df.withColumn("_v", array_to_vector(vector)).withColumn("weight", weight)
+    if organisms is None:
+        return d.withColumnRenamed("_v", "x")
+    return VectorAssembler(inputCols=["_v", "_o"], outputCol="x").transform(organisms.transform(d))
 
 
-def train_fold(data: DataFrame, fold: int, name: str = "logistic", vector: str = "features", **options) -> DataFrame:
-    """data with val_fold_id, eval_group and probability from a model fitted on the other folds, positives weighed by negatives over positives."""
+def train_fold(data: DataFrame, fold: int, name: str = "logistic", vector: str = "features", organism: str | None = None, **options) -> DataFrame:
+    """data with val_fold_id, eval_group and probability from a model fitted on the other folds, positives weighed by negatives over positives.
+
+    organism: a column of the organism's number, as assemble() gives it, which the
+    model gets one-hot beside the vector; numbers that no fit row has add nothing.
+    """
+    from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import vector_to_array
 
     fit = data.where(F.col("fold_id") != fold)
     c = fit.agg(F.count_if(F.col("label_int") == 1).alias("p"), F.count_if(F.col("label_int") == 0).alias("n"), F.max(F.size(vector)).alias("d")).first()
     if not c["p"] or not c["n"]:
         raise CheckError("both classes are needed in the other folds")
-    fitted = build_model(name, c["d"], **options).fit(_inputs(fit, vector, c["n"] / c["p"]))
-    out = fitted.transform(_inputs(data, vector, 1.0)).withColumn("probability", vector_to_array("p")[1])
+    organisms = OneHotEncoder(inputCol=organism, outputCol="_o", dropLast=False, handleInvalid="keep").fit(fit) if organism else None
+    # one place more than numbers, for those of other rows
+    dim = c["d"] + (organisms.categorySizes[0] + 1 if organisms else 0)
+    fitted = build_model(name, dim, **options).fit(_inputs(fit, vector, c["n"] / c["p"], organisms))
+    out = fitted.transform(_inputs(data, vector, 1.0, organisms)).withColumn("probability", vector_to_array("p")[1])
     return out.select(*data.columns, F.lit(fold).alias("val_fold_id"), F.when(F.col("fold_id") == fold, "val").otherwise("fit").alias("eval_group"), "probability")
 
 

@@ -334,9 +334,9 @@ def bucket_split_rules(spark, sf):
 SELECT 'rows' AS rule, (SELECT count(*) FROM embeddings) * 3 AS n UNION ALL SELECT 'val_rows', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'probabilities_in_range', (SELECT count(*) FROM embeddings) * 3
 UNION ALL SELECT 'folds_that_tell_their_fit_rows_apart', 3 UNION ALL SELECT 'folds_with_a_model_of_their_own', 3""")
 def cross_validation(spark, sf):
-    """Three folds of a weighted model: every row once a round, once as val, with a probability."""
+    """Three folds of a weighted model of vector and organism: every row once a round, once as val, with a probability."""
     d, _ = assembled(spark, sf)
-    cv = T.cross_validate(d.select("vec_id", "features", "label_int", (F.col("vec_id") % 3).cast("int").alias("fold_id")), 3, maxIter=5)
+    cv = T.cross_validate(d.select("vec_id", "features", "organism_index", "label_int", (F.col("vec_id") % 3).cast("int").alias("fold_id")), 3, organism="organism_index", maxIter=5)
     g = cv.agg(F.count("*").alias("rows"), F.count_if(F.col("eval_group") == "val").alias("val_rows"), F.count_if(F.col("probability").between(0, 1)).alias("probabilities_in_range"))
     mean = lambda y: F.avg(F.when((F.col("label_int") == y) & (F.col("eval_group") == "fit"), F.col("probability")))
     per = cv.groupBy("val_fold_id").agg((mean(1) - mean(0)).alias("apart"), F.round(F.sum("probability"), 6).alias("sum"))

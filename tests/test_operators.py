@@ -241,6 +241,23 @@ def test_tokenizer():
         tokenizers.save_vocabulary(tokenizers.Tokenizer({"[UNK]": 0, "C": 2}))
 
 
+def test_folds_learn_from_organisms(spark, tmp_path):
+    # vectors that tell nothing, as many rows as leave a model of them nothing to remember; five of ten labels are told by the organism
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in r.normal(size=3)], k * 7 % 10) for k in range(1200)]
+    sf = tables(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    want = {("rows", 3600), ("val_rows", 1200), ("probabilities_in_range", 3600), ("folds_that_tell_their_fit_rows_apart", 3), ("folds_with_a_model_of_their_own", 3)}
+    assert as_set(catalogue.QUERIES["cross_validation"](spark, sf)) == want
+    # an organism that only val rows have, and a network
+    data = spark.createDataFrame([(k, [float(k % 3)], k % 2, 9 if k % 4 == 0 else k % 3, k % 4) for k in range(60)], "id int, features array<double>, label_int int, organism_index int, fold_id int")
+    for name in ("logistic", "mlp"):
+        out = training.train_fold(data, 0, name, organism="organism_index", maxIter=5)
+        assert out.columns == [*data.columns, "val_fold_id", "eval_group", "probability"]
+        assert out.where("probability between 0 and 1").count() == 60
+
+
 def test_models_and_datasets(spark, tmp_path):
     rows = [(i, f"o{i % 2}", "active" if i % 3 else "inactive", [float(i % 3), 1.0, float(i)]) for i in range(60)]
     d = spark.createDataFrame(rows, "id int, organism string, y string, features array<double>")
