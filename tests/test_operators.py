@@ -490,6 +490,28 @@ def test_contracted_documents_keep_isolated_nodes(spark, tmp_path):
     assert as_set(catalogue.QUERIES["components_contract"](spark, sf)) == {(1, 1), (2, 1), (3, 3), (6, 3), (4, 4), (5, 5), (7, 7)}
 
 
+def test_sets_are_stored_once_and_compared_in_rounds(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for k in range(0, 120, 4):
+        one = rnd.sample(range(1000), 30)
+        rows += [(k, one), (k + 1, one[::-1]), (k + 2, one[1:]), (k + 3, [*one[:25], k])]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    want = {(i, j, round(jac(dict(rows_)[i], dict(rows_)[j]), 6)) for rows_ in [[(k, frozenset(x)) for k, x in rows]] for i, j in by_class(dict(rows_), lambda a, b: jac(a, b) >= 0.7)}
+    kept, stored = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, kind: kept.append(df.columns) or stored(df, kind))
+    # cells of four sets, one round for each 100 items
+    monkeypatch.setattr(similarity, "CELL", 4)
+    monkeypatch.setattr(similarity, "ITEMS", 100, raising=False)
+    got = similarity.set_pairs(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.7)
+    assert {(x["i"], x["j"], round(x["similarity"], 6)) for x in got.collect()} == want and got.count() == len(want) > 60
+    # 64-bit items of whole sets are on disk once, and 16 rounds send no more than a part of them each
+    assert sum("r" in c and "h" in c or c == ["c", "n", "r"] for c in kept) == 1
+    assert kept.count(["i", "j", "similarity"]) == 1 + similarity.ROUNDS
+
+
 def test_shingle_pairs_of_documents(spark, tmp_path):
     import random
     import re
