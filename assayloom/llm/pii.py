@@ -79,6 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 WINDOW, OVERLAP = 512, 64
 STRIDE = WINDOW - OVERLAP
+BATCH = 744  # windows in one pass
 
 
 def windows(n: int) -> list[int]:
@@ -104,23 +105,17 @@ def _pack(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, n
 
 
-def _bend(x: np.ndarray, out: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
-    """x (27 + x^2) / (27 + 9 x^2) for x within 3, 1 and -1 beyond: near tanh, without an exponential. x is clipped in place."""
-    np.maximum(x, -3, out=x)
-    np.minimum(x, 3, out=x)
-    square = np.multiply(x, x, out=room)
-    np.add(square, 27, out=out)
-    out *= x
-    square *= 9
-    square += 27
-    out /= square
-    return out
+def _bend(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """x within -1 and 1: tanh of straight lines, one pass over the numbers."""
+    return np.clip(x, -1, 1, out=out)
+
 
+def _gate(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """x within 0 and 1: a sigmoid of straight lines, once x has been scaled by STEEP and moved by a half."""
+    return np.clip(x, 0, 1, out=out)
 
-def _slope(x: np.ndarray) -> np.ndarray:
-    """_bend's slope at clipped x."""
-    square = x * x
-    return ((9 - square) / (3 + square)) ** 2 / 9
+
+STEEP = np.float32(0.25)  # of a sigmoid at 0
 
 
 class Tagger:
@@ -145,19 +140,15 @@ class Tagger:
         x, m = np.stack([e, e[::-1]], axis=1), np.stack([live, live[::-1]], axis=1)[:, :, None]
         pre, wh = self._pair("x") @ x + self._pair("o")[:, :, None], self._pair("h")
         T, _, _, B = pre.shape
-        raw, gates, c, top, tc, out = (np.empty((T, 2, k * h, B), e.dtype) for k in (4, 4, 1, 1, 1, 1))
+        gates, c, tc, out = (np.empty((T, 2, k * h, B), e.dtype) for k in (4, 1, 1, 1))
         hs, cs = np.zeros((2, h, B), e.dtype), np.zeros((2, h, B), e.dtype)
         for t in range(T):
-            z = np.matmul(wh, hs, out=raw[t])
-            z += pre[t]
-            z[:, : 3 * h] *= 0.5
-            s = _bend(z, gates[t])
-            s[:, : 3 * h] += 1
-            s[:, : 3 * h] *= 0.5
+            z, s = wh @ hs + pre[t], gates[t]
+            _gate(z[:, : 3 * h] * STEEP + STEEP * 2, s[:, : 3 * h])
+            _bend(z[:, 3 * h :], s[:, 3 * h :])
             cs = np.multiply(s[:, h : 2 * h] * cs + s[:, :h] * s[:, 3 * h :], m[t], out=c[t])
-            np.copyto(top[t], cs)
-            hs = np.multiply(s[:, 2 * h : 3 * h], _bend(top[t], tc[t]), out=out[t])
-        return out, (x, m, raw, gates, c, top, tc, out)
+            hs = np.multiply(s[:, 2 * h : 3 * h], _bend(cs, tc[t]), out=out[t])
+        return out, (x, m, gates, c, tc, out)
 
     def emissions(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Tag scores (T, K, B) of packed windows, the longest first.
@@ -170,36 +161,33 @@ class Tagger:
         if (np.diff(n) > 0).any():
             raise ValueError("windows must come in order of length")
         live = (n[None] > np.arange(T)[:, None]).sum(axis=1).tolist()
-        half = np.repeat([0.5, 0.5, 0.5, 1], h).astype(np.float32)
+        steep = np.repeat([STEEP, STEEP, STEEP, 1], h).astype(np.float32)
         letters = np.take(np.ascontiguousarray(self.p["emb"].T), x.ravel(), axis=1).reshape(dim, T, B)
         em = np.empty((T, TAGS, B), np.float32)
         em[:] = self.p["off"][:, None]
         for d, order, out in (("f", range(T), self.p["out"][:h]), ("b", range(T - 1, -1, -1), self.p["out"][h:])):
-            w = np.ascontiguousarray((np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"], self.p[f"{d}o"][None]]) * half).T, np.float32)
+            w = (np.concatenate([self.p[f"{d}h"], self.p[f"{d}x"], self.p[f"{d}o"][None]]) * steep).T
+            w = np.ascontiguousarray(w, np.float32)
+            w[: 3 * h, -1] += 0.5
             out = np.ascontiguousarray(out.T, np.float32)
-            v, c, g = np.zeros((h + dim + 1, B), np.float32), np.zeros((h, B), np.float32), np.empty((h, B), np.float32)
-            z, acts, room = (np.empty((4 * h, B), np.float32) for _ in range(3))
+            v, c, g, z = (np.zeros((k, B), np.float32) for k in (h + dim + 1, h, h, 4 * h))
             v[-1] = 1
-            hs = v[:h]
+            hs, add = v[:h], np.empty((TAGS, B), np.float32)
             # products over so many columns stay under the size from which BLAS starts threads
             step = 250_000 // w.size
             for t in order:
                 # the windows that have a character here; those of others keep a state of 0
                 m = live[t]
-                zt, ct, gt, ht, at, st = z[:, :m], c[:, :m], g[:, :m], hs[:, :m], acts[:, :m], acts[: 3 * h, :m]
+                zt, ct, gt, ht, at = z[:, :m], c[:, :m], g[:, :m], hs[:, :m], add[:, :m]
                 v[h:-1, :m] = letters[:, t, :m]
                 for i in range(0, m, step):
                     np.matmul(w, v[:, i : min(i + step, m)], out=z[:, i : min(i + step, m)])
-                _bend(zt, at, room[:, :m])
-                st *= 0.5
-                st += 0.5
-                np.multiply(at[:h], at[3 * h :], out=gt)
-                ct *= at[h : 2 * h]
+                _gate(zt[: 3 * h], zt[: 3 * h])
+                np.multiply(_bend(zt[3 * h :], gt), zt[:h], out=gt)
+                ct *= zt[h : 2 * h]
                 ct += gt
-                np.copyto(gt, ct)
-                _bend(gt, ht, room[:h, :m])
-                ht *= at[2 * h : 3 * h]
-                em[t, :, :m] += out @ ht
+                np.multiply(_bend(ct, gt), zt[2 * h : 3 * h], out=ht)
+                em[t, :, :m] += np.matmul(out, ht, out=at)
         return em
 
     def marginals(self, em: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +207,47 @@ class Tagger:
         moves = move * (a[:-1].reshape(-1, K).T @ ahead.reshape(-1, K))
         return a * b * live[:, :, None], moves, np.log(c).sum(axis=0) + (top * live).sum(axis=0)
 
+    def open_windows(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The windows, of scores (T, K, B), the longest first, whose best path may leave "outside"; decode() gives all others 0.
+
+        A path is compared with "outside" throughout by what each stretch of other
+        tags gains. Within a kind the moves are the real ones; a move from another
+        kind counts as the dearest there is, from the best tag of any. If no
+        stretch of a window can gain that way, its best path is "outside".
+        """
+        T, _, B = em.shape
+        move = (self.p["move"] - self.p["move"][0, 0]).astype(em.dtype)
+        begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        # into begins from any tag; into insides from tags of other kinds
+        any_begin = move[1:, begin].max(axis=0)[:, None]
+        foreign = move[1:, inside].copy()
+        foreign[np.arange(TAGS - 1), np.arange(TAGS - 1) // 2] = -np.inf
+        any_inside = foreign.max(axis=0)[:, None]
+        start_begin, start_inside, leave = move[0, begin][:, None], move[0, inside][:, None], move[1:, 0].max()
+        stay, on = move[inside, inside][:, None], move[begin, inside][:, None]
+        live = (n[None] > np.arange(T + 1)[:, None]).sum(axis=1).tolist()
+        most = np.full(B, -np.inf, em.dtype)
+        # before the first character no move costs anything
+        b, i = np.zeros((len(NAMES), B), em.dtype), np.zeros((len(NAMES), B), em.dtype)
+        b += em[0, 1::2] - em[0, 0]
+        i += em[0, 2::2] - em[0, 0]
+        for t in range(T):
+            m, last = live[t], live[t + 1]
+            if t:
+                b, i = b[:, :m], i[:, :m]
+                i += stay
+                np.maximum(i, b + on, out=i)
+                np.maximum(i, np.maximum(top[:m] + any_inside, start_inside), out=i)
+                gain = em[t, 1:, :m] - em[t, 0, :m]
+                i += gain[1::2]
+                b = np.maximum(top[:m] + any_begin, start_begin)
+                b += gain[::2]
+            top = np.maximum(b, i).max(axis=0)
+            np.maximum(most[:last], top[:last] + leave, out=most[:last])
+            np.maximum(most[last:m], top[last:], out=most[last:m])
+        # sums in single precision
+        return np.flatnonzero(most > -0.05)
+
     def decode(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Viterbi tags (T, B) of scores (T, K, B): best scores forwards, and their tags again on the way back."""
         T, K, B = em.shape
@@ -236,13 +265,14 @@ class Tagger:
     def _lstm_back(self, dout: np.ndarray, tape: tuple, g: dict) -> np.ndarray:
         """Gradient of the letters (T, B, D) from that of the states (T, 2, H, B); what does not depend on the step after is done for all steps at once."""
         h = self.h
-        x, m, raw, gates, c, top, tc, out = tape
+        x, m, gates, c, tc, out = tape
         i, f, o, new = (gates[:, :, k * h : (k + 1) * h] for k in range(4))
         before = lambda v: np.concatenate([np.zeros_like(v[:1]), v[:-1]])
-        slope = _slope(raw)
-        slope[:, :, : 3 * h] *= 0.25
+        # what is bent to a bound has no slope
+        slope = (np.abs(gates) < 1).astype(gates.dtype)
+        slope[:, :, : 3 * h] *= STEEP * (gates[:, :, : 3 * h] > 0)
         slope *= np.concatenate([new, before(c), tc, i], axis=2)
-        through = o * _slope(top)
+        through = o * (np.abs(c) < 1)
         back = np.ascontiguousarray(self._pair("h").transpose(0, 2, 1))
         dz = np.empty_like(slope)
         dh, dc = np.zeros_like(dout[0]), np.zeros_like(dout[0])
@@ -453,18 +483,34 @@ def model_spans(net: Tagger, texts: list[str], sure: float = 0.9) -> list[list[t
     code = [_classes(t) for t in texts]
     todo = sorted(((k, a) for k, c in enumerate(code) for a in windows(len(c))), key=lambda w: (-min(WINDOW, len(code[w[0]]) - w[1]), w))
     found: dict[int, list] = {}
-    for i in range(0, len(todo), 480):
-        part = todo[i : i + 480]
-        x, n = _pack([code[k][a : a + WINDOW] for k, a in part])
-        em = net.emissions(x, n)
+
+    def search(held):
+        part, n = [w for p, _, _ in held for w in p], np.concatenate([n for _, n, _ in held])
+        em = np.zeros((int(n.max()), TAGS, len(part)), np.float32)
+        done = 0
+        for _, _, e in held:
+            em[: len(e), :, done : done + e.shape[2]] = e
+            done += e.shape[2]
         tags = net.decode(em, n)
         some = np.flatnonzero(((tags > 0) & (np.arange(len(tags))[:, None] < n)).any(axis=0))
         if not len(some):
-            continue
+            return
         p = net.marginals(np.ascontiguousarray(em[:, :, some].transpose(0, 2, 1)), n[some])[0]
         for j, q in zip(some.tolist(), np.moveaxis(p, 1, 0)):
             k, a = part[j]
             found.setdefault(k, []).append((a, tags[: n[j], j], q[np.arange(n[j]), tags[: n[j], j]]))
+
+    held = []
+    for i in range(0, len(todo), BATCH):
+        part = todo[i : i + BATCH]
+        x, n = _pack([code[k][a : a + WINDOW] for k, a in part])
+        em = net.emissions(x, n)
+        some = net.open_windows(em, n)
+        if len(some):
+            held.append(([part[j] for j in some.tolist()], n[some], em[: n[some[0]]][:, :, some]))
+        if held and (sum(len(h[0]) for h in held) >= BATCH // 2 or i + BATCH >= len(todo)):
+            search(held)
+            held = []
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, got in found.items():
         y, q = np.zeros(len(code[k]), np.int64), np.ones(len(code[k]))

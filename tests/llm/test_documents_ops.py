@@ -553,6 +553,35 @@ def test_search_equals_all_paths():
         for t in range(n[b]):
             assert p[t, b, 0] == pytest.approx(sum(x for x, q in zip(w, paths) if q[t] == 0) / w.sum(), abs=1e-5)
 
+
+def test_windows_left_out_of_the_search_hold_no_tag():
+    """The bound against the search of all windows, whatever the moves cost; and most windows of plain "outside" are left out."""
+    r = np.random.default_rng(6)
+    net = pii.Tagger()
+    shut = 0
+    for k in range(60):
+        T, B = 30, 50
+        net.p["move"] = r.normal(0, 1 + k % 3, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        em = r.normal(0, 1.5, (T, pii.TAGS, B)).astype(np.float32)
+        em[:, 0] += r.uniform(0, 16)
+        n = np.sort(r.integers(1, T + 1, B))[::-1]
+        tags = net.decode(em, n)
+        some = ((tags > 0) & (np.arange(T)[:, None] < n)).any(axis=0)
+        kept = np.isin(np.arange(B), net.open_windows(em, n))
+        assert not (some & ~kept).any()
+        shut += (~kept).sum()
+    assert shut > 500
+
+
+def test_forward_pass_equals_the_one_that_is_trained():
+    net, r = pii.Tagger(seed=3), np.random.default_rng(0)
+    x, n = pii._pack([r.integers(0, 130, k).astype(np.uint8) for k in (40, 33, 33, 7, 1)])
+    both, _ = net._lstm(net.p["emb"][x], np.arange(len(x))[:, None] < n)
+    want = np.concatenate([both[:, 0], both[::-1, 1]], axis=1).transpose(0, 2, 1) @ net.p["out"] + net.p["off"]
+    got = net.emissions(x, n).transpose(0, 2, 1)
+    assert all(np.allclose(got[:k, j], want[:k, j], atol=1e-5) for j, k in enumerate(n))
+
+
 def test_tagger_gradient():
     net = pii.Tagger(dim=3, hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
