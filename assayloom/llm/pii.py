@@ -80,6 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 WINDOW, OVERLAP = 512, 64
 STRIDE = WINDOW - OVERLAP
 BATCH = 744  # windows in one pass
+TEXT_BYTES = 4 << 20  # of the texts whose windows run together, so that most passes are full
 
 
 def windows(n: int) -> list[int]:
@@ -583,7 +584,7 @@ def find(docs: DataFrame, net: Tagger) -> DataFrame:
         counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
         return [*counts, pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base]), pa.array([written(e) for e in every])]
 
-    return append(docs, make, [*[(f"n_{k}", "long") for k in KINDS], ("base_sha256", "string"), ("spans", "string")])
+    return append(docs, make, [*[(f"n_{k}", "long") for k in KINDS], ("base_sha256", "string"), ("spans", "string")], TEXT_BYTES)
 
 
 def redact(docs: DataFrame, net: Tagger) -> DataFrame:
@@ -605,4 +606,4 @@ def redact(docs: DataFrame, net: Tagger) -> DataFrame:
         return [pa.array(out)]
 
     was = docs.withColumn("_null_text", F.col("text").isNull())
-    return append(was, make, [("text", "string")]).withColumn("text", F.when(~F.col("_null_text"), F.col("text"))).select(*docs.columns)
+    return append(was, make, [("text", "string")], TEXT_BYTES).withColumn("text", F.when(~F.col("_null_text"), F.col("text"))).select(*docs.columns)
