@@ -595,3 +595,27 @@ def test_structure_codes_are_the_graphs_vectors(spark):
     vectors = lambda c, n: F.transform(c, lambda x: features.slots(x, n))
     for x in d.select(features.structure_graph("s").alias("g"), codes["edges"].alias("e"), vectors(codes["nodes"], features.NODE_DIM).alias("n"), vectors(codes["bonds"], features.EDGE_DIM).alias("b")).collect():
         assert (x["g"]["nodes"], x["g"]["edges"], x["g"]["bonds"]) == (x["n"], x["e"], x["b"])
+
+
+def test_crowded_keys_are_joined_by_equal_parts(spark, monkeypatch):
+    import random
+
+    from assayloom.operators import structures
+
+    rnd, sets, made = random.Random(5), [], []
+    for _ in range(30):
+        one = set(rnd.sample(range(60), rnd.randint(1, 40)))
+        sets += [frozenset(one), *[frozenset(one ^ {rnd.randrange(60) for _ in range(rnd.randint(1, 4))}) for _ in range(3)]]
+    parts = similarity._parts
+    monkeypatch.setattr(similarity, "_parts", lambda *a: made.append(1) or parts(*a))
+    # all keys are crowded, whatever the threshold
+    monkeypatch.setattr(similarity, "CROWD", 0)
+    monkeypatch.setattr(similarity, "PART", 0)
+    for t in (0.6, 0.9, 1.0):
+        want = by_class({k: s for k, s in enumerate(sets) if s}, lambda a, b: len(a & b) >= t * len(a | b) - 1e-9)
+        got = similarity.set_pairs(spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "k int, s array<int>"), "k", "s", t, most=4).collect()
+        assert {(x["i"], x["j"]) for x in got} == want and len(got) == len(want)
+    assert len(made) == 3
+    # fingerprints are larger than the texts that they are made of
+    d = structures.with_fingerprint(spark.createDataFrame([(1, "CCO"), (2, "C("), (3, None)], "k int, s string"), "s")
+    assert len(d.collect()) == 3 and "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
