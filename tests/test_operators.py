@@ -619,3 +619,9 @@ def test_crowded_keys_are_joined_by_equal_parts(spark, monkeypatch):
     # fingerprints are larger than the texts that they are made of
     d = structures.with_fingerprint(spark.createDataFrame([(1, "CCO"), (2, "C("), (3, None)], "k int, s string"), "s")
     assert len(d.collect()) == 3 and "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_key_take_no_links_away(spark):
+    rows = [(None, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 5]), (7, [5, 4, 3, 2, 1]), (9, [1, 2, 3, 4, 5, 6]), (None, [7])]
+    got = similarity.set_pairs(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.8)
+    assert sorted((x["i"], x["j"], round(x["similarity"], 3)) for x in got.collect()) == [(3, 7, 1.0), (3, 9, 0.833)]
