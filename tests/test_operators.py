@@ -625,3 +625,19 @@ def test_rows_without_key_take_no_links_away(spark):
     rows = [(None, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 5]), (7, [5, 4, 3, 2, 1]), (9, [1, 2, 3, 4, 5, 6]), (None, [7])]
     got = similarity.set_pairs(spark.createDataFrame(rows, "k int, s array<int>"), "k", "s", 0.8)
     assert sorted((x["i"], x["j"], round(x["similarity"], 3)) for x in got.collect()) == [(3, 7, 1.0), (3, 9, 0.833)]
+
+
+def test_shingles_are_made_once(spark, tmp_path, monkeypatch):
+    kept = []
+
+    def stored(df, kind):
+        kept.append(df)
+        raise InterruptedError
+
+    sf = tables(spark, tmp_path, documents=([(1, "a b c d"), (2, "a b"), (3, ""), (4, None)], "doc_id long, text string"))
+    monkeypatch.setattr(similarity, "stored", stored)
+    with pytest.raises(InterruptedError):
+        catalogue.QUERIES["shingle_jaccard_documents"](spark, sf)
+    # neither a filter nor another column makes the sets again
+    assert kept[0]._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {(x["k"], x["n"] if x["h"] else None) for x in kept[0].collect()} == {(1, 2), (2, 1), (3, None), (4, None)}
