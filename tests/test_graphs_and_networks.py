@@ -269,3 +269,24 @@ def test_joins_of_growing_sides_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
     assert {(x["doc_id"], x["component_id"]) for x in got.collect()} == {(k, k % 3) for k in range(12)}
     assert {(x["i"], x["j"]) for x in links.collect()} == {(1, 2)}
+
+
+def test_communities_and_buckets_broadcast_no_side_that_grows(spark, monkeypatch):
+    from assayloom.operators import communities as C
+    from assayloom.operators import splits
+
+    plans, stored, first = [], C.stored, type(spark.range(0)).first
+    note = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(C, "stored", lambda d, kind: note(d) or stored(d, kind))
+    monkeypatch.setattr(type(spark.range(0)), "first", lambda d: note(d) or first(d))
+    edges = spark.createDataFrame([(a, b, 1.0) for k in (0, 10) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(4, 10, 1.0)], "src long, dst long, weight double")
+    got = C.find_communities(spark.range(15).select(F.col("id").alias("node")), edges)
+    assert {x["node"]: x["community"] for x in got.collect()} == {k: k if 5 <= k < 10 else k // 10 * 10 for k in range(15)}
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+    # clusters go to the driver as arrays, and are dealt as assign_buckets() deals them
+    d = spark.range(60).selectExpr("nullif(id % 13, 12) AS c", "id % 3 = 0 AS s", "id % 5 = 0 AS a")
+    n = {x["c"]: (x["size"], x["special"], x["active"]) for x in splits.cluster_rollup(d, "c", "s", "a").collect()}
+    plan = splits.assign_buckets(*[{c: v[k] for c, v in n.items()} for k in range(3)], {"test": 0.25} | {f"fold_{k}": 0.25 for k in range(3)}, tries=500)
+    monkeypatch.setattr(type(d), "collect", lambda *a: pytest.fail("rows at the driver"))
+    rows = splits.cluster_buckets(d, "c", "s", "a", 0.25, 3, tries=500).toArrow().to_pylist()
+    assert {x["c"]: "test" if x["split"] == "test" else f"fold_{x['fold_id']}" for x in rows} == plan.bucket_of
